@@ -1,7 +1,120 @@
-"""Oracle SQL for validation, audits, profiles and streaming queries."""
+"""Oracle SQL for catalogue, identity, audits, profiles, validation, streaming."""
 
 from __future__ import annotations
 
+from tallyline.plans.oracle import _AS_OF, _CUT, EXPLAIN_SQL, PREFIX, RULE_SQL, _any, _money
+
+_NEVER = RULE_SQL["processed_never_settled"].format(cut="TIMESTAMP '9999-12-31 00:00:00'")
+_AGE = f"date_sub('second', coalesce(processed_at, initiated_at, first_settled_at), {_AS_OF})"
+
+
+_TEXT = {
+    "processed_never_settled": ("processed_at IS NOT NULL AND first_settled_at IS NULL "
+                                "AND failed_at IS NULL AND processed_at < :cutoff"),
+    "settled_despite_failure": "failed_at IS NOT NULL AND first_settled_at IS NOT NULL",
+    "duplicate_settlement": "settled_event_count > 1",
+    "stuck_pending": ("initiated_at IS NOT NULL AND processed_at IS NULL AND failed_at IS NULL "
+                      "AND first_settled_at IS NULL AND initiated_at < :cutoff"),
+    "settled_without_processing": ("first_settled_at IS NOT NULL AND processed_at IS NULL "
+                                   "AND failed_at IS NULL"),
+}
+
+
+def _hours(sec: str) -> str:
+    return f"sign({sec}) * floor((abs({sec}) + 18) / 36) / 100"
+
 
 def extra_sql() -> dict[str, str]:
-    return {}
+    q: dict[str, str] = {}
+
+    # -- catalogue and identity ---------------------------------------------
+    rows = "\n    UNION ALL ".join(
+        f"SELECT '{n}' AS rule, '{_TEXT[n]}' AS predicate, '{EXPLAIN_SQL[n]}' AS description, "
+        f"count(*) FILTER (WHERE {p.format(cut=_CUT)}) AS matched_count, "
+        f"{_money(f'CASE WHEN {p.format(cut=_CUT)} THEN amount END')} AS matched_amount, {i} AS rule_order "
+        f"FROM txn WHERE {_any(_CUT)}"
+        for i, (n, p) in enumerate(RULE_SQL.items()))
+    q["rules_catalogue"] = f"{PREFIX}\nSELECT rule, predicate, description, matched_count, matched_amount FROM ({rows}) ORDER BY rule_order"
+
+    def money_if(cond: str) -> str:
+        return _money(f"CASE WHEN {cond} THEN amount END")
+
+    q["reconciliation_identity"] = f"""{PREFIX},
+s AS (SELECT CAST({money_if("payment_status = 'processed'")} - {money_if("settlement_status = 'settled'")} AS DECIMAL(38,2)) AS unreconciled_amount,
+             {money_if(RULE_SQL['processed_never_settled'].format(cut=_CUT))} AS never_settled_amount,
+             {money_if(RULE_SQL['settled_despite_failure'].format(cut=_CUT))} AS despite_failure_amount,
+             {money_if("payment_status = 'processed' AND settlement_status = 'unsettled'")} AS processed_unsettled_amount,
+             {money_if("payment_status = 'failed' AND settlement_status = 'settled'")} AS failed_settled_amount,
+             {money_if("payment_status = 'pending' AND settlement_status = 'settled'")} AS pending_settled_amount
+      FROM txn)
+SELECT *,
+       unreconciled_amount = processed_unsettled_amount - failed_settled_amount - pending_settled_amount AS identity_holds,
+       unreconciled_amount = never_settled_amount - despite_failure_amount AS short_form_holds
+FROM s"""
+
+    # -- audits ----------------------------------------------------------------
+    q["audit_constraints"] = f"""{PREFIX}
+SELECT transaction_id, 'negative_amount' AS violation FROM txn WHERE amount < 0
+UNION ALL SELECT transaction_id, 'negative_count' FROM txn WHERE settled_event_count < 0 OR event_count < 0
+UNION ALL SELECT transaction_id, 'no_evidence' FROM txn
+    WHERE initiated_at IS NULL AND processed_at IS NULL AND failed_at IS NULL AND first_settled_at IS NULL"""
+    q["audit_orphans"] = f"""{PREFIX}
+SELECT 'transaction' AS kind, transaction_id AS id, merchant_id FROM txn
+    WHERE merchant_id NOT IN (SELECT merchant_id FROM merchants)
+UNION ALL
+SELECT 'event' AS kind, event_id AS id, merchant_id FROM log
+    WHERE merchant_id NOT IN (SELECT merchant_id FROM merchants)"""
+    q["audit_invariants"] = f"""{PREFIX}
+SELECT transaction_id,
+       count(DISTINCT merchant_id) > 1 AS merchant_conflict,
+       count(DISTINCT amount) > 1 AS amount_conflict,
+       count(DISTINCT currency) > 1 AS currency_conflict,
+       min(amount) AS min_amount, max(amount) AS max_amount
+FROM log GROUP BY transaction_id
+HAVING count(DISTINCT merchant_id) > 1 OR count(DISTINCT amount) > 1 OR count(DISTINCT currency) > 1"""
+    q["audit_keys"] = f"""{PREFIX}
+SELECT 'log_event_id' AS "check", event_id AS key, count(*) AS n FROM log GROUP BY event_id HAVING count(*) > 1
+UNION ALL
+SELECT 'projection_transaction_id', transaction_id, count(*) FROM txn GROUP BY transaction_id HAVING count(*) > 1
+UNION ALL
+SELECT 'event_in_two_transactions', event_id, CAST(2 AS BIGINT) FROM raw GROUP BY event_id
+    HAVING count(DISTINCT transaction_id) > 1"""
+
+    # -- profiles ----------------------------------------------------------------
+    q["profile_shapes"] = f"""{PREFIX},
+shapes AS (SELECT transaction_id, string_agg(event_type, '>' ORDER BY occurred_at, event_id) AS shape
+           FROM log GROUP BY transaction_id)
+SELECT shape, count(*) AS transactions FROM shapes GROUP BY shape ORDER BY transactions DESC, shape"""
+    q["profile_matrix"] = f"""{PREFIX}
+SELECT payment_status,
+       count(*) FILTER (WHERE first_settled_at IS NULL) AS unsettled,
+       count(*) FILTER (WHERE first_settled_at IS NOT NULL AND settled_event_count <= 1) AS settled_once,
+       count(*) FILTER (WHERE first_settled_at IS NOT NULL AND settled_event_count > 1) AS settled_multi
+FROM txn GROUP BY payment_status"""
+    lag = "epoch_us(first_settled_at) - epoch_us(processed_at)"
+    q["profile_lag"] = f"""{PREFIX},
+l AS (SELECT {lag} AS lag FROM txn WHERE processed_at IS NOT NULL AND first_settled_at IS NOT NULL)
+SELECT count(*) AS settled_after_processing,
+       round(quantile_disc(lag, 0.5) / 3600000000.0, 6) AS p50_hours,
+       round(quantile_disc(lag, 0.99) / 3600000000.0, 6) AS p99_hours,
+       round(max(lag) / 3600000000.0, 6) AS max_hours
+FROM l"""
+    q["profile_unsettled_age"] = f"""{PREFIX},
+a AS (SELECT {_AGE} AS age FROM txn WHERE {_NEVER})
+SELECT count(*) AS never_settled, min(age) AS min_age_seconds, {_hours('min(age)')} AS min_age_hours FROM a"""
+    q["profile_duplicates"] = f"""{PREFIX},
+r AS (SELECT event_type, row_number() OVER (PARTITION BY event_id ORDER BY batch_id, pos) AS rn FROM raw)
+SELECT event_type, count(*) AS duplicates FROM r WHERE rn > 1 GROUP BY event_type"""
+    q["profile_naive_vs_dedup"] = f"""{PREFIX},
+naive AS (SELECT count(*) AS n FROM (SELECT transaction_id FROM raw GROUP BY transaction_id
+          HAVING count(*) FILTER (WHERE event_type = 'settled') > 1)),
+dedup AS (SELECT count(*) AS n FROM txn WHERE settled_event_count > 1)
+SELECT naive.n AS naive_duplicate_settlements, dedup.n AS dedup_duplicate_settlements,
+       naive.n - dedup.n AS false_positives
+FROM naive, dedup"""
+    q["profile_ratio"] = f"""{PREFIX}
+SELECT CAST(sum(event_count) AS BIGINT) AS events, count(*) AS transactions,
+       round(avg(event_count), 6) AS events_per_transaction,
+       max(event_count) AS max_events_per_transaction
+FROM txn"""
+    return q

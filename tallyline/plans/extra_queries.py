@@ -1,3 +1,72 @@
-"""Registered queries for validation, audits, profiles and streaming."""
+"""Registered queries for audits, profiles, validation and streaming."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from tallyline.operators import audits, profile
+from tallyline.plans.catalog import AS_OF, Recon, query
+
+# ---------------------------------------------------------------------------
+# Audits (B10-B13)
+# ---------------------------------------------------------------------------
+
+
+@query("audit_constraints")
+def q_audit_constraints(r: Recon) -> DataFrame:
+    return audits.audit_constraints(r.txn)
+
+
+@query("audit_orphans")
+def q_audit_orphans(r: Recon) -> DataFrame:
+    return audits.audit_orphans(r.txn, r.log, r.merchants)
+
+
+@query("audit_invariants")
+def q_audit_invariants(r: Recon) -> DataFrame:
+    return audits.audit_invariants(r.log)
+
+
+@query("audit_keys")
+def q_audit_keys(r: Recon) -> DataFrame:
+    return audits.audit_keys(r.deliveries, r.log, r.txn)
+
+
+# ---------------------------------------------------------------------------
+# Profiles (M1-M7)
+# ---------------------------------------------------------------------------
+
+
+@query("profile_shapes")
+def q_profile_shapes(r: Recon) -> DataFrame:
+    return profile.profile_shapes(r.log)
+
+
+@query("profile_matrix")
+def q_profile_matrix(r: Recon) -> DataFrame:
+    return profile.profile_matrix(r.txn)
+
+
+@query("profile_lag")
+def q_profile_lag(r: Recon) -> DataFrame:
+    return profile.profile_lag(r.txn)
+
+
+@query("profile_unsettled_age")
+def q_profile_unsettled_age(r: Recon) -> DataFrame:
+    return profile.profile_unsettled_age(r.txn, AS_OF)
+
+
+@query("profile_duplicates")
+def q_profile_duplicates(r: Recon) -> DataFrame:
+    return profile.profile_duplicates(r.deliveries)
+
+
+@query("profile_naive_vs_dedup")
+def q_profile_naive_vs_dedup(r: Recon) -> DataFrame:
+    return profile.profile_naive_vs_dedup(r.deliveries, r.txn)
+
+
+@query("profile_ratio")
+def q_profile_ratio(r: Recon) -> DataFrame:
+    return profile.profile_ratio(r.txn)
