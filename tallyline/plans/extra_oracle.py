@@ -117,4 +117,101 @@ SELECT CAST(sum(event_count) AS BIGINT) AS events, count(*) AS transactions,
        round(avg(event_count), 6) AS events_per_transaction,
        max(event_count) AS max_events_per_transaction
 FROM txn"""
+    q["validate_errors"] = VALIDATE_SQL
     return q
+
+
+_UUID = r"(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{32})$"
+_DEC = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
+
+VALIDATE_SQL = f"""
+WITH src AS (
+    SELECT e.event_id AS pos, e.event_id % 20 AS k, e.ts, e.user_id,
+           e.user_id * 1000 + dayofyear(e.ts) AS txn_key,
+           CASE e.event_type
+               WHEN 'view' THEN 'payment_initiated' WHEN 'click' THEN 'payment_initiated'
+               WHEN 'purchase' THEN 'payment_processed' WHEN 'error' THEN 'payment_failed'
+               WHEN 'signup' THEN 'settled' ELSE e.event_type END AS mapped_type,
+           CAST(CAST(e.value AS DECIMAL(14,2)) AS VARCHAR) AS amount_text,
+           '00000000-0000-4000-8000-' || lpad(lower(hex(e.event_id)), 12, '0') AS event_uuid,
+           n.n_name
+    FROM events e JOIN nation n ON n.n_nationkey = e.user_id % 25
+),
+wire AS (
+    SELECT pos,
+           CASE WHEN k = 2 THEN 'not-a-uuid' WHEN k = 12 THEN upper(event_uuid) ELSE event_uuid END AS event_id,
+           CASE WHEN k = 1 THEN 'banana' ELSE mapped_type END AS event_type,
+           CASE WHEN k = 16 THEN NULL
+                ELSE '00000000-0000-4000-9000-' || lpad(lower(hex(txn_key)), 12, '0') END AS transaction_id,
+           CASE WHEN k = 6 THEN '' ELSE CAST(user_id % 25 AS VARCHAR) END AS merchant_id,
+           CASE WHEN k = 14 THEN repeat('x', 256) ELSE n_name END AS merchant_name,
+           CASE WHEN k = 3 THEN '-5.00' WHEN k = 7 THEN '1.239' WHEN k = 13 THEN NULL
+                WHEN k = 15 THEN '1234567890123.00' WHEN k = 17 THEN '00' || amount_text
+                ELSE amount_text END AS amount,
+           CASE WHEN k = 4 THEN 'RUPEES' WHEN k = 8 THEN 'IN1' WHEN k = 10 THEN 'inr' ELSE 'INR' END AS currency,
+           CASE WHEN k = 5 THEN 'yesterday'
+                WHEN k = 11 THEN strftime(ts + INTERVAL '5 hours 30 minutes', '%Y-%m-%dT%H:%M:%S.%f') || '+05:30'
+                ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS ts_text,
+           CASE WHEN k = 9 THEN 1 ELSE 0 END AS n_extra
+    FROM src
+),
+parsed AS (
+    SELECT *,
+           CASE WHEN regexp_matches(ts_text, '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$')
+                THEN CAST(try_cast(ts_text AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP)
+                ELSE try_cast(ts_text AS TIMESTAMP) END AS ts_value,
+           length(regexp_replace(regexp_extract(regexp_replace(amount, '^[+-]', ''), '^([0-9]*)', 1), '^0+', '')) AS whole,
+           length(regexp_replace(regexp_extract(regexp_replace(amount, '^[+-]', ''), '\.([0-9]*)$', 1), '0+$', '')) AS places
+    FROM wire
+),
+codes AS (
+    SELECT *,
+           CASE WHEN event_id IS NULL THEN 'missing'
+                WHEN NOT regexp_matches(event_id, '{_UUID}') THEN 'uuid_parsing' END AS e1,
+           CASE WHEN event_type IS NULL THEN 'missing'
+                WHEN event_type NOT IN ('payment_initiated', 'payment_processed', 'payment_failed', 'settled')
+                THEN 'enum' END AS e2,
+           CASE WHEN transaction_id IS NULL THEN 'missing'
+                WHEN NOT regexp_matches(transaction_id, '{_UUID}') THEN 'uuid_parsing' END AS e3,
+           CASE WHEN merchant_id IS NULL THEN 'missing' WHEN length(merchant_id) < 1 THEN 'string_too_short'
+                WHEN length(merchant_id) > 64 THEN 'string_too_long' END AS e4,
+           CASE WHEN merchant_name IS NULL THEN 'missing' WHEN length(merchant_name) < 1 THEN 'string_too_short'
+                WHEN length(merchant_name) > 255 THEN 'string_too_long' END AS e5,
+           CASE WHEN amount IS NULL THEN 'missing'
+                WHEN NOT regexp_matches(amount, '{_DEC}') THEN 'decimal_parsing'
+                WHEN whole + places > 14 THEN 'decimal_max_digits'
+                WHEN places > 2 THEN 'decimal_max_places'
+                WHEN whole > 12 THEN 'decimal_whole_digits'
+                WHEN starts_with(amount, '-') AND regexp_matches(regexp_replace(amount, '[-+.0]', '', 'g'), '[1-9]')
+                THEN 'greater_than_equal' END AS e6,
+           CASE WHEN currency IS NULL THEN 'missing' WHEN length(currency) < 3 THEN 'string_too_short'
+                WHEN length(currency) > 3 THEN 'string_too_long'
+                WHEN NOT regexp_matches(upper(currency), '^\\p{{L}}+$') THEN 'currency_code' END AS e7,
+           CASE WHEN ts_text IS NULL THEN 'missing' WHEN ts_value IS NULL THEN 'datetime_parsing' END AS e8
+    FROM parsed
+)
+SELECT pos,
+       (e1 IS NULL AND e2 IS NULL AND e3 IS NULL AND e4 IS NULL AND e5 IS NULL AND e6 IS NULL
+        AND e7 IS NULL AND e8 IS NULL AND n_extra = 0) AS is_valid,
+       CAST((e1 IS NOT NULL)::INT + (e2 IS NOT NULL)::INT + (e3 IS NOT NULL)::INT + (e4 IS NOT NULL)::INT
+            + (e5 IS NOT NULL)::INT + (e6 IS NOT NULL)::INT + (e7 IS NOT NULL)::INT + (e8 IS NOT NULL)::INT
+            + n_extra AS INTEGER) AS error_count,
+       CASE WHEN e1 IS NOT NULL THEN 'event_id' WHEN e2 IS NOT NULL THEN 'event_type'
+            WHEN e3 IS NOT NULL THEN 'transaction_id' WHEN e4 IS NOT NULL THEN 'merchant_id'
+            WHEN e5 IS NOT NULL THEN 'merchant_name' WHEN e6 IS NOT NULL THEN 'amount'
+            WHEN e7 IS NOT NULL THEN 'currency' WHEN e8 IS NOT NULL THEN 'timestamp'
+            WHEN n_extra > 0 THEN 'note' END AS first_error_field,
+       coalesce(e1, e2, e3, e4, e5, e6, e7, e8, CASE WHEN n_extra > 0 THEN 'extra_forbidden' END) AS first_error_code,
+       CASE WHEN e1 IS NULL OR e1 <> 'missing' AND regexp_matches(event_id, '{_UUID}') THEN
+            regexp_replace(lower(regexp_replace(event_id, '-', '', 'g')),
+                           '^([0-9a-f]{{8}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{12}})$',
+                           '\\1-\\2-\\3-\\4-\\5') END AS event_id,
+       CASE WHEN e3 IS NULL THEN
+            regexp_replace(lower(regexp_replace(transaction_id, '-', '', 'g')),
+                           '^([0-9a-f]{{8}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{4}})([0-9a-f]{{12}})$',
+                           '\\1-\\2-\\3-\\4-\\5') END AS transaction_id,
+       CASE WHEN e6 IS NULL THEN CAST(try_cast(amount AS DECIMAL(38,10)) AS DECIMAL(14,2)) END AS amount,
+       CASE WHEN e7 IS NULL THEN upper(currency) END AS currency,
+       ts_value AS occurred_at
+FROM codes
+"""

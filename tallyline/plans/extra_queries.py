@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyline.operators import audits, profile
 from tallyline.plans.catalog import AS_OF, Recon, query
@@ -70,3 +71,20 @@ def q_profile_naive_vs_dedup(r: Recon) -> DataFrame:
 @query("profile_ratio")
 def q_profile_ratio(r: Recon) -> DataFrame:
     return profile.profile_ratio(r.txn)
+
+
+# ---------------------------------------------------------------------------
+# Validation
+# ---------------------------------------------------------------------------
+
+
+@query("validate_errors")
+def q_validate_errors(r: Recon) -> DataFrame:
+    from tallyline.operators.validate import validate
+    from tallyline.sources.driver_tables import wire_deliveries
+
+    v = validate(wire_deliveries(r.spark, r.sf_dir))
+    return v.select("pos", "is_valid", "error_count", "first_error_field", "first_error_code",
+                    F.col("v_event_id").alias("event_id"), F.col("v_transaction_id").alias("transaction_id"),
+                    F.col("v_amount").alias("amount"), F.col("v_currency").alias("currency"),
+                    F.col("v_occurred_at").alias("occurred_at"))
