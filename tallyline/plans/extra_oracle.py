@@ -118,6 +118,12 @@ SELECT CAST(sum(event_count) AS BIGINT) AS events, count(*) AS transactions,
        max(event_count) AS max_events_per_transaction
 FROM txn"""
     q["validate_errors"] = VALIDATE_SQL
+    # Streaming ingest must converge to the batch rebuild.
+    txn_cols = ("transaction_id, merchant_id, amount, currency, initiated_at, processed_at, failed_at, "
+                "first_settled_at, last_settled_at, settled_event_count, event_count, first_event_at, "
+                "last_event_at, payment_status, settlement_status, status")
+    q["stream_transactions"] = f"{PREFIX}\nSELECT {txn_cols} FROM txn"
+    q["stream_running_state"] = f"{PREFIX}\nSELECT {txn_cols} FROM txn"
     return q
 
 

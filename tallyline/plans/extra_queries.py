@@ -88,3 +88,51 @@ def q_validate_errors(r: Recon) -> DataFrame:
                     F.col("v_event_id").alias("event_id"), F.col("v_transaction_id").alias("transaction_id"),
                     F.col("v_amount").alias("amount"), F.col("v_currency").alias("currency"),
                     F.col("v_occurred_at").alias("occurred_at"))
+
+
+# ---------------------------------------------------------------------------
+# Streaming (P1-P8): results must equal the batch rebuild (``transactions``)
+# ---------------------------------------------------------------------------
+STREAM_FILES = 3
+
+
+def write_delivery_files(deliveries: DataFrame, path: str, files: int = STREAM_FILES) -> None:
+    """Split deliveries into ``files`` Parquet files, copies of one event
+    scattered across files, so replays arrive in different micro-batches."""
+    split = F.pmod(F.xxhash64("event_id", "batch_id"), F.lit(files))
+    (deliveries.withColumn("pos", F.col("pos") * 2 + F.col("batch_id"))
+     .withColumn("_split", split).repartitionByRange(files, "_split").drop("_split")
+     .write.mode("overwrite").parquet(path))
+
+
+def _stream_setup(r: Recon, name: str):
+    from tallyline.session import scratch_path
+    from tallyline.streaming.ingest import delivery_file_stream
+
+    base = scratch_path(r.spark, name)
+    src = f"{base}/source"
+    write_delivery_files(r.deliveries, src)
+    schema = r.spark.read.parquet(src).schema
+    return base, delivery_file_stream(r.spark, src, schema, files_per_trigger=1)
+
+
+@query("stream_transactions")
+def q_stream_transactions(r: Recon) -> DataFrame:
+    from tallyline.operators.projection import PROJECTION_COLUMNS
+    from tallyline.sources.store import EventStore
+    from tallyline.streaming.ingest import run_ingest_stream
+
+    base, source = _stream_setup(r, "stream-ingest")
+    store = EventStore(r.spark, f"{base}/store", buckets=16)
+    run_ingest_stream(r.spark, source, store, f"{base}/checkpoint")
+    return store.transactions().select(*PROJECTION_COLUMNS, "payment_status", "settlement_status", "status")
+
+
+@query("stream_running_state")
+def q_stream_running_state(r: Recon) -> DataFrame:
+    from tallyline.operators.projection import PROJECTION_COLUMNS
+    from tallyline.streaming.ingest import run_running_state
+
+    base, source = _stream_setup(r, "stream-state")
+    state = run_running_state(source, f"{base}/state", f"{base}/checkpoint")
+    return state.select(*PROJECTION_COLUMNS, "payment_status", "settlement_status", "status")
