@@ -167,7 +167,7 @@ parsed AS (
                 THEN CAST(try_cast(ts_text AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS TIMESTAMP)
                 ELSE try_cast(ts_text AS TIMESTAMP) END AS ts_value,
            length(regexp_replace(regexp_extract(regexp_replace(amount, '^[+-]', ''), '^([0-9]*)', 1), '^0+', '')) AS whole,
-           length(regexp_replace(regexp_extract(regexp_replace(amount, '^[+-]', ''), '\.([0-9]*)$', 1), '0+$', '')) AS places
+           length(regexp_replace(regexp_extract(regexp_replace(amount, '^[+-]', ''), '\\.([0-9]*)$', 1), '0+$', '')) AS places
     FROM wire
 ),
 codes AS (

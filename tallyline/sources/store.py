@@ -58,6 +58,14 @@ class EventStore:
     def quarantine_path(self) -> str:
         return f"{self.root}/quarantine"
 
+    @property
+    def dimension_path(self) -> str:
+        return f"{self.root}/dimension"
+
+    @property
+    def complete_path(self) -> str:
+        return f"{self.root}/_complete"
+
     def _read(self, path: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(path)
@@ -71,10 +79,16 @@ class EventStore:
         return self._read(self.merchants_path)
 
     def merchants(self) -> DataFrame | None:
-        """Latest name per merchant over all recorded changes."""
+        """Current merchant names: the materialised dimension, else the change log."""
+        dim = self._read(self.dimension_path)
+        if dim is not None:
+            return dim
         changes = self.merchant_changes()
         return None if changes is None else latest_merchant_names(changes)
 
+    def is_complete(self) -> bool:
+        return self._read(self.complete_path) is not None
+
     def transactions(self) -> DataFrame:
         """The stored projection; status axes are always re-derived on read."""
         proj = self._read(self.projection_path)
@@ -118,6 +132,7 @@ class EventStore:
             touched = [r["bucket"] for r in
                        self._with_bucket(batch.select("transaction_id")).select("bucket").distinct().collect()]
             self._recompute(touched)
+            self.refresh_dimension()
 
             received = batch.count()
             ingested = self.log().filter(F.col("batch_id") == F.lit(batch_id)).count()
@@ -151,6 +166,29 @@ class EventStore:
         (proj.hint("rebalance", "bucket").sortWithinPartitions("transaction_id")
          .write.mode("overwrite").partitionBy("bucket").parquet(self.projection_path))
 
+    def load(self, deliveries: DataFrame) -> None:
+        """Replace the whole store with ``deliveries`` (keeping
+        their own batch ids), then derive projection and dimension."""
+        log = (dedupe_events(deliveries)
+               .withColumn("received_at", F.current_timestamp().cast("timestamp_ntz")))
+        (self._with_bucket(log).hint("rebalance", "bucket").sortWithinPartitions("event_id")
+         .write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy("bucket", "batch_id").parquet(self.log_path))
+        (deliveries.groupBy("merchant_id", "batch_id")
+         .agg(F.max_by("merchant_name", F.col("pos")).alias("merchant_name"), F.max("pos").alias("pos"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy("batch_id").parquet(self.merchants_path))
+        self.rebuild()
+        self.spark.range(1).write.mode("overwrite").parquet(self.complete_path)
+
+    def refresh_dimension(self) -> None:
+        """Materialise the current merchant names (one row per merchant; output
+        partitions are sized by AQE, not forced into one task)."""
+        changes = self.merchant_changes()
+        if changes is not None:
+            (latest_merchant_names(changes)
+             .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.dimension_path))
+
     def rebuild(self) -> int:
         """Drop and re-derive the whole projection from the log."""
         log = self.log()
@@ -160,6 +198,7 @@ class EventStore:
         (proj.hint("rebalance", "bucket").sortWithinPartitions("transaction_id")
          .write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy("bucket").parquet(self.projection_path))
+        self.refresh_dimension()
         return self.spark.read.parquet(self.projection_path).count()
 
     def quarantine(self, rejected: DataFrame, batch_id: int) -> None:
@@ -174,6 +213,7 @@ class EventStore:
         file, so the next read sees an empty store.
         """
         nothing = self.spark.createDataFrame([], "x int, p int")
-        for path in (self.log_path, self.projection_path, self.merchants_path, self.quarantine_path):
+        for path in (self.log_path, self.projection_path, self.merchants_path, self.quarantine_path,
+                     self.dimension_path, self.complete_path):
             (nothing.write.mode("overwrite").option("partitionOverwriteMode", "static")
              .partitionBy("p").parquet(path))

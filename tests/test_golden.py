@@ -1,0 +1,113 @@
+"""Golden fixture: the published sample shapes, rebuilt with spark.range.
+
+Six post-dedup shapes (3,800 transactions, 10,165 events) plus 190 replays
+(64 initiated, 59 processed, 67 settled; the settled replays on transactions
+outside the double-settled ones) must reproduce the published counts.
+"""
+
+from __future__ import annotations
+
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyline.operators import ingest, profile, projection, reports
+from tests.conftest import BASE
+
+# (first txn index, count, event types in order)
+SHAPES = [
+    (0, 2470, ["payment_initiated", "payment_processed", "settled"]),
+    (2470, 570, ["payment_initiated", "payment_failed"]),
+    (3040, 380, ["payment_initiated", "payment_processed"]),
+    (3420, 190, ["payment_initiated"]),
+    (3610, 95, ["payment_initiated", "payment_processed", "settled", "settled"]),
+    (3705, 95, ["payment_initiated", "payment_failed", "settled"]),
+]
+OFFSETS_MIN = {"payment_initiated": 0, "payment_processed": 5, "payment_failed": 10}
+
+
+def golden_deliveries(spark):
+    shape_of = None
+    for start, n, types in SHAPES:
+        cond = (F.col("id") >= start) & (F.col("id") < start + n)
+        arr = F.array(*[F.lit(t) for t in types])
+        shape_of = F.when(cond, arr) if shape_of is None else shape_of.when(cond, arr)
+    txns = spark.range(3800).withColumn("types", shape_of)
+    ev = txns.select("id", F.posexplode("types").alias("seq", "event_type"))
+    minutes = (F.when(F.col("event_type") == "settled", F.lit(170) + F.col("seq") * 10 + F.col("id") % 7)
+               .otherwise(F.element_at(F.create_map(*[x for k, v in OFFSETS_MIN.items()
+                                                      for x in (F.lit(k), F.lit(v))]), F.col("event_type"))))
+    base = ev.select(
+        (F.col("id") * 10 + F.col("seq")).cast("string").alias("event_id"),
+        F.col("id").cast("string").alias("transaction_id"),
+        (F.col("id") % 5).cast("string").alias("merchant_id"),
+        F.concat(F.lit("Merchant "), (F.col("id") % 5).cast("string")).alias("merchant_name"),
+        "event_type",
+        ((F.col("id") % 997) + F.lit(0.5)).cast("decimal(14,2)").alias("amount"),
+        F.lit("INR").alias("currency"),
+        (F.lit(BASE).cast("timestamp_ntz") + F.make_interval(mins=F.col("id") + minutes)).alias("occurred_at"),
+        F.lit(0).alias("batch_id"),
+        (F.col("id") * 10 + F.col("seq")).alias("pos"),
+        "id", "seq",
+    )
+    replay = ((F.col("id") < 64) & (F.col("seq") == 0)) | \
+             ((F.col("id") >= 64) & (F.col("id") < 123) & (F.col("seq") == 1)) | \
+             ((F.col("id") >= 123) & (F.col("id") < 190) & (F.col("seq") == 2))
+    replays = base.filter(replay).withColumn("batch_id", F.lit(1))
+    return base.unionByName(replays).drop("id", "seq")
+
+
+@pytest.fixture(scope="module")
+def golden(spark):
+    d = golden_deliveries(spark).persist()
+    txn = projection.rebuild(d).persist()
+    yield d, txn
+    d.unpersist()
+    txn.unpersist()
+
+
+def test_golden_ingest_counts(golden):
+    d, txn = golden
+    totals = ingest.ingest_totals(d).first()
+    assert (totals["received"], totals["ingested"], totals["duplicates"]) == (10355, 10165, 190)
+    assert txn.count() == 3800
+    assert ingest.latest_merchant_names(d).count() == 5
+
+
+def test_golden_duplicates_by_type(golden):
+    d, _ = golden
+    got = {r["event_type"]: r["duplicates"] for r in profile.profile_duplicates(d).collect()}
+    assert got == {"payment_initiated": 64, "payment_processed": 59, "settled": 67}
+
+
+def test_golden_rule_counts(golden):
+    _, txn = golden
+    as_of = BASE + timedelta(days=30)
+    got = {r["type"]: r["count"] for r in reports.discrepancy_counts(txn, as_of).collect()}
+    assert got == {"processed_never_settled": 380, "settled_despite_failure": 95,
+                   "duplicate_settlement": 95, "stuck_pending": 190}
+
+
+def test_golden_naive_vs_dedup(golden):
+    d, txn = golden
+    r = profile.profile_naive_vs_dedup(d, txn).first()
+    assert (r["naive_duplicate_settlements"], r["dedup_duplicate_settlements"]) == (162, 95)
+
+
+def test_golden_shapes_and_matrix(golden):
+    d, txn = golden
+    shapes = {r["shape"]: r["transactions"] for r in profile.profile_shapes(ingest.dedupe_events(d)).collect()}
+    assert shapes == {">".join(t): n for _, n, t in SHAPES}
+    m = {r["payment_status"]: r for r in profile.profile_matrix(txn).collect()}
+    assert (m["pending"]["unsettled"], m["processed"]["unsettled"], m["processed"]["settled_once"],
+            m["processed"]["settled_multi"], m["failed"]["unsettled"], m["failed"]["settled_once"]) == \
+        (190, 380, 2470, 95, 570, 95)
+
+
+def test_golden_identity(golden):
+    _, txn = golden
+    as_of = BASE + timedelta(days=30)
+    r = reports.reconciliation_identity(txn, as_of).first()
+    assert r["identity_holds"] and r["short_form_holds"]
+    assert r["unreconciled_amount"] == r["never_settled_amount"] - r["despite_failure_amount"]
