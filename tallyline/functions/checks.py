@@ -123,5 +123,6 @@ def parsed_timestamp(c: Column) -> Column:
     return F.try_to_timestamp(c).cast("timestamp_ntz")
 
 
-def timestamp_error(c: Column) -> Column:
-    return F.when(_missing(c), F.lit("missing")).when(parsed_timestamp(c).isNull(), F.lit("datetime_parsing"))
+def timestamp_error(c: Column, parsed: Column | None = None) -> Column:
+    parsed = parsed_timestamp(c) if parsed is None else parsed
+    return F.when(_missing(c), F.lit("missing")).when(parsed.isNull(), F.lit("datetime_parsing"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import checks as K
-from tallyline.schema import DELIVERY_COLUMNS
+from tallyline.schema import DELIVERY_COLUMNS, MONEY
 
 FIELD_CHECKS = (
     ("event_id", K.uuid_error),
@@ -37,11 +37,16 @@ def _messages() -> Column:
     return F.create_map(*[x for k, v in K.MESSAGES.items() for x in (F.lit(k), F.lit(v))])
 
 
+def _code_col(field: str) -> str:
+    return f"_code_{field}"
+
+
 def error_array(wire: DataFrame) -> Column:
+    """Errors from the per-field code columns (computed once each by ``validate``)."""
     msgs = _messages()
     per_field = []
-    for field, check in FIELD_CHECKS:
-        code = check(F.col(field))
+    for field, _ in FIELD_CHECKS:
+        code = F.col(_code_col(field))
         per_field.append(F.when(code.isNotNull(), F.struct(
             F.lit(field).alias("field"), code.alias("code"), F.element_at(msgs, code).alias("message"))))
     errors = F.array_compact(F.array(*per_field))
@@ -54,21 +59,32 @@ def error_array(wire: DataFrame) -> Column:
 
 
 def validate(wire: DataFrame) -> DataFrame:
-    """Add ``errors``, ``is_valid``, the first error, and typed canonical fields."""
-    out = wire.withColumn("errors", error_array(wire))
+    """Add ``errors``, ``is_valid``, the first error, and typed canonical fields.
+
+    Each field's code (and the parsed timestamp) is materialised as a column
+    first and then referenced, so no check is evaluated more than once per row.
+    """
+    ts = "_parsed_ts"
+    coded = wire.withColumn(ts, K.parsed_timestamp(F.col("timestamp")))
+    coded = coded.withColumns({
+        _code_col(f): (K.timestamp_error(F.col("timestamp"), F.col(ts)) if f == "timestamp" else check(F.col(f)))
+        for f, check in FIELD_CHECKS
+    })
+    out = coded.withColumn("errors", error_array(coded))
     first = F.get(F.col("errors"), 0)
+    ok = lambda f: F.col(_code_col(f)).isNull()
     return out.withColumns({
         "is_valid": F.size("errors") == 0,
         "error_count": F.size("errors"),
         "first_error_field": first["field"],
         "first_error_code": first["code"],
         "first_error": F.when(F.size("errors") > 0, F.concat(first["field"], F.lit(": "), first["message"])),
-        "v_event_id": K.canonical_uuid(F.col("event_id")),
-        "v_transaction_id": K.canonical_uuid(F.col("transaction_id")),
-        "v_amount": K.canonical_amount(F.col("amount")),
-        "v_currency": K.canonical_currency(F.col("currency")),
-        "v_occurred_at": K.parsed_timestamp(F.col("timestamp")),
-    })
+        "v_event_id": F.when(ok("event_id"), K.canonical_uuid(F.col("event_id"))),
+        "v_transaction_id": F.when(ok("transaction_id"), K.canonical_uuid(F.col("transaction_id"))),
+        "v_amount": F.when(ok("amount"), F.col("amount").cast("decimal(38,10)").cast(MONEY)),
+        "v_currency": F.when(ok("currency"), F.upper(F.col("currency"))),
+        "v_occurred_at": F.col(ts),
+    }).drop(ts, *[_code_col(f) for f, _ in FIELD_CHECKS])
 
 
 def accepted(validated: DataFrame) -> DataFrame:

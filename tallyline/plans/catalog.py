@@ -26,7 +26,7 @@ from tallyline.operators.reports import TxnFilters
 from tallyline.schema import LOG_COLUMNS
 from tallyline.session import ensure_checkpoint_dir
 from tallyline.sources import driver_tables
-from tallyline.sources.store import EventStore
+from tallyline.sources.store import EventStore, buckets_for
 
 # Parameters of the registered queries (fixed so results are reproducible).
 AS_OF = "2024-01-31 00:00:00"
@@ -66,9 +66,13 @@ class Recon:
     @cached_property
     def store(self) -> EventStore:
         key = hashlib.sha1(os.path.abspath(self.sf_dir).encode()).hexdigest()[:16]
-        store = EventStore(self.spark, f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tallyline/store-{key}")
+        root = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tallyline/store-{key}"
         with _LOAD_LOCK:
+            store = EventStore(self.spark, root)
             if not store.is_complete():
+                # Size buckets from the source row count (a footer-only count).
+                rows = driver_tables.read_table(self.spark, self.sf_dir, "events").count()
+                store = EventStore(self.spark, root, buckets=buckets_for(rows))
                 store.load(self.deliveries)
         return store
 

@@ -29,17 +29,42 @@ from tallyline.operators.projection import PROJECTION_COLUMNS, project_transacti
 from tallyline.schema import LOG_COLUMNS
 
 DEFAULT_BUCKETS = 64
+# Target log rows per bucket when sizing a store from its input (about one
+# well-sized Parquet file per bucket and batch).
+ROWS_PER_BUCKET = 4_000_000
+MAX_BUCKETS = 8192
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def buckets_for(rows: int) -> int:
+    """Power-of-two bucket count for ``rows`` log rows."""
+    n = 1
+    while n * ROWS_PER_BUCKET < rows and n < MAX_BUCKETS:
+        n *= 2
+    return n
+
+
+# Read DataFrames per path: reusing one keeps its file listing, so repeated
+# reads in one application do not re-list partitions or re-read footers.
+# Entries are dropped whenever this process writes under the store root.
+_FRAMES: dict[str, DataFrame] = {}
+_BUCKETS: dict[str, int] = {}
+
+
 class EventStore:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = DEFAULT_BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.buckets = buckets
+        if buckets is None:
+            buckets = _BUCKETS.get(self.root)
+        if buckets is None:
+            marker = self._read(self.complete_path)
+            buckets = marker.first()["buckets"] if marker is not None and "buckets" in marker.columns \
+                else DEFAULT_BUCKETS
+        self.buckets = int(buckets)
 
     # -- paths and readers ---------------------------------------------------
     @property
@@ -67,10 +92,18 @@ class EventStore:
         return f"{self.root}/_complete"
 
     def _read(self, path: str) -> DataFrame | None:
+        if path in _FRAMES:
+            return _FRAMES[path]
         try:
-            return self.spark.read.parquet(path)
+            df = self.spark.read.parquet(path)
         except AnalysisException:
             return None
+        _FRAMES[path] = df
+        return df
+
+    def _invalidate(self) -> None:
+        for path in [p for p in _FRAMES if p.startswith(self.root + "/")]:
+            del _FRAMES[path]
 
     def log(self) -> DataFrame | None:
         return self._read(self.log_path)
@@ -99,7 +132,7 @@ class EventStore:
     def lookup(self, transaction_id) -> DataFrame:
         """Point lookup; the bucket predicate prunes to one partition."""
         key = F.lit(transaction_id)
-        proj = self.spark.read.parquet(self.projection_path)
+        proj = self._read(self.projection_path)
         hit = proj.filter((F.col("bucket") == bucket_of(key, self.buckets)) & (F.col("transaction_id") == key))
         return with_status(hit.drop("bucket"))
 
@@ -115,6 +148,7 @@ class EventStore:
         overwritten.
         """
         batch = deliveries.withColumn("batch_id", F.lit(batch_id).cast("int")).persist()
+        self._invalidate()
         try:
             prior = self.log()
             if prior is not None:
@@ -126,6 +160,7 @@ class EventStore:
             # REBALANCE lets AQE split a hot bucket over several writers.
             (self._with_bucket(new_events).hint("rebalance", "bucket").sortWithinPartitions("event_id")
              .write.mode("overwrite").partitionBy("bucket", "batch_id").parquet(self.log_path))
+            self._invalidate()
 
             self._write_merchant_changes(batch, batch_id)
 
@@ -150,6 +185,7 @@ class EventStore:
         (incoming.withColumn("batch_id", F.lit(batch_id).cast("int"))
          .withColumn("pos", F.lit(0).cast("long"))
          .write.mode("overwrite").partitionBy("batch_id").parquet(self.merchants_path))
+        self._invalidate()
 
     def _recompute(self, buckets: list[int] | None) -> None:
         """Recompute whole buckets of the projection from the log.
@@ -165,10 +201,12 @@ class EventStore:
         proj = self._with_bucket(project_transactions(log).select(*PROJECTION_COLUMNS))
         (proj.hint("rebalance", "bucket").sortWithinPartitions("transaction_id")
          .write.mode("overwrite").partitionBy("bucket").parquet(self.projection_path))
+        self._invalidate()
 
     def load(self, deliveries: DataFrame) -> None:
         """Replace the whole store with ``deliveries`` (keeping
         their own batch ids), then derive projection and dimension."""
+        self._invalidate()
         log = (dedupe_events(deliveries)
                .withColumn("received_at", F.current_timestamp().cast("timestamp_ntz")))
         (self._with_bucket(log).hint("rebalance", "bucket").sortWithinPartitions("event_id")
@@ -178,8 +216,12 @@ class EventStore:
          .agg(F.max_by("merchant_name", F.col("pos")).alias("merchant_name"), F.max("pos").alias("pos"))
          .write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy("batch_id").parquet(self.merchants_path))
+        self._invalidate()
         self.rebuild()
-        self.spark.range(1).write.mode("overwrite").parquet(self.complete_path)
+        (self.spark.range(1).select(F.lit(self.buckets).alias("buckets"))
+         .write.mode("overwrite").parquet(self.complete_path))
+        self._invalidate()
+        _BUCKETS[self.root] = self.buckets
 
     def refresh_dimension(self) -> None:
         """Materialise the current merchant names (one row per merchant; output
@@ -188,6 +230,7 @@ class EventStore:
         if changes is not None:
             (latest_merchant_names(changes)
              .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.dimension_path))
+            self._invalidate()
 
     def rebuild(self) -> int:
         """Drop and re-derive the whole projection from the log."""
@@ -198,13 +241,15 @@ class EventStore:
         (proj.hint("rebalance", "bucket").sortWithinPartitions("transaction_id")
          .write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy("bucket").parquet(self.projection_path))
+        self._invalidate()
         self.refresh_dimension()
-        return self.spark.read.parquet(self.projection_path).count()
+        return self._read(self.projection_path).count()
 
     def quarantine(self, rejected: DataFrame, batch_id: int) -> None:
         """Keep rejected wire rows with their errors, per batch."""
         (rejected.withColumn("batch_id", F.lit(batch_id).cast("int"))
          .write.mode("overwrite").partitionBy("batch_id").parquet(self.quarantine_path))
+        self._invalidate()
 
     def truncate(self) -> None:
         """Wipe log, projection and merchants.
@@ -217,3 +262,4 @@ class EventStore:
                      self.dimension_path, self.complete_path):
             (nothing.write.mode("overwrite").option("partitionOverwriteMode", "static")
              .partitionBy("p").parquet(path))
+        self._invalidate()
