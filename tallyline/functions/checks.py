@@ -51,12 +51,16 @@ def uuid_error(c: Column) -> Column:
     return F.when(_missing(c), F.lit("missing")).when(~c.rlike(UUID_PATTERN), F.lit("uuid_parsing"))
 
 
+def hyphenated_uuid(c: Column) -> Column:
+    """Lower-case 8-4-4-4-12 form of a UUID text already known to be valid."""
+    hexed = F.lower(F.replace(c, F.lit("-"), F.lit("")))
+    return F.concat_ws("-", *[F.substring(hexed, start, length)
+                              for start, length in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def canonical_uuid(c: Column) -> Column:
     """Lower-case, hyphenated form of a valid UUID text; NULL otherwise."""
-    hexed = F.lower(F.regexp_replace(c, "-", ""))
-    hyphenated = F.regexp_replace(
-        hexed, r"^([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})$", "$1-$2-$3-$4-$5")
-    return F.when(c.rlike(UUID_PATTERN), hyphenated)
+    return F.when(c.rlike(UUID_PATTERN), hyphenated_uuid(c))
 
 
 def event_type_error(c: Column) -> Column:
@@ -79,10 +83,16 @@ def merchant_name_error(c: Column) -> Column:
 
 
 def _digit_counts(c: Column) -> tuple[Column, Column]:
-    """(whole digits, decimal places) of a decimal text, ignoring redundant zeros."""
-    unsigned = F.regexp_replace(c, r"^[+-]", "")
-    whole = F.regexp_replace(F.regexp_extract(unsigned, r"^([0-9]*)", 1), r"^0+", "")
-    frac = F.regexp_replace(F.regexp_extract(unsigned, r"\.([0-9]*)$", 1), r"0+$", "")
+    """(whole digits, decimal places) of a decimal text, ignoring redundant zeros.
+
+    Plain string functions (no regex) on text that already matched
+    ``DECIMAL_PATTERN``.
+    """
+    signed = c.startswith("+") | c.startswith("-")
+    unsigned = F.when(signed, F.substring(c, 2, 1 << 30)).otherwise(c)
+    whole = F.ltrim(F.substring_index(unsigned, ".", 1), F.lit("0"))
+    frac = F.when(unsigned.contains("."), F.rtrim(F.substring_index(unsigned, ".", -1), F.lit("0"))) \
+        .otherwise(F.lit(""))
     return F.length(whole), F.length(frac)
 
 
@@ -92,7 +102,8 @@ def amount_error(c: Column) -> Column:
     Checked on the text: a numeric cast first would silently round 1.239.
     """
     whole, places = _digit_counts(c)
-    negative = c.startswith("-") & F.regexp_replace(c, r"[-+.0]", "").rlike("[1-9]")
+    # With redundant zeros stripped, any remaining digit means a non-zero value.
+    negative = c.startswith("-") & (whole + places > 0)
     return (F.when(_missing(c), F.lit("missing"))
              .when(~c.rlike(DECIMAL_PATTERN), F.lit("decimal_parsing"))
              .when(whole + places > AMOUNT_MAX_DIGITS, F.lit("decimal_max_digits"))

@@ -8,6 +8,8 @@ the first five are reported by position.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,9 @@ FIELD_CHECKS = (
 )
 
 
+ERROR_ARRAY_TYPE = "array<struct<field:string,code:string,message:string>>"
+
+
 class ValidationFailed(ValueError):
     def __init__(self, bad_rows: int, examples: list[tuple]):
         self.bad_rows, self.examples = bad_rows, examples
@@ -47,40 +52,70 @@ def error_array(wire: DataFrame) -> Column:
     per_field = []
     for field, _ in FIELD_CHECKS:
         code = F.col(_code_col(field))
-        per_field.append(F.when(code.isNotNull(), F.struct(
-            F.lit(field).alias("field"), code.alias("code"), F.element_at(msgs, code).alias("message"))))
-    errors = F.array_compact(F.array(*per_field))
+        err = F.struct(F.lit(field).alias("field"), code.alias("code"), F.element_at(msgs, code).alias("message"))
+        per_field.append(F.when(code.isNotNull(), F.array(err)).otherwise(F.array().cast(ERROR_ARRAY_TYPE)))
+    # flatten of 0/1-element arrays keeps the whole expression in generated
+    # code (array_compact would become a lambda filter evaluated row by row).
+    errors = F.flatten(F.array(*per_field))
     if "extra_keys" in wire.columns:
-        extras = F.transform(F.coalesce(F.col("extra_keys"), F.array().cast("array<string>")), lambda k: F.struct(
+        keys = F.col("extra_keys")
+        extras = F.transform(keys, lambda k: F.struct(
             k.alias("field"), F.lit("extra_forbidden").alias("code"),
             F.lit(K.MESSAGES["extra_forbidden"]).alias("message")))
-        errors = F.concat(errors, extras)
+        # The lambda only runs for rows that carry unknown fields.
+        errors = F.when(F.size(keys) > 0, F.concat(errors, extras)).otherwise(errors)
     return errors
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a low-split input over the cluster's cores.
+
+    Validation is CPU work per row with no shuffle of its own; a single large
+    file (or a small micro-batch) would otherwise run in one task. Inputs that
+    already have at least ``defaultParallelism`` splits (any sizeable scan)
+    are left alone, so no shuffle is added at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def validate(wire: DataFrame) -> DataFrame:
     """Add ``errors``, ``is_valid``, the first error, and typed canonical fields.
 
     Each field's code (and the parsed timestamp) is materialised as a column
     first and then referenced, so no check is evaluated more than once per row.
+    Count, validity and first error come from the codes directly; the error
+    array is only built for rejected rows.
     """
+    wire = spread(wire)
     ts = "_parsed_ts"
     coded = wire.withColumn(ts, K.parsed_timestamp(F.col("timestamp")))
     coded = coded.withColumns({
         _code_col(f): (K.timestamp_error(F.col("timestamp"), F.col(ts)) if f == "timestamp" else check(F.col(f)))
         for f, check in FIELD_CHECKS
     })
-    out = coded.withColumn("errors", error_array(coded))
-    first = F.get(F.col("errors"), 0)
+    codes = [F.col(_code_col(f)) for f, _ in FIELD_CHECKS]
+    n_extra = F.size(F.col("extra_keys")) if "extra_keys" in wire.columns else F.lit(0)
+    count = reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in codes]) + n_extra
+    first_field = None
+    for (field, _), c in zip(FIELD_CHECKS, codes):
+        first_field = F.when(c.isNotNull(), F.lit(field)) if first_field is None \
+            else first_field.when(c.isNotNull(), F.lit(field))
+    if "extra_keys" in wire.columns:
+        first_field = first_field.when(n_extra > 0, F.get(F.col("extra_keys"), 0))
+        first_code = F.coalesce(*codes, F.when(n_extra > 0, F.lit("extra_forbidden")))
+    else:
+        first_code = F.coalesce(*codes)
+    coded = coded.withColumns({"error_count": count, "first_error_field": first_field,
+                               "first_error_code": first_code})
     ok = lambda f: F.col(_code_col(f)).isNull()
-    return out.withColumns({
-        "is_valid": F.size("errors") == 0,
-        "error_count": F.size("errors"),
-        "first_error_field": first["field"],
-        "first_error_code": first["code"],
-        "first_error": F.when(F.size("errors") > 0, F.concat(first["field"], F.lit(": "), first["message"])),
-        "v_event_id": F.when(ok("event_id"), K.canonical_uuid(F.col("event_id"))),
-        "v_transaction_id": F.when(ok("transaction_id"), K.canonical_uuid(F.col("transaction_id"))),
+    return coded.withColumns({
+        "is_valid": F.col("error_count") == 0,
+        "errors": F.when(F.col("error_count") > 0, error_array(coded)).otherwise(F.array().cast(ERROR_ARRAY_TYPE)),
+        "first_error": F.when(F.col("error_count") > 0, F.concat(
+            F.col("first_error_field"), F.lit(": "), F.element_at(_messages(), F.col("first_error_code")))),
+        "v_event_id": F.when(ok("event_id"), K.hyphenated_uuid(F.col("event_id"))),
+        "v_transaction_id": F.when(ok("transaction_id"), K.hyphenated_uuid(F.col("transaction_id"))),
         "v_amount": F.when(ok("amount"), F.col("amount").cast("decimal(38,10)").cast(MONEY)),
         "v_currency": F.when(ok("currency"), F.upper(F.col("currency"))),
         "v_occurred_at": F.col(ts),

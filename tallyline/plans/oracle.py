@@ -35,7 +35,7 @@ WITH raw AS (
            e.event_id AS pos
     FROM events e
     JOIN (VALUES (0), (1)) AS c(batch_id) ON c.batch_id = 0 OR e.event_id % 50 = 0
-    JOIN nation n ON n.n_nationkey = e.user_id % 25
+    LEFT JOIN nation n ON n.n_nationkey = e.user_id % 25
 ),
 log AS (
     SELECT event_id, transaction_id, merchant_id, event_type, amount, currency,

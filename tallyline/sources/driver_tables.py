@@ -68,8 +68,11 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(copies).alias("batch_id"),
         F.col("event_id").alias("pos"),
     )
-    # nation is a fixed 25-row dimension; the planner broadcasts it by its size.
-    return rows.join(merchant_names(spark, sf_dir), "merchant_id").select(
+    # Names come from a key-distinct view of ``nation`` through a left join:
+    # plans that never read merchant_name (log, pivot, labels) drop the join
+    # entirely, and those that do broadcast the 25-row side by its size.
+    names = merchant_names(spark, sf_dir).groupBy("merchant_id").agg(F.max("merchant_name").alias("merchant_name"))
+    return rows.join(names, "merchant_id", "left").select(
         "event_id", "transaction_id", "merchant_id", "merchant_name", "event_type",
         "amount", "currency", "occurred_at", "batch_id", "pos",
     )
