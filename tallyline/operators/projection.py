@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.status import with_status
 from tallyline.operators.ingest import dedupe_events
+from tallyline.schema import LOG_COLUMNS
 
 PROJECTION_COLUMNS = (
     "transaction_id", "merchant_id", "amount", "currency",
@@ -50,6 +51,23 @@ def transactions(log: DataFrame) -> DataFrame:
     return with_status(project_transactions(log))
 
 
-def rebuild(deliveries: DataFrame) -> DataFrame:
-    """The whole projection from deliveries (dedup, pivot, status)."""
-    return transactions(dedupe_events(deliveries))
+def rebuild(deliveries: DataFrame, single_shuffle: bool = False) -> DataFrame:
+    """The whole projection from deliveries (dedup, pivot, status).
+
+    The default is exact for any input and skew-safe: dedup on event_id and
+    pivot on transaction_id, each with map-side combine (two exchanges).
+
+    ``single_shuffle=True`` co-locates each transaction first and dedups inside
+    it, so both aggregations reuse one exchange. It is exact only when no
+    event_id appears under two transactions (``audits.audit_keys`` returns
+    nothing), and it has no map-side combine before that exchange, so a hot
+    transaction lands in one task: use it for bounded transactions only.
+    """
+    if not single_shuffle:
+        return transactions(dedupe_events(deliveries))
+    payload = [c for c in LOG_COLUMNS if c not in ("event_id", "transaction_id", "batch_id", "pos")]
+    log = (deliveries.repartition("transaction_id")
+           .groupBy("transaction_id", "event_id")
+           .agg(F.min(F.struct("batch_id", "pos", *payload)).alias("_first"))
+           .select("transaction_id", "event_id", *[F.col(f"_first.{c}").alias(c) for c in payload]))
+    return transactions(log)

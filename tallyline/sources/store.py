@@ -140,19 +140,25 @@ class EventStore:
     def _with_bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", bucket_of(F.col("transaction_id"), self.buckets))
 
-    def ingest(self, deliveries: DataFrame, batch_id: int) -> dict:
+    def ingest(self, deliveries: DataFrame, batch_id: int, probe_touched_buckets: bool = False) -> dict:
         """Append batch ``batch_id`` and refresh what it touched.
 
         Returns ``{received, ingested, duplicates}`` (C4). Safe to retry: the
         dedup probe excludes the batch's own partitions, which are then
-        overwritten.
+        overwritten. ``probe_touched_buckets`` limits the duplicate probe to
+        the log buckets the batch touches; that is exact only while every
+        event_id belongs to one transaction (``audit_keys`` is empty).
         """
         batch = deliveries.withColumn("batch_id", F.lit(batch_id).cast("int")).persist()
         self._invalidate()
         try:
+            touched = [r["bucket"] for r in
+                       self._with_bucket(batch.select("transaction_id")).select("bucket").distinct().collect()]
             prior = self.log()
             if prior is not None:
                 prior = prior.filter(F.col("batch_id") != F.lit(batch_id))
+                if probe_touched_buckets:
+                    prior = prior.filter(F.col("bucket").isin(touched))
             new_events = (dedupe_events(batch, prior)
                           .withColumn("received_at", F.current_timestamp().cast("timestamp_ntz"))
                           .withColumn("payload", F.to_json(F.struct(*[c for c in LOG_COLUMNS
@@ -163,9 +169,6 @@ class EventStore:
             self._invalidate()
 
             self._write_merchant_changes(batch, batch_id)
-
-            touched = [r["bucket"] for r in
-                       self._with_bucket(batch.select("transaction_id")).select("bucket").distinct().collect()]
             self._recompute(touched)
             self.refresh_dimension()
 

@@ -131,3 +131,43 @@ def test_truncate_empties_store(spark, factory, tmp_root):
     store.truncate()
     assert store.log() is None
     assert store.ingest(factory.df(spark), 0)["ingested"] == 3
+
+
+def test_single_shuffle_rebuild_matches_and_uses_one_exchange(spark, factory):
+    for i in range(6):
+        factory.happy_path(f"t{i}")
+    factory.rows += factory.rows[:4]  # replays
+    d = factory.df(spark)
+    exact = projection.rebuild(d)
+    fast = projection.rebuild(d, single_shuffle=True)
+    cols = sorted(exact.columns)
+    assert fast.select(cols).exceptAll(exact.select(cols)).count() == 0
+    assert exact.select(cols).exceptAll(fast.select(cols)).count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = fast._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_stale_stored_status_is_rederived(spark, factory):
+    from tallyline.functions.status import with_status
+
+    factory.event("payment_initiated", "t1", 0)
+    factory.event("payment_failed", "t1", 5)
+    txn = projection.rebuild(factory.df(spark)).withColumn("payment_status", F.lit("processed"))
+    assert with_status(txn).first()["payment_status"] == "failed"
+
+
+def test_store_probe_limited_to_touched_buckets(spark, factory, tmp_root):
+    from tallyline.operators.reports import arrival_delay
+
+    factory.happy_path("t1")
+    d = factory.df(spark)
+    store = EventStore(spark, tmp_root, buckets=4)
+    store.ingest(d, 0)
+    again = store.ingest(d, 1, probe_touched_buckets=True)
+    assert again["ingested"] == 0
+    delays = arrival_delay(store.log()).select("arrival_delay_seconds").collect()
+    assert len(delays) == 3 and all(r[0] > 0 for r in delays)
