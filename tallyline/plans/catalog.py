@@ -88,9 +88,6 @@ class Recon:
     def merchants(self) -> DataFrame:
         return self.store.merchants()
 
-    @cached_property
-    def view(self) -> DataFrame:
-        return reports.transaction_view(self.txn, self.merchants)
 
     @property
     def cutoff(self):
@@ -164,22 +161,22 @@ def q_table_counts(r: Recon) -> DataFrame:
 
 @query("txn_list_default")
 def q_txn_list_default(r: Recon) -> DataFrame:
-    return reports.list_transactions(r.view, limit=PAGE_LIMIT)
+    return reports.list_transactions(r.txn, limit=PAGE_LIMIT, merchants=r.merchants)
 
 
 @query("txn_sort_amount")
 def q_txn_sort_amount(r: Recon) -> DataFrame:
-    return reports.list_transactions(r.view, sort_by="amount", sort_dir="desc", limit=PAGE_LIMIT)
+    return reports.list_transactions(r.txn, sort_by="amount", sort_dir="desc", limit=PAGE_LIMIT, merchants=r.merchants)
 
 
 @query("txn_sort_settled_asc")
 def q_txn_sort_settled_asc(r: Recon) -> DataFrame:
-    return reports.list_transactions(r.view, sort_by="settled_at", sort_dir="asc", limit=PAGE_LIMIT)
+    return reports.list_transactions(r.txn, sort_by="settled_at", sort_dir="asc", limit=PAGE_LIMIT, merchants=r.merchants)
 
 
 @query("txn_page2")
 def q_txn_page2(r: Recon) -> DataFrame:
-    return reports.list_transactions(r.view, limit=PAGE_LIMIT, offset=PAGE2_OFFSET)
+    return reports.list_transactions(r.txn, limit=PAGE_LIMIT, offset=PAGE2_OFFSET, merchants=r.merchants)
 
 
 @query("txn_page_meta")
@@ -190,28 +187,28 @@ def q_txn_page_meta(r: Recon) -> DataFrame:
 @query("txn_filter_axes")
 def q_txn_filter_axes(r: Recon) -> DataFrame:
     f = TxnFilters(payment_status="failed", settlement_status="settled")
-    return reports.list_transactions(r.view, f, limit=None)
+    return reports.list_transactions(r.txn, f, limit=None, merchants=r.merchants)
 
 
 @query("txn_filter_status")
 def q_txn_filter_status(r: Recon) -> DataFrame:
-    return reports.list_transactions(r.view, TxnFilters(status="processed"), limit=None)
+    return reports.list_transactions(r.txn, TxnFilters(status="processed"), limit=None, merchants=r.merchants)
 
 
 @query("txn_filter_merchant")
 def q_txn_filter_merchant(r: Recon) -> DataFrame:
-    return reports.list_transactions(r.view, TxnFilters(merchant_id=FILTER_MERCHANT), limit=None)
+    return reports.list_transactions(r.txn, TxnFilters(merchant_id=FILTER_MERCHANT), limit=None, merchants=r.merchants)
 
 
 @query("txn_filter_dates")
 def q_txn_filter_dates(r: Recon) -> DataFrame:
     f = TxnFilters(date_from=DATE_FROM, date_to=DATE_TO)
-    return reports.list_transactions(r.view, f, sort_by="initiated_at", sort_dir="asc", limit=None)
+    return reports.list_transactions(r.txn, f, sort_by="initiated_at", sort_dir="asc", limit=None, merchants=r.merchants)
 
 
 @query("txn_detail")
 def q_txn_detail(r: Recon) -> DataFrame:
-    return reports.transaction_detail(r.view, r.cutoff)
+    return reports.transaction_detail(r.txn, r.cutoff, merchants=r.merchants)
 
 
 @query("txn_history_all")
@@ -249,12 +246,12 @@ for _name, _dims, _tot in (
 
 @query("discrepancy_list")
 def q_discrepancy_list(r: Recon) -> DataFrame:
-    return reports.list_discrepancies(r.view, AS_OF, SLA_HOURS)
+    return reports.list_discrepancies(r.txn, AS_OF, SLA_HOURS, merchants=r.merchants)
 
 
 @query("discrepancy_page")
 def q_discrepancy_page(r: Recon) -> DataFrame:
-    return reports.discrepancy_page(r.view, r.txn, AS_OF, SLA_HOURS, limit=PAGE_LIMIT)
+    return reports.discrepancy_page(r.txn, AS_OF, SLA_HOURS, limit=PAGE_LIMIT, merchants=r.merchants)
 
 
 @query("discrepancy_counts")
@@ -274,7 +271,7 @@ def q_discrepancy_counts_asof(r: Recon) -> DataFrame:
 
 def _rule_query(rule_name: str):
     def build(r: Recon) -> DataFrame:
-        return reports.list_discrepancies(r.view, AS_OF, SLA_HOURS, rule_name=rule_name)
+        return reports.list_discrepancies(r.txn, AS_OF, SLA_HOURS, rule_name=rule_name, merchants=r.merchants)
     return build
 
 
