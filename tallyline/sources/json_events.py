@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyline.schema import WIRE_FIELDS, WIRE_SCHEMA
 
 
-def _wire(rows: DataFrame, batch_id: int) -> DataFrame:
+def wire_from_json(rows: DataFrame, batch_id: int) -> DataFrame:
     parsed = F.from_json("raw_json", WIRE_SCHEMA)
     keys = F.coalesce(F.json_object_keys("raw_json"), F.array().cast("array<string>"))
     return rows.select(
@@ -38,14 +38,14 @@ def read_event_array(spark: SparkSession, path: str, batch_id: int = 0) -> DataF
     body = F.trim(F.col("value"))
     elements = F.when(body.startswith("["), F.from_json(body, "array<string>")).otherwise(F.array(body))
     rows = text.select(F.posexplode(elements).alias("pos", "raw_json"))
-    return _wire(rows, batch_id)
+    return wire_from_json(rows, batch_id)
 
 
 def read_event_lines(spark: SparkSession, path: str, batch_id: int = 0) -> DataFrame:
     """JSON Lines; ``pos`` is stable for a fixed set of input files and splits."""
     rows = (spark.read.text(path).filter(F.trim("value") != "")
             .select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("raw_json")))
-    return _wire(rows, batch_id)
+    return wire_from_json(rows, batch_id)
 
 
 def event_to_json(df: DataFrame) -> DataFrame:

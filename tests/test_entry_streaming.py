@@ -73,3 +73,42 @@ def test_running_state_equals_rebuild(spark, tmp_root):
     cols = sorted(rebuilt.columns)
     assert state.select(cols).exceptAll(rebuilt.select(cols)).count() == 0
     assert state.count() == rebuilt.count()
+
+
+def test_stream_resumes_from_checkpoint(spark, tmp_root):
+    f = _fixture()
+    rows = list(f.rows)
+    schema = f.df(spark).schema
+    src, ckpt = os.path.join(tmp_root, "src"), os.path.join(tmp_root, "ckpt")
+    store = EventStore(spark, os.path.join(tmp_root, "store"), buckets=4)
+    half = len(rows) // 2
+    spark.createDataFrame(rows[:half], schema).coalesce(1).write.mode("append").parquet(src)
+    run_ingest_stream(spark, delivery_file_stream(spark, src, schema), store, ckpt)
+    first = store.log().count()
+    spark.createDataFrame(rows[half:], schema).coalesce(1).write.mode("append").parquet(src)
+    q = run_ingest_stream(spark, delivery_file_stream(spark, src, schema), store, ckpt)
+    assert q.lastProgress is None or q.lastProgress["numInputRows"] <= len(rows) - half
+    assert store.log().count() > first
+    rebuilt = projection.rebuild(f.df(spark))
+    cols = sorted(rebuilt.columns)
+    assert store.transactions().select(cols).exceptAll(rebuilt.select(cols)).count() == 0
+
+
+def test_wire_json_stream_validates_and_quarantines(spark, tmp_root):
+    import json
+
+    from tallyline.streaming.ingest import json_lines_stream
+
+    good = {"event_id": "00000000-0000-4000-8000-000000000001", "event_type": "payment_initiated",
+            "transaction_id": "00000000-0000-4000-9000-000000000001", "merchant_id": "m1",
+            "merchant_name": "One", "amount": "10.00", "currency": "INR", "timestamp": "2026-01-08T12:00:00"}
+    bad = dict(good, event_id="nope")
+    src = os.path.join(tmp_root, "json")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.jsonl"), "w") as fh:
+        fh.write("\n".join(json.dumps(x) for x in (good, bad, good)) + "\n")
+    store = EventStore(spark, os.path.join(tmp_root, "store"), buckets=2)
+    run_ingest_stream(spark, json_lines_stream(spark, src), store, os.path.join(tmp_root, "ckpt"), wire=True)
+    assert store.log().count() == 1
+    assert spark.read.parquet(store.quarantine_path).count() == 1
+    assert store.transactions().first()["status"] == "pending"
