@@ -152,8 +152,12 @@ class EventStore:
         batch = deliveries.withColumn("batch_id", F.lit(batch_id).cast("int")).persist()
         self._invalidate()
         try:
-            touched = [r["bucket"] for r in
-                       self._with_bucket(batch.select("transaction_id")).select("bucket").distinct().collect()]
+            # One small aggregate gives both the touched buckets (at most B rows)
+            # and the number of deliveries received.
+            per_bucket = (self._with_bucket(batch.select("transaction_id"))
+                          .groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect())
+            touched = [r["bucket"] for r in per_bucket]
+            received = sum(r["n"] for r in per_bucket)
             prior = self.log()
             if prior is not None:
                 prior = prior.filter(F.col("batch_id") != F.lit(batch_id))
@@ -172,7 +176,6 @@ class EventStore:
             self._recompute(touched)
             self.refresh_dimension()
 
-            received = batch.count()
             ingested = self.log().filter(F.col("batch_id") == F.lit(batch_id)).count()
             return {"received": received, "ingested": ingested, "duplicates": received - ingested}
         finally:
