@@ -23,7 +23,6 @@ from tallyline.schema import (
 UUID_PATTERN = r"(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{32})$"
 DECIMAL_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
 LETTERS_PATTERN = r"^\p{L}+$"
-OFFSET_PATTERN = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 MESSAGES = {
     "missing": "Field required",
