@@ -81,3 +81,18 @@ def test_profiles_on_small_fixture(spark):
     assert (naive["naive_duplicate_settlements"], naive["dedup_duplicate_settlements"]) == (1, 0)
     m = {r["payment_status"]: r for r in profile.profile_matrix(txn).collect()}
     assert m["processed"]["settled_once"] == 1 and m["processed"]["unsettled"] == 1
+
+
+def test_shapes_carry_across_arrow_batches(spark):
+    f = Factory()
+    for i in range(12):
+        f.happy_path(f"t{i:02d}")
+    for k in range(50):
+        f.event("settled" if k % 2 else "payment_processed", "hot", k)
+    log = ingest.dedupe_events(f.df(spark))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["shape"]: r["transactions"] for r in profile.profile_shapes(log).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == dict(_brute_shapes(log.collect()))
