@@ -38,6 +38,12 @@ def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+# Parquet bloom filters on the point-lookup keys (row groups without the key
+# are skipped for equality predicates).
+LOG_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true"}
+PROJECTION_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true"}
+
+
 def buckets_for(rows: int) -> int:
     """Power-of-two bucket count for ``rows`` log rows."""
     n = 1
@@ -130,8 +136,10 @@ class EventStore:
 
     def lookup(self, transaction_id) -> DataFrame:
         """Point lookup; the bucket predicate prunes to one partition."""
-        key = F.lit(transaction_id)
         proj = self._read(self.projection_path)
+        # The key must hash with the column's own type (an int literal and a
+        # bigint column hash differently).
+        key = F.lit(transaction_id).cast(proj.schema["transaction_id"].dataType)
         hit = proj.filter((F.col("bucket") == bucket_of(key, self.buckets)) & (F.col("transaction_id") == key))
         return with_status(hit.drop("bucket"))
 
@@ -167,8 +175,9 @@ class EventStore:
                           .withColumn("payload", F.to_json(F.struct(*[c for c in LOG_COLUMNS
                                                                      if c not in ("batch_id", "pos")]))))
             # REBALANCE lets AQE split a hot bucket over several writers.
-            (self._with_bucket(new_events).hint("rebalance", "bucket").sortWithinPartitions("event_id")
-             .write.mode("overwrite").partitionBy("bucket", "batch_id").parquet(self.log_path))
+            (self._with_bucket(new_events).hint("rebalance", "bucket").sortWithinPartitions("bucket", "batch_id", "event_id")
+             .write.mode("overwrite").options(**LOG_WRITE_OPTIONS)
+             .partitionBy("bucket", "batch_id").parquet(self.log_path))
             self._invalidate()
 
             self._write_merchant_changes(batch, batch_id)
@@ -204,8 +213,7 @@ class EventStore:
         if buckets is not None:
             log = log.filter(F.col("bucket").isin(buckets))
         proj = self._with_bucket(project_transactions(log).select(*PROJECTION_COLUMNS))
-        (proj.hint("rebalance", "bucket").sortWithinPartitions("transaction_id")
-         .write.mode("overwrite").partitionBy("bucket").parquet(self.projection_path))
+        self._write_projection(proj, static=False)
         self._invalidate()
 
     def load(self, deliveries: DataFrame) -> None:
@@ -214,8 +222,8 @@ class EventStore:
         self._invalidate()
         log = (dedupe_events(deliveries)
                .withColumn("received_at", F.current_timestamp().cast("timestamp_ntz")))
-        (self._with_bucket(log).hint("rebalance", "bucket").sortWithinPartitions("event_id")
-         .write.mode("overwrite").option("partitionOverwriteMode", "static")
+        (self._with_bucket(log).hint("rebalance", "bucket").sortWithinPartitions("bucket", "batch_id", "event_id")
+         .write.mode("overwrite").option("partitionOverwriteMode", "static").options(**LOG_WRITE_OPTIONS)
          .partitionBy("bucket", "batch_id").parquet(self.log_path))
         (deliveries.groupBy("merchant_id", "batch_id")
          .agg(F.max_by("merchant_name", F.col("pos")).alias("merchant_name"), F.max("pos").alias("pos"))
@@ -237,15 +245,24 @@ class EventStore:
              .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.dimension_path))
             self._invalidate()
 
+    def _write_projection(self, proj: DataFrame, static: bool) -> None:
+        """Projection files are sorted by ``initiated_at`` inside each bucket
+        (the sort leads with the partition column, so the writer keeps it),
+        so row-group statistics prune date ranges and recency pages; point
+        lookups use the bucket partition plus a bloom filter."""
+        writer = (proj.hint("rebalance", "bucket").sortWithinPartitions("bucket", "initiated_at", "transaction_id")
+                  .write.mode("overwrite").options(**PROJECTION_WRITE_OPTIONS))
+        if static:
+            writer = writer.option("partitionOverwriteMode", "static")
+        writer.partitionBy("bucket").parquet(self.projection_path)
+
     def rebuild(self) -> int:
         """Drop and re-derive the whole projection from the log."""
         log = self.log()
         if log is None:
             return 0
         proj = self._with_bucket(project_transactions(log).select(*PROJECTION_COLUMNS))
-        (proj.hint("rebalance", "bucket").sortWithinPartitions("transaction_id")
-         .write.mode("overwrite").option("partitionOverwriteMode", "static")
-         .partitionBy("bucket").parquet(self.projection_path))
+        self._write_projection(proj, static=True)
         self._invalidate()
         self.refresh_dimension()
         return self._read(self.projection_path).count()

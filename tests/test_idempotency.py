@@ -171,3 +171,16 @@ def test_store_probe_limited_to_touched_buckets(spark, factory, tmp_root):
     assert again["ingested"] == 0
     delays = arrival_delay(store.log()).select("arrival_delay_seconds").collect()
     assert len(delays) == 3 and all(r[0] > 0 for r in delays)
+
+
+def test_store_point_lookup_prunes_to_one_bucket(spark, tmp_root):
+    from tallyline.sources import driver_tables
+
+    store = EventStore(spark, tmp_root, buckets=4)
+    store.load(driver_tables.deliveries(spark, "/root/testdata/sf0.001"))
+    some = store.transactions().orderBy("transaction_id").limit(3).collect()
+    for row in some:
+        hit = store.lookup(row["transaction_id"]).collect()
+        assert len(hit) == 1 and hit[0]["event_count"] == row["event_count"]
+    plan = store.lookup(some[0]["transaction_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
