@@ -2,7 +2,9 @@
 
 Layout under ``root`` (any Hadoop-compatible shared path)::
 
-    log/bucket=B/batch_id=N/       deduplicated events (append-only, the truth)
+    log/bucket=B/segment=N/        deduplicated events (append-only, the truth);
+                                   segment N = batch N, segment -1 = compacted
+                                   history (``log-v<k>`` after k compactions)
     projection/bucket=B/           one row per transaction, derived from the log
     merchants/batch_id=N/          merchant names that batch N introduced or changed
 
@@ -57,6 +59,8 @@ def buckets_for(rows: int) -> int:
 # Entries are dropped whenever this process writes under the store root.
 _FRAMES: dict[str, DataFrame] = {}
 _BUCKETS: dict[str, int] = {}
+_LOG_VERSION: dict[str, int] = {}
+COMPACTED = -1   # segment holding compacted history
 
 
 class EventStore:
@@ -74,7 +78,18 @@ class EventStore:
     # -- paths and readers ---------------------------------------------------
     @property
     def log_path(self) -> str:
-        return f"{self.root}/log"
+        version = self._log_version()
+        return f"{self.root}/log" if version == 0 else f"{self.root}/log-v{version}"
+
+    @property
+    def log_version_path(self) -> str:
+        return f"{self.root}/log_version"
+
+    def _log_version(self) -> int:
+        if self.root not in _LOG_VERSION:
+            pointer = self._read(self.log_version_path)
+            _LOG_VERSION[self.root] = 0 if pointer is None else int(pointer.first()["version"])
+        return _LOG_VERSION[self.root]
 
     @property
     def projection_path(self) -> str:
@@ -167,7 +182,8 @@ class EventStore:
             received = sum(r["n"] for r in per_bucket)
             prior = self.log()
             if prior is not None:
-                prior = prior.filter(F.col("batch_id") != F.lit(batch_id))
+                # A retried batch must not find its own earlier attempt.
+                prior = prior.filter(F.col("segment") != F.lit(batch_id))
                 if probe_touched_buckets:
                     prior = prior.filter(F.col("bucket").isin(touched))
             new_events = (dedupe_events(batch, prior)
@@ -175,16 +191,17 @@ class EventStore:
                           .withColumn("payload", F.to_json(F.struct(*[c for c in LOG_COLUMNS
                                                                      if c not in ("batch_id", "pos")]))))
             # REBALANCE lets AQE split a hot bucket over several writers.
-            (self._with_bucket(new_events).hint("rebalance", "bucket").sortWithinPartitions("bucket", "batch_id", "event_id")
+            (self._with_bucket(new_events).withColumn("segment", F.col("batch_id"))
+             .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
              .write.mode("overwrite").options(**LOG_WRITE_OPTIONS)
-             .partitionBy("bucket", "batch_id").parquet(self.log_path))
+             .partitionBy("bucket", "segment").parquet(self.log_path))
             self._invalidate()
 
             self._write_merchant_changes(batch, batch_id)
             self._recompute(touched)
             self.refresh_dimension()
 
-            ingested = self.log().filter(F.col("batch_id") == F.lit(batch_id)).count()
+            ingested = self.log().filter(F.col("segment") == F.lit(batch_id)).count()
             return {"received": received, "ingested": ingested, "duplicates": received - ingested}
         finally:
             batch.unpersist()
@@ -222,9 +239,10 @@ class EventStore:
         self._invalidate()
         log = (dedupe_events(deliveries)
                .withColumn("received_at", F.current_timestamp().cast("timestamp_ntz")))
-        (self._with_bucket(log).hint("rebalance", "bucket").sortWithinPartitions("bucket", "batch_id", "event_id")
+        (self._with_bucket(log).withColumn("segment", F.col("batch_id"))
+         .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
          .write.mode("overwrite").option("partitionOverwriteMode", "static").options(**LOG_WRITE_OPTIONS)
-         .partitionBy("bucket", "batch_id").parquet(self.log_path))
+         .partitionBy("bucket", "segment").parquet(self.log_path))
         (deliveries.groupBy("merchant_id", "batch_id")
          .agg(F.max_by("merchant_name", F.col("pos")).alias("merchant_name"), F.max("pos").alias("pos"))
          .write.mode("overwrite").option("partitionOverwriteMode", "static")
@@ -267,6 +285,44 @@ class EventStore:
         self.refresh_dimension()
         return self._read(self.projection_path).count()
 
+    def compact_log(self, before_batch: int) -> int:
+        """Merge the log segments of batches older than ``before_batch``.
+
+        Copy-on-write: the whole log is rewritten into a new version folder in
+        which every segment below ``before_batch`` becomes the single compacted
+        segment (-1); newer segments keep their own partitions, so a retry of a
+        recent batch still overwrites just itself. A one-row pointer then
+        switches readers to the new version and the old folder is emptied by a
+        static overwrite. Run it between ingests (single writer). Returns the
+        new log version.
+        """
+        log = self.log()
+        if log is None:
+            return self._log_version()
+        old_path, version = self.log_path, self._log_version() + 1
+        new_path = f"{self.root}/log-v{version}"
+        segment = F.when(F.col("segment") < F.lit(before_batch), F.lit(COMPACTED)).otherwise(F.col("segment"))
+        (log.withColumn("segment", segment)
+         .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
+         .write.mode("overwrite").option("partitionOverwriteMode", "static").options(**LOG_WRITE_OPTIONS)
+         .partitionBy("bucket", "segment").parquet(new_path))
+        self._set_log_version(version)
+        self._wipe(old_path)
+        return version
+
+    def _set_log_version(self, version: int) -> None:
+        (self.spark.range(1).select(F.lit(version).alias("version"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.log_version_path))
+        _LOG_VERSION[self.root] = version
+        self._invalidate()
+
+    def _wipe(self, path: str) -> None:
+        """Remove every file under ``path`` (a static overwrite with no rows)."""
+        nothing = self.spark.createDataFrame([], "x int, p int")
+        (nothing.write.mode("overwrite").option("partitionOverwriteMode", "static")
+         .partitionBy("p").parquet(path))
+        self._invalidate()
+
     def quarantine(self, rejected: DataFrame, batch_id: int) -> None:
         """Keep rejected wire rows with their errors, per batch."""
         (rejected.withColumn("batch_id", F.lit(batch_id).cast("int"))
@@ -279,9 +335,8 @@ class EventStore:
         A static overwrite with no rows removes every partition and writes no
         file, so the next read sees an empty store.
         """
-        nothing = self.spark.createDataFrame([], "x int, p int")
         for path in (self.log_path, self.projection_path, self.merchants_path, self.quarantine_path,
                      self.dimension_path, self.complete_path):
-            (nothing.write.mode("overwrite").option("partitionOverwriteMode", "static")
-             .partitionBy("p").parquet(path))
-        self._invalidate()
+            self._wipe(path)
+        if self._log_version() != 0:
+            self._set_log_version(0)
