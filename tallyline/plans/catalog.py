@@ -288,3 +288,31 @@ def q_rules_catalogue(r: Recon) -> DataFrame:
 @query("reconciliation_identity")
 def q_reconciliation_identity(r: Recon) -> DataFrame:
     return reports.reconciliation_identity(r.txn, AS_OF, SLA_HOURS)
+
+
+# ---------------------------------------------------------------------------
+# Filter combinations on the summary, discrepancy and list views
+# ---------------------------------------------------------------------------
+FILTER_COMBINED = TxnFilters(merchant_id=FILTER_MERCHANT, date_from=DATE_FROM, date_to=DATE_TO)
+
+
+@query("summary_filtered")
+def q_summary_filtered(r: Recon) -> DataFrame:
+    return reports.reconciliation_summary(r.txn, r.merchants, "date", filters=FILTER_COMBINED)
+
+
+@query("discrepancy_filtered")
+def q_discrepancy_filtered(r: Recon) -> DataFrame:
+    return reports.list_discrepancies(r.txn, AS_OF, SLA_HOURS, filters=FILTER_COMBINED, merchants=r.merchants)
+
+
+@query("discrepancy_counts_filtered")
+def q_discrepancy_counts_filtered(r: Recon) -> DataFrame:
+    return reports.discrepancy_counts(r.txn, AS_OF, SLA_HOURS, filters=FILTER_COMBINED)
+
+
+@query("txn_filter_combined_page")
+def q_txn_filter_combined_page(r: Recon) -> DataFrame:
+    f = TxnFilters(status="settled", date_from=DATE_FROM, date_to=DATE_TO)
+    return reports.list_transactions(r.txn, f, sort_by="amount", sort_dir="asc", limit=20, offset=5,
+                                     merchants=r.merchants)

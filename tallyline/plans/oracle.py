@@ -280,6 +280,20 @@ CROSS JOIN ({PREFIX} SELECT count(*) AS total_count FROM txn WHERE {_any(_CUT)})
     q["discrepancy_counts_asof"] = _counts(_CUT_EARLY)
     for name, pred in RULE_SQL.items():
         q[f"rule_{name}"] = _discrepancy_rows(pred.format(cut=_CUT))
+    dates = f"initiated_at >= TIMESTAMP '{C.DATE_FROM}' AND initiated_at < TIMESTAMP '{C.DATE_TO}'"
+    combined = f"merchant_id = {C.FILTER_MERCHANT} AND {dates}"
+    q["summary_filtered"] = f"""{PREFIX}
+SELECT CAST(t.initiated_at AS DATE) AS "date", {_METRICS}
+FROM txn t
+WHERE t.merchant_id = {C.FILTER_MERCHANT} AND t.initiated_at >= TIMESTAMP '{C.DATE_FROM}'
+  AND t.initiated_at < TIMESTAMP '{C.DATE_TO}'
+GROUP BY CAST(t.initiated_at AS DATE)
+ORDER BY "date" ASC NULLS FIRST"""
+    q["discrepancy_filtered"] = _discrepancy_rows(f"{combined} AND {_any(_CUT)}")
+    q["discrepancy_counts_filtered"] = _counts(_CUT).replace(
+        f"FROM txn WHERE {_any(_CUT)}", f"FROM txn WHERE {combined} AND {_any(_CUT)}")
+    q["txn_filter_combined_page"] = _page("amount ASC NULLS FIRST, transaction_id ASC", 20, 5,
+                                          where=f"status = 'settled' AND {dates}")
     return q
 
 
