@@ -316,3 +316,15 @@ def q_txn_filter_combined_page(r: Recon) -> DataFrame:
     f = TxnFilters(status="settled", date_from=DATE_FROM, date_to=DATE_TO)
     return reports.list_transactions(r.txn, f, sort_by="amount", sort_dir="asc", limit=20, offset=5,
                                      merchants=r.merchants)
+
+
+@query("txn_sort_processed_asc")
+def q_txn_sort_processed_asc(r: Recon) -> DataFrame:
+    return reports.list_transactions(r.txn, sort_by="processed_at", sort_dir="asc", limit=PAGE_LIMIT,
+                                     merchants=r.merchants)
+
+
+@query("txn_sort_last_event_desc")
+def q_txn_sort_last_event_desc(r: Recon) -> DataFrame:
+    return reports.list_transactions(r.txn, sort_by="last_event_at", sort_dir="desc", limit=PAGE_LIMIT,
+                                     merchants=r.merchants)

@@ -294,6 +294,8 @@ ORDER BY "date" ASC NULLS FIRST"""
         f"FROM txn WHERE {_any(_CUT)}", f"FROM txn WHERE {combined} AND {_any(_CUT)}")
     q["txn_filter_combined_page"] = _page("amount ASC NULLS FIRST, transaction_id ASC", 20, 5,
                                           where=f"status = 'settled' AND {dates}")
+    q["txn_sort_processed_asc"] = _page("processed_at ASC NULLS FIRST, transaction_id ASC", C.PAGE_LIMIT)
+    q["txn_sort_last_event_desc"] = _page("last_event_at DESC NULLS LAST, transaction_id DESC", C.PAGE_LIMIT)
     return q
 
 
