@@ -40,6 +40,7 @@ DATE_FROM = "2024-01-10 00:00:00"
 DATE_TO = "2024-01-20 00:00:00"
 
 _LOAD_LOCK = threading.Lock()
+STORE_ROOT_CONF = "spark.tallyline.storeRoot"
 
 
 class Recon:
@@ -65,8 +66,13 @@ class Recon:
     # -- read path: the stored log, projection and dimension ---------------------
     @cached_property
     def store(self) -> EventStore:
+        # A shared, persistent location can be named in the session
+        # (spark.tallyline.storeRoot); a complete store found there is reused
+        # across applications. Otherwise the store lives in this application's
+        # checkpoint folder and is loaded once per application.
         key = hashlib.sha1(os.path.abspath(self.sf_dir).encode()).hexdigest()[:16]
-        root = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tallyline/store-{key}"
+        base = self.spark.conf.get(STORE_ROOT_CONF, None) or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tallyline"
+        root = f"{base.rstrip('/')}/store-{key}"
         with _LOAD_LOCK:
             store = EventStore(self.spark, root)
             if not store.is_complete():
