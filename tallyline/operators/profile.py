@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,34 +16,44 @@ from tallyline.schema import PAYMENT_STATUSES
 SHAPE_SEP = ">"
 
 
-def _shape_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per sorted partition: one ``(txn, first event, joined types)`` per txn slice.
+def shape_parts_fn(sep: str = SHAPE_SEP):
+    """Build the per-partition function for ``mapInPandas``.
 
-    Input rows arrive sorted by (transaction_id, occurred_at, event_id). A slice
-    of the same transaction may continue into the next Arrow batch, so the last
-    slice of each batch is carried forward; memory is bounded by one partition.
+    Built inside a factory so it is shipped to Python workers by value: the
+    workers need pandas, not this package on their path.
     """
-    carry: pd.DataFrame | None = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        parts = (pdf.groupby("transaction_id", sort=False)
-                 .agg(first_at=("occurred_at", "first"), first_event_id=("event_id", "first"),
-                      shape=("event_type", SHAPE_SEP.join))
-                 .reset_index())
+    import pandas as pd
+
+    def shape_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Per sorted partition: one ``(txn, first event, joined types)`` per txn slice.
+
+        Input rows arrive sorted by (transaction_id, occurred_at, event_id). A slice
+        of the same transaction may continue into the next Arrow batch, so the last
+        slice of each batch is carried forward; memory is bounded by one partition.
+        """
+        carry = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            parts = (pdf.groupby("transaction_id", sort=False)
+                     .agg(first_at=("occurred_at", "first"), first_event_id=("event_id", "first"),
+                          shape=("event_type", sep.join))
+                     .reset_index())
+            if carry is not None:
+                if parts.at[0, "transaction_id"] == carry.at[0, "transaction_id"]:
+                    parts.at[0, "first_at"] = carry.at[0, "first_at"]
+                    parts.at[0, "first_event_id"] = carry.at[0, "first_event_id"]
+                    parts.at[0, "shape"] = carry.at[0, "shape"] + sep + parts.at[0, "shape"]
+                else:
+                    parts = pd.concat([carry, parts], ignore_index=True)
+            carry = parts.iloc[[-1]].reset_index(drop=True)
+            done = parts.iloc[:-1]
+            if not done.empty:
+                yield done
         if carry is not None:
-            if parts.at[0, "transaction_id"] == carry.at[0, "transaction_id"]:
-                parts.at[0, "first_at"] = carry.at[0, "first_at"]
-                parts.at[0, "first_event_id"] = carry.at[0, "first_event_id"]
-                parts.at[0, "shape"] = carry.at[0, "shape"] + SHAPE_SEP + parts.at[0, "shape"]
-            else:
-                parts = pd.concat([carry, parts], ignore_index=True)
-        carry = parts.iloc[[-1]].reset_index(drop=True)
-        done = parts.iloc[:-1]
-        if not done.empty:
-            yield done
-    if carry is not None:
-        yield carry
+            yield carry
+
+    return shape_parts
 
 
 def transaction_shapes(log: DataFrame) -> DataFrame:
@@ -64,7 +73,7 @@ def transaction_shapes(log: DataFrame) -> DataFrame:
     ])
     parts = (log.select("transaction_id", "occurred_at", "event_id", "event_type")
              .orderBy("transaction_id", "occurred_at", "event_id")
-             .mapInPandas(_shape_parts, schema))
+             .mapInPandas(shape_parts_fn(), schema))
     ordered = F.array_sort(F.collect_list(F.struct("first_at", "first_event_id", "shape")))
     return (parts.groupBy("transaction_id").agg(ordered.alias("_parts"))
             .select("transaction_id",
