@@ -75,8 +75,12 @@ def spread(df: DataFrame) -> DataFrame:
     already have at least ``defaultParallelism`` splits (any sizeable scan)
     are left alone, so no shuffle is added at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD API (e.g. Spark Connect): keep the input as is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def validate(wire: DataFrame) -> DataFrame:
