@@ -46,6 +46,14 @@ LOG_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true"}
 PROJECTION_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true"}
 
 
+def _arrival_columns() -> dict:
+    """Arrival time, and the normalised event serialised as the payload."""
+    return {
+        "received_at": F.current_timestamp().cast("timestamp_ntz"),
+        "payload": F.to_json(F.struct(*[c for c in LOG_COLUMNS if c not in ("batch_id", "pos")])),
+    }
+
+
 def buckets_for(rows: int) -> int:
     """Power-of-two bucket count for ``rows`` log rows."""
     n = 1
@@ -187,9 +195,7 @@ class EventStore:
                 if probe_touched_buckets:
                     prior = prior.filter(F.col("bucket").isin(touched))
             new_events = (dedupe_events(batch, prior)
-                          .withColumn("received_at", F.current_timestamp().cast("timestamp_ntz"))
-                          .withColumn("payload", F.to_json(F.struct(*[c for c in LOG_COLUMNS
-                                                                     if c not in ("batch_id", "pos")]))))
+                          .withColumns(_arrival_columns()))
             # REBALANCE lets AQE split a hot bucket over several writers.
             (self._with_bucket(new_events).withColumn("segment", F.col("batch_id"))
              .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
@@ -237,8 +243,7 @@ class EventStore:
         """Replace the whole store with ``deliveries`` (keeping
         their own batch ids), then derive projection and dimension."""
         self._invalidate()
-        log = (dedupe_events(deliveries)
-               .withColumn("received_at", F.current_timestamp().cast("timestamp_ntz")))
+        log = dedupe_events(deliveries).withColumns(_arrival_columns())
         (self._with_bucket(log).withColumn("segment", F.col("batch_id"))
          .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
          .write.mode("overwrite").option("partitionOverwriteMode", "static").options(**LOG_WRITE_OPTIONS)
