@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.operators import validate as V
-from tallyline.session import configure
+from tallyline.session import get_session
 from tallyline.sources.json_events import read_event_array, read_event_lines
 from tallyline.sources.store import EventStore
 
@@ -80,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--lines", action="store_true", help="input is JSON Lines (splittable)")
     args = ap.parse_args(argv)
 
-    spark = configure(SparkSession.builder.appName("tallyline-load").getOrCreate())
+    spark = get_session(app_name="tallyline-load")
     store = EventStore(spark, args.store)
     if args.truncate:
         store.truncate()

@@ -13,10 +13,17 @@ _REQUIRED = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
+# Defaults for sessions this package builds itself (the loader CLI); an
+# existing session keeps its own tuning. Partitions are sized by bytes, so
+# the same settings hold from one file to 100 TB: AQE coalesces shuffle
+# output towards the advisory size and splits skewed join partitions.
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
