@@ -67,6 +67,7 @@ def buckets_for(rows: int) -> int:
 # Entries are dropped whenever this process writes under the store root.
 _FRAMES: dict[str, DataFrame] = {}
 _BUCKETS: dict[str, int] = {}
+_LAYOUT_CHECKED: set[str] = set()
 _LOG_VERSION: dict[str, int] = {}
 COMPACTED = -1   # segment holding compacted history
 
@@ -78,10 +79,10 @@ class EventStore:
         if buckets is None:
             buckets = _BUCKETS.get(self.root)
         if buckets is None:
-            marker = self._read(self.complete_path)
-            buckets = marker.first()["buckets"] if marker is not None and "buckets" in marker.columns \
-                else DEFAULT_BUCKETS
+            layout = self._read(self.layout_path)
+            buckets = layout.first()["buckets"] if layout is not None else DEFAULT_BUCKETS
         self.buckets = int(buckets)
+        _BUCKETS[self.root] = self.buckets
 
     # -- paths and readers ---------------------------------------------------
     @property
@@ -119,6 +120,23 @@ class EventStore:
     def complete_path(self) -> str:
         return f"{self.root}/_complete"
 
+    @property
+    def layout_path(self) -> str:
+        return f"{self.root}/_layout"
+
+    def _ensure_layout(self) -> None:
+        """Record the bucket count on first write; refuse a mismatched one."""
+        if self.root in _LAYOUT_CHECKED:
+            return
+        layout = self._read(self.layout_path)
+        if layout is None:
+            (self.spark.range(1).select(F.lit(self.buckets).alias("buckets"))
+             .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.layout_path))
+            self._invalidate()
+        elif int(layout.first()["buckets"]) != self.buckets:
+            raise ValueError(f"store {self.root} is bucketed by {layout.first()['buckets']}, not {self.buckets}")
+        _LAYOUT_CHECKED.add(self.root)
+
     def _read(self, path: str) -> DataFrame | None:
         if path in _FRAMES:
             return _FRAMES[path]
@@ -179,6 +197,7 @@ class EventStore:
         the log buckets the batch touches; that is exact only while every
         event_id belongs to one transaction (``audit_keys`` is empty).
         """
+        self._ensure_layout()
         batch = deliveries.withColumn("batch_id", F.lit(batch_id).cast("int")).persist()
         self._invalidate()
         try:
@@ -243,6 +262,7 @@ class EventStore:
         """Replace the whole store with ``deliveries`` (keeping
         their own batch ids), then derive projection and dimension."""
         self._invalidate()
+        self._ensure_layout()
         log = dedupe_events(deliveries).withColumns(_arrival_columns())
         (self._with_bucket(log).withColumn("segment", F.col("batch_id"))
          .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
@@ -254,10 +274,8 @@ class EventStore:
          .partitionBy("batch_id").parquet(self.merchants_path))
         self._invalidate()
         self.rebuild()
-        (self.spark.range(1).select(F.lit(self.buckets).alias("buckets"))
-         .write.mode("overwrite").parquet(self.complete_path))
+        self.spark.range(1).write.mode("overwrite").parquet(self.complete_path)
         self._invalidate()
-        _BUCKETS[self.root] = self.buckets
 
     def refresh_dimension(self) -> None:
         """Materialise the current merchant names (one row per merchant; output
@@ -341,7 +359,8 @@ class EventStore:
         file, so the next read sees an empty store.
         """
         for path in (self.log_path, self.projection_path, self.merchants_path, self.quarantine_path,
-                     self.dimension_path, self.complete_path):
+                     self.dimension_path, self.complete_path, self.layout_path):
             self._wipe(path)
+        _LAYOUT_CHECKED.discard(self.root)
         if self._log_version() != 0:
             self._set_log_version(0)
