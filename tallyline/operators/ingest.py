@@ -3,8 +3,9 @@
 Every operator is a pure ``DataFrame -> DataFrame``. Deduplication and labels
 use partial (map-side) aggregation keyed by ``event_id``, so an event replayed
 millions of times collapses before the shuffle instead of landing in one task.
-The existing log is probed with a semi join driven by the (small) batch, so the
-unbounded log is scanned but never shuffled.
+The existing log is probed with a semi join built from the batch's keys, so for
+a micro-batch the unbounded log is scanned (event_id column only) but not
+shuffled.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ def arrival_order() -> Column:
 def known_event_ids(deliveries: DataFrame, log: DataFrame | None) -> DataFrame | None:
     """Distinct event_ids of ``deliveries`` that the stored log already holds.
 
-    Written as ``log SEMI JOIN batch_keys`` so the build side is the batch: the
-    planner (and AQE at runtime) can broadcast it and stream the log.
+    Written as ``log SEMI JOIN batch_keys`` so the build side is the batch:
+    when the batch's keys are small (static statistics or AQE's runtime size)
+    they are broadcast and the log is streamed without a shuffle; a large
+    backfill falls back to a sort-merge join on the event_id column only.
     """
     if log is None:
         return None
