@@ -227,3 +227,14 @@ def test_bucket_layout_is_recorded_and_enforced(spark, factory, tmp_root):
     store_module._LAYOUT_CHECKED.discard(tmp_root)
     with pytest.raises(ValueError):
         EventStore(spark, tmp_root, buckets=8).ingest(factory.df(spark), 1)
+
+
+def test_merge_merchants_upsert_marks_only_changes(spark, factory):
+    current = spark.createDataFrame([("m1", "Old"), ("m2", "Same"), ("m3", "Kept")],
+                                    "merchant_id string, merchant_name string")
+    factory.event("payment_initiated", "t1", 0, merchant_id="m1", merchant_name="New")
+    factory.event("payment_initiated", "t2", 0, merchant_id="m2", merchant_name="Same")
+    factory.event("payment_initiated", "t3", 0, merchant_id="m4", merchant_name="Fresh")
+    merged = {r["merchant_id"]: (r["merchant_name"], r["changed"])
+              for r in ingest.merge_merchants(current, factory.df(spark)).collect()}
+    assert merged == {"m1": ("New", True), "m2": ("Same", False), "m3": ("Kept", False), "m4": ("Fresh", True)}
