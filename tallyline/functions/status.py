@@ -33,9 +33,6 @@ def flat_status() -> Column:
 
 
 def with_status(df: DataFrame) -> DataFrame:
-    base = df.drop(*[c for c in STATUS_COLUMNS if c in df.columns])
-    return base.withColumns({
-        "payment_status": payment_status(),
-        "settlement_status": settlement_status(),
-        "status": flat_status(),
-    })
+    keep = [c for c in df.columns if c not in STATUS_COLUMNS]
+    return df.select(*keep, payment_status().alias("payment_status"),
+                     settlement_status().alias("settlement_status"), flat_status().alias("status"))

@@ -27,8 +27,20 @@ REPLAY_EVERY = 50            # event_id % 50 = 0 is delivered twice
 CURRENCY = "INR"
 
 
+# Read DataFrames of the (read-only) driver tables, per application: reusing
+# one keeps its file listing and footer schema.
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        key = (spark.sparkContext.applicationId, path)
+    except Exception:  # no SparkContext handle: read afresh each time
+        return spark.read.parquet(path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def mapped_event_type(source: Column) -> Column:
