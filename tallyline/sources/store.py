@@ -7,6 +7,10 @@ Layout under ``root`` (any Hadoop-compatible shared path)::
                                    history (``log-v<k>`` after k compactions)
     projection/bucket=B/           one row per transaction, derived from the log
     merchants/batch_id=N/          merchant names that batch N introduced or changed
+    dimension/                     current merchant names (materialised)
+    quarantine/batch_id=N/         rejected wire rows with their errors
+    log_version, _layout, _complete   one-row markers: log version, bucket count,
+                                   finished full load
 
 ``B = pmod(xxhash64(transaction_id), buckets)``. Writes use dynamic partition
 overwrite, so ingesting batch N replaces exactly the partitions of batch N: a
