@@ -94,3 +94,23 @@ def test_scans_read_only_needed_columns(spark):
     p = _plan(spark, reports.page_meta(r.txn))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", p)
     assert schemas and all(s.count(":") <= 1 for s in schemas)
+
+
+@pytest.mark.parametrize("name", ["transactions", "discrepancy_counts", "summary_merchant_date",
+                                  "ingest_labels", "profile_shapes"])
+def test_results_do_not_depend_on_partitioning(spark, name):
+    import hashlib
+
+    def digest():
+        rows = E.queries()[name](spark, SF).collect()
+        return hashlib.md5("\n".join(sorted(repr(tuple(r)) for r in rows)).encode()).hexdigest()
+
+    base = digest()
+    for parts, aqe in (("1", "true"), ("37", "false")):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        try:
+            assert digest() == base, (parts, aqe)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
