@@ -124,6 +124,7 @@ FROM txn"""
                 "last_event_at, payment_status, settlement_status, status")
     q["stream_transactions"] = f"{PREFIX}\nSELECT {txn_cols} FROM txn"
     q["stream_running_state"] = f"{PREFIX}\nSELECT {txn_cols} FROM txn"
+    q["store_incremental"] = f"{PREFIX}\nSELECT {txn_cols} FROM txn"
     return q
 
 

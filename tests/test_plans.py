@@ -15,7 +15,7 @@ from tallyline.operators import ingest, projection
 from tallyline.sources import driver_tables
 
 SF = "/root/testdata/sf0.001"
-STREAMING = {"stream_transactions", "stream_running_state"}
+STREAMING = {"stream_transactions", "stream_running_state", "store_incremental"}  # write at build time
 
 
 def _plan(spark, df) -> str:
