@@ -123,3 +123,17 @@ def test_load_file_in_chunks_is_resumable(spark, tmp_root):
     with pytest.raises(V.ValidationFailed):
         load_file(spark, bad, store)
     assert table_counts(store)["events"] == 10
+
+
+def test_loader_cli_reports_and_fails_cleanly(spark, tmp_root, capsys):
+    from tallyline.load import main
+
+    events = [dict(GOOD, event_id=f"00000000-0000-4000-8000-{i:012x}") for i in range(3)]
+    good = _write(tmp_root, "cli.json", json.dumps(events + [events[1]]))
+    store = os.path.join(tmp_root, "cli-store")
+    assert main(["--file", good, "--store", store, "--truncate"]) == 0
+    out = capsys.readouterr().out
+    assert "received:   4" in out and "ingested:   3" in out and "duplicates: 1" in out
+    bad = _write(tmp_root, "cli-bad.json", json.dumps([dict(GOOD, amount="-1.00")]))
+    assert main(["--file", bad, "--store", store]) == 1
+    assert "nothing was loaded" in capsys.readouterr().err
