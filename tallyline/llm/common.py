@@ -9,6 +9,7 @@ from tallyline.session import scratch_path
 
 # Fixed value: the white space that separates words (space, tab to carriage return).
 SPACES = r"[\x20\x09-\x0D]+"
+BROADCAST_ROWS = 1_000_000   # a counted side of narrow rows up to this size may be broadcast
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

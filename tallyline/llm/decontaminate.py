@@ -26,12 +26,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import col, small, written
+from tallyline.llm.common import BROADCAST_ROWS, col, small, written
 
 SHINGLE = 5
 CONTAINMENT = 0.8
 SIZE_STEP = 1.25            # each size partition reaches so many times further
-BROADCAST_ROWS = 2_000_000  # an index or candidate list up to this size is broadcast, a larger one is shuffled
 
 _WORD_GAP = r"[^\p{L}\p{M}\p{N}]+"
 
