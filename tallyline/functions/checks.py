@@ -23,6 +23,10 @@ from tallyline.schema import (
 UUID_PATTERN = r"(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{32})$"
 DECIMAL_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
 LETTERS_PATTERN = r"^\p{L}+$"
+# A date, or a date and a time, with an optional offset. Times without a date
+# would silently become today's; epoch numbers are not taken as times.
+TIMESTAMP_PATTERN = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+                     r"([Tt _][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?([Zz]|[+-][0-9]{2}:?[0-9]{2})?)?$")
 
 MESSAGES = {
     "missing": "Field required",
@@ -30,6 +34,8 @@ MESSAGES = {
     "enum": "Input should be one of: " + ", ".join(EVENT_TYPES),
     "string_too_short": "String should have at least the minimum number of characters",
     "string_too_long": "String should have at most the maximum number of characters",
+    "string_type": "Input should be a valid string",
+    "decimal_type": "Decimal input should be an integer, float or string",
     "decimal_parsing": "Input should be a valid decimal",
     "greater_than_equal": "Input should be greater than or equal to 0",
     "decimal_max_digits": f"Decimal input should have no more than {AMOUNT_MAX_DIGITS} digits in total",
@@ -130,7 +136,7 @@ def canonical_currency(c: Column) -> Column:
 
 def parsed_timestamp(c: Column) -> Column:
     """UTC wall-clock instant: naive text is UTC, offsets are converted."""
-    return F.try_to_timestamp(c).cast("timestamp_ntz")
+    return F.when(c.rlike(TIMESTAMP_PATTERN), F.try_to_timestamp(F.translate(c, "t_z", "T Z"))).cast("timestamp_ntz")
 
 
 def timestamp_error(c: Column, parsed: Column | None = None) -> Column:

@@ -32,6 +32,22 @@ def flat_status() -> Column:
              .otherwise(F.lit("pending")))
 
 
+def status_condition(axis: str, value: str) -> Column:
+    """``axis = value`` written as tests on the stored milestones, which reach
+    the Parquet scan; a test on the derived status would not."""
+    seen = {name: F.col(c).isNotNull() for name, c in (
+        ("settled", "first_settled_at"), ("failed", "failed_at"), ("processed", "processed_at"))}
+    if axis == "settlement_status":
+        return seen["settled"] if value == "settled" else ~seen["settled"]
+    order = ["settled", "failed", "processed"] if axis == "status" else ["failed", "processed"]
+    out = None
+    for name in order[:order.index(value)] if value in order else order:
+        out = ~seen[name] if out is None else out & ~seen[name]
+    if value not in order:
+        return out
+    return seen[value] if out is None else out & seen[value]
+
+
 def with_status(df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c not in STATUS_COLUMNS]
     return df.select(*keep, payment_status().alias("payment_status"),

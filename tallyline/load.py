@@ -4,9 +4,10 @@
         [--chunk-size 1000] [--on-error fail|quarantine] [--lines]
 
 Validates first (``fail``: one bad row loads nothing, the first five are
-reported by position), then ingests. With ``--chunk-size`` the file is
-ingested as consecutive batches of that many positions; a failed run can
-simply be re-run, since already-stored events come back as duplicates.
+reported by position), then ingests in one distributed job. Every load is a
+feed of its own in the store's ledger. A failed run can simply be re-run:
+events already stored come back as duplicates. ``--chunk-size`` is
+accepted for callers that pass it; Spark's tasks are the chunks.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ from __future__ import annotations
 import argparse
 import sys
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from tallyline.operators import validate as V
 from tallyline.session import get_session
@@ -25,41 +26,27 @@ from tallyline.sources.store import EventStore
 
 
 def load_file(spark: SparkSession, path: str, store: EventStore, chunk_size: int | None = None,
-              on_error: str = "fail", lines: bool = False, first_batch: int | None = None) -> dict:
-    """Validate a file, ingest it (in chunks), return totals."""
-    wire = read_event_lines(spark, path) if lines else read_event_array(spark, path)
-    checked = V.validate(wire).persist()
+              on_error: str = "fail", lines: bool = False, feed: str | None = None) -> dict:
+    """Validate a file, ingest it, return totals.
+
+    ``feed`` names the load; a retry under the same name replaces the earlier
+    attempt. By default each call is a new feed. ``chunk_size`` is accepted and
+    checked, but the job is one ingest: Spark's tasks are its chunks, and a
+    failed task is retried alone.
+    """
+    if chunk_size is not None and chunk_size < 1:
+        raise ValueError("chunk_size must be >= 1")
+    checked = V.validate(read_event_lines(spark, path) if lines else read_event_array(spark, path)).persist()
     try:
+        deliveries = V.gate(checked, on_error)
+        batch_id = store.allocate(feed or f"load:{uuid.uuid4().hex}", 0)
         if on_error == "quarantine":
-            store.quarantine(V.quarantine(checked), first_batch or 0)
-        accepted = V.gate(checked, on_error).persist()
-        start = _next_batch(store) if first_batch is None else first_batch
-        totals = {"received": 0, "ingested": 0, "duplicates": 0}
-        if chunk_size:
-            n_chunks = accepted.agg(F.max(F.col("pos") / F.lit(chunk_size)).cast("long")).first()[0]
-            chunks = range(0 if n_chunks is None else n_chunks + 1)
-        else:
-            chunks = [None]
-        for i, chunk in enumerate(chunks):
-            part: DataFrame = accepted if chunk is None else accepted.filter(
-                (F.col("pos") / F.lit(chunk_size)).cast("long") == F.lit(chunk))
-            result = store.ingest(part, start + i)
-            for k in totals:
-                totals[k] += result[k]
-        accepted.unpersist()
-        return totals
+            store.quarantine(V.quarantine(checked), batch_id)
+        return store.ingest(deliveries, batch_id=batch_id)
     finally:
         checked.unpersist()
 
 
-def _next_batch(store: EventStore) -> int:
-    log = store.log()
-    if log is None:
-        return 0
-    top = log.agg(F.max("batch_id")).first()[0]
-    return 0 if top is None else int(top) + 1
-
-
 def table_counts(store: EventStore) -> dict:
     log, merchants = store.log(), store.merchants()
     try:
@@ -91,15 +78,10 @@ def main(argv: list[str] | None = None) -> int:
         print(f"error: {err}", file=sys.stderr)
         return 1
     elapsed = time.perf_counter() - t0
-    counts = table_counts(store)
-    print(f"Loaded in {elapsed:.2f}s\n"
-          f"  received:   {totals['received']:,}\n"
-          f"  ingested:   {totals['ingested']:,}\n"
-          f"  duplicates: {totals['duplicates']:,}\n"
-          f"Store now holds:\n"
-          f"  merchants:      {counts['merchants']:,}\n"
-          f"  transactions:   {counts['transactions']:,}\n"
-          f"  payment_events: {counts['events']:,}")
+    report = {**totals, **{f"stored {k}": v for k, v in table_counts(store).items()}}
+    print(f"{args.file} -> {args.store}: {elapsed:.2f} s")
+    for name, n in report.items():
+        print(f"{name:>20} {n:>12,}")
     return 0
 
 

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from tallyline.schema import LOG_COLUMNS
 
 
+# Parts that the copies of one event are dealt into when they are labelled.
+LABEL_SALTS = 16
+
+
 def arrival_order() -> Column:
     """Total arrival order of deliveries: batch, then position in the batch."""
     return F.struct(F.col("batch_id"), F.col("pos"))
@@ -38,13 +42,15 @@ def known_event_ids(deliveries: DataFrame, log: DataFrame | None) -> DataFrame |
 def dedupe_events(deliveries: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """One row per new event_id; the first delivery by arrival order wins."""
     payload = [c for c in LOG_COLUMNS if c not in ("event_id", "batch_id", "pos")]
+    payload += [c for c in ("payload",) if c in deliveries.columns]
     firsts = (deliveries.groupBy("event_id")
               .agg(F.min(F.struct("batch_id", "pos", *payload)).alias("_first"))
               .select("event_id", *[F.col(f"_first.{c}").alias(c) for c in ("batch_id", "pos", *payload)]))
     known = known_event_ids(deliveries, log)
     if known is not None:
         firsts = firsts.join(known, "event_id", "left_anti")
-    return firsts.select(*LOG_COLUMNS)
+    return firsts.select("event_id", "batch_id", "pos", *payload).select(
+        *LOG_COLUMNS, *[c for c in payload if c not in LOG_COLUMNS])
 
 
 def label_deliveries(deliveries: DataFrame, log: DataFrame | None = None) -> DataFrame:
@@ -54,17 +60,23 @@ def label_deliveries(deliveries: DataFrame, log: DataFrame | None = None) -> Dat
     later copies in the same or later batches, and anything the log holds, are
     ``duplicate``.
     """
-    firsts = deliveries.groupBy("event_id").agg(F.min(arrival_order()).alias("_first"))
+    # Only events delivered more than once, or held by the log, need a look at
+    # their other copies. Those few are matched against the deliveries, which
+    # carry a salt: copies of a hot event stay spread over the tasks.
+    marks = (deliveries.groupBy("event_id").agg(F.min(arrival_order()).alias("_first"), F.count(F.lit(1)).alias("_n"))
+             .filter(F.col("_n") > 1).select("event_id", "_first"))
     known = known_event_ids(deliveries, log)
     if known is not None:
-        firsts = (firsts.join(known.withColumn("_in_log", F.lit(True)), "event_id", "left")
-                  .fillna({"_in_log": False}))
-    else:
-        firsts = firsts.withColumn("_in_log", F.lit(False))
-    is_new = (~F.col("_in_log")) & (arrival_order() == F.col("_first"))
-    return (deliveries.join(firsts, "event_id")
+        marks = (marks.join(known.withColumn("_in_log", F.lit(True)), "event_id", "full_outer")
+                 .withColumn("_first", F.when(F.col("_in_log").isNull(), F.col("_first"))))
+    marks = marks.select("event_id", "_first", F.lit(True).alias("_marked"))
+    salt = F.pmod(F.xxhash64("batch_id", "pos"), F.lit(LABEL_SALTS)).cast("int")
+    spread = marks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))))
+    is_new = F.col("_marked").isNull() | (F.col("_first").isNotNull() & (arrival_order() == F.col("_first")))
+    return (deliveries.withColumn("_salt", salt).join(spread, ["event_id", "_salt"], "left")
             .withColumn("status", F.when(is_new, F.lit("ingested")).otherwise(F.lit("duplicate")))
-            .drop("_first", "_in_log"))
+            .drop("_first", "_marked", "_salt")
+            .select(*deliveries.columns, "status"))
 
 
 def ingest_totals(deliveries: DataFrame, log: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,30 +103,42 @@ def profile_matrix(txn: DataFrame) -> DataFrame:
             .orderBy(F.array_position(F.array(*[F.lit(s) for s in PAYMENT_STATUSES]), F.col("payment_status"))))
 
 
-# Relative rank error of the lag percentiles is 1 / LAG_ACCURACY; below
-# ~LAG_ACCURACY rows the sketch returns the exact nearest-rank value.
-LAG_ACCURACY = 1_000_000
+LAG_STEP_US = 60_000_000   # lags are first counted by the minute
 
 
-def profile_lag(txn: DataFrame, accuracy: int = LAG_ACCURACY) -> DataFrame:
-    """M3: settlement lag (first settlement - processing), p50 / p99 / max in hours.
+def exact_percentiles(values: DataFrame, value: str, shares: dict[str, float], step: int) -> DataFrame:
+    """One row: the value of rank ceil(share x n) for each share, exact at any size.
 
-    ``percentile_approx`` keeps a bounded-size sketch per task and merges
-    sketches, so the global percentile never gathers all values in one place.
+    Values are counted in ranges of ``step``; the ranges' running counts (one
+    row per occupied range) show which range holds each rank, and only that
+    range is ranked value by value. Both windows run over counts, never rows.
     """
+    ranged = values.select(F.col(value).alias("v"), F.floor(F.col(value) / F.lit(step)).alias("r"))
+    counts = ranged.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = counts.select("r", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(x).alias("share")) for k, x in shares.items()]))
+    ranks = running.select("r", "n", "upto", "total", wanted.alias("w")).select(
+        "r", F.col("w.name").alias("name"), (F.col("upto") - F.col("n")).alias("before"), "upto",
+        F.greatest(F.ceil(F.col("w.share") * F.col("total")), F.lit(1)).alias("rank"))
+    ranks = ranks.filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
+    inside = ranged.join(ranks, "r").groupBy("name", "before", "rank", "v").agg(F.count(F.lit(1)).alias("n"))
+    at = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (inside.withColumn("at", F.sum("n").over(at) + F.col("before")).filter(F.col("at") >= F.col("rank"))
+             .groupBy("name").agg(F.min("v").alias("v")))
+    return found.agg(*[F.max(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in shares])
+
+
+def profile_lag(txn: DataFrame) -> DataFrame:
+    """M3: settlement lag (first settlement - processing), exact p50 / p99 / max in hours."""
     lag_us = F.unix_micros(F.col("first_settled_at").cast("timestamp")) - F.unix_micros(
         F.col("processed_at").cast("timestamp"))
-    both = txn.filter(F.col("processed_at").isNotNull() & F.col("first_settled_at").isNotNull())
-    q = both.agg(
-        F.count(F.lit(1)).alias("settled_after_processing"),
-        F.percentile_approx(lag_us, [0.5, 0.99], accuracy).alias("_q"),
-        F.max(lag_us).alias("_max"),
-    )
-    hours = lambda c: F.round(c / F.lit(3_600_000_000.0), 6)
-    return q.select("settled_after_processing",
-                    hours(F.col("_q")[0]).alias("p50_hours"),
-                    hours(F.col("_q")[1]).alias("p99_hours"),
-                    hours(F.col("_max")).alias("max_hours"))
+    lags = txn.filter(F.col("processed_at").isNotNull() & F.col("first_settled_at").isNotNull()).select(lag_us.alias("lag"))
+    ends = lags.agg(F.count(F.lit(1)).alias("settled_after_processing"), F.max("lag").alias("_max"))
+    hours = lambda c: F.round(F.col(c) / F.lit(3_600_000_000.0), 6)
+    return ends.crossJoin(exact_percentiles(lags, "lag", {"_p50": 0.5, "_p99": 0.99}, LAG_STEP_US)).select(
+        "settled_after_processing", hours("_p50").alias("p50_hours"), hours("_p99").alias("p99_hours"),
+        hours("_max").alias("max_hours"))
 
 
 def profile_unsettled_age(txn: DataFrame, as_of) -> DataFrame:

@@ -67,20 +67,13 @@ def error_array(wire: DataFrame) -> Column:
     return errors
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a low-split input over the cluster's cores.
-
-    Validation is CPU work per row with no shuffle of its own; a single large
-    file (or a small micro-batch) would otherwise run in one task. Inputs that
-    already have at least ``defaultParallelism`` splits (any sizeable scan)
-    are left alone, so no shuffle is added at scale.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD API (e.g. Spark Connect): keep the input as is
-        return df
-    return df.repartition(cores) if splits < cores else df
+def _typed(wire: DataFrame, field: str, code: Column) -> Column:
+    """A field's error code; a JSON value of the wrong type is an error of its
+    own, before its text is looked at."""
+    if "wrong_types" not in wire.columns:
+        return code
+    wrong = F.lit("decimal_type" if field == "amount" else "string_type")
+    return F.when(F.array_contains("wrong_types", field), wrong).otherwise(code)
 
 
 def validate(wire: DataFrame) -> DataFrame:
@@ -91,11 +84,10 @@ def validate(wire: DataFrame) -> DataFrame:
     Count, validity and first error come from the codes directly; the error
     array is only built for rejected rows.
     """
-    wire = spread(wire)
     ts = "_parsed_ts"
     coded = wire.withColumn(ts, K.parsed_timestamp(F.col("timestamp")))
     coded = coded.withColumns({
-        _code_col(f): (K.timestamp_error(F.col("timestamp"), F.col(ts)) if f == "timestamp" else check(F.col(f)))
+        _code_col(f): _typed(wire, f, K.timestamp_error(F.col("timestamp"), F.col(ts)) if f == "timestamp" else check(F.col(f)))
         for f, check in FIELD_CHECKS
     })
     codes = [F.col(_code_col(f)) for f, _ in FIELD_CHECKS]

@@ -40,6 +40,7 @@ DATE_FROM = "2024-01-10 00:00:00"
 DATE_TO = "2024-01-20 00:00:00"
 
 _LOAD_LOCK = threading.Lock()
+_LOADED: dict[tuple[str, str], dict] = {}   # (application, root): the store and its tables
 STORE_ROOT_CONF = "spark.tallyline.storeRoot"
 
 
@@ -74,25 +75,36 @@ class Recon:
         base = self.spark.conf.get(STORE_ROOT_CONF, None) or f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/tallyline"
         root = f"{base.rstrip('/')}/store-{key}"
         with _LOAD_LOCK:
-            store = EventStore(self.spark, root)
-            if not store.is_complete():
-                # Size buckets from the source row count (a footer-only count).
+            key = (self.spark.sparkContext.applicationId, root)
+            if key not in _LOADED:
+                # The source's row count (from its footers) names it and sizes the buckets.
                 rows = driver_tables.read_table(self.spark, self.sf_dir, "events").count()
-                store = EventStore(self.spark, root, buckets=buckets_for(rows))
-                store.load(self.deliveries)
-        return store
+                source = f"{os.path.abspath(self.sf_dir)}: {rows} events"
+                store = EventStore(self.spark, root)
+                if not store.is_complete(source):
+                    store = EventStore(self.spark, root, buckets=buckets_for(rows))
+                    store.truncate()
+                    store.load(self.deliveries, source)
+                _LOADED[key] = {"store": store, "log": store.log(), "txn": store.transactions(), "merchants": store.merchants()}
+        return _LOADED[key]["store"]
+
+    def _stored(self, name: str) -> DataFrame:
+        """A table of the loaded store. Nobody writes to it while the
+        application runs, so its file listing is read once."""
+        store = self.store
+        return _LOADED[self.spark.sparkContext.applicationId, store.root][name]
 
     @cached_property
     def log(self) -> DataFrame:
-        return self.store.log().select(*LOG_COLUMNS, "received_at")
+        return self._stored("log").select(*LOG_COLUMNS, "received_at")
 
     @cached_property
     def txn(self) -> DataFrame:
-        return self.store.transactions()
+        return self._stored("txn")
 
     @cached_property
     def merchants(self) -> DataFrame:
-        return self.store.merchants()
+        return self._stored("merchants")
 
 
     @property

@@ -55,8 +55,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only when unset.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is used as is.
-    Local runs and tests without one get a fresh scratch folder.
+    On a cluster ``spark.checkpoint.dir`` must name shared storage: executors
+    cannot see a folder of the driver's machine, so there is no fallback. Local
+    masters without one get a fresh scratch folder.
     """
     try:
         sc = spark.sparkContext
@@ -64,6 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     current = (sc.getCheckpointDir() if sc else None) or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         current = tempfile.mkdtemp(prefix="tallyline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is None:

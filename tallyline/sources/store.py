@@ -6,15 +6,20 @@ Layout under ``root`` (any Hadoop-compatible shared path)::
                                    segment N = batch N, segment -1 = compacted
                                    history (``log-v<k>`` after k compactions)
     projection/bucket=B/           one row per transaction, derived from the log
+    ledger/                        one row per batch: its id, feed and number there
     merchants/batch_id=N/          merchant names that batch N introduced or changed
     dimension/                     current merchant names (materialised)
     quarantine/batch_id=N/         rejected wire rows with their errors
-    log_version, _layout, _complete   one-row markers: log version, bucket count,
-                                   finished full load
+    log_version/                   one row per log version; the highest counts
+    _layout, _complete             one-row markers: bucket count, finished full load
+                                   with a fingerprint of its source
 
 ``B = pmod(xxhash64(transaction_id), buckets)``. Writes use dynamic partition
 overwrite, so ingesting batch N replaces exactly the partitions of batch N: a
-retried batch overwrites itself instead of appending twice. The projection is
+retried batch overwrites itself instead of appending twice. Batch ids are given
+out by the ledger, to (feed, number in the feed): two feeds that both start at
+0 get ids of their own, and an id is never given out twice, whether or not any
+of its events were new. The projection is
 recomputed for whole touched buckets from the log (recompute, never
 increment), so it never reads itself while being overwritten.
 
@@ -31,13 +36,13 @@ from pyspark.sql.utils import AnalysisException
 from tallyline.functions.status import STATUS_COLUMNS, with_status
 from tallyline.operators.ingest import dedupe_events, latest_merchant_names
 from tallyline.operators.projection import PROJECTION_COLUMNS, project_transactions
-from tallyline.schema import LOG_COLUMNS
+from tallyline.schema import DELIVERY_COLUMNS, LOG_COLUMNS
 
 DEFAULT_BUCKETS = 64
-# Target log rows per bucket when sizing a store from its input (about one
-# well-sized Parquet file per bucket and batch).
-ROWS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 8192
+# Target log rows per bucket when sizing a store from its input.
+ROWS_PER_BUCKET = 16_000_000
+# What reading a folder without data files reports; other errors are errors.
+ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -50,29 +55,26 @@ LOG_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true"}
 PROJECTION_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true"}
 
 
-def _arrival_columns() -> dict:
-    """Arrival time, and the normalised event serialised as the payload."""
-    return {
-        "received_at": F.current_timestamp().cast("timestamp_ntz"),
-        "payload": F.to_json(F.struct(*[c for c in LOG_COLUMNS if c not in ("batch_id", "pos")])),
-    }
+def with_payload(deliveries: DataFrame) -> DataFrame:
+    """Each delivery with the whole normalised event as JSON, named as on the wire."""
+    fields = [c for c in DELIVERY_COLUMNS if c not in ("batch_id", "pos")]
+    return deliveries.withColumn("payload", F.to_json(F.struct(*[
+        F.col(c).alias("timestamp" if c == "occurred_at" else c) for c in fields])))
+
+
+def _received() -> Column:
+    """Arrival time."""
+    return F.current_timestamp().cast("timestamp_ntz")
 
 
 def buckets_for(rows: int) -> int:
     """Power-of-two bucket count for ``rows`` log rows."""
     n = 1
-    while n * ROWS_PER_BUCKET < rows and n < MAX_BUCKETS:
+    while n * ROWS_PER_BUCKET < rows:
         n *= 2
     return n
 
 
-# Read DataFrames per path: reusing one keeps its file listing, so repeated
-# reads in one application do not re-list partitions or re-read footers.
-# Entries are dropped whenever this process writes under the store root.
-_FRAMES: dict[str, DataFrame] = {}
-_BUCKETS: dict[str, int] = {}
-_LAYOUT_CHECKED: set[str] = set()
-_LOG_VERSION: dict[str, int] = {}
 COMPACTED = -1   # segment holding compacted history
 
 
@@ -80,13 +82,10 @@ class EventStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-        if buckets is None:
-            buckets = _BUCKETS.get(self.root)
         if buckets is None:
             layout = self._read(self.layout_path)
             buckets = layout.first()["buckets"] if layout is not None else DEFAULT_BUCKETS
         self.buckets = int(buckets)
-        _BUCKETS[self.root] = self.buckets
 
     # -- paths and readers ---------------------------------------------------
     @property
@@ -99,10 +98,9 @@ class EventStore:
         return f"{self.root}/log_version"
 
     def _log_version(self) -> int:
-        if self.root not in _LOG_VERSION:
-            pointer = self._read(self.log_version_path)
-            _LOG_VERSION[self.root] = 0 if pointer is None else int(pointer.first()["version"])
-        return _LOG_VERSION[self.root]
+        versions = self._read(self.log_version_path)
+        top = None if versions is None else versions.agg(F.max("version")).first()[0]
+        return 0 if top is None else int(top)
 
     @property
     def projection_path(self) -> str:
@@ -128,32 +126,27 @@ class EventStore:
     def layout_path(self) -> str:
         return f"{self.root}/_layout"
 
+    @property
+    def ledger_path(self) -> str:
+        return f"{self.root}/ledger"
+
     def _ensure_layout(self) -> None:
         """Record the bucket count on first write; refuse a mismatched one."""
-        if self.root in _LAYOUT_CHECKED:
-            return
         layout = self._read(self.layout_path)
         if layout is None:
             (self.spark.range(1).select(F.lit(self.buckets).alias("buckets"))
              .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.layout_path))
-            self._invalidate()
         elif int(layout.first()["buckets"]) != self.buckets:
             raise ValueError(f"store {self.root} is bucketed by {layout.first()['buckets']}, not {self.buckets}")
-        _LAYOUT_CHECKED.add(self.root)
 
     def _read(self, path: str) -> DataFrame | None:
-        if path in _FRAMES:
-            return _FRAMES[path]
+        """The table at ``path`` as it is now, or None where there is none yet."""
         try:
-            df = self.spark.read.parquet(path)
-        except AnalysisException:
+            return self.spark.read.parquet(path)
+        except AnalysisException as err:
+            if err.getCondition() not in ABSENT:
+                raise
             return None
-        _FRAMES[path] = df
-        return df
-
-    def _invalidate(self) -> None:
-        for path in [p for p in _FRAMES if p.startswith(self.root + "/")]:
-            del _FRAMES[path]
 
     def log(self) -> DataFrame | None:
         return self._read(self.log_path)
@@ -169,8 +162,35 @@ class EventStore:
         changes = self.merchant_changes()
         return None if changes is None else latest_merchant_names(changes)
 
-    def is_complete(self) -> bool:
-        return self._read(self.complete_path) is not None
+    def is_complete(self, source: str | None = None) -> bool:
+        """Whether a full load has finished (of this source, if one is named)."""
+        mark = self._read(self.complete_path)
+        return mark is not None and (source is None or mark.filter(F.col("source") == source).count() > 0)
+
+    def history(self, transaction_id) -> DataFrame:
+        """one transaction's events, oldest first, from its log bucket alone."""
+        log = self.log()
+        key = F.lit(transaction_id).cast(log.schema["transaction_id"].dataType)
+        return (log.filter((F.col("bucket") == bucket_of(key, self.buckets)) & (F.col("transaction_id") == key))
+                .select(*LOG_COLUMNS, "received_at", "payload").orderBy("occurred_at", "event_id"))
+
+    def allocate(self, feed: str, number: int | None = None) -> int:
+        """The id of a feed's batch: the one it was given before (a retry), or
+        a new one. A free ``number`` becomes the id itself; without a number
+        the batch is new."""
+        ledger = self._read(self.ledger_path)
+        taken = None if ledger is None else ledger.agg(
+            F.max("batch_id").alias("top"), F.count_if(F.col("batch_id") == F.lit(number)).alias("used"),
+            F.max(F.when((F.col("feed") == feed) & (F.col("number") == F.lit(number)), F.col("batch_id"))).alias("own")).first()
+        if taken is not None and taken["own"] is not None:
+            return int(taken["own"])
+        free = taken is None or not taken["used"]
+        next_id = 0 if taken is None or taken["top"] is None else int(taken["top"]) + 1
+        batch_id = int(number) if number is not None and free else next_id
+        (self.spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(feed).alias("feed"),
+                                    F.lit(batch_id if number is None else number).cast("long").alias("number"))
+         .write.mode("append").parquet(self.ledger_path))
+        return batch_id
 
     def transactions(self) -> DataFrame:
         """The stored projection; status axes are always re-derived on read."""
@@ -192,8 +212,12 @@ class EventStore:
     def _with_bucket(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", bucket_of(F.col("transaction_id"), self.buckets))
 
-    def ingest(self, deliveries: DataFrame, batch_id: int, probe_touched_buckets: bool = False) -> dict:
-        """Append batch ``batch_id`` and refresh what it touched.
+    def ingest(self, deliveries: DataFrame, batch: int | None = None, probe_touched_buckets: bool = False,
+               feed: str = "direct", batch_id: int | None = None) -> dict:
+        """Append a feed's batch and refresh what it touched.
+
+        ``batch`` numbers the batches of ``feed``; the same number of the same
+        feed is a retry. ``batch_id`` is an id the ledger has already given out.
 
         Returns ``{received, ingested, duplicates}`` (C4). Safe to retry: the
         dedup probe excludes the batch's own partitions, which are then
@@ -202,8 +226,8 @@ class EventStore:
         event_id belongs to one transaction (``audit_keys`` is empty).
         """
         self._ensure_layout()
+        batch_id = self.allocate(feed, batch) if batch_id is None else batch_id
         batch = deliveries.withColumn("batch_id", F.lit(batch_id).cast("int")).persist()
-        self._invalidate()
         try:
             # One small aggregate gives both the touched buckets (at most B rows)
             # and the number of deliveries received.
@@ -217,20 +241,19 @@ class EventStore:
                 prior = prior.filter(F.col("segment") != F.lit(batch_id))
                 if probe_touched_buckets:
                     prior = prior.filter(F.col("bucket").isin(touched))
-            new_events = (dedupe_events(batch, prior)
-                          .withColumns(_arrival_columns()))
+            new_events = dedupe_events(with_payload(batch), prior).withColumn("received_at", _received())
             # REBALANCE lets AQE split a hot bucket over several writers.
             (self._with_bucket(new_events).withColumn("segment", F.col("batch_id"))
              .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
              .write.mode("overwrite").options(**LOG_WRITE_OPTIONS)
              .partitionBy("bucket", "segment").parquet(self.log_path))
-            self._invalidate()
-
+    
             self._write_merchant_changes(batch, batch_id)
             self._recompute(touched)
             self.refresh_dimension()
 
-            ingested = self.log().filter(F.col("segment") == F.lit(batch_id)).count()
+            log = self.log()
+            ingested = 0 if log is None else log.filter(F.col("segment") == F.lit(batch_id)).count()
             return {"received": received, "ingested": ingested, "duplicates": received - ingested}
         finally:
             batch.unpersist()
@@ -245,7 +268,6 @@ class EventStore:
         (incoming.withColumn("batch_id", F.lit(batch_id).cast("int"))
          .withColumn("pos", F.lit(0).cast("long"))
          .write.mode("overwrite").partitionBy("batch_id").parquet(self.merchants_path))
-        self._invalidate()
 
     def _recompute(self, buckets: list[int] | None) -> None:
         """Recompute whole buckets of the projection from the log.
@@ -260,14 +282,14 @@ class EventStore:
             log = log.filter(F.col("bucket").isin(buckets))
         proj = self._with_bucket(project_transactions(log).select(*PROJECTION_COLUMNS))
         self._write_projection(proj, static=False)
-        self._invalidate()
 
-    def load(self, deliveries: DataFrame) -> None:
+    def load(self, deliveries: DataFrame, source: str = "") -> None:
         """Replace the whole store with ``deliveries`` (keeping
-        their own batch ids), then derive projection and dimension."""
-        self._invalidate()
+        their own batch ids), then derive projection and dimension. The mark of
+        an earlier load goes first: a broken load is never taken for whole."""
+        self._wipe(self.complete_path)
         self._ensure_layout()
-        log = dedupe_events(deliveries).withColumns(_arrival_columns())
+        log = dedupe_events(with_payload(deliveries)).withColumn("received_at", _received())
         (self._with_bucket(log).withColumn("segment", F.col("batch_id"))
          .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
          .write.mode("overwrite").option("partitionOverwriteMode", "static").options(**LOG_WRITE_OPTIONS)
@@ -276,10 +298,11 @@ class EventStore:
          .agg(F.max_by("merchant_name", F.col("pos")).alias("merchant_name"), F.max("pos").alias("pos"))
          .write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy("batch_id").parquet(self.merchants_path))
-        self._invalidate()
+        (deliveries.select(F.col("batch_id").cast("int").alias("batch_id")).distinct()
+         .select("batch_id", F.lit("load").alias("feed"), F.col("batch_id").cast("long").alias("number"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.ledger_path))
         self.rebuild()
-        self.spark.range(1).write.mode("overwrite").parquet(self.complete_path)
-        self._invalidate()
+        self.spark.range(1).select(F.lit(source).alias("source")).write.mode("overwrite").parquet(self.complete_path)
 
     def refresh_dimension(self) -> None:
         """Materialise the current merchant names (one row per merchant; output
@@ -288,8 +311,7 @@ class EventStore:
         if changes is not None:
             (latest_merchant_names(changes)
              .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.dimension_path))
-            self._invalidate()
-
+    
     def _write_projection(self, proj: DataFrame, static: bool) -> None:
         """Projection files are sorted by ``initiated_at`` inside each bucket
         (the sort leads with the partition column, so the writer keeps it),
@@ -308,9 +330,9 @@ class EventStore:
             return 0
         proj = self._with_bucket(project_transactions(log).select(*PROJECTION_COLUMNS))
         self._write_projection(proj, static=True)
-        self._invalidate()
         self.refresh_dimension()
-        return self._read(self.projection_path).count()
+        stored = self._read(self.projection_path)
+        return 0 if stored is None else stored.count()
 
     def compact_log(self, before_batch: int) -> int:
         """Merge the log segments of batches older than ``before_batch``.
@@ -338,23 +360,19 @@ class EventStore:
         return version
 
     def _set_log_version(self, version: int) -> None:
-        (self.spark.range(1).select(F.lit(version).alias("version"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.log_version_path))
-        _LOG_VERSION[self.root] = version
-        self._invalidate()
+        """Versions are only ever added, so a crash leaves the old one or the new one."""
+        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(self.log_version_path)
 
     def _wipe(self, path: str) -> None:
         """Remove every file under ``path`` (a static overwrite with no rows)."""
         nothing = self.spark.createDataFrame([], "x int, p int")
         (nothing.write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy("p").parquet(path))
-        self._invalidate()
 
     def quarantine(self, rejected: DataFrame, batch_id: int) -> None:
         """Keep rejected wire rows with their errors, per batch."""
         (rejected.withColumn("batch_id", F.lit(batch_id).cast("int"))
          .write.mode("overwrite").partitionBy("batch_id").parquet(self.quarantine_path))
-        self._invalidate()
 
     def truncate(self) -> None:
         """Wipe log, projection and merchants.
@@ -363,8 +381,7 @@ class EventStore:
         file, so the next read sees an empty store.
         """
         for path in (self.log_path, self.projection_path, self.merchants_path, self.quarantine_path,
-                     self.dimension_path, self.complete_path, self.layout_path):
+                     self.dimension_path, self.complete_path, self.ledger_path, self.layout_path):
             self._wipe(path)
-        _LAYOUT_CHECKED.discard(self.root)
         if self._log_version() != 0:
-            self._set_log_version(0)
+            self._wipe(self.log_version_path)

@@ -14,6 +14,8 @@ grows without bound, which is why the log-backed path is the default.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,13 +27,23 @@ from tallyline.schema import DELIVERY_COLUMNS
 from tallyline.sources.store import EventStore
 
 
-def ingest_batch_fn(store: EventStore, wire: bool = False, on_error: str = "quarantine"):
+def query_feed(spark: SparkSession, checkpoint: str) -> str:
+    """The feed name of a stream: its query id, which its checkpoint keeps
+    across restarts and which a new checkpoint does not share."""
+    kept = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()["value"]
+    return f"stream:{json.loads(kept)['id']}"
+
+
+def ingest_batch_fn(store: EventStore, wire: bool = False, on_error: str = "quarantine", checkpoint: str | None = None,
+                    feed: str | None = None):
     """The ``foreachBatch`` body: validate (for wire input), then ingest.
 
-    The micro-batch id becomes the log partition; Spark replays a failed
-    micro-batch with the same id, and the store overwrites that partition.
+    The store's ledger gives the stream's micro-batch its id; Spark replays a
+    failed micro-batch with the same number, and the store overwrites it.
     """
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
+        source = feed or (query_feed(store.spark, checkpoint) if checkpoint else "stream")
+        batch_id = store.allocate(source, number)
         if wire:
             if "raw_json" not in batch.columns and "value" in batch.columns:
                 batch = wire_frame(batch, batch_id)
@@ -40,11 +52,11 @@ def ingest_batch_fn(store: EventStore, wire: bool = False, on_error: str = "quar
                 if on_error == "quarantine":
                     store.quarantine(V.quarantine(checked), batch_id)
                 deliveries = V.gate(checked, on_error)
-                store.ingest(deliveries, batch_id)
+                store.ingest(deliveries, batch_id=batch_id)
             finally:
                 checked.unpersist()
         else:
-            store.ingest(batch.select(*DELIVERY_COLUMNS), batch_id)
+            store.ingest(batch.select(*DELIVERY_COLUMNS), batch_id=batch_id)
     return run
 
 
@@ -56,7 +68,7 @@ def run_ingest_stream(spark: SparkSession, source: DataFrame, store: EventStore,
     the source's ``maxFilesPerTrigger``) and stops, the same code path as a
     continuously running feed. Returns the finished query.
     """
-    query = (source.writeStream.foreachBatch(ingest_batch_fn(store, wire, on_error))
+    query = (source.writeStream.foreachBatch(ingest_batch_fn(store, wire, on_error, checkpoint))
              .option("checkpointLocation", checkpoint)
              .trigger(availableNow=True)
              .start())
@@ -66,20 +78,20 @@ def run_ingest_stream(spark: SparkSession, source: DataFrame, store: EventStore,
 
 def json_lines_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A2: a live feed of JSON Lines files (one event per line), as raw text."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    from tallyline.sources.json_events import text_lines
+
+    return text_lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
 
 
 def wire_frame(lines: DataFrame, batch_id: int) -> DataFrame:
     """Parse one micro-batch of JSON lines into the text-typed wire frame.
 
-    ``pos`` is the row position within the micro-batch, which Spark replays
-    from the same files (and so the same order) after a failure.
+    ``pos`` numbers the lines of the micro-batch's files in file order, which
+    Spark replays from the same files after a failure.
     """
-    from tallyline.sources.json_events import wire_from_json
+    from tallyline.sources.json_events import numbered_lines, wire_from_json
 
-    rows = (lines.filter(F.trim("value") != "")
-            .select(F.monotonically_increasing_id().alias("pos"), F.col("value").alias("raw_json")))
-    return wire_from_json(rows, batch_id)
+    return wire_from_json(numbered_lines(lines), batch_id)
 
 
 def delivery_file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:

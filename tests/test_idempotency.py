@@ -221,10 +221,7 @@ def test_bucket_layout_is_recorded_and_enforced(spark, factory, tmp_root):
 
     factory.happy_path("t1")
     EventStore(spark, tmp_root, buckets=4).ingest(factory.df(spark), 0)
-    from tallyline.sources import store as store_module
-    store_module._BUCKETS.pop(tmp_root, None)
     assert EventStore(spark, tmp_root).buckets == 4
-    store_module._LAYOUT_CHECKED.discard(tmp_root)
     with pytest.raises(ValueError):
         EventStore(spark, tmp_root, buckets=8).ingest(factory.df(spark), 1)
 
