@@ -8,16 +8,9 @@ _NEVER = RULE_SQL["processed_never_settled"].format(cut="TIMESTAMP '9999-12-31 0
 _AGE = f"date_sub('second', coalesce(processed_at, initiated_at, first_settled_at), {_AS_OF})"
 
 
-_TEXT = {
-    "processed_never_settled": ("processed_at IS NOT NULL AND first_settled_at IS NULL "
-                                "AND failed_at IS NULL AND processed_at < :cutoff"),
-    "settled_despite_failure": "failed_at IS NOT NULL AND first_settled_at IS NOT NULL",
-    "duplicate_settlement": "settled_event_count > 1",
-    "stuck_pending": ("initiated_at IS NOT NULL AND processed_at IS NULL AND failed_at IS NULL "
-                      "AND first_settled_at IS NULL AND initiated_at < :cutoff"),
-    "settled_without_processing": ("first_settled_at IS NOT NULL AND processed_at IS NULL "
-                                   "AND failed_at IS NULL"),
-}
+def _text(rule: str) -> str:
+    """A rule's predicate as the catalogue prints it."""
+    return RULE_SQL[rule].format(cut=":cutoff")[1:-1]
 
 
 def _hours(sec: str) -> str:
@@ -29,7 +22,7 @@ def extra_sql() -> dict[str, str]:
 
     # -- catalogue and identity ---------------------------------------------
     rows = "\n    UNION ALL ".join(
-        f"SELECT '{n}' AS rule, '{_TEXT[n]}' AS predicate, '{EXPLAIN_SQL[n]}' AS description, "
+        f"SELECT '{n}' AS rule, '{_text(n)}' AS predicate, '{EXPLAIN_SQL[n]}' AS description, "
         f"count(*) FILTER (WHERE {p.format(cut=_CUT)}) AS matched_count, "
         f"{_money(f'CASE WHEN {p.format(cut=_CUT)} THEN amount END')} AS matched_amount, {i} AS rule_order "
         f"FROM txn WHERE {_any(_CUT)}"
@@ -125,6 +118,46 @@ FROM txn"""
     q["stream_transactions"] = f"{PREFIX}\nSELECT {txn_cols} FROM txn"
     q["stream_running_state"] = f"{PREFIX}\nSELECT {txn_cols} FROM txn"
     q["store_incremental"] = f"{PREFIX}\nSELECT {txn_cols} FROM txn"
+    q["store_mixed_feeds"] = f"""{PREFIX}
+SELECT {", ".join("t." + c.strip() for c in txn_cols.split(","))},
+       m.merchant_name || CASE WHEN t.merchant_id IN (SELECT merchant_id FROM raw WHERE batch_id = 1) THEN ' (new)' ELSE '' END AS merchant_name
+FROM txn t JOIN merchants m ON m.merchant_id = t.merchant_id"""
+    q["ingest_labels_log"] = f"""{PREFIX}
+SELECT event_id, batch_id, pos,
+       CASE WHEN event_id % 2 = 0 OR row_number() OVER (PARTITION BY event_id ORDER BY batch_id, pos) > 1
+            THEN 'duplicate' ELSE 'ingested' END AS status
+FROM raw"""
+    q["merchants_merge"] = f"""{PREFIX},
+gone AS (SELECT -count(*) AS merchant_id FROM merchants WHERE merchant_id % 2 = 0)
+SELECT merchant_id, merchant_name, merchant_id % 2 = 1 OR merchant_id % 4 = 0 AS changed FROM merchants
+UNION ALL SELECT merchant_id, 'gone', false FROM gone"""
+    one = "(SELECT min(transaction_id) FROM log)"
+    detail = "concat_ws(',', " + ", ".join(f"CASE WHEN {p.format(cut=_CUT)} THEN '{n}' END" for n, p in RULE_SQL.items()) + ")"
+    q["txn_lookup"] = f"{PREFIX}\nSELECT *, {detail} AS discrepancies FROM vw WHERE transaction_id = {one}"
+    q["txn_history_one"] = f"""{PREFIX}
+SELECT l.transaction_id, l.event_id, l.event_type, l.amount, l.currency, l.occurred_at, n.n_name AS merchant_name
+FROM log l JOIN nation n ON n.n_nationkey = l.merchant_id WHERE l.transaction_id = {one}"""
+    pages = " UNION ALL ".join(
+        f'SELECT total, 50 AS "limit", {o} AS "offset", greatest(least(50, total - {o}), 0) AS returned, '
+        f"{o} + greatest(least(50, total - {o}), 0) < total AS has_more FROM n" for o in (0, 1_000_000_000))
+    q["discrepancy_page_meta"] = f"{PREFIX},\nn AS (SELECT count(*) AS total FROM txn WHERE {_any(_CUT)})\n{pages}"
+    q["validate_json"] = f"""
+SELECT pos, is_valid AND NOT broken AND k NOT IN (18, 19) AS is_valid,
+       CAST(CASE WHEN broken THEN 8 WHEN k IN (18, 19) THEN 1 ELSE error_count END AS INTEGER) AS error_count,
+       CASE WHEN broken THEN 'event_id' WHEN k = 18 THEN 'timestamp' WHEN k = 19 THEN 'merchant_name' ELSE first_error_field END AS first_error_field,
+       CASE WHEN broken THEN 'missing' WHEN k = 18 THEN 'datetime_parsing' WHEN k = 19 THEN 'string_type' ELSE first_error_code END AS first_error_code
+FROM (SELECT *, pos % 20 AS k, pos % 40 = 0 AS broken FROM ({VALIDATE_SQL}))"""
+    q["audit_constraints_planted"] = f"""{PREFIX}
+SELECT transaction_id, 'negative_amount' AS violation FROM txn WHERE transaction_id % 97 = 0
+UNION ALL SELECT transaction_id, 'negative_count' FROM txn WHERE transaction_id % 89 = 0
+UNION ALL SELECT transaction_id, 'no_evidence' FROM txn WHERE transaction_id % 83 = 0"""
+    q["audit_orphans_planted"] = f"""{PREFIX}
+SELECT 'transaction' AS kind, transaction_id AS id, merchant_id FROM txn WHERE merchant_id % 5 = 0
+UNION ALL SELECT 'event', event_id, merchant_id FROM log WHERE merchant_id % 5 = 0"""
+    q["audit_keys_planted"] = f"""{PREFIX}
+SELECT 'log_event_id' AS "check", event_id AS key, CAST(2 AS BIGINT) AS n FROM log WHERE event_id % 91 = 0
+UNION ALL SELECT 'projection_transaction_id', transaction_id, CAST(2 AS BIGINT) FROM txn WHERE transaction_id % 79 = 0
+UNION ALL SELECT 'event_in_two_transactions', event_id, CAST(2 AS BIGINT) FROM raw WHERE batch_id = 1"""
     return q
 
 

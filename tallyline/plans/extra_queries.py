@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.operators import audits, profile
+from tallyline.operators.projection import PROJECTION_COLUMNS
 from tallyline.plans.catalog import AS_OF, Recon, query
 
 # ---------------------------------------------------------------------------
@@ -94,14 +95,17 @@ def q_validate_errors(r: Recon) -> DataFrame:
 # Streaming (P1-P8): results must equal the batch rebuild (``transactions``)
 # ---------------------------------------------------------------------------
 STREAM_BATCHES = 3   # micro-batches the source files are drained in
+STREAM_COLUMNS = (*PROJECTION_COLUMNS, "payment_status", "settlement_status", "status")
 
 
 def write_delivery_files(deliveries: DataFrame, path: str) -> int:
     """Write deliveries as Parquet files hashed on (event_id, copy), so copies
     of one event land in different files and hence different micro-batches.
-    Returns the number of files written (at most one per write task)."""
+    The number of partitions is explicit (never merged by AQE): at least one
+    file for each micro-batch. Returns the number of files written."""
+    parts = max(STREAM_BATCHES, int(deliveries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     (deliveries.withColumn("pos", F.col("pos") * 2 + F.col("batch_id"))
-     .repartition(F.xxhash64("event_id", "batch_id"))
+     .repartition(parts, F.xxhash64("event_id", "batch_id"))
      .write.mode("overwrite").parquet(path))
     return len(deliveries.sparkSession.read.parquet(path).inputFiles())
 
@@ -120,37 +124,35 @@ def _stream_setup(r: Recon, name: str):
 
 @query("stream_transactions")
 def q_stream_transactions(r: Recon) -> DataFrame:
-    from tallyline.operators.projection import PROJECTION_COLUMNS
     from tallyline.sources.store import EventStore
     from tallyline.streaming.ingest import run_ingest_stream
 
     base, source = _stream_setup(r, "stream-ingest")
     store = EventStore(r.spark, f"{base}/store", buckets=16)
     run_ingest_stream(r.spark, source, store, f"{base}/checkpoint")
-    return store.transactions().select(*PROJECTION_COLUMNS, "payment_status", "settlement_status", "status")
+    return store.transactions().select(*STREAM_COLUMNS)
 
 
 @query("stream_running_state")
 def q_stream_running_state(r: Recon) -> DataFrame:
-    from tallyline.operators.projection import PROJECTION_COLUMNS
     from tallyline.streaming.ingest import run_running_state
 
     base, source = _stream_setup(r, "stream-state")
     state = run_running_state(source, f"{base}/state", f"{base}/checkpoint")
-    return state.select(*PROJECTION_COLUMNS, "payment_status", "settlement_status", "status")
+    return state.select(*STREAM_COLUMNS)
 
 
 @query("store_incremental")
 def q_store_incremental(r: Recon) -> DataFrame:
-    """A3/A4/C8/C12 + compaction: the feed ingested delivery by delivery
-    (originals, then the replay batch) into a fresh store, the log compacted,
-    and the stored projection read back. Must equal the rebuild."""
-    from tallyline.operators.projection import PROJECTION_COLUMNS
+    """A3/A4/C8/C12 + compaction: two batches of originals (the second adds to
+    transactions of the first), then the replays, into a fresh store; the log
+    compacted, and the stored projection read back. Must equal the rebuild."""
     from tallyline.session import scratch_path
     from tallyline.sources.store import EventStore
 
     store = EventStore(r.spark, scratch_path(r.spark, "store-incremental"), buckets=8)
-    for batch in (0, 1):
-        store.ingest(r.deliveries.filter(F.col("batch_id") == batch), batch)
+    original = F.col("batch_id") == 0
+    for batch, part in enumerate((original & (F.col("event_id") % 2 == 0), original & (F.col("event_id") % 2 == 1), ~original)):
+        store.ingest(r.deliveries.filter(part), batch)
     store.compact_log(before_batch=2)
-    return store.transactions().select(*PROJECTION_COLUMNS, "payment_status", "settlement_status", "status")
+    return store.transactions().select(*STREAM_COLUMNS)
