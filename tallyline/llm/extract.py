@@ -31,6 +31,8 @@ from tallyline.llm.common import col
 SIGMA = 1.0       # lines
 THRESHOLD = 0.5   # of the mean smoothed ratio
 
+MOSTLY = 0.8      # share of a region's text in chosen regions from which all of it is chosen
+
 # Elements by kind, in order of name.
 SILENT = frozenset("applet audio canvas head iframe math noscript object script style svg template title video".split())
 ASIDE = frozenset("aside button datalist dialog footer form header menu nav select textarea".split())
@@ -38,8 +40,7 @@ LANDMARK = frozenset(("article", "main"))
 BLOCK = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary
     table tbody td tfoot th thead tr ul""".split())
-CONTAINER = frozenset("""article aside blockquote body dialog div dl fieldset figure footer form header main menu nav ol
-    section table td ul""".split())
+CONTAINER = frozenset("article aside body dialog div fieldset footer form header main menu nav section".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -57,7 +58,7 @@ class _Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int]] = []   # element, left out, region
         self.muted = 0          # elements on the stack that are left out
         self.silent = ""        # a silent element that is open
-        self.regions = 0
+        self.above = [0]        # the region around each region
         self.region, self.landmark = 0, None
         self.lines: list[list] = []
         self.parts: list[str] = []
@@ -111,12 +112,12 @@ class _Lines(HTMLParser):
                 self.pop()
         if tag in CONTAINER or out:
             if tag in LANDMARK and not out and self.landmark is None:
-                self.landmark = self.regions + 1
+                self.landmark = len(self.above)
                 self.stack.append(("!" + tag, out, self.region))
             else:
                 self.stack.append((tag, out, self.region))
-            self.regions += 1
-            self.region = self.regions
+            self.above.append(self.region)
+            self.region = len(self.above) - 1
             self.muted += out
 
     def pop(self):
@@ -172,9 +173,32 @@ def main_text(html: str | None) -> str:
     # Where there are articles, only they can be content.
     among = [x[3] for x in lines] if any(x[3] for x in lines) else [True] * len(lines)
     chosen = {x[2] for x, d, a in zip(lines, dense, among) if d and a} or {x[2] for x, a in zip(lines, among) if a}
+    chosen |= _around(chosen, [(x[2], len(x[0])) for x, a in zip(lines, among) if a], page.above)
     return " ".join(x[0] for x, a in zip(lines, among) if a and x[2] in chosen)
 
 
+def _around(chosen: set[int], lines: list[tuple[int, int]], above: list[int]) -> set[int]:
+    """The regions beside chosen ones, where the region around them is mostly
+    theirs: short blocks with containers of their own."""
+    inside: dict[int, list[int]] = {}
+    for region, size in lines:
+        at, own = region, region in chosen
+        while at:
+            held = inside.setdefault(at, [0, 0])
+            held[0] += size
+            held[1] += size * own
+            at = above[at]
+    most = {r for r, (whole, own) in inside.items() if own >= MOSTLY * whole}
+
+    def within(region: int) -> bool:
+        while region:
+            if region in most:
+                return True
+            region = above[region]
+        return False
+    return {region for region, _ in lines if within(region)}
+
+
 def extracted(html: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:

@@ -78,7 +78,7 @@ def codewords(n: int, bits: int = CODE_BITS) -> np.ndarray:
     they are few, else the best of many drawn codes."""
     if n <= 5:
         splits = np.arange(1, 1 << max(0, n - 1))
-        return np.array([[1 if lang == n - 1 or not (s >> lang) & 1 else -1 for s in splits] for lang in range(n)]).reshape(n, -1)
+        return np.array([[1 if lang == n - 1 or not (s >> lang) & 1 else -1 for s in splits] for lang in range(n)]).reshape(n, len(splits))
     best, far = None, -1
     width = max(bits, 2 * int(np.ceil(np.log2(n))) + 5)
     draw = np.random.default_rng(0)

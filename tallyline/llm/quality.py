@@ -172,7 +172,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
 
     vectors.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     # Copies of one text are drawn once: a group of copies would fill the sample.
-    drawn = (rows.filter(((mark < bound(True)) & col("pattern").isin(of(True))) | ((mark < bound(False)) & col("pattern").isin(of(False))))
+    drawn = (rows.filter(col("text").isNotNull() & (((mark < bound(True)) & col("pattern").isin(of(True))) | ((mark < bound(False)) & col("pattern").isin(of(False)))))
              .groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("pattern", "text")).alias("t"))
              .select("h", col("t")["pattern"].alias("pattern"),
                      F.pandas_udf(vectors, "binary")(col("t")["text"].cast("binary")).alias("x")).collect())
