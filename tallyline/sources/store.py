@@ -5,7 +5,10 @@ Layout under ``root`` (any Hadoop-compatible shared path)::
     log/bucket=B/segment=N/        deduplicated events (append-only, the truth);
                                    segment N = batch N, segment -1 = compacted
                                    history (``log-v<k>`` after k compactions)
-    projection/bucket=B/           one row per transaction, derived from the log
+    projection/bucket=B/segment=N/ one row per transaction, derived from the log:
+                                   segment 0 is a full rebuild, later ones hold the
+                                   transactions that an ingest touched
+    projection_state/              one row per written projection segment
     ledger/                        one row per batch: its id, feed and number there
     merchants/batch_id=N/          merchant names that batch N introduced or changed
     dimension/                     current merchant names (materialised)
@@ -19,9 +22,11 @@ overwrite, so ingesting batch N replaces exactly the partitions of batch N: a
 retried batch overwrites itself instead of appending twice. Batch ids are given
 out by the ledger, to (feed, number in the feed): two feeds that both start at
 0 get ids of their own, and an id is never given out twice, whether or not any
-of its events were new. The projection is
-recomputed for whole touched buckets from the log (recompute, never
-increment), so it never reads itself while being overwritten.
+of its events were new. The transactions
+a batch touches are recomputed from the log (recompute, never increment) into a
+segment of their own, and no file of another segment is written again; readers
+take each transaction from its newest segment. ``rebuild`` folds all segments
+into one.
 
 Single-writer assumption: like any plain Parquet layout there is no
 cross-writer isolation; run one ingest at a time per store.
@@ -106,6 +111,10 @@ class EventStore:
     def projection_path(self) -> str:
         return f"{self.root}/projection"
 
+    @property
+    def projection_state_path(self) -> str:
+        return f"{self.root}/projection_state"
+
     @property
     def merchants_path(self) -> str:
         return f"{self.root}/merchants"
@@ -194,19 +203,39 @@ class EventStore:
 
     def transactions(self) -> DataFrame:
         """The stored projection; status axes are always re-derived on read."""
-        proj = self._read(self.projection_path)
-        if proj is None:
-            raise FileNotFoundError(f"no projection under {self.projection_path}")
-        return with_status(proj.drop("bucket").drop(*[c for c in STATUS_COLUMNS if c in proj.columns]))
+        return self._newest(lambda proj: proj)
 
     def lookup(self, transaction_id) -> DataFrame:
         """Point lookup; the bucket predicate prunes to one partition."""
+        def hit(proj: DataFrame) -> DataFrame:
+            # The key must hash with the column's own type (an int literal and
+            # a bigint column hash differently).
+            key = F.lit(transaction_id).cast(proj.schema["transaction_id"].dataType)
+            return proj.filter((F.col("bucket") == bucket_of(key, self.buckets)) & (F.col("transaction_id") == key))
+        return self._newest(hit)
+
+    def _newest(self, part) -> DataFrame:
+        """Each transaction from its newest projection segment. Touched ones
+        are few beside the base, which is scanned without a shuffle as long as
+        their ids are small enough to be broadcast by size."""
         proj = self._read(self.projection_path)
-        # The key must hash with the column's own type (an int literal and a
-        # bigint column hash differently).
-        key = F.lit(transaction_id).cast(proj.schema["transaction_id"].dataType)
-        hit = proj.filter((F.col("bucket") == bucket_of(key, self.buckets)) & (F.col("transaction_id") == key))
-        return with_status(hit.drop("bucket"))
+        if proj is None:
+            raise FileNotFoundError(f"no projection under {self.projection_path}")
+        last = self._last_segment()   # a later one is not whole yet
+        proj = part(proj.filter(F.col("segment") <= last))
+        columns = [c for c in proj.columns if c not in ("bucket", "segment", *STATUS_COLUMNS)]
+        if last == 0:
+            return with_status(proj.select(*columns))
+        later = proj.filter(F.col("segment") > 0)
+        base = proj.filter(F.col("segment") == 0).join(later.select("transaction_id").distinct(), "transaction_id", "left_anti")
+        rest = [c for c in columns if c != "transaction_id"]
+        newest = (later.groupBy("transaction_id").agg(F.max_by(F.struct(*rest), F.col("segment")).alias("row"))
+                  .select("transaction_id", *[F.col("row")[c].alias(c) for c in rest]))
+        return with_status(base.select(*columns).unionByName(newest.select(*columns)))
+
+    def _last_segment(self) -> int:
+        state = self._read(self.projection_state_path)
+        return 0 if state is None else int(state.agg(F.max("segment")).first()[0] or 0)
 
     # -- writes ----------------------------------------------------------------
     def _with_bucket(self, df: DataFrame) -> DataFrame:
@@ -249,7 +278,7 @@ class EventStore:
              .partitionBy("bucket", "segment").parquet(self.log_path))
     
             self._write_merchant_changes(batch, batch_id)
-            self._recompute(touched)
+            self._recompute(batch.select("transaction_id").distinct(), touched)
             self.refresh_dimension()
 
             log = self.log()
@@ -269,19 +298,18 @@ class EventStore:
          .withColumn("pos", F.lit(0).cast("long"))
          .write.mode("overwrite").partitionBy("batch_id").parquet(self.merchants_path))
 
-    def _recompute(self, buckets: list[int] | None) -> None:
-        """Recompute whole buckets of the projection from the log.
-
-        ``buckets`` holds at most ``self.buckets`` ints (the touched bucket ids),
-        so the partition filter is a bounded literal list; ``None`` = all.
-        """
+    def _recompute(self, ids: DataFrame, buckets: list[int]) -> None:
+        """Recompute the transactions ``ids`` from their log buckets into a new
+        projection segment. ``buckets`` holds at most ``self.buckets`` ints."""
         log = self.log()
-        if log is None:
+        if log is None or not buckets:
             return
-        if buckets is not None:
-            log = log.filter(F.col("bucket").isin(buckets))
-        proj = self._with_bucket(project_transactions(log).select(*PROJECTION_COLUMNS))
-        self._write_projection(proj, static=False)
+        touched = log.filter(F.col("bucket").isin(buckets)).join(ids, "transaction_id", "left_semi")
+        proj = self._with_bucket(project_transactions(touched).select(*PROJECTION_COLUMNS))
+        segment = self._last_segment() + 1
+        self._write_projection(proj, segment)
+        # Readers see the segment once it is whole; a retry writes a newer one.
+        self.spark.range(1).select(F.lit(segment).alias("segment")).write.mode("append").parquet(self.projection_state_path)
 
     def load(self, deliveries: DataFrame, source: str = "") -> None:
         """Replace the whole store with ``deliveries`` (keeping
@@ -312,16 +340,19 @@ class EventStore:
             (latest_merchant_names(changes)
              .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.dimension_path))
     
-    def _write_projection(self, proj: DataFrame, static: bool) -> None:
+    def _write_projection(self, proj: DataFrame, segment: int) -> None:
         """Projection files are sorted by ``initiated_at`` inside each bucket
         (the sort leads with the partition column, so the writer keeps it),
         so row-group statistics prune date ranges and recency pages; point
-        lookups use the bucket partition plus a bloom filter."""
-        writer = (proj.hint("rebalance", "bucket").sortWithinPartitions("bucket", "initiated_at", "transaction_id")
+        lookups use the bucket partition plus a bloom filter. Segment 0
+        replaces everything."""
+        writer = (proj.withColumn("segment", F.lit(segment)).hint("rebalance", "bucket")
+                  .sortWithinPartitions("bucket", "initiated_at", "transaction_id")
                   .write.mode("overwrite").options(**PROJECTION_WRITE_OPTIONS))
-        if static:
+        if segment == 0:
+            self._wipe(self.projection_state_path)
             writer = writer.option("partitionOverwriteMode", "static")
-        writer.partitionBy("bucket").parquet(self.projection_path)
+        writer.partitionBy("bucket", "segment").parquet(self.projection_path)
 
     def rebuild(self) -> int:
         """Drop and re-derive the whole projection from the log."""
@@ -329,7 +360,7 @@ class EventStore:
         if log is None:
             return 0
         proj = self._with_bucket(project_transactions(log).select(*PROJECTION_COLUMNS))
-        self._write_projection(proj, static=True)
+        self._write_projection(proj, 0)
         self.refresh_dimension()
         stored = self._read(self.projection_path)
         return 0 if stored is None else stored.count()
@@ -381,7 +412,8 @@ class EventStore:
         file, so the next read sees an empty store.
         """
         for path in (self.log_path, self.projection_path, self.merchants_path, self.quarantine_path,
-                     self.dimension_path, self.complete_path, self.ledger_path, self.layout_path):
+                     self.dimension_path, self.complete_path, self.ledger_path,
+                     self.projection_state_path, self.layout_path):
             self._wipe(path)
         if self._log_version() != 0:
             self._wipe(self.log_version_path)
