@@ -24,7 +24,7 @@ from tallyline.llm.common import col, fresh
 # Fixed value: the multiplier of the 64-bit congruential generator.
 MULTIPLIER = 2862933555777941757
 SHORT = 64          # draws made at once; a key needs about ln(shards) of them
-BUCKETS = 4096      # buckets per shard when slots are dealt
+BUCKET_DIGITS = 3   # hex digits of a row's hash that name its bucket: 4,096 buckets per shard
 
 _LOW, _HIGH = MULTIPLIER & 0xFFFFFFFF, MULTIPLIER >> 32
 
@@ -68,7 +68,7 @@ def stable_key(df: DataFrame, name: str) -> Column:
 
 
 def assign(df: DataFrame, key: str = "doc_id", shards: int = 16, order: list[str] | None = None,
-           buckets: int = BUCKETS) -> DataFrame:
+           digits: int = BUCKET_DIGITS) -> DataFrame:
     """``df`` with shard, slot and grown_shard (the shard with one more).
 
     ``order`` names further columns that tell rows of one key apart; they
@@ -80,7 +80,7 @@ def assign(df: DataFrame, key: str = "doc_id", shards: int = 16, order: list[str
     placed = (df.withColumn(at, jump(stable_key(df, key), shards))
               .withColumn("shard", col(at)["at"].cast("int"))
               .withColumn("grown_shard", F.when(col(at)["to"] == shards, F.lit(shards)).otherwise(col("shard")).cast("int"))
-              .withColumn(bucket, F.pmod(F.xxhash64(*[col(x) for x in names]), F.lit(buckets)).cast("int"))
+              .withColumn(bucket, F.substring(F.md5(F.concat_ws("|", *[col(x).cast("string") for x in names]).cast("binary")), 1, digits))
               .drop(at))
     counts = placed.groupBy("shard", bucket).agg(F.count("*").alias(n))
     before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,5 +1,123 @@
-"""DuckDB SQL of the registered queries that SQL can express."""
+"""DuckDB SQL of the registered queries that SQL can express.
+
+Written apart from the DataFrame code: contamination by comparing all
+shingles, the mix by windows over whole sources, shards by a recursive walk.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from tallyline.llm import urls
+from tallyline.llm.common import LOWER, UPPER
+
+SPACES = r"[^\x20\x09-\x0D]+"
+
+CONTAINED = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+q AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+qs AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+       FROM (SELECT item_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM q WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n FROM qs GROUP BY item_id),
+ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+       FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM qs) WHERE len(w) >= k))
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, count(*) AS n_found, count(*) / n AS containment
+FROM ds JOIN qs USING (k, s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n - 1e-9
+"""
+
+MIX = rf"""
+WITH base AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACES}')) AS size,
+                     md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
+w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, CAST(source_size AS DOUBLE) * 2 AS cap FROM s),
+v AS (SELECT *, CAST(CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM w),
+l AS (SELECT *, row_number() OVER o AS turn, sum(cap) OVER () / 2 * 1.5 AS budget,
+             (sum(cap) OVER () / 2 * 1.5 - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM v WINDOW o AS (ORDER BY cap / weight, place)),
+f AS (SELECT min(turn) AS turn FROM l WHERE cap > weight * level),
+t AS (SELECT l.source, l.source_size, l.place,
+             CASE WHEN f.turn IS NULL OR l.turn < f.turn THEN l.cap
+                  ELSE l.weight * (SELECT level FROM l AS x WHERE x.turn = f.turn) END AS target
+      FROM l, f),
+p AS (SELECT b.*, t.source_size, t.target, t.place,
+             sum(size) OVER (PARTITION BY b.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS stop
+      FROM base b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT doc_id, size, place, CAST(stop + e * source_size AS DOUBLE) / target AS finish
+      FROM p, (VALUES (0), (1)) AS x(e) WHERE size > 0 AND target > 0),
+k AS (SELECT doc_id, size, sum(size) OVER (ORDER BY finish, place ROWS UNBOUNDED PRECEDING) AS total FROM c),
+g AS (SELECT doc_id, sum(size) AS taken FROM k WHERE total <= (SELECT sum(source_size) * 1.5 FROM s) GROUP BY doc_id)
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken
+FROM p LEFT JOIN g USING (doc_id)
+"""
+
+
+def crc_table() -> list[int]:
+    """The CRC-32 of each byte, by the reversed polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+SHARD = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+walk(doc_id, k, here, nxt) AS (
+    SELECT doc_id, CAST(CASE WHEN doc_id < 0 THEN doc_id + 18446744073709551616 ELSE coalesce(doc_id, 0) END AS UHUGEINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT) FROM d
+    UNION ALL
+    SELECT doc_id, k2, nxt, CAST(floor((nxt + 1) * (2147483648.0::DOUBLE / CAST((k2 // 8589934592) + 1 AS DOUBLE))) AS BIGINT)
+    FROM (SELECT doc_id, nxt, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM walk WHERE nxt < 16)
+),
+placed AS (SELECT doc_id, CAST(here AS INTEGER) AS shard, CAST(CASE WHEN nxt = 16 THEN 16 ELSE here END AS INTEGER) AS grown_shard FROM walk WHERE nxt >= 16),
+crc AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'),
+               lambda b: CAST('0x' || b AS BIGINT))),
+               lambda c, b: xor(c // 256, {crc_table()}[CAST(xor(c % 256, b) AS INTEGER) + 1]))) AS text_crc32,
+               octet_length(encode(t)) + 1 AS size FROM d)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard, grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws('|', doc_id, size, CAST(text_crc32 AS BIGINT)))[1:3], doc_id, size, text_crc32) - 1 AS slot
+FROM placed JOIN crc USING (doc_id)
+"""
+
+def _rule_rows() -> str:
+    rows = [(r, v, *r.partition("/")) for r, v in urls.RULES]
+    return ", ".join(f"('{r}', '{v}', '{site}', '{slash + rest}')" for r, v, site, slash, rest in rows)
+
+
+JUDGED = rf"""
+WITH hp AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(rule, rule_verdict, site, prefix) AS (VALUES {_rule_rows()}),
+m AS (SELECT page_id, host, path, rule, rule_verdict
+      FROM hp LEFT JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, prefix)
+      QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, rule DESC) = 1),
+mf AS (SELECT *, '/' || array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
+              lambda x: CASE WHEN regexp_matches(x, '{urls._VARIABLE}') THEN '*' ELSE x END), '/') AS form FROM m),
+forms AS (SELECT host, form, count(*) AS pages, count(rule_verdict) AS n, count(*) FILTER (WHERE rule_verdict = 'block') AS b,
+                 list_filter(string_split(form, '/'), lambda x: x <> '') AS parts FROM mf GROUP BY host, form),
+steps AS (SELECT host, form, pages, depth, parts[depth + 1] AS segment, array_to_string(parts[1:depth], '/') AS above
+          FROM (SELECT *, unnest(range(len(parts))) AS depth FROM forms)),
+wide AS (SELECT host, above FROM (SELECT host, above, segment, sum(pages) AS pages FROM steps GROUP BY ALL) GROUP BY host, above
+         HAVING count(*) >= {urls.MANY} AND max(pages) <= sum(pages) * {urls.RARE}),
+named AS (SELECT s.host, s.form, list(CASE WHEN w.host IS NOT NULL THEN '*' ELSE segment END ORDER BY depth) AS segs
+          FROM steps s LEFT JOIN wide w ON w.host = s.host AND w.above = s.above GROUP BY s.host, s.form),
+kept AS (SELECT f.host, f.form, f.n, f.b, coalesce(segs, []) AS segs,
+                list_max(list_filter(range(1, len(coalesce(segs, [])) + 1), lambda i: segs[i] <> '*')) AS fixed
+         FROM forms f LEFT JOIN named n ON n.host = f.host AND n.form = f.form),
+tpl AS (SELECT host, form, n, b, '/' || array_to_string(segs, '/') AS own,
+               '/' || array_to_string(list_transform(segs, lambda x, i: CASE WHEN i = fixed THEN '*' ELSE x END), '/') AS parent FROM kept),
+own AS (SELECT host, own, parent, sum(n) AS n, sum(b) AS b FROM tpl GROUP BY ALL),
+both_ AS (SELECT *, sum(n) OVER f AS an, sum(b) OVER f AS ab FROM own WINDOW f AS (PARTITION BY host, parent)),
+merged AS (SELECT host, own, parent, n, b, CASE WHEN n = 0 OR an = n THEN own WHEN ab = 0 OR ab = an THEN parent
+                  WHEN power(b / n - (ab - b) / (an - n), 2) / (ab / an * (1 - ab / an) * (1 / n + 1 / (an - n))) < {urls.ALIKE} THEN parent
+                  ELSE own END AS template FROM both_),
+final AS (SELECT host, template, CASE WHEN (sum(b) + {urls.PRIOR_ROWS * urls.PRIOR_BLOCK}) / (sum(n) + {urls.PRIOR_ROWS}) >= {urls.REJECT}
+                 THEN 'block' ELSE 'allow' END AS verdict FROM merged GROUP BY host, template)
+SELECT page_id, mf.host, path, rule, coalesce(rule_verdict, verdict) AS verdict
+FROM mf JOIN tpl ON tpl.host = mf.host AND tpl.form = mf.form
+JOIN merged ON merged.host = tpl.host AND merged.own = tpl.own AND merged.parent = tpl.parent
+JOIN final ON final.host = merged.host AND final.template = merged.template
+"""
+
+SQL: dict[str, str] = {"op1_decontaminate": CONTAINED, "op2_mix": MIX, "op9_url_filter": JUDGED,
+                       "op10_shard": SHARD}

@@ -109,7 +109,8 @@ def templates(judged: DataFrame) -> DataFrame:
     pooled = col("all_b") / col("all_n")
     gap = col("b") / col("n") - rest_b / rest_n
     z2 = gap * gap / (pooled * (1 - pooled) * (1 / col("n") + 1 / rest_n))
-    alike = (F.when((col("n") == 0) | (rest_n == 0), True).when((col("all_b") == 0) | (col("all_b") == col("all_n")), True)
+    # A branch without labels, or with the only labels, is like no other.
+    alike = (F.when((col("n") == 0) | (rest_n == 0), False).when((col("all_b") == 0) | (col("all_b") == col("all_n")), True)
              .otherwise(z2 < ALIKE))
     both = both.withColumn("template", F.when(alike, col("parent")).otherwise(col("own")))
     final = both.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
