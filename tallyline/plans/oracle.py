@@ -242,6 +242,7 @@ SELECT (SELECT count(*) FROM log) AS events,
     q["txn_sort_amount"] = _page("amount DESC NULLS LAST, transaction_id DESC", C.PAGE_LIMIT)
     q["txn_sort_settled_asc"] = _page("first_settled_at ASC NULLS FIRST, transaction_id ASC", C.PAGE_LIMIT)
     q["txn_page2"] = _page(_INIT_DESC, C.PAGE_LIMIT, C.PAGE2_OFFSET)
+    q["txn_page2_by_key"] = q["txn_page2"]
     q["txn_page_meta"] = f"""{PREFIX}
 SELECT total, 50 AS "limit", 50 AS "offset",
        CAST(greatest(least(50, total - 50), 0) AS BIGINT) AS returned,

@@ -75,6 +75,15 @@ def q_discrepancy_page_meta(r: Recon) -> DataFrame:
     return first.unionByName(reports.discrepancy_page_meta(r.txn, AS_OF, SLA_HOURS, limit=PAGE_LIMIT, offset=FAR_OFFSET))
 
 
+@query("txn_page2_by_key")
+def q_txn_page2_by_key(r: Recon) -> DataFrame:
+    """The second page by the key of the first page's last row."""
+    first = reports.list_transactions(r.txn, limit=PAGE_LIMIT, merchants=r.merchants)
+    last = first.orderBy(F.col("initiated_at").asc_nulls_first(), "transaction_id").first()
+    return reports.list_transactions(r.txn, limit=PAGE_LIMIT, merchants=r.merchants,
+                                     after=(last["initiated_at"], last["transaction_id"]))
+
+
 @query("validate_json")
 def q_validate_json(r: Recon) -> DataFrame:
     """A1/B: the wire rows as JSON text, some with a time without a date, a
