@@ -37,41 +37,37 @@ WORDS = 10           # words from which a text speaks for itself
 KEEP = 0.5           # quality from which a document is kept
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return part / F.greatest(whole, F.lit(1))
-
-
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
-
-
-def labellers(text: Column) -> dict[str, Column]:
-    """Votes of the labellers: 1 good, -1 bad, 0 none."""
-    t = F.coalesce(text, F.lit(""))
-    chars = F.length(t)
-    without = lambda signs: F.length(F.translate(t, signs, ""))
-    times = lambda part: (chars - F.length(F.replace(t, F.lit(part), F.lit("")))) / len(part)
-    spaces = chars - without(" \t\n\r")
-    signs = chars - without("#$%&*@^~<>{}[]|\\=+_")
-    ends = times(". ") + times(".\n") + F.when(t.endswith("."), 1).otherwise(0)
-    digits = chars - without("0123456789")
-    capitals = chars - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    plain = chars - without("abcdefghijklmnopqrstuvwxyz .,\n")
-    lines = F.split(t, "\n")
-    words = spaces + 1
-    tokens = F.split(F.translate(t, "\n", " "), " ")
-    never = F.lit(False)
-    return {
-        "signs": _vote(_share(signs, chars) < 0.005, _share(signs, chars) > 0.04),
-        "sentences": _vote((ends > 0) & _share(words, ends).between(3, 40), (words > 30) & (ends * 150 < words)),
-        "bars": _vote(never, _share(times("|"), words) > 0.1),
-        "plain": _vote(_share(plain, chars) > 0.85, _share(plain, chars) < 0.6),
-        "digits": _vote(never, _share(digits, chars) > 0.15),
-        "capitals": _vote(never, (_share(capitals, chars) > 0.3) & (chars > 40)),
-        "long_words": _vote(never, (_share(chars, words) > 15) & (chars > 40)),
-        "repeated_lines": _vote(never, (F.size(lines) > 4) & (F.size(F.array_distinct(lines)) * 2 < F.size(lines))),
-        "repeated_words": _vote(never, (F.size(tokens) > 20) & (F.size(F.array_distinct(tokens)) * 5 < F.size(tokens))),
-    }
+LABELLERS = ("signs", "sentences", "bars", "plain", "digits", "capitals", "long_words", "repeated_lines", "repeated_words")
+
+_SIGNS = np.frombuffer(b"#$%&*@^~<>{}[]|\\=+_", dtype=np.uint8)
+_PLAIN = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz .,\n", dtype=np.uint8)
+
+
+def votes(text: bytes | None) -> str:
+    """The labellers' votes, one sign each: + good, - bad, 0 none.
+
+    They look at counts of bytes, words and lines of the whole text; shares are
+    of characters (bytes that begin one) or of words.
+    """
+    text = text or b""
+    n = np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256)
+    chars = max(1, int(n.sum() - n[128:192].sum()))
+    words, lines = text.split(), text.split(b"\n")
+    many = max(1, len(words))
+    ends = text.count(b". ") + text.count(b".\n") + text.endswith(b".")
+    signs, plain = n[_SIGNS].sum() / chars, n[_PLAIN].sum() / chars
+    good_bad = (
+        (signs < 0.005, signs > 0.04),
+        (ends > 0 and 3 <= many / max(1, ends) <= 40, many > 30 and ends * 150 < many),
+        (False, n[ord("|")] / many > 0.1),
+        (plain > 0.85, many > 20 and plain < 0.6),
+        (False, many > 20 and n[48:58].sum() / chars > 0.15),
+        (False, chars > 40 and n[65:91].sum() / chars > 0.3),
+        (False, chars > 40 and chars / many > 15),
+        (False, len(lines) > 4 and len(set(lines)) * 2 < len(lines)),
+        (False, many > 20 and len(set(words)) * 5 < many),
+    )
+    return "".join("-" if bad else "+" if good else "0" for good, bad in good_bad)
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -144,56 +140,62 @@ def fit(x: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, float]:
     return w, float(b)
 
 
+def _vote_column(text: Column) -> Column:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([votes(t) for t in texts], dtype="object")
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")(text.cast("binary"))
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, posterior, quality, keep) of every row. The posterior is null
     where no labeller votes; the quality is the trained scorer's."""
-    votes = labellers(col(text))
-    pattern = F.concat_ws("", *[F.element_at(F.array(F.lit("-"), F.lit("0"), F.lit("+")), v + 2) for v in votes.values()])
-    counted = docs.groupBy(pattern.alias("pattern")).agg(F.count("*").alias("n")).collect()   # at most 3^labellers rows
+    rows = docs.select(col(doc_id).alias("doc"), col(text).alias("text"))
+    counted = rows.groupBy(_vote_column(col("text")).alias("pattern")).agg(F.count("*").alias("n")).collect()   # at most 3^labellers rows
     counted.sort(key=lambda r: r["pattern"])
-    signs = np.array([["-0+".index(c) - 1 for c in r["pattern"]] for r in counted], dtype=int).reshape(-1, len(votes))
+    signs = np.array([["-0+".index(c) - 1 for c in r["pattern"]] for r in counted], dtype=int).reshape(-1, len(LABELLERS))
     n = np.array([r["n"] for r in counted], dtype=float)
     post, _, prior = estimate(signs, n)
     posterior = {r["pattern"]: (float(p) if (s != 0).any() else None) for r, p, s in zip(counted, post, signs)}
 
-    # About half of the sample from either side, by a hash of the text.
+    # About half of the sample from either side, by a hash of the text; copies
+    # of one text are drawn once, or a group of copies would fill the sample.
     sides = {True: 0.0, False: 0.0}
     for r in counted:
         if posterior[r["pattern"]] is not None:
             sides[posterior[r["pattern"]] > 0.5] += r["n"]
-    rows = docs.select(col(doc_id).alias("doc"), col(text).alias("text"), pattern.alias("pattern"))
     mark = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    bound = lambda side: min(1 << 30, int(sample / 2 / max(1.0, sides[side]) * (1 << 30)) + 1)
-    of = lambda side: [p for p, v in posterior.items() if v is not None and (v > 0.5) == side]
+    bound = {side: min(1 << 30, int(sample / 2 / max(1.0, size) * (1 << 30)) + 1) for side, size in sides.items()}
 
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([features(t).astype("<f4").tobytes() for t in texts])
-
-    vectors.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    # Copies of one text are drawn once: a group of copies would fill the sample.
-    drawn = (rows.filter(col("text").isNotNull() & (((mark < bound(True)) & col("pattern").isin(of(True))) | ((mark < bound(False)) & col("pattern").isin(of(False)))))
-             .groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("pattern", "text")).alias("t"))
-             .select("h", col("t")["pattern"].alias("pattern"),
-                     F.pandas_udf(vectors, "binary")(col("t")["text"].cast("binary")).alias("x")).collect())
-    drawn.sort(key=lambda r: r["h"])
-    x = np.array([np.frombuffer(r["x"], dtype="<f4") for r in drawn], dtype=float).reshape(-1, FEATURES)
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for h, at, t in zip(batch["h"], batch["mark"], batch["text"]):
+                p = posterior.get(votes(t))
+                if p is not None and at < bound[p > 0.5]:
+                    out.append((h, p, features(t).astype("<f4").tobytes()))
+            yield pd.DataFrame(out, columns=["h", "p", "x"])
+
+    few = (rows.filter(col("text").isNotNull() & (mark < max(bound.values())))
+           .groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+           .select("h", mark.alias("mark"), col("text").cast("binary").alias("text"))
+           .mapInPandas(drawn, "h bigint, p double, x binary").collect())
+    few.sort(key=lambda r: r["h"])
+    x = np.array([np.frombuffer(r["x"], dtype="<f4") for r in few], dtype=float).reshape(-1, FEATURES)
     lean = float(np.log(prior / (1 - prior)))
-    w, b = fit(x, np.array([posterior[r["pattern"]] for r in drawn], dtype=float))
+    w, b = fit(x, np.array([r["p"] for r in few], dtype=float))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out = []
-            for t in texts:
-                # Few words say little: the prior speaks for the rest.
-                told = min(1.0, len(t.split()) / WORDS) if t else 0.0
-                margin = told * (features(t) @ w + b) + (1 - told) * lean if told else -np.inf
-                out.append(float(1 / (1 + np.exp(-np.clip(margin, -30, 30)))) if told else 0.0)
-            yield pd.Series(out, dtype="float64")
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    known = [(p, v) for p, v in posterior.items() if v is not None]
-    table = F.create_map(*[F.lit(x) for pair in known for x in pair]) if known else F.lit(None).cast("map<string,double>")
-    scored = rows.select("doc", F.get(F.transform(F.array("pattern"), lambda p: table[p]), F.lit(0)).alias("posterior"),
-                         F.pandas_udf(run, "double")(col("text").cast("binary")).alias("quality"))
-    return scored.select(col("doc").alias(doc_id), "posterior", "quality", (col("quality") >= KEEP).alias("keep"))
+            told = [min(1.0, len(t.split()) / WORDS) if t else 0.0 for t in texts]
+            # Few words say little: the prior speaks for the rest.
+            margin = [s * (features(t) @ w + b) + (1 - s) * lean if s else -np.inf for s, t in zip(told, texts)]
+            yield pd.DataFrame({"posterior": pd.array([posterior[votes(t)] for t in texts], dtype="Float64"),
+                                "quality": [0.0 if m == -np.inf else float(1 / (1 + np.exp(-np.clip(m, -30, 30)))) for m in margin]})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    scored = rows.select("doc", F.pandas_udf(run, "posterior double, quality double")(col("text").cast("binary")).alias("s"))
+    return scored.select(col("doc").alias(doc_id), col("s")["posterior"].alias("posterior"), col("s")["quality"].alias("quality"),
+                         (col("s")["quality"] >= KEEP).alias("keep"))
