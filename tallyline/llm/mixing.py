@@ -8,8 +8,9 @@ the targets add up to the budget, all sources reach their targets together, up
 to one document each.
 
 Running totals never sit in one task: rows are dealt into ranges of the order,
-the ranges' sums give each range its start. Only the one range of finish times
-in which the budget ends is looked at row by row.
+the ranges' sums give each range its start. Only one part of the one range of
+finish times in which the budget ends is looked at row by row: about a millionth
+of all rows.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
 source of its own, last in order; equal rows are ordered arbitrarily among
@@ -28,6 +29,7 @@ WEIGHTS = (5, 2, 1)   # by the source's rank, repeating
 SHARE = 1.5           # words to take, as a share of all words
 LIMIT = 2             # passes through a source at most
 PER_OCTAVE = 256      # ranges of finish times per doubling
+PARTS = 4096          # parts of the range in which the budget ends
 
 
 def _key(source: Column) -> Column:
@@ -76,6 +78,12 @@ def _range(finish: Column) -> Column:
     return F.floor(F.log2(finish) * PER_OCTAVE)
 
 
+def _part(finish: Column, at: int) -> Column:
+    """The part of range ``at`` that a finish time lies in, rising with it."""
+    low, high = 2.0 ** (at / PER_OCTAVE), 2.0 ** ((at + 1) / PER_OCTAVE)
+    return F.floor((finish - low) / (high - low) * PARTS)
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Column | None = None,
         weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: str = "",
         tags: dict[str, Column] | None = None) -> DataFrame:
@@ -116,24 +124,32 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: Colu
         Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("total"))
     last = running.filter(col("total") > budget).orderBy("range").first()
 
+    if last is not None:
+        # The range in which the budget ends, in equal parts; then the part.
+        inside = copies.filter(col("range") == last["range"]).withColumn("part", _part(col("finish"), last["range"]))
+        left = last["total"] - last["range_size"]
+        parts = inside.groupBy("part").agg(F.sum("size").alias("part_size"))
+        end = (parts.select("part", "part_size", (F.sum("part_size").over(
+            Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + left).alias("total"))
+            .filter(col("total") > budget).orderBy("part").first())
+        left = end["total"] - end["part_size"]
+        in_order = Window.orderBy("finish", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cut = (inside.filter(col("part") == end["part"])
+               .select("finish", "rank", (F.sum("size").over(in_order) + left).alias("total"))
+               .filter(col("total") <= budget).agg(F.max(F.struct("finish", "rank")))).first()[0]
+
     def taken(passes: int) -> Column:
         finish = _finish(passes)
         live = (col("size") > 0) & (col("target") > 0)
         if last is None:
             return live
-        inside = F.lit(False)
-        if cut is not None and cut[0] is not None:
-            inside = (_range(finish) == last["range"]) & (
-                (finish < cut[0]["finish"]) | ((finish == cut[0]["finish"]) & (col("rank") <= cut[0]["rank"])))
-        return live & ((_range(finish) < last["range"]) | inside)
+        part = _part(finish, last["range"])
+        before = part < end["part"]
+        if cut is not None:
+            before = before | ((part == end["part"]) & ((finish < cut["finish"]) | (
+                (finish == cut["finish"]) & (col("rank") <= cut["rank"]))))
+        return live & ((_range(finish) < last["range"]) | ((_range(finish) == last["range"]) & before))
 
-    cut = None
-    if last is not None:
-        left = last["total"] - last["range_size"]
-        in_order = Window.orderBy("finish", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cut = (copies.filter(col("range") == last["range"])
-               .select("finish", "rank", (F.sum("size").over(in_order) + left).alias("total"))
-               .filter(col("total") <= budget).agg(F.max(F.struct("finish", "rank")))).first()
     passes = sum((F.coalesce(taken(p), F.lit(False)).cast("int") for p in range(1, limit)),
                  F.coalesce(taken(0), F.lit(False)).cast("int"))
     return placed.select(col(key_out).alias(key), "source", "size", "source_size", "target", passes.alias("passes"),
