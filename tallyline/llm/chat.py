@@ -41,15 +41,21 @@ TEMPLATE = (
 # The reader's view of the same turns.
 _TURN = re.compile(r"<s>(?:\[INST\] (?P<user>.*?) \[/INST\]|\[OUT\] (?P<out>.*?)|\[ROLE\] (?P<role>.*?) \[/ROLE\] (?P<text>.*?))</s>", re.S)
 
+_FIRST = "".join(sorted({c[0] for c in CONTROLS}))
 _RAW = re.compile("|".join(rf"({re.escape(c[0])})(\\*)({re.escape(c[1:])})" for c in CONTROLS))
 
 
+def _plain(text: str) -> bool:
+    """No character that begins a control string: nothing to escape or undo."""
+    return not any(c in text for c in _FIRST)
+
+
 def escape(text: str) -> str:
-    return _RAW.sub(lambda m: "\\".join(_halves(m)), text)
+    return text if _plain(text) else _RAW.sub(lambda m: "\\".join(_halves(m)), text)
 
 
 def unescape(text: str) -> str:
-    return _RAW.sub(lambda m: _halves(m)[0] + m[0][2:] if m[0][1] == "\\" else m[0], text)
+    return text if _plain(text) else _RAW.sub(lambda m: _halves(m)[0] + m[0][2:] if m[0][1] == "\\" else m[0], text)
 
 
 def _halves(m: re.Match) -> tuple[str, str]:

@@ -53,8 +53,9 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class _Lines(HTMLParser):
     """Collects lines: [text parts, tags, region, in an article]."""
 
-    def __init__(self):
+    def __init__(self, never_closed: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.never_closed = never_closed   # elements not to leave out by name
         self.stack: list[tuple[str, bool, int]] = []   # element, left out, region
         self.muted = 0          # elements on the stack that are left out
         self.silent = ""        # a silent element that is open
@@ -73,7 +74,7 @@ class _Lines(HTMLParser):
 
     def out(self, tag: str, attrs) -> bool:
         """Whether an element is left out by its name or attributes."""
-        if tag in ASIDE:
+        if tag in ASIDE and tag not in self.never_closed:
             # The heading of an article is its own, not the page's.
             return not (tag == "header" and self.landmark is not None)
         for name, value in attrs:
@@ -157,13 +158,21 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    page = _Lines()
+def _read(html: str, never_closed: frozenset[str] = frozenset()) -> _Lines:
+    page = _Lines(never_closed)
     page.feed(html)
     page.close()
     page.end_line()
+    return page
+
+
+def main_text(html: str | None) -> str:
+    if not html:
+        return ""
+    page = _read(html)
+    left_open = frozenset(tag for tag, out, _ in page.stack if out and tag in ASIDE)
+    if not page.lines and left_open:
+        page = _read(html, left_open)   # a menu that is never closed does not swallow the page
     lines = page.lines
     if not lines:
         return ""

@@ -222,6 +222,7 @@ def test_main_text():
         assert extract.main_text(PAGE % (open_ + BODY + close)) == TEXT
     assert extract.main_text("<article><p>x") == "x"
     assert extract.main_text("<article><header><h1>T</h1></header><p>Text</article>") == "T Text"
+    assert extract.main_text("<header><p>A page whose header is never closed") == "A page whose header is never closed"
     for nothing in (None, "", "<html><script>x", "<nav>a</nav>"):
         assert extract.main_text(nothing) == ""
     long = "word " * 50_000
