@@ -396,6 +396,8 @@ class EventStore:
 
     def _wipe(self, path: str) -> None:
         """Remove every file under ``path`` (a static overwrite with no rows)."""
+        if self._read(path) is None:
+            return
         nothing = self.spark.createDataFrame([], "x int, p int")
         (nothing.write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy("p").parquet(path))
