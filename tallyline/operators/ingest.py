@@ -39,18 +39,18 @@ def known_event_ids(deliveries: DataFrame, log: DataFrame | None) -> DataFrame |
     return log.select("event_id").join(keys, "event_id", "left_semi").distinct()
 
 
-def dedupe_events(deliveries: DataFrame, log: DataFrame | None = None) -> DataFrame:
-    """One row per new event_id; the first delivery by arrival order wins."""
+def dedupe_events(deliveries: DataFrame, log: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per new event_id; the first delivery by arrival order wins.
+    ``keep`` names further columns of that delivery."""
     payload = [c for c in LOG_COLUMNS if c not in ("event_id", "batch_id", "pos")]
-    payload += [c for c in ("payload",) if c in deliveries.columns]
+    payload += keep
     firsts = (deliveries.groupBy("event_id")
               .agg(F.min(F.struct("batch_id", "pos", *payload)).alias("_first"))
               .select("event_id", *[F.col(f"_first.{c}").alias(c) for c in ("batch_id", "pos", *payload)]))
     known = known_event_ids(deliveries, log)
     if known is not None:
         firsts = firsts.join(known, "event_id", "left_anti")
-    return firsts.select("event_id", "batch_id", "pos", *payload).select(
-        *LOG_COLUMNS, *[c for c in payload if c not in LOG_COLUMNS])
+    return firsts.select(*LOG_COLUMNS, *keep)
 
 
 def label_deliveries(deliveries: DataFrame, log: DataFrame | None = None) -> DataFrame:

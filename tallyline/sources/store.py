@@ -60,16 +60,13 @@ LOG_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true"}
 PROJECTION_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true"}
 
 
-def with_payload(deliveries: DataFrame) -> DataFrame:
-    """Each delivery with the whole normalised event as JSON, named as on the wire."""
+def log_rows(deliveries: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """New log rows with their arrival time (C5) and the whole normalised event
+    as JSON, named as on the wire (C6)."""
     fields = [c for c in DELIVERY_COLUMNS if c not in ("batch_id", "pos")]
-    return deliveries.withColumn("payload", F.to_json(F.struct(*[
-        F.col(c).alias("timestamp" if c == "occurred_at" else c) for c in fields])))
-
-
-def _received() -> Column:
-    """Arrival time."""
-    return F.current_timestamp().cast("timestamp_ntz")
+    payload = F.to_json(F.struct(*[F.col(c).alias("timestamp" if c == "occurred_at" else c) for c in fields]))
+    return (dedupe_events(deliveries, prior, keep=("merchant_name",)).withColumn("payload", payload).drop("merchant_name")
+            .withColumn("received_at", F.current_timestamp().cast("timestamp_ntz")))
 
 
 def buckets_for(rows: int) -> int:
@@ -270,7 +267,7 @@ class EventStore:
                 prior = prior.filter(F.col("segment") != F.lit(batch_id))
                 if probe_touched_buckets:
                     prior = prior.filter(F.col("bucket").isin(touched))
-            new_events = dedupe_events(with_payload(batch), prior).withColumn("received_at", _received())
+            new_events = log_rows(batch, prior)
             # REBALANCE lets AQE split a hot bucket over several writers.
             (self._with_bucket(new_events).withColumn("segment", F.col("batch_id"))
              .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
@@ -317,7 +314,7 @@ class EventStore:
         an earlier load goes first: a broken load is never taken for whole."""
         self._wipe(self.complete_path)
         self._ensure_layout()
-        log = dedupe_events(with_payload(deliveries)).withColumn("received_at", _received())
+        log = log_rows(deliveries)
         (self._with_bucket(log).withColumn("segment", F.col("batch_id"))
          .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
          .write.mode("overwrite").option("partitionOverwriteMode", "static").options(**LOG_WRITE_OPTIONS)
