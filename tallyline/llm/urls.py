@@ -9,7 +9,10 @@
    shares do not differ from their parent's by a two-proportion test are
    merged into it.
 4. A template is rejected when its smoothed share of blocked labels reaches
-   the threshold; an URL without a rule gets its template's verdict.
+   the threshold; an URL without a rule gets its template's verdict. The share
+   is smoothed towards that of the branch above, from the labels outside the
+   template, up to the host and at last a constant: a template without labels
+   has the share of what lies around it.
 
 Counts are partial sums per (host, path form), so a host with a third of all
 pages is one small group per map task.
@@ -113,14 +116,34 @@ def templates(judged: DataFrame) -> DataFrame:
     alike = (F.when((col("n") == 0) | (rest_n == 0), False).when((col("all_b") == 0) | (col("all_b") == col("all_n")), True)
              .otherwise(z2 < ALIKE))
     both = both.withColumn("template", F.when(alike, col("parent")).otherwise(col("own")))
-    final = both.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    share = (col("b") + PRIOR_ROWS * PRIOR_BLOCK) / (col("n") + PRIOR_ROWS)
-    final = final.select("host", "template", F.when(share >= REJECT, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
+    final = verdicts(both.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
     chosen = both.select("host", "own", "parent", "template").join(final, ["host", "template"])
     return written(counted.select("host", "form", "own", "parent").join(chosen, ["host", "own", "parent"])
                    .select("host", "form", "template", "verdict"), "url-verdicts")
 
 
+def verdicts(counted: DataFrame) -> DataFrame:
+    """(host, template, verdict) from a table (host, template, n labels, b of
+    them blocked). Each label counts once, at the lowest branch it shares with
+    the template."""
+    parts = F.filter(F.split("template", "/"), lambda s: s != "")
+    # Every template in each branch above it: the host (depth 0) to its own path.
+    steps = counted.select("*", parts.alias("parts")).select(
+        "host", "template", "n", "b", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("depth"), "parts")
+    steps = steps.select("host", "template", "n", "b", "depth", F.array_join(F.slice("parts", F.lit(1), col("depth")), "/").alias("branch"))
+    branches = steps.groupBy("host", "branch").agg(F.sum("n").alias("branch_n"), F.sum("b").alias("branch_b"))
+    chain = F.array_sort(F.collect_list(F.struct("depth", col("branch_n").alias("n"), col("branch_b").alias("b"))))
+    chains = steps.join(branches, ["host", "branch"]).groupBy("host", "template").agg(
+        F.first("n").alias("n"), F.first("b").alias("b"), chain.alias("chain"))
+    # What each branch holds outside the next one below, the last outside the template itself.
+    below = F.concat(F.transform(F.slice("chain", F.lit(2), F.size("chain")), lambda x: F.struct(x["n"].alias("n"), x["b"].alias("b"))),
+                     F.array(F.struct("n", "b")))
+    apart = F.zip_with("chain", below, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), (x["b"] - y["b"]).alias("b")))
+    share = F.aggregate(F.concat(apart, F.array(F.struct("n", "b"))), F.lit(PRIOR_BLOCK),
+                        lambda prior, x: (x["b"] + PRIOR_ROWS * prior) / (x["n"] + PRIOR_ROWS))
+    return chains.select("host", "template", F.when(share >= REJECT, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
+
+
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, template) of every page."""
     read = pages.select(col(page_id).alias("page"), host_of(col(url)).alias("host"), path_of(col(url)).alias("path"))

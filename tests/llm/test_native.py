@@ -195,3 +195,16 @@ def test_templates_learn_from_labels(spark):
     got = {r.form: (r.template, r.verdict) for r in urls.templates(forms.select("host", "form", "label")).collect()}
     assert got["/good/*"] == ("/good/*", "allow")
     assert {v for k, v in got.items() if k.startswith("/spam/")} == {("/spam/*", "block")}
+
+
+def test_unlabelled_branches_take_the_share_above(spark):
+    """A template without labels has the share of the branches around it; one
+    label does not count at every level."""
+    pages = [("bad", "/a/1", "block")] * 30 + [("bad", "/b/1", None), ("bad", "/b/c/x", None), ("bad", "/", None)]
+    pages += [("mixed", "/a/1", "block")] * 30 + [("mixed", "/b/1", "allow")] * 30 + [("mixed", "/c/1", None), ("mixed", "/a/x", None)]
+    pages += [("few", "/a/b/1", "block")] * 2 + [("none", "/a/1", None)]
+    forms = spark.createDataFrame(pages, "host string, path string, label string").withColumn("form", urls.path_form(F.col("path")))
+    got = {(r.host, r.form): r.verdict for r in urls.templates(forms.select("host", "form", "label")).collect()}
+    assert got == {("bad", "/a/*"): "block", ("bad", "/b/*"): "block", ("bad", "/b/c/x"): "block", ("bad", "/"): "block",
+                   ("mixed", "/a/*"): "block", ("mixed", "/b/*"): "allow", ("mixed", "/c/*"): "allow", ("mixed", "/a/x"): "block",
+                   ("few", "/a/b/*"): "allow", ("none", "/a/*"): "allow"}
