@@ -3,9 +3,12 @@
 The standard library's streaming parser turns a page into lines (one for each
 block element) with the number of their tags. A line's text-to-tag ratio,
 smoothed by a Gaussian over the sequence of lines, is compared with a
-threshold; lines above it form clusters. The regions (articles, else the
-innermost containers) that clusters lie in are the content, and all their
-lines belong to the text, the short ones too. Elements that by name, role or
+threshold; lines above it form clusters. The regions (innermost containers)
+that clusters lie in are the content, and all their lines belong to the text,
+the short ones too. Where there are articles, what lies in them is content but
+for regions (lists too) of mostly links with fewer lines above the threshold
+than below; what lies outside is none, unless no line in an article is above
+the threshold. Elements that by name, role or
 class are menus, headers, footers, sidebars, notices, adverts, forms or
 comments never are.
 
@@ -32,6 +35,7 @@ SIGMA = 1.0       # lines
 THRESHOLD = 0.5   # of the mean smoothed ratio
 
 MOSTLY = 0.8      # share of a region's text in chosen regions from which all of it is chosen
+LINKED = 0.5      # share of a region's text in links from which it is a list of links
 
 # Elements by kind, in order of name.
 SILENT = frozenset("applet audio canvas head iframe math noscript object script style svg template title video".split())
@@ -41,6 +45,7 @@ BLOCK = frozenset("""address article aside blockquote body br caption center dd
     figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary
     table tbody td tfoot th thead tr ul""".split())
 CONTAINER = frozenset("article aside body dialog div fieldset footer form header main menu nav section".split())
+LISTS = frozenset("dl menu ol table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -51,7 +56,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Lines(HTMLParser):
-    """Collects lines: [text parts, tags, region, in an article]."""
+    """Collects lines: [text, tags, region, in an article, signs in links]."""
 
     def __init__(self, never_closed: frozenset[str] = frozenset()):
         super().__init__(convert_charrefs=True)
@@ -61,6 +66,8 @@ class _Lines(HTMLParser):
         self.silent = ""        # a silent element that is open
         self.above = [0]        # the region around each region
         self.region, self.landmark = 0, None
+        self.landmarks: set[int] = set()
+        self.linked, self.links = False, 0   # whether a link is open, signs in links of the line
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -68,9 +75,8 @@ class _Lines(HTMLParser):
     def end_line(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append([text, self.tags, self.landmark if self.landmark is not None else self.region,
-                               self.landmark is not None])
-        self.parts, self.tags = [], 0
+            self.lines.append([text, self.tags, self.region, self.landmark is not None, self.links])
+        self.parts, self.tags, self.links = [], 0, 0
 
     def out(self, tag: str, attrs) -> bool:
         """Whether an element is left out by its name or attributes."""
@@ -107,13 +113,16 @@ class _Lines(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
+        if tag == "a":
+            self.linked = True
         out = self.out(tag, attrs) if attrs or tag in ASIDE else False
         if tag in LANDMARK and not out and self.muted and not any(x[1] and x[0] not in ASIDE for x in self.stack):
             while self.muted:   # an article inside a menu or header: those were never closed
                 self.pop()
-        if tag in CONTAINER or out:
+        if tag in CONTAINER or out or (tag in LISTS and self.landmark is not None):
             if tag in LANDMARK and not out and self.landmark is None:
                 self.landmark = len(self.above)
+                self.landmarks.add(self.landmark)
                 self.stack.append(("!" + tag, out, self.region))
             else:
                 self.stack.append((tag, out, self.region))
@@ -141,6 +150,8 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCK:
             self.end_line()
+        if tag == "a" or tag in BLOCK:   # a link that is never closed ends with its block
+            self.linked = False
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0].lstrip("!") == tag:
                 while len(self.stack) > i:
@@ -150,6 +161,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         if not self.silent and not self.muted:
             self.parts.append(data)
+            if self.linked:
+                self.links += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -176,14 +189,30 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
-    ratios = np.array([len(t) / max(1, n) for t, n, _, _ in lines], dtype=float)
+    ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines], dtype=float)
     level = smoothed(ratios)
     dense = level >= THRESHOLD * level.mean()
-    # Where there are articles, only they can be content.
-    among = [x[3] for x in lines] if any(x[3] for x in lines) else [True] * len(lines)
-    chosen = {x[2] for x, d, a in zip(lines, dense, among) if d and a} or {x[2] for x, a in zip(lines, among) if a}
-    chosen |= _around(chosen, [(x[2], len(x[0])) for x, a in zip(lines, among) if a], page.above)
-    return " ".join(x[0] for x, a in zip(lines, among) if a and x[2] in chosen)
+    inside = [x[3] for x in lines]
+    if any(inside):
+        chosen = {x[2] for x, i in zip(lines, inside) if i} - _links(lines, dense, page.landmarks)
+        if not dense[inside].any():   # the text may lie beside the articles
+            chosen |= {x[2] for x, d in zip(lines, dense) if d}
+    else:
+        chosen = {x[2] for x, d in zip(lines, dense) if d}
+        chosen |= _around(chosen, [(x[2], len(x[0])) for x in lines], page.above)
+    return " ".join(x[0] for x in lines if x[2] in chosen)
+
+
+def _links(lines: list[list], dense: np.ndarray, landmarks: set[int]) -> set[int]:
+    """The regions inside articles that are lists of links: fewer than half of
+    their lines are dense, and half of their text or more is in links."""
+    told: dict[int, list[int]] = {}
+    for (text, _, region, inside, links), d in zip(lines, dense):
+        if inside and region not in landmarks:
+            held = told.setdefault(region, [0, 0, 0, 0])
+            for i, more in enumerate((1, int(d), len(text), links)):
+                held[i] += more
+    return {r for r, (n, above, size, links) in told.items() if above * 2 < n and links >= LINKED * size}
 
 
 def _around(chosen: set[int], lines: list[tuple[int, int]], above: list[int]) -> set[int]:

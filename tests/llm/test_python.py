@@ -229,6 +229,25 @@ def test_main_text():
     assert extract.main_text(f"<article><p>{long}</article>") == long.strip()
 
 
+def test_articles_are_read_by_density_too():
+    """Boxes of links in an article go, its other short blocks stay; an article
+    without a dense line does not keep out the text beside it."""
+    long = ["Sentence %d of a paragraph that runs on for much longer than any link does." % i * 4 for i in range(6)]
+    paragraphs = "".join(f"<p>{p}" for p in long)
+    links = "<ul>%s</ul>" % "".join(f'<li><a href="/{i}">See {i}</a>' for i in range(8))
+    table = "<div><table>%s</table></div>" % "".join(f"<tr><td>{i}<td>{i * i}" for i in range(8))
+    for box in (links, f"<div><h3>More</h3>{links}</div>", f"<section>{links}</section>"):
+        text = extract.main_text(f"<body><article>{paragraphs}{box}</article></body>")
+        assert "See" not in text and all(p in text for p in long)
+    text = extract.main_text(f"<body><article>{paragraphs}{table}<div><p>End.</div></article></body>")
+    assert text == " ".join([*long, *(f"{i} {i * i}" for i in range(8)), "End."])
+    only = extract.main_text(f"<body><main>{links}</main></body>")
+    assert only == " ".join(f"See {i}" for i in range(8))
+    teasers = "<p>".join(["", "a", "b", "c", "d", "e"])
+    text = extract.main_text(f"<body><article>{teasers}</article><p><i>x</i><p><i>x</i><p><i>x</i><div>{paragraphs}</div></body>")
+    assert all(p in text for p in long) and text.startswith("a b c d e")
+
+
 def test_extract_rows(spark):
     pages = [(1, "u", PAGE % BODY), (2, None, None), (None, "v", ""), (1, "u", PAGE % BODY)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
