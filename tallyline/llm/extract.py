@@ -10,7 +10,8 @@ for regions (lists too) of mostly links with fewer lines above the threshold
 than below; what lies outside is none, unless no line in an article is above
 the threshold. Elements that by name, role or
 class are menus, headers, footers, sidebars, notices, adverts, forms or
-comments never are.
+comments never are. A class or id is only a hint: an element that is as dense
+as the page and holds most of its text is not left out for it.
 
 Defined results: null, empty or text-less pages give an empty text; markup
 that breaks off or nests wrongly is read as far as it goes; repeated rows give
@@ -35,6 +36,8 @@ SIGMA = 1.0       # lines
 THRESHOLD = 0.5   # of the mean smoothed ratio
 
 MOSTLY = 0.8      # share of a region's text in chosen regions from which all of it is chosen
+READINGS = 4      # of a page at most
+WRAPS = 0.5       # share of a page's text from which an element is not left out by its class or id
 LINKED = 0.5      # share of a region's text in links from which it is a list of links
 
 # Elements by kind, in order of name.
@@ -46,6 +49,11 @@ BLOCK = frozenset("""address article aside blockquote body br caption center dd
     table tbody td tfoot th thead tr ul""".split())
 CONTAINER = frozenset("article aside body dialog div fieldset footer form header main menu nav section".split())
 LISTS = frozenset("dl menu ol table ul".split())
+# What a start tag ends where the end tag was omitted, and where the search stops.
+ENDS = {**dict.fromkeys(("dt", "dd"), ("dt", "dd")), **dict.fromkeys(("td", "th"), ("td", "th")), "li": ("li",), "option": ("option",),
+        "tr": ("tr", "td", "th"), **dict.fromkeys(("tbody", "tfoot", "thead"), ("tbody", "tfoot", "thead", "tr", "td", "th"))}
+SCOPE = (CONTAINER | LISTS | {"select"}) - {"div"}
+HEAD = frozenset("base basefont bgsound head html link meta".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -58,12 +66,18 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class _Lines(HTMLParser):
     """Collects lines: [text, tags, region, in an article, signs in links]."""
 
-    def __init__(self, never_closed: frozenset[str] = frozenset()):
+    def __init__(self, never_closed: frozenset[str] = frozenset(), wrappers: frozenset[tuple[int, int]] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.never_closed = never_closed   # elements not to leave out by name
-        self.stack: list[tuple[str, bool, int]] = []   # element, left out, region
-        self.muted = 0          # elements on the stack that are left out
+        self.wrappers = wrappers   # elements not to leave out by class or id, by their place
+        self.hinted: dict[tuple[int, int], list[int]] = {}   # signs, tags and articles in those left out
+        self.within: list[tuple[int, int]] = []   # those of them that are open
+        self.outer = [0, 0]     # signs and tags in all of them
+        self.stack: list[tuple[str, int, int]] = []   # element, left out (1, by class or id 2), region
+        self.muted = 0          # elements on the stack that are left out,
+        self.named = 0          # not by class or id
         self.silent = ""        # a silent element that is open
+        self.inner = ""         # a silent element that is open in the head
         self.above = [0]        # the region around each region
         self.region, self.landmark = 0, None
         self.landmarks: set[int] = set()
@@ -78,24 +92,31 @@ class _Lines(HTMLParser):
             self.lines.append([text, self.tags, self.region, self.landmark is not None, self.links])
         self.parts, self.tags, self.links = [], 0, 0
 
-    def out(self, tag: str, attrs) -> bool:
-        """Whether an element is left out by its name or attributes."""
+    def out(self, tag: str, attrs) -> int:
+        """1 for an element that is left out by its name or attributes, 2 for
+        one that is by its class or id, else 0."""
         if tag in ASIDE and tag not in self.never_closed:
             # The heading of an article is its own, not the page's.
-            return not (tag == "header" and self.landmark is not None)
+            return int(not (tag == "header" and self.landmark is not None))
+        hint = False
         for name, value in attrs:
             value = value or ""
             if name in ("class", "id"):
-                if tag not in ("html", "body") and HINTS.search(value):
-                    return True
+                hint = hint or (tag not in ("html", "body") and bool(HINTS.search(value)))
             elif name == "role":
                 if value.lower() in ROLES:
-                    return True
+                    return 1
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and HIDDEN.search(value)):
-                return True
-        return False
+                return 1
+        return 2 if hint and self.getpos() not in self.wrappers else 0
 
     def handle_starttag(self, tag, attrs):
+        if self.silent == "head" and tag != "body" and (self.inner or tag in SILENT or tag in HEAD):
+            if not self.inner and tag in SILENT and tag != "head":
+                self.inner = tag
+            return
+        if self.silent == "head" or (self.silent == "title" and tag == "body"):
+            self.silent = self.inner = ""   # the end tag was omitted
         if self.silent:
             return
         if tag in SILENT:
@@ -105,6 +126,8 @@ class _Lines(HTMLParser):
             self.end_line()
             return
         self.tags += 1
+        if self.muted and tag in ENDS:
+            self.end_open(tag)
         if tag in BLOCK:
             self.end_line()
             while self.stack and self.stack[-1][0] in ("p", *HEADINGS):   # a block ends an open paragraph
@@ -115,7 +138,7 @@ class _Lines(HTMLParser):
             return
         if tag == "a":
             self.linked = True
-        out = self.out(tag, attrs) if attrs or tag in ASIDE else False
+        out = self.out(tag, attrs) if attrs or tag in ASIDE else 0
         if tag in LANDMARK and not out and self.muted and not any(x[1] and x[0] not in ASIDE for x in self.stack):
             while self.muted:   # an article inside a menu or header: those were never closed
                 self.pop()
@@ -128,15 +151,64 @@ class _Lines(HTMLParser):
                 self.stack.append((tag, out, self.region))
             self.above.append(self.region)
             self.region = len(self.above) - 1
-            self.muted += out
+            self.muted += out > 0
+            self.named += out == 1
+            if out == 2:
+                self.within.append(self.getpos())
+                self.hinted[self.within[-1]] = [0, 0, int(tag in LANDMARK)]
+        elif tag in LISTS:
+            self.stack.append((tag, 0, self.region))
+        if self.within and not self.named:
+            held = self.hinted[self.within[-1]]
+            held[1] += 1
+            if tag in LANDMARK and not out:
+                held[2] = 2
 
     def pop(self):
         tag, out, region = self.stack.pop()
-        self.muted -= out
+        self.muted -= out > 0
+        self.named -= out == 1
+        if out == 2:
+            self.leave()
         self.region = region
         if tag[0] == "!":
             self.landmark = None
 
+    def leave(self):
+        """What an element left out by class or id holds, the one around it holds too."""
+        signs, tags, articles = self.hinted[self.within.pop()]
+        if self.within:
+            held = self.hinted[self.within[-1]]
+            if articles == 2:
+                held[2] = 2
+        else:
+            held = self.outer
+        held[0], held[1] = held[0] + signs, held[1] + tags
+
+    def end_open(self, tag: str):
+        """End the sibling whose end tag was omitted."""
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in ENDS[tag]:
+                while len(self.stack) > i:
+                    self.pop()
+                return
+            if self.stack[i][0].lstrip("!") in SCOPE:
+                return
+
+    def wrapping(self) -> frozenset[tuple[int, int]]:
+        """The elements left out by class or id that hold most of the page, or
+        that the page left open though their end tag may be omitted."""
+        omitted = {at for at, x in zip(self.within, [x for x in self.stack if x[1] == 2]) if x[0] in ENDS}
+        while self.within:
+            self.leave()
+        signs, tags = self.outer[0] + sum(len(x[0]) for x in self.lines), self.outer[1] + sum(x[1] for x in self.lines)
+        article = any(x[3] for x in self.lines)
+
+        def wraps(held: list[int]) -> bool:
+            share = WRAPS if held[2] and not article else MOSTLY
+            return held[0] >= max(1, share * signs) and held[0] * max(1, tags) >= THRESHOLD * signs * held[1]
+        return frozenset(at for at, held in self.hinted.items() if at in omitted or wraps(held))
+
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
             self.handle_starttag(tag, attrs)
@@ -146,7 +218,9 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag):
         if self.silent:
             if tag == self.silent or (self.silent == "title" and tag == "head"):
-                self.silent = ""
+                self.silent = self.inner = ""
+            elif tag == self.inner:
+                self.inner = ""
             return
         if tag in BLOCK:
             self.end_line()
@@ -159,10 +233,16 @@ class _Lines(HTMLParser):
                 break
 
     def handle_data(self, data):
-        if not self.silent and not self.muted:
+        if self.silent == "head" and not self.inner and data.strip():
+            self.silent = ""   # text ends a head
+        if self.silent:
+            return
+        if not self.muted:
             self.parts.append(data)
             if self.linked:
                 self.links += len(data.strip())
+        elif not self.named:
+            self.hinted[self.within[-1]][0] += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -171,8 +251,8 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def _read(html: str, never_closed: frozenset[str] = frozenset()) -> _Lines:
-    page = _Lines(never_closed)
+def _read(html: str, never_closed: frozenset[str] = frozenset(), wrappers: frozenset[tuple[int, int]] = frozenset()) -> _Lines:
+    page = _Lines(never_closed, wrappers)
     page.feed(html)
     page.close()
     page.end_line()
@@ -183,9 +263,13 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _read(html)
-    left_open = frozenset(tag for tag, out, _ in page.stack if out and tag in ASIDE)
-    if not page.lines and left_open:
-        page = _read(html, left_open)   # a menu that is never closed does not swallow the page
+    for _ in range(READINGS - 1):
+        # A class that speaks of a menu does not hide the page, nor does a menu that is never closed.
+        wrappers = page.wrappers | page.wrapping()
+        left_open = page.never_closed if page.lines else page.never_closed | {tag for tag, out, _ in page.stack if out == 1 and tag in ASIDE}
+        if wrappers == page.wrappers and left_open == page.never_closed:
+            break
+        page = _read(html, page.never_closed if wrappers != page.wrappers else frozenset(left_open), wrappers)
     lines = page.lines
     if not lines:
         return ""

@@ -248,6 +248,26 @@ def test_articles_are_read_by_density_too():
     assert all(p in text for p in long) and text.startswith("a b c d e")
 
 
+def test_classes_and_omitted_tags_do_not_hide_a_page():
+    long = " ".join(f"Sentence {i} of a text that runs on for a while." for i in range(12))
+    ad, side = '<div class="ad">Buy now</div>', '<div class="sidebar"><p>Aside</div>'
+    for open_, close in (('<div class="site-content no-sidebar">', "</div>"), ('<article class="post comments-open">', "</article>"),
+                         ('<div class="layout with-sidebar"><div id="no-banner">', side + "</div></div>"),
+                         ('<div class="layout with-sidebar"><main>', "</main>" + side + "</div>")):
+        assert extract.main_text(f"<html><head><title>T</title></head><body>{ad}{open_}<p>{long}{close}</body></html>") == long
+    comments = '<ol class="comment-list">%s</ol>' % f"<li><p>{long}" * 3
+    assert extract.main_text(f"<body><article><p>{long}</article>{comments}") == long
+    for head in ("<head><title>T</title>", "<head><meta charset=x><script>a</script><title>T", "<head><noscript><link></noscript>"):
+        assert extract.main_text(f"<html>{head}<body><p>{long}</body></html>") == long
+    assert extract.main_text(f"<html><head><title>T</title><style>p</style><p>{long}") == long
+    assert extract.main_text(f"<html><head><title>T <p> U</title></head><p>{long}") == long
+    menu = '<li class="menu-item">Home<li class="menu-item">About'
+    assert long in extract.main_text(f"<body><p>{long}{menu}<p>{long[::-1]}") and long[::-1] in extract.main_text(f"<body><p>{long}{menu}<p>{long[::-1]}")
+    assert extract.main_text(f"<body><ul>{menu}<li class=x>{long}</ul>") == long
+    assert extract.main_text(f"<body><ul>{menu}</ul><p>{long}") == long
+    assert extract.main_text(f"<body><ul>{menu}<ul><li>Sub</ul></ul><p>{long}") == long
+
+
 def test_extract_rows(spark):
     pages = [(1, "u", PAGE % BODY), (2, None, None), (None, "v", ""), (1, "u", PAGE % BODY)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
