@@ -153,7 +153,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
     """(doc_id, posterior, quality, keep) of every row. The posterior is null
     where no labeller votes; the quality is the trained scorer's."""
     rows = docs.select(col(doc_id).alias("doc"), col(text).alias("text"))
-    counted = rows.groupBy(_vote_column(col("text")).alias("pattern")).agg(F.count("*").alias("n")).collect()   # at most 3^labellers rows
+    texts = rows.groupBy(F.xxhash64("text").alias("h"), col("text").isNotNull().alias("told"), _vote_column(col("text")).alias("pattern")).agg(F.count("*").alias("n"))
+    counted = texts.groupBy("pattern").agg(F.sum("n").alias("n"), F.count(F.when(col("told"), 1)).alias("texts")).collect()   # at most 3^labellers rows
     counted.sort(key=lambda r: r["pattern"])
     signs = np.array([["-0+".index(c) - 1 for c in r["pattern"]] for r in counted], dtype=int).reshape(-1, len(LABELLERS))
     n = np.array([r["n"] for r in counted], dtype=float)
@@ -161,27 +162,32 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
     posterior = {r["pattern"]: (float(p) if (s != 0).any() else None) for r, p, s in zip(counted, post, signs)}
 
     # About half of the sample from either side, by a hash of the text; copies
-    # of one text are drawn once, or a group of copies would fill the sample.
+    # of one text are counted and drawn once, or a group of copies would fill
+    # the sample or leave its side without one.
     sides = {True: 0.0, False: 0.0}
     for r in counted:
         if posterior[r["pattern"]] is not None:
-            sides[posterior[r["pattern"]] > 0.5] += r["n"]
+            sides[posterior[r["pattern"]] > 0.5] += r["texts"]
     mark = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     bound = {side: min(1 << 30, int(sample / 2 / max(1.0, size) * (1 << 30)) + 1) for side, size in sides.items()}
 
-    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for h, at, t in zip(batch["h"], batch["mark"], batch["text"]):
-                p = posterior.get(votes(t))
-                if p is not None and at < bound[p > 0.5]:
-                    out.append((h, p, features(t).astype("<f4").tobytes()))
-            yield pd.DataFrame(out, columns=["h", "p", "x"])
+    def drawn(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for marks, texts in batches:
+            told = [posterior.get(votes(t)) for t in texts]
+            yield pd.Series(pd.array([p if p is not None and at < bound[p > 0.5] else None for p, at in zip(told, marks)], dtype="Float64"))
 
+    drawn.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([features(t).astype("<f4").tobytes() for t in texts], dtype="object")
+
+    vectors.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    # The side is known before the shuffle: a side taken whole does not move the other's texts.
     few = (rows.filter(col("text").isNotNull() & (mark < max(bound.values())))
-           .groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
-           .select("h", mark.alias("mark"), col("text").cast("binary").alias("text"))
-           .mapInPandas(drawn, "h bigint, p double, x binary").collect())
+           .withColumn("p", F.pandas_udf(drawn, "double")(mark, col("text").cast("binary"))).filter(col("p").isNotNull())
+           .groupBy(F.xxhash64("text").alias("h")).agg(F.min(F.struct("text", "p")).alias("one"))
+           .select("h", col("one")["p"].alias("p"), F.pandas_udf(vectors, "binary")(col("one")["text"].cast("binary")).alias("x")).collect())
     few.sort(key=lambda r: r["h"])
     x = np.array([np.frombuffer(r["x"], dtype="<f4") for r in few], dtype=float).reshape(-1, FEATURES)
     lean = float(np.log(prior / (1 - prior)))

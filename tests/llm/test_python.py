@@ -208,6 +208,17 @@ def test_quality(spark, clashing, no_docs):
     assert quality.score(clashing).count() == clashing.count() and quality.score(no_docs).count() == 0
 
 
+def test_copies_do_not_starve_their_side_of_the_sample(spark, monkeypatch):
+    good = [(i, ". ".join(prose(7000 + i * 9 + k, 9).capitalize() for k in range(6)) + ".") for i in range(120)]
+    bad = [(1000 + i, " ".join(w + "$%&#"[k % 4] * 3 for k, w in enumerate(prose(8000 + i, 60).split()))) for i in range(40)]
+    bad += [(2000 + i, " | ".join(prose(9000, 60).split())) for i in range(4000)]
+    drawn, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, p: drawn.append(p) or fit(x, p))
+    keep = {r.doc_id: r.keep for r in quality.score(spark.createDataFrame(good + bad, "doc_id long, text string"), sample=200).collect()}
+    assert (drawn[0] <= 0.5).sum() == 41 and 60 <= (drawn[0] > 0.5).sum() <= 120
+    assert np.mean([keep[i] for i, _ in good]) >= 0.95 and not any(keep[i] for i, _ in bad)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var a = "</p>";</script><style>p{}</style></head><body class="header-x">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div id="cookie-banner">We use cookies</div>
 <!-- no --><div class="ad">Buy now, this is a long advert that runs on for quite a while</div>%s<aside><p>Side</p></aside>
