@@ -9,7 +9,8 @@ the last adds shard, slot and grown_shard.
 
 Defined results: nulls, empty texts, repeated rows, empty tables and further
 columns are handled as the operators' own docstrings say; a document without
-letters has no language and goes in the first stage.
+letters has no language and goes in the first stage, as one between two
+languages does; with no labelled rows all documents pass it.
 """
 
 from __future__ import annotations

@@ -182,7 +182,11 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 
 def identified_documents(docs: DataFrame) -> DataFrame:
-    """The documents whose language is known; those without one go."""
+    """The documents whose language the decoder tells: texts without letters
+    and ambiguous ones go. Where no language was learned, all stay."""
+    model = fit(docs)
+    if not model.langs:
+        return docs
     (found,) = fresh(docs, "found")
-    out = docs.withColumn(found, predicted(col("text"), fit(docs)))
-    return out.filter(col(found)["lang"] != UNKNOWN).select(*[col(c) for c in docs.columns])
+    out = docs.withColumn(found, predicted(col("text"), model))
+    return out.filter((col(found)["lang"] != UNKNOWN) & (col(found)["score"] >= CLEAR)).select(*[col(c) for c in docs.columns])

@@ -183,6 +183,20 @@ def test_language_never_learns_held_out_rows(spark):
     assert language.fit(docs).langs == []
 
 
+def test_language_stage_acts_on_the_decoder(spark):
+    """Texts half in one language, half in another go where the decoder says
+    so, clean ones stay; with nothing to learn from, all documents stay."""
+    clean = [(i, prose(i, 80, lang), lang) for k, lang in enumerate(("en", "de")) for i in range(500 * k, 500 * k + 150)]
+    mixes = [(5000 + i, prose(6000 + i, 40, "en") + " " + prose(6500 + i, 40, "de"), None) for i in range(150)]
+    docs = spark.createDataFrame([*clean, *mixes, (9000, "123 !", "en")], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language.identified_documents(docs).collect()}
+    told = {r.doc_id for r in language.identify(docs, language.fit(docs)).collect() if r.lang_pred != "und" and not r.ambiguous}
+    assert kept == told and {i for i, _, _ in clean} <= kept and 9000 not in kept
+    assert 0 < sum(i in kept for i, _, _ in mixes) < len(mixes)
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.identified_documents(unlabelled).count() == docs.count()
+
+
 def test_estimate_finds_the_labellers_accuracy():
     draw = np.random.default_rng(1)
     truth = draw.random(20_000) < 0.8
