@@ -57,7 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` must name shared storage: executors
     cannot see a folder of the driver's machine, so there is no fallback. Local
-    masters without one get a fresh scratch folder.
+    masters without one get a fresh scratch folder, set on the context (the
+    setting itself cannot change once a session runs).
     """
     try:
         sc = spark.sparkContext
@@ -68,8 +69,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "local")
         if master != "local" and not master.startswith("local["):
             raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        if sc is None:
+            raise RuntimeError("set spark.checkpoint.dir before the session is built")
         current = tempfile.mkdtemp(prefix="tallyline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
     if sc is None:
         return current
     if not sc.getCheckpointDir():

@@ -30,8 +30,6 @@ def spark():
                .config("spark.sql.session.timeZone", "UTC"))
     s = builder.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallyline-test-ckpt-"))
     configure(s)
     yield s
 

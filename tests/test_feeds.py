@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,3 +235,21 @@ def test_no_local_scratch_off_a_local_master(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Fake())
+
+
+def test_session_starts_without_preset_settings(tmp_path):
+    """Without a checkpoint setting (an empty conf folder) a local session gets
+    a folder of its own; a given setting is kept."""
+    conf = tmp_path / "conf"
+    conf.mkdir()
+    code = ("import sys; from pyspark.sql import SparkSession; from tallyline.session import configure, scratch_path\n"
+            "b = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false')\n"
+            "b = b.config('spark.checkpoint.dir', sys.argv[1]) if len(sys.argv) > 1 else b\n"
+            "s = configure(b.getOrCreate()); p = scratch_path(s, 'x'); s.range(3).write.parquet(p)\n"
+            "print('ROWS', s.read.parquet(p).count(), p)")
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "SPARK_CONF_DIR": str(conf), "PYTHONPATH": os.pathsep.join([here, *sys.path])}
+    for given in ([], [str(tmp_path / "ckpt")]):
+        done = subprocess.run([sys.executable, "-c", code, *given], env=env, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0 and "ROWS 3" in done.stdout, done.stderr[-2000:]
+        assert not given or given[0] in done.stdout
