@@ -24,7 +24,7 @@ def test_run_equals_the_operators(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     out = corpus_pipeline.run(spark, SF)
-    known = {r.doc_id for r in language.identify(docs, language.fit(docs)).collect() if r.lang_pred != "und"}
+    known = {r.doc_id for r in language.identify(docs, language.fit(docs)).collect() if r.lang_pred != "und" and r.score >= language.CLEAR}
     first = docs.filter(docs.doc_id.isin(list(known)))
     lead = {r.component_id for r in simhash.near_duplicates(first).collect()}
     second = docs.filter(docs.doc_id.isin(list(lead)))
