@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import chat, decontaminate, extract, language, lattice, mixing, quality, sharding, simhash, urls
+from tallyline.llm import bpe, chat, decontaminate, extract, language, lattice, mixing, quality, sharding, simhash, urls
 from tallyline.llm.common import table
 
 
@@ -58,5 +59,13 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+# The public vocabulary file the texts are encoded with.
+WORD_BPE = "word_bpe_49k.json"
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_simhash, op4_lattice, op5_language, op6_quality,
-                                   op7_extract, op8_chat, op9_url_filter, op10_shard)}
+                                   op7_extract, op8_chat, op9_url_filter, op10_shard, op12_bpe)}
