@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, chat, decontaminate, extract, language, lattice, mixing, quality, sharding, simhash, urls
+from tallyline.llm import bpe, chat, decontaminate, extract, language, lattice, merkle, mixing, quality, sharding, simhash, urls
 from tallyline.llm.common import table
 
 
@@ -67,5 +67,9 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_simhash, op4_lattice, op5_language, op6_quality,
-                                   op7_extract, op8_chat, op9_url_filter, op10_shard, op12_bpe)}
+                                   op7_extract, op8_chat, op9_url_filter, op10_shard, op12_bpe, op13_merkle)}

@@ -119,5 +119,47 @@ JOIN merged ON merged.host = tpl.host AND merged.own = tpl.own AND merged.parent
 JOIN final ON final.host = merged.host AND final.template = merged.template
 """
 
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value} END"
+
+
+def _document_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _climb(name: str, start: str, leaves: str, levels: int) -> str:
+    """CTEs that climb the trees of ``start`` (g, i, d) level by level, taking
+    along the rows of ``leaves`` (g, pos, proof, node and more)."""
+    out, nodes, rows = [], start, leaves
+    for k in range(levels):
+        out.append(f"""
+{name}r{k} AS (SELECT g, i // 16 AS up, string_agg(d, '' ORDER BY i) AS run, any_value(n) AS n
+        FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {nodes}) GROUP BY g, i // 16),
+{name}n{k} AS (SELECT g, up AS i, CASE WHEN n > 1 THEN sha256(run) ELSE run END AS d FROM {name}r{k}),
+{name}p{k} AS (SELECT * REPLACE (pos // 16 AS pos,
+            CASE WHEN n > 1 THEN proof || run[1:64 * (pos % 16)] || run[64 * (pos % 16) + 65:] ELSE proof END AS proof,
+            CASE WHEN n > 1 THEN sha256(run[1:64 * (pos % 16)] || node || run[64 * (pos % 16) + 65:]) ELSE node END AS node)
+        FROM (SELECT l.*, r.run, r.n FROM (SELECT * EXCLUDE (run, n) FROM {rows}) l JOIN {name}r{k} r ON l.g = r.g AND l.pos // 16 = r.up))""")
+        nodes, rows = f"{name}n{k}", f"{name}p{k}"
+    return ",".join(out)
+
+
+MERKLE = f"""
+WITH crc AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'),
+               lambda b: CAST('0x' || b AS BIGINT))),
+               lambda c, b: xor(c // 256, {crc_table()}[CAST(xor(c % 256, b) AS INTEGER) + 1]))) AS crc FROM documents),
+leaves AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, {_document_leaf("text")} AS leaf,
+             CASE WHEN crc % 5 = 0 THEN {_document_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS tampered FROM crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+n AS (SELECT g, pos AS i, leaf AS d FROM placed),
+p AS (SELECT *, '' AS proof, coalesce(tampered, leaf) AS node, '' AS run, 0 AS n FROM placed),
+{_climb("s", "n", "p", 7)},
+hn AS (SELECT 0 AS g, g AS i, d FROM sn6),
+hp AS (SELECT * REPLACE (0 AS g, sp6.g AS pos), sn6.d AS subroot FROM sp6 JOIN sn6 ON sn6.g = sp6.g),
+{_climb("h", "hn", "hp", 5)}
+SELECT doc_id, leaf, subroot, hn4.d AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = hn4.d AS verified
+FROM hp4, hn4
+"""
+
 SQL: dict[str, str] = {"op1_decontaminate": CONTAINED, "op2_mix": MIX, "op9_url_filter": JUDGED,
-                       "op10_shard": SHARD}
+                       "op10_shard": SHARD, "op13_merkle": MERKLE}
