@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, chat, decontaminate, extract, language, lattice, merkle, mixing, quality, sharding, simhash, urls
+from tallyline.llm import bpe, chat, decontaminate, extract, language, lattice, merkle, mixing, negatives, quality, sharding, simhash, urls
 from tallyline.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 # The public vocabulary file the texts are encoded with.
 WORD_BPE = "word_bpe_49k.json"
 
@@ -72,4 +76,5 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_simhash, op4_lattice, op5_language, op6_quality,
-                                   op7_extract, op8_chat, op9_url_filter, op10_shard, op12_bpe, op13_merkle)}
+                                   op7_extract, op8_chat, op9_url_filter, op10_shard, op11_hard_negatives,
+                                   op12_bpe, op13_merkle)}

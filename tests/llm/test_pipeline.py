@@ -16,7 +16,7 @@ def test_queries_are_registered():
     names = entry.queries()
     assert [n for n in names if n.startswith("op")] == [
         "op1_decontaminate", "op2_mix", "op3_simhash", "op4_lattice", "op5_language", "op6_quality", "op7_extract", "op8_chat",
-        "op9_url_filter", "op10_shard", "op12_bpe", "op13_merkle"]
+        "op9_url_filter", "op10_shard", "op11_hard_negatives", "op12_bpe", "op13_merkle"]
     assert "pipeline" in names
 
 
