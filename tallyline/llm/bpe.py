@@ -26,17 +26,18 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
-from itertools import chain, groupby
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tallyline.llm.common import col
 
@@ -44,6 +45,7 @@ SHORT = 256          # parts of a word that are scanned; longer words use a heap
 SEEN = 200_000       # words whose ids a worker remembers
 SEEN_CHARS = 64      # longer words are not remembered
 LIST_CHARS = 1 << 20  # longer texts are cut into words one at a time
+SLICE = 4 << 20      # bytes of text whose results a worker holds at once
 NONE = 1 << 62       # the rank of a pair that never merges
 
 # Steps of the file that this module carries out.
@@ -66,20 +68,6 @@ def byte_signs() -> list[str]:
     return out
 
 
-@cache
-def unassigned() -> str:
-    """The code points that Python's Unicode tables do not know, as a class of ranges."""
-    out = []
-    known = groupby(range(sys.maxunicode + 1), key=lambda c: unicodedata.category(chr(c)) == "Cn")
-    for new, run in known:
-        if new:
-            first = last = next(run)
-            for last in run:
-                pass
-            out.append(f"\\U{first:08x}-\\U{last:08x}")
-    return "".join(out)
-
-
 def library_words(text: str, pattern: str) -> list[str]:
     """The words of a text with signs newer than Python's Unicode tables:
     normalised and cut by the library, whose tables decide what a letter is."""
@@ -131,7 +119,7 @@ class Vocabulary:
         # White space is never part of a word here, so runs of it need no replacing.
         self.pattern = cut[0]["pattern"]["Regex"]
         self.words = regex.compile(self.pattern.replace(r"[^\s", f"[^{SPACE}"))
-        self.newer = regex.compile(f"[{unassigned()}]")
+        self.known: set[str] = set()
         self.signs = {b: s for b, s in enumerate(byte_signs())}
         self.seen = Seen(self.encode_word)
 
@@ -142,11 +130,19 @@ class Vocabulary:
         merged = scanned if len(bounds) - 1 <= SHORT else queued
         bounds = merged(text, bounds, self.ranks)
         ids = self.ids
-        return tuple(ids[p] for p in map(text.__getitem__, map(slice, bounds, bounds[1:])) if p in ids)
+        parts = [text[a:b] for a, b in zip(bounds, bounds[1:])]
+        return tuple([ids[p] for p in parts if p in ids])
+
+    def _newer(self, text: str) -> bool:
+        """Whether a text has signs that Python's Unicode tables do not know."""
+        unseen = set(text) - self.known
+        new = {c for c in unseen if unicodedata.category(c) == "Cn"}
+        self.known |= unseen - new
+        return bool(new)
 
     def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
         if not text.isascii():
-            if self.newer.search(text):
+            if self._newer(text):
                 return map(self.seen.__getitem__, library_words(text, self.pattern))
             # A sigma's lower case does not depend on its place in the word.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
@@ -175,22 +171,21 @@ class Vocabulary:
 def scanned(text: str, bounds: list[int], ranks: dict) -> list[int]:
     """The boundaries left by merging the pair of least rank, leftmost first,
     until no pair merges."""
-    def rank(at: int) -> int:
-        if at < 0 or at + 2 >= len(bounds):
-            return NONE
-        return ranks.get((text[bounds[at]:bounds[at + 1]], text[bounds[at + 1]:bounds[at + 2]]), NONE)
-
-    row = [rank(at) for at in range(len(bounds) - 2)]
+    rank = ranks.get
+    parts = [text[a:b] for a, b in zip(bounds, bounds[1:])]
+    row = [rank(pair, NONE) for pair in zip(parts, parts[1:])]
     while row:
         least = min(row)
         if least == NONE:
             break
         at = row.index(least)
         del bounds[at + 1], row[at]
+        a, b = bounds[at], bounds[at + 1]
+        part = text[a:b]
         if at < len(row):
-            row[at] = rank(at)
+            row[at] = rank((part, text[b:bounds[at + 2]]), NONE)
         if at:
-            row[at - 1] = rank(at - 1)
+            row[at - 1] = rank((text[bounds[at - 1]:a], part), NONE)
     return bounds
 
 
@@ -237,11 +232,11 @@ class Codec:
 
     def __init__(self, spark: SparkSession, path: str):
         with open(path, "rb") as f:
-            self._source = spark.sparkContext.broadcast(f.read())
+            self.source = spark.sparkContext.broadcast(f.read())
 
     def encode(self, text: Column) -> Column:
         """array<int> of a text column."""
-        source = self._source
+        source = self.source
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             vocabulary = loaded(source.value)
@@ -253,7 +248,7 @@ class Codec:
 
     def decode(self, ids: Column) -> Column:
         """The text of a column of id lists."""
-        source = self._source
+        source = self.source
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             vocabulary = loaded(source.value)
@@ -266,10 +261,34 @@ class Codec:
 
 def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every row: the ids of its text and the text
-    read back from them."""
+    read back from them, in one pass of one worker per task."""
     codec = Codec(docs.sparkSession, path)
-    ids = docs.select(col(doc_id), codec.encode(col(text)).alias("ids"))
-    return ids.select(col(doc_id), "ids", codec.decode(col("ids")).alias("decoded"))
+    source = codec.source
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = loaded(source.value)
+        for batch in batches:
+            for part in slices(batch):
+                ids = [vocabulary.encode(t) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
+                decoded = pa.array([vocabulary.decode(x.tolist()) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, decoded], ["id", "ids", "decoded"])
+
+    rows = docs.select(col(doc_id).alias("id"), col(text).alias("text"))
+    schema = StructType([rows.schema["id"], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    return rows.mapInArrow(run, schema).select(col("id").alias(doc_id), "ids", "decoded")
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts (the second column) have about ``most``
+    bytes, or one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
