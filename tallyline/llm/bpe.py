@@ -42,11 +42,13 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from tallyline.llm.common import col
 
 SHORT = 256          # parts of a word that are scanned; longer words use a heap
-SEEN = 200_000       # words whose ids a worker remembers
+SEEN = 500_000       # words whose ids a worker remembers
 SEEN_CHARS = 64      # longer words are not remembered
 LIST_CHARS = 1 << 20  # longer texts are cut into words one at a time
 SLICE = 4 << 20      # bytes of text whose results a worker holds at once
 NONE = 1 << 62       # the rank of a pair that never merges
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
 
 # Steps of the file that this module carries out.
 NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -79,16 +81,21 @@ def library_words(text: str, pattern: str) -> list[str]:
 
 
 class Seen(dict):
-    """Ids of words, computed when missing; starts anew when full."""
+    """Ids of words, computed when missing. Two generations: when the younger
+    is full it becomes the older, whose words are taken over as they recur."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.encode(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
         if len(word) <= SEEN_CHARS:
-            if len(self) >= SEEN:
+            if 2 * len(self) >= SEEN:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -110,8 +117,11 @@ class Vocabulary:
                 raise ValueError(f"added token {t['content']!r} has options that are not supported")
         self.suffix = model["end_of_word_suffix"]
         self.ids = model["vocab"]
-        pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
-        self.ranks = {pair: rank for rank, pair in enumerate(pairs)}
+        # By pair of ids: the rank, and below it the id of what the pair becomes.
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.ranks = {self.ids[a] << ID_BITS | self.ids[b]: rank << ID_BITS | self.ids[a + b] for rank, (a, b) in enumerate(pairs)}
+        self.inner = [self.ids[s] for s in byte_signs()]
+        self.final = [self.ids[s + self.suffix] for s in byte_signs()]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.tokens = {i: t for t, i in chain(self.ids.items(), self.special.items())}
         names = sorted(self.special, key=len, reverse=True)
@@ -120,18 +130,19 @@ class Vocabulary:
         self.pattern = cut[0]["pattern"]["Regex"]
         self.words = regex.compile(self.pattern.replace(r"[^\s", f"[^{SPACE}"))
         self.known: set[str] = set()
-        self.signs = {b: s for b, s in enumerate(byte_signs())}
         self.seen = Seen(self.encode_word)
 
+    def parts(self, word: str) -> tuple[list[int], list[int]]:
+        """The ids of a word's parts and the bytes they begin and end at."""
+        data = word.encode("utf-8", "surrogatepass")
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.final[data[-1]]
+        bounds = list(range(len(data) + 1))
+        (scanned if len(data) <= SHORT else queued)(ids, bounds, self.ranks)
+        return ids, bounds
+
     def encode_word(self, word: str) -> tuple[int, ...]:
-        text = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs)
-        bounds = [*range(len(text)), len(text) + len(self.suffix)]
-        text += self.suffix
-        merged = scanned if len(bounds) - 1 <= SHORT else queued
-        bounds = merged(text, bounds, self.ranks)
-        ids = self.ids
-        parts = [text[a:b] for a, b in zip(bounds, bounds[1:])]
-        return tuple([ids[p] for p in parts if p in ids])
+        return tuple(self.parts(word)[0])
 
     def _newer(self, text: str) -> bool:
         """Whether a text has signs that Python's Unicode tables do not know."""
@@ -168,36 +179,32 @@ class Vocabulary:
         return " ".join([tokens[i] for i in ids if i in tokens])
 
 
-def scanned(text: str, bounds: list[int], ranks: dict) -> list[int]:
-    """The boundaries left by merging the pair of least rank, leftmost first,
-    until no pair merges."""
+def scanned(ids: list[int], bounds: list[int], ranks: dict[int, int]) -> None:
+    """Merge the pair of least rank, leftmost first, until no pair merges.
+    ``bounds`` are the parts' boundaries, ``ids`` the part after each."""
     rank = ranks.get
-    parts = [text[a:b] for a, b in zip(bounds, bounds[1:])]
-    row = [rank(pair, NONE) for pair in zip(parts, parts[1:])]
+    row = [rank(a << ID_BITS | b, NONE) for a, b in zip(ids, ids[1:])]
     while row:
         least = min(row)
         if least == NONE:
             break
         at = row.index(least)
-        del bounds[at + 1], row[at]
-        a, b = bounds[at], bounds[at + 1]
-        part = text[a:b]
+        part = ids[at] = least & ID_MASK
+        del bounds[at + 1], ids[at + 1], row[at]
         if at < len(row):
-            row[at] = rank((part, text[b:bounds[at + 2]]), NONE)
+            row[at] = rank(part << ID_BITS | ids[at + 1], NONE)
         if at:
-            row[at - 1] = rank((text[bounds[at - 1]:a], part), NONE)
-    return bounds
+            row[at - 1] = rank(ids[at - 1] << ID_BITS | part, NONE)
 
 
-def queued(text: str, bounds: list[int], ranks: dict) -> list[int]:
-    """The same boundaries for a long word, minima from a heap."""
-    n = len(bounds) - 1
+def queued(ids: list[int], bounds: list[int], ranks: dict[int, int]) -> None:
+    """The same for a long word, minima from a heap."""
+    n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
 
     def rank(at: int) -> int:
-        mid = after[at]
-        return ranks.get((text[bounds[at]:bounds[mid]], text[bounds[mid]:bounds[after[mid]]]), NONE) if mid < n else NONE
+        return ranks.get(ids[at] << ID_BITS | ids[after[at]], NONE) if after[at] < n else NONE
 
     heap = [(r, at) for at in range(n) if (r := rank(at)) != NONE]
     heapq.heapify(heap)
@@ -206,14 +213,14 @@ def queued(text: str, bounds: list[int], ranks: dict) -> list[int]:
         if not alive[at] or rank(at) != r:
             continue
         gone = after[at]
-        alive[gone] = False
-        after[at] = after[gone]
+        ids[at], alive[gone], after[at] = r & ID_MASK, False, after[gone]
         if after[gone] < n:
             before[after[gone]] = at
         for p in (at, before[at]):
-            if p >= 0 and (fresh := rank(p)) != NONE:
-                heapq.heappush(heap, (fresh, p))
-    return [bounds[at] for at in range(n) if alive[at]] + [bounds[n]]
+            if p >= 0 and (new := rank(p)) != NONE:
+                heapq.heappush(heap, (new, p))
+    bounds[:] = [*(bounds[at] for at in range(n) if alive[at]), bounds[n]]
+    ids[:] = [ids[at] for at in range(n) if alive[at]]
 
 
 _LOADED: dict[str, Vocabulary] = {}

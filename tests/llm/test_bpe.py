@@ -50,10 +50,15 @@ def test_scan_and_heap_merge_alike(library, vocabulary):
     draw = random.Random(4)
     for _ in range(400):
         word = "".join(draw.choice("aaabcdeeinorst") for _ in range(draw.choice((1, 2, 5, 9, 30, 200, bpe.SHORT, bpe.SHORT + 1, 900))))
-        start = [*range(len(word)), len(word) + 4]
-        scanned = bpe.scanned(word + "</w>", list(start), vocabulary.ranks)
-        assert scanned == bpe.queued(word + "</w>", list(start), vocabulary.ranks)
-        assert [vocabulary.ids[(word + "</w>")[a:b]] for a, b in zip(scanned, scanned[1:])] == ids(library, word)
+        start = [vocabulary.inner[ord(c)] for c in word[:-1]] + [vocabulary.final[ord(word[-1])]]
+        done = []
+        for merge in (bpe.scanned, bpe.queued):
+            parts, bounds = list(start), list(range(len(word) + 1))
+            merge(parts, bounds, vocabulary.ranks)
+            done.append((parts, bounds))
+            pieces = [word[a:b] for a, b in zip(bounds, bounds[1:])]
+            assert [vocabulary.tokens[i].removesuffix("</w>") for i in parts] == pieces
+        assert done[0] == done[1] and done[0][0] == ids(library, word)
 
 
 def test_special_tokens_and_round_trip(library, vocabulary):
@@ -65,11 +70,11 @@ def test_special_tokens_and_round_trip(library, vocabulary):
 
 
 def test_seen_words_are_bounded(vocabulary, monkeypatch):
-    monkeypatch.setattr(bpe, "SEEN", 3)
+    monkeypatch.setattr(bpe, "SEEN", 6)
     seen = bpe.Seen(vocabulary.encode_word)
     for i in range(20):
         assert seen["w" + "a" * i] == vocabulary.encode_word("w" + "a" * i)
-        assert len(seen) <= 3
+        assert len(seen) <= 3 and len(seen.older) <= 3
     assert "w" + "a" * 100 not in seen and seen["w" + "a" * 100] and "w" + "a" * 100 not in seen
 
 
