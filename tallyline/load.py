@@ -2,12 +2,18 @@
 
     python -m tallyline.load --file events.json --store /shared/recon [--truncate]
         [--chunk-size 1000] [--on-error fail|quarantine] [--lines]
+        [--resume NAME [--files-per-chunk 1] [--most-chunks N]]
 
 Validates first (``fail``: one bad row loads nothing, the first five are
 reported by position), then ingests in one distributed job. Every load is a
 feed of its own in the store's ledger. A failed run can simply be re-run:
 events already stored come back as duplicates. ``--chunk-size`` is
 accepted for callers that pass it; Spark's tasks are the chunks.
+
+``--resume NAME`` loads a folder in chunks of whole files, each landed before
+the next begins. The checkpoint of the file source, kept in the store under the
+name, is the ledger of chunks: a load that broke off goes on with the chunk
+that was not finished, and the report covers the chunks of all its runs.
 """
 
 from __future__ import annotations
@@ -17,12 +23,14 @@ import sys
 import time
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.operators import validate as V
 from tallyline.session import get_session
 from tallyline.sources.json_events import read_event_array, read_event_lines
 from tallyline.sources.store import EventStore
+from tallyline.streaming.ingest import ingest_batch_fn, json_documents_stream, json_lines_stream
 
 
 def load_file(spark: SparkSession, path: str, store: EventStore, chunk_size: int | None = None,
@@ -47,6 +55,45 @@ def load_file(spark: SparkSession, path: str, store: EventStore, chunk_size: int
         checked.unpersist()
 
 
+class Paused(Exception):
+    """Raised inside a load that was to stop after some chunks."""
+
+
+def load_chunks(spark: SparkSession, path: str, store: EventStore, name: str, files_per_chunk: int = 1,
+                on_error: str = "fail", lines: bool = True, most_chunks: int | None = None) -> dict:
+    """A5: load a folder chunk by chunk, going on where an earlier call under
+    the same ``name`` ended, however it ended.
+
+    A chunk is ``files_per_chunk`` files. With ``fail`` the whole folder is
+    validated before the first chunk lands. ``most_chunks`` ends this call after
+    so many chunks. Returns the totals of all chunks so far.
+    """
+    if files_per_chunk < 1 or most_chunks is not None and most_chunks < 1:
+        raise ValueError("a load needs at least one file a chunk and one chunk")
+    feed = f"load:{name}"
+    if on_error == "fail" and not store.chunk_totals(feed).first()["chunks"]:
+        V.gate(V.validate(read_event_lines(spark, path) if lines else read_event_array(spark, path)), "fail")
+    land = ingest_batch_fn(store, wire=True, on_error=on_error, feed=feed, report=True)
+    begun = 0
+
+    def chunk(batch: DataFrame, number: int) -> None:
+        nonlocal begun
+        if begun == most_chunks:
+            raise Paused(f"{begun} chunks done")
+        begun += 1
+        land(batch, number)
+
+    stream = json_lines_stream if lines else json_documents_stream
+    query = (stream(spark, path, files_per_chunk).writeStream.foreachBatch(chunk)
+             .option("checkpointLocation", f"{store.root}/loads/{name}").trigger(availableNow=True).start())
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if begun != most_chunks:
+            raise
+    return store.chunk_totals(feed).first().asDict()
+
+
 def table_counts(store: EventStore) -> dict:
     log, merchants = store.log(), store.merchants()
     try:
@@ -65,6 +112,9 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--truncate", action="store_true")
     ap.add_argument("--on-error", choices=("fail", "quarantine"), default="fail")
     ap.add_argument("--lines", action="store_true", help="input is JSON Lines (splittable)")
+    ap.add_argument("--resume", metavar="NAME", help="load a folder in chunks, going on where NAME ended")
+    ap.add_argument("--files-per-chunk", type=int, default=1)
+    ap.add_argument("--most-chunks", type=int, default=None)
     args = ap.parse_args(argv)
 
     spark = get_session(app_name="tallyline-load")
@@ -73,7 +123,11 @@ def main(argv: list[str] | None = None) -> int:
         store.truncate()
     t0 = time.perf_counter()
     try:
-        totals = load_file(spark, args.file, store, args.chunk_size, args.on_error, args.lines)
+        if args.resume:
+            totals = load_chunks(spark, args.file, store, args.resume, args.files_per_chunk, args.on_error, args.lines,
+                                 args.most_chunks)
+        else:
+            totals = load_file(spark, args.file, store, args.chunk_size, args.on_error, args.lines)
     except V.ValidationFailed as err:
         print(f"error: {err}", file=sys.stderr)
         return 1

@@ -81,3 +81,20 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cols = columns or sorted(df.columns)
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   F.bit_xor(F.xxhash64(*[F.col(c) for c in cols])).alias("xor_hash"))
+
+
+def multiset_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """C11: row count and the sums of both halves of every row's MD5. Unlike an
+    XOR, equal rows do not cancel; any order and partitioning give the same
+    sums, partial sums combine map-side, and any SQL engine can compute them.
+
+    A row's text is its columns' texts, each led by its length in code points (a null is
+    "-"), so that no two rows read alike.
+    """
+    texts = [F.col(c).cast("string") for c in (columns or df.columns)]
+    row = F.concat(*[F.when(t.isNull(), "-").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for t in texts])
+    md5 = F.md5(row.cast("binary"))
+    half = lambda at: F.conv(F.substring(md5, at, 16), 16, 10).cast("decimal(20,0)")
+    none = F.lit(0).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"),
+                  *[F.coalesce(F.sum(half(at)).cast("decimal(38,0)"), none).alias(name) for at, name in ((1, "high_sum"), (17, "low_sum"))])

@@ -125,7 +125,7 @@ def query(name: str):
 
 def registry() -> dict[str, QueryFn]:
     # Importing the modules that register queries fills the registry.
-    from tallyline.plans import extra_queries, store_queries  # noqa: F401
+    from tallyline.plans import extra_queries, ledger_queries, store_queries  # noqa: F401
 
     return dict(_REGISTRY)
 

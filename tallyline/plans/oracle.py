@@ -301,8 +301,9 @@ ORDER BY "date" ASC NULLS FIRST"""
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallyline.plans import extra_oracle
+    from tallyline.plans import extra_oracle, ledger_oracle
 
     out = core_sql()
     out.update(extra_oracle.extra_sql())
+    out.update(ledger_oracle.ledger_sql())
     return out

@@ -56,6 +56,11 @@ def wire_from_json(rows: DataFrame, batch_id: int) -> DataFrame:
 
 def read_event_array(spark: SparkSession, path: str, batch_id: int = 0) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return wire_from_json(numbered_events(text), batch_id)
+
+
+def numbered_events(text: DataFrame) -> DataFrame:
+    """(pos, raw_json) of the events of whole documents (value, file)."""
     body = F.trim(F.col("value"))
     events = F.when(body.startswith("["), F.from_json(body, "array<string>")).when(
         F.json_object_keys(body).isNotNull(), F.array(body))
@@ -65,9 +70,8 @@ def read_event_array(spark: SparkSession, path: str, batch_id: int = 0) -> DataF
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = documents.groupBy("file").agg(F.sum(F.size("events")).alias("n")).select(
         "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    rows = (documents.select("file", F.posexplode("events").alias("nth", "raw_json")).join(starts, "file")
+    return (documents.select("file", F.posexplode("events").alias("nth", "raw_json")).join(starts, "file")
             .select((F.col("start") + F.col("nth")).alias("pos"), "raw_json"))
-    return wire_from_json(rows, batch_id)
 
 
 def numbered_lines(lines: DataFrame) -> DataFrame:

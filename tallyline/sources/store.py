@@ -13,6 +13,8 @@ Layout under ``root`` (any Hadoop-compatible shared path)::
     merchants/batch_id=N/          merchant names that batch N introduced or changed
     dimension/                     current merchant names (materialised)
     quarantine/batch_id=N/         rejected wire rows with their errors
+    chunks/batch_id=N/             what a chunk of a resumable load came to
+    loads/NAME/                    the chunk ledger of the resumable load NAME
     log_version/                   one row per log version; the highest counts
     _layout, _complete             one-row markers: bucket count, finished full load
                                    with a fingerprint of its source
@@ -404,6 +406,27 @@ class EventStore:
         (rejected.withColumn("batch_id", F.lit(batch_id).cast("int"))
          .write.mode("overwrite").partitionBy("batch_id").parquet(self.quarantine_path))
 
+    @property
+    def chunks_path(self) -> str:
+        return f"{self.root}/chunks"
+
+    def record_chunk(self, feed: str, number: int, batch_id: int, totals: dict) -> None:
+        """What a chunk came to; a chunk that is done again replaces its record."""
+        names = ("received", "ingested", "duplicates", "rejected")
+        (self.spark.range(1).select(F.lit(feed).alias("feed"), F.lit(number).cast("long").alias("number"),
+                                    *[F.lit(int(totals.get(n, 0))).cast("long").alias(n) for n in names],
+                                    F.lit(batch_id).cast("int").alias("batch_id"))
+         .write.mode("overwrite").partitionBy("batch_id").parquet(self.chunks_path))
+
+    def chunk_totals(self, feed: str) -> DataFrame:
+        """One row: chunks of a feed and what they came to."""
+        done = self._read(self.chunks_path)
+        names = ("received", "ingested", "duplicates", "rejected")
+        if done is None:
+            return self.spark.range(1).select(*[F.lit(0).cast("long").alias(n) for n in ("chunks", *names)])
+        return done.filter(F.col("feed") == feed).agg(
+            F.count(F.lit(1)).alias("chunks"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+
     def truncate(self) -> None:
         """Wipe log, projection and merchants.
 
@@ -412,7 +435,7 @@ class EventStore:
         """
         for path in (self.log_path, self.projection_path, self.merchants_path, self.quarantine_path,
                      self.dimension_path, self.complete_path, self.ledger_path,
-                     self.projection_state_path, self.layout_path):
+                     self.chunks_path, self.projection_state_path, self.layout_path):
             self._wipe(path)
         if self._log_version() != 0:
             self._wipe(self.log_version_path)

@@ -15,6 +15,7 @@ grows without bound, which is why the log-backed path is the default.
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +36,12 @@ def query_feed(spark: SparkSession, checkpoint: str) -> str:
 
 
 def ingest_batch_fn(store: EventStore, wire: bool = False, on_error: str = "quarantine", checkpoint: str | None = None,
-                    feed: str | None = None):
+                    feed: str | None = None, report: bool = False):
     """The ``foreachBatch`` body: validate (for wire input), then ingest.
 
     The store's ledger gives the stream's micro-batch its id; Spark replays a
     failed micro-batch with the same number, and the store overwrites it.
+    With ``report`` the store keeps what each micro-batch came to.
     """
     def run(batch: DataFrame, number: int) -> None:
         source = feed or (query_feed(store.spark, checkpoint) if checkpoint else "stream")
@@ -49,14 +51,18 @@ def ingest_batch_fn(store: EventStore, wire: bool = False, on_error: str = "quar
                 batch = wire_frame(batch, batch_id)
             checked = V.validate(batch).persist()
             try:
+                deliveries = V.gate(checked, on_error)
                 if on_error == "quarantine":
                     store.quarantine(V.quarantine(checked), batch_id)
-                deliveries = V.gate(checked, on_error)
-                store.ingest(deliveries, batch_id=batch_id)
+                totals = store.ingest(deliveries, batch_id=batch_id)
+                if report:
+                    totals["rejected"] = checked.count() - totals["received"]
             finally:
                 checked.unpersist()
         else:
-            store.ingest(batch.select(*DELIVERY_COLUMNS), batch_id=batch_id)
+            totals = store.ingest(batch.select(*DELIVERY_COLUMNS), batch_id=batch_id)
+        if report:
+            store.record_chunk(source, number, batch_id, totals)
     return run
 
 
@@ -89,9 +95,15 @@ def wire_frame(lines: DataFrame, batch_id: int) -> DataFrame:
     ``pos`` numbers the lines of the micro-batch's files in file order, which
     Spark replays from the same files after a failure.
     """
-    from tallyline.sources.json_events import numbered_lines, wire_from_json
+    from tallyline.sources.json_events import numbered_events, numbered_lines, wire_from_json
+
+    return wire_from_json(numbered_lines(lines) if "block" in lines.columns else numbered_events(lines), batch_id)
+
 
-    return wire_from_json(numbered_lines(lines), batch_id)
+def json_documents_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """A1/A5: files that hold one event or an array of them, as text."""
+    return (spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("wholetext", True).text(path)
+            .select("value", F.col("_metadata.file_path").alias("file")))
 
 
 def delivery_file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -124,12 +136,43 @@ def running_state_stream(source: DataFrame) -> DataFrame:
     )
 
 
+# The state grows with the feed: it is kept on the executors' disks, outside the
+# heap, and each micro-batch checkpoints its changes instead of the whole state.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the queries that are started inside; a streaming
+    query keeps those it was started with."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_running_state(source: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
     """Drain ``running_state_stream`` in update mode; return the latest state.
 
     Each micro-batch's updated rows are written under ``version=<batch_id>``;
     the current state is the newest version of each transaction.
     """
+    with settings(source.sparkSession, STATE_STORE):
+        _drain_running_state(source, out_path, checkpoint)
+    versions = source.sparkSession.read.parquet(out_path)
+    latest = versions.groupBy("transaction_id").agg(
+        F.max_by(F.struct(*[c for c in PROJECTION_COLUMNS if c != "transaction_id"]), F.col("version")).alias("s"))
+    return with_status(latest.select("transaction_id", "s.*"))
+
+
+def _drain_running_state(source: DataFrame, out_path: str, checkpoint: str) -> None:
     def sink(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("version", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").partitionBy("version").parquet(out_path))
@@ -138,8 +181,3 @@ def run_running_state(source: DataFrame, out_path: str, checkpoint: str) -> Data
              .foreachBatch(sink).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    spark = source.sparkSession
-    versions = spark.read.parquet(out_path)
-    latest = versions.groupBy("transaction_id").agg(
-        F.max_by(F.struct(*[c for c in PROJECTION_COLUMNS if c != "transaction_id"]), F.col("version")).alias("s"))
-    return with_status(latest.select("transaction_id", "s.*"))
