@@ -24,32 +24,32 @@ from pyspark.sql import functions as F
 from tallyline.schema import WIRE_FIELDS, WIRE_SCHEMA
 
 
-def _wrong_types(raw: Column) -> Column:
-    """Names of the fields that hold another JSON type than text (an amount
-    may be a number)."""
-    value = F.try_parse_json(raw)
+def _wrong_types(value: Column) -> Column:
+    """Names of the fields of a parsed event that hold another JSON type than
+    text (an amount may be a number)."""
+    kinds = F.array(*[F.struct(F.lit(f).alias("field"), F.schema_of_variant(F.try_variant_get(value, f"$.{f}", "variant")).alias("kind"))
+                      for f in WIRE_FIELDS])
 
-    def kind(field: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
+    def wrong(x: Column) -> Column:
+        number = (x["field"] == "amount") & (x["kind"].isin("BIGINT", "DOUBLE") | x["kind"].startswith("DECIMAL"))
+        return x["kind"].isNotNull() & ~x["kind"].isin("STRING", "VOID") & ~number
 
-    def wrong(field: str) -> Column:
-        fits = kind(field).isin("STRING", "VOID")
-        if field == "amount":
-            fits = fits | kind(field).isin("BIGINT", "DOUBLE") | kind(field).startswith("DECIMAL")
-        return F.when(kind(field).isNotNull() & ~fits, F.lit(field))
-
-    return F.array_compact(F.array(*[wrong(f) for f in WIRE_FIELDS]))
+    return F.transform(F.filter(kinds, wrong), lambda x: x["field"])
 
 
 def wire_from_json(rows: DataFrame, batch_id: int) -> DataFrame:
-    parsed = F.from_json("raw_json", WIRE_SCHEMA)
-    keys = F.coalesce(F.json_object_keys("raw_json"), F.array().cast("array<string>"))
-    return rows.select(
+    """The wire frame of raw events (pos, raw_json). Each text is parsed once
+    as a struct, once as a variant and once for its keys: the parsed columns are
+    made first and then referred to, so that no field parses it again."""
+    parsed = rows.select("pos", "raw_json", F.from_json("raw_json", WIRE_SCHEMA).alias("event"),
+                         F.try_parse_json("raw_json").alias("variant"), F.json_object_keys("raw_json").alias("keys"))
+    keys = F.coalesce("keys", F.array().cast("array<string>"))
+    return parsed.select(
         F.lit(batch_id).cast("int").alias("batch_id"),
         F.col("pos").cast("long").alias("pos"),
-        *[parsed[f].alias(f) for f in WIRE_FIELDS],
+        *[F.col("event")[f].alias(f) for f in WIRE_FIELDS],
         F.array_except(keys, F.array(*[F.lit(f) for f in WIRE_FIELDS])).alias("extra_keys"),
-        _wrong_types(F.col("raw_json")).alias("wrong_types"),
+        _wrong_types(F.col("variant")).alias("wrong_types"),
         "raw_json",
     )
 
