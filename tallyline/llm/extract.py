@@ -11,7 +11,9 @@ than below; what lies outside is none, unless no line in an article is above
 the threshold. Elements that by name, role or
 class are menus, headers, footers, sidebars, notices, adverts, forms or
 comments never are. A class or id is only a hint: an element that is as dense
-as the page and holds most of its text is not left out for it.
+as the page and holds most of its text is not left out for it, unless the hint
+says comments, notice or advert (and not that a layout has them) and the element
+holds no article without such a hint.
 
 Defined results: null, empty or text-less pages give an empty text; markup
 that breaks off or nests wrongly is read as far as it goes; repeated rows give
@@ -60,6 +62,11 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 HINTS = re.compile(r"""(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|
     footer|gdpr|header|login|masthead|menu|modal|navbar|navigation|nav|newsletter|notice|popup|promo\w*|related|replies|
     respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|subscription|toolbar|widget)(?:$|[\s_-])""", re.X | re.I)
+# Those of them that are never the page's own text: reader comments, notices, adverts.
+FIRM = re.compile(r"""(?:^|[\s_-])(?:ad|ads|advert\w*|comments?|commentlist|consent|cookies?|disqus|gdpr|newsletter|notice|popup|
+    promo\w*|replies|respond|sponsor\w*)(?:$|[\s_-])""", re.X | re.I)
+# Classes that say whether a layout has such parts.
+LAYOUT = re.compile(r"(?:^|[\s_-])(?:(?:no|with|has|without|hide|show)[_-][\w-]+|[\w-]+[_-](?:open|closed|on|off|enabled|disabled|allowed))(?=$|\s)", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -70,7 +77,10 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.never_closed = never_closed   # elements not to leave out by name
         self.wrappers = wrappers   # elements not to leave out by class or id, by their place
-        self.hinted: dict[tuple[int, int], list[int]] = {}   # signs, tags and articles in those left out
+        # Signs, tags and articles in those left out, and whether for a firm hint.
+        self.hinted: dict[tuple[int, int], list[int]] = {}
+        self.firm = False       # whether the element at hand has a firm hint
+        self.open: dict[str, int] = {}   # elements on the stack by name
         self.within: list[tuple[int, int]] = []   # those of them that are open
         self.outer = [0, 0]     # signs and tags in all of them
         self.stack: list[tuple[str, int, int]] = []   # element, left out (1, by class or id 2), region
@@ -98,11 +108,13 @@ class _Lines(HTMLParser):
         if tag in ASIDE and tag not in self.never_closed:
             # The heading of an article is its own, not the page's.
             return int(not (tag == "header" and self.landmark is not None))
-        hint = False
+        hint = self.firm = False
         for name, value in attrs:
             value = value or ""
             if name in ("class", "id"):
-                hint = hint or (tag not in ("html", "body") and bool(HINTS.search(value)))
+                if tag not in ("html", "body") and HINTS.search(value):
+                    hint = True
+                    self.firm = self.firm or bool(FIRM.search(LAYOUT.sub(" ", value)))
             elif name == "role":
                 if value.lower() in ROLES:
                     return 1
@@ -146,26 +158,31 @@ class _Lines(HTMLParser):
             if tag in LANDMARK and not out and self.landmark is None:
                 self.landmark = len(self.above)
                 self.landmarks.add(self.landmark)
-                self.stack.append(("!" + tag, out, self.region))
+                self.push("!" + tag, out)
             else:
-                self.stack.append((tag, out, self.region))
+                self.push(tag, out)
             self.above.append(self.region)
             self.region = len(self.above) - 1
             self.muted += out > 0
             self.named += out == 1
             if out == 2:
                 self.within.append(self.getpos())
-                self.hinted[self.within[-1]] = [0, 0, int(tag in LANDMARK)]
+                self.hinted[self.within[-1]] = [0, 0, int(tag in LANDMARK), int(self.firm)]
         elif tag in LISTS:
-            self.stack.append((tag, 0, self.region))
+            self.push(tag, 0)
         if self.within and not self.named:
             held = self.hinted[self.within[-1]]
             held[1] += 1
             if tag in LANDMARK and not out:
                 held[2] = 2
 
+    def push(self, tag: str, out: int):
+        self.stack.append((tag, out, self.region))
+        self.open[tag.lstrip("!")] = self.open.get(tag.lstrip("!"), 0) + 1
+
     def pop(self):
         tag, out, region = self.stack.pop()
+        self.open[tag.lstrip("!")] -= 1
         self.muted -= out > 0
         self.named -= out == 1
         if out == 2:
@@ -176,7 +193,7 @@ class _Lines(HTMLParser):
 
     def leave(self):
         """What an element left out by class or id holds, the one around it holds too."""
-        signs, tags, articles = self.hinted[self.within.pop()]
+        signs, tags, articles, _ = self.hinted[self.within.pop()]
         if self.within:
             held = self.hinted[self.within[-1]]
             if articles == 2:
@@ -205,6 +222,8 @@ class _Lines(HTMLParser):
         article = any(x[3] for x in self.lines)
 
         def wraps(held: list[int]) -> bool:
+            if held[3] and held[2] != 2:
+                return False
             share = WRAPS if held[2] and not article else MOSTLY
             return held[0] >= max(1, share * signs) and held[0] * max(1, tags) >= THRESHOLD * signs * held[1]
         return frozenset(at for at, held in self.hinted.items() if at in omitted or wraps(held))
@@ -226,7 +245,7 @@ class _Lines(HTMLParser):
             self.end_line()
         if tag == "a" or tag in BLOCK:   # a link that is never closed ends with its block
             self.linked = False
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, -1, -1) if self.open.get(tag) else ():
             if self.stack[i][0].lstrip("!") == tag:
                 while len(self.stack) > i:
                     self.pop()
@@ -302,23 +321,19 @@ def _links(lines: list[list], dense: np.ndarray, landmarks: set[int]) -> set[int
 def _around(chosen: set[int], lines: list[tuple[int, int]], above: list[int]) -> set[int]:
     """The regions beside chosen ones, where the region around them is mostly
     theirs: short blocks with containers of their own."""
-    inside: dict[int, list[int]] = {}
+    whole, own = [0] * len(above), [0] * len(above)
     for region, size in lines:
-        at, own = region, region in chosen
-        while at:
-            held = inside.setdefault(at, [0, 0])
-            held[0] += size
-            held[1] += size * own
-            at = above[at]
-    most = {r for r, (whole, own) in inside.items() if own >= MOSTLY * whole}
-
-    def within(region: int) -> bool:
-        while region:
-            if region in most:
-                return True
-            region = above[region]
-        return False
-    return {region for region, _ in lines if within(region)}
+        whole[region] += size
+        own[region] += size * (region in chosen)
+    held = [bool(x) for x in whole]
+    for region in range(len(above) - 1, 0, -1):   # a region comes after the one around it
+        around = above[region]
+        whole[around], own[around] = whole[around] + whole[region], own[around] + own[region]
+        held[around] = held[around] or held[region]
+    within = [False] * len(above)
+    for region in range(1, len(above)):
+        within[region] = within[above[region]] or held[region] and own[region] >= MOSTLY * whole[region]
+    return {region for region, _ in lines if within[region]}
 
 
 def extracted(html: Column) -> Column:
