@@ -20,8 +20,10 @@ from tallyline.schema import (
 )
 
 # Fixed patterns of the wire format.
-UUID_PATTERN = r"(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{32})$"
-DECIMAL_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
+# A UUID is written with hyphens (alone, in braces or as a URN) or as 32 digits.
+_HYPHENATED = r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
+UUID_PATTERN = rf"^((urn:uuid:)?{_HYPHENATED}|\{{{_HYPHENATED}\}}|(?i:[0-9a-f]{{32}}))$"
+DECIMAL_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 LETTERS_PATTERN = r"^\p{L}+$"
 # A date, or a date and a time, with an optional offset. Times without a date
 # would silently become today's; epoch numbers are not taken as times.
@@ -58,7 +60,8 @@ def uuid_error(c: Column) -> Column:
 
 def hyphenated_uuid(c: Column) -> Column:
     """Lower-case 8-4-4-4-12 form of a UUID text already known to be valid."""
-    hexed = F.lower(F.replace(c, F.lit("-"), F.lit("")))
+    # Braces go with the hyphens; a URN's prefix stands before the last 32 digits.
+    hexed = F.substring(F.lower(F.translate(c, "-{}", "")), -32, 32)
     return F.concat_ws("-", *[F.substring(hexed, start, length)
                               for start, length in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
@@ -91,14 +94,26 @@ def _digit_counts(c: Column) -> tuple[Column, Column]:
     """(whole digits, decimal places) of a decimal text, ignoring redundant zeros.
 
     Plain string functions (no regex) on text that already matched
-    ``DECIMAL_PATTERN``.
+    ``DECIMAL_PATTERN``. An exponent moves the point.
     """
     signed = c.startswith("+") | c.startswith("-")
-    unsigned = F.when(signed, F.substring(c, 2, 1 << 30)).otherwise(c)
-    whole = F.ltrim(F.substring_index(unsigned, ".", 1), F.lit("0"))
-    frac = F.when(unsigned.contains("."), F.rtrim(F.substring_index(unsigned, ".", -1), F.lit("0"))) \
-        .otherwise(F.lit(""))
-    return F.length(whole), F.length(frac)
+    unsigned = F.translate(F.when(signed, F.substring(c, 2, 1 << 30)).otherwise(c), "E", "e")
+    plain = F.substring_index(unsigned, "e", 1)
+    frac = F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise(F.lit(""))
+    significant = F.ltrim(F.concat(F.substring_index(plain, ".", 1), frac), F.lit("0"))
+    digits = F.length(F.rtrim(significant, F.lit("0")))
+    # An exponent past an int leaves no amount but zero in range, whatever its sign.
+    exponent = F.when(unsigned.contains("e"), F.coalesce(F.substring_index(unsigned, "e", -1).try_cast("int").cast("long"), F.lit(1 << 31))) \
+        .otherwise(F.lit(0).cast("long"))
+    last = exponent - F.length(frac) + F.length(significant) - digits     # the power of ten of the last digit
+    none = digits == 0
+    whole = F.when(none, F.lit(0)).otherwise(F.greatest(digits + last, F.lit(0)))
+    return whole, F.when(none, F.lit(0)).otherwise(F.greatest(-last, F.lit(0)))
+
+
+def exact_amount(c: Column) -> Column:
+    """The value of a valid amount text; a zero may have any exponent."""
+    return F.coalesce(c.try_cast("decimal(38,10)"), F.when(c.isNotNull(), F.lit(0).cast("decimal(38,10)"))).cast(MONEY)
 
 
 def amount_error(c: Column) -> Column:
@@ -119,7 +134,7 @@ def amount_error(c: Column) -> Column:
 
 def canonical_amount(c: Column) -> Column:
     """Exact decimal(14,2) of a valid amount text (never via a float)."""
-    return F.when(amount_error(c).isNull(), c.cast("decimal(38,10)").cast(MONEY))
+    return F.when(amount_error(c).isNull(), exact_amount(c))
 
 
 def currency_error(c: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import checks as K
-from tallyline.schema import DELIVERY_COLUMNS, MONEY
+from tallyline.schema import DELIVERY_COLUMNS
 
 FIELD_CHECKS = (
     ("event_id", K.uuid_error),
@@ -112,7 +112,7 @@ def validate(wire: DataFrame) -> DataFrame:
             F.col("first_error_field"), F.lit(": "), F.element_at(_messages(), F.col("first_error_code")))),
         "v_event_id": F.when(ok("event_id"), K.hyphenated_uuid(F.col("event_id"))),
         "v_transaction_id": F.when(ok("transaction_id"), K.hyphenated_uuid(F.col("transaction_id"))),
-        "v_amount": F.when(ok("amount"), F.col("amount").cast("decimal(38,10)").cast(MONEY)),
+        "v_amount": F.when(ok("amount"), K.exact_amount(F.col("amount"))),
         "v_currency": F.when(ok("currency"), F.upper(F.col("currency"))),
         "v_occurred_at": F.col(ts),
     }).drop(ts, *[_code_col(f) for f, _ in FIELD_CHECKS])

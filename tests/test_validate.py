@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.operators import validate as V
 from tallyline.sources.json_events import event_to_json, read_event_array, read_event_lines
@@ -138,3 +139,39 @@ def test_loader_cli_reports_and_fails_cleanly(spark, tmp_root, capsys):
     bad = _write(tmp_root, "cli-bad.json", json.dumps([dict(GOOD, amount="-1.00")]))
     assert main(["--file", bad, "--store", store]) == 1
     assert "nothing was loaded" in capsys.readouterr().err
+
+
+def test_amounts_in_exponent_form_and_uuid_spellings(spark):
+    """Against Python's own Decimal and UUID."""
+    import uuid
+    from decimal import Decimal
+
+    from tallyline.functions import checks as K
+
+    def law(text):
+        sign, digits, last = Decimal(text).normalize().as_tuple()
+        places = max(-last, 0)
+        size = max(len(digits) + max(last, 0), places) if any(digits) else 0
+        if size > 14:
+            return "decimal_max_digits"
+        if any(digits) and places > 2:
+            return "decimal_max_places"
+        if any(digits) and size - places > 12:
+            return "decimal_whole_digits"
+        return "greater_than_equal" if sign and any(digits) else None
+
+    texts = ["1e3", "1.5E-1", "15e-3", "1E11", "1E12", "1e14", "123456.7e1", "0e99999", "-0e5", "-1e2", "+2.50e+1", "1e-99999",
+             "00.10e1", "1234567890.12e2", "1000e-3", "0.00", "12.30", "999999999999.99", "1e99999999999", ".5e1", "5.e0"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: (r.e, r.v) for r in rows.select("t", K.amount_error(F.col("t")).alias("e"), K.canonical_amount(F.col("t")).alias("v")).collect()}
+    for t in texts:
+        want = law(t) if abs(int(t.lower().partition("e")[2] or 0)) < 10**6 else "decimal_max_digits"
+        assert got[t][0] == want, (t, got[t])
+        assert want or got[t][1] == Decimal(t), t
+    for t in ("1e", "e5", "1e5.0", "nan", "Infinity", "1 e5"):
+        assert spark.range(1).select(K.amount_error(F.lit(t))).first()[0] == "decimal_parsing"
+    plain = "A0000000-0000-4000-8000-00000000000f"
+    good = [plain, plain.lower(), "{" + plain + "}", "urn:uuid:" + plain, plain.replace("-", "")]
+    bad = ["{" + plain, plain + "}", "URN:UUID:" + plain, "urn:uuid:" + plain.replace("-", ""), "{" + plain.replace("-", "") + "}", plain[:-1]]
+    ids = spark.createDataFrame([(t,) for t in good + bad], "t string").select("t", K.canonical_uuid(F.col("t")).alias("u"))
+    assert {r.t: r.u for r in ids.collect()} == {**{t: str(uuid.UUID(t)) for t in good}, **dict.fromkeys(bad)}
