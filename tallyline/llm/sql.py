@@ -85,7 +85,7 @@ def _rule_rows() -> str:
 
 
 JUDGED = rf"""
-WITH hp AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
+WITH RECURSIVE hp AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
                    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 rules(rule, rule_verdict, site, prefix) AS (VALUES {_rule_rows()}),
 m AS (SELECT page_id, host, path, rule, rule_verdict
@@ -95,15 +95,18 @@ mf AS (SELECT *, '/' || array_to_string(list_transform(list_filter(string_split(
               lambda x: CASE WHEN regexp_matches(x, '{urls._VARIABLE}') THEN '*' ELSE x END), '/') AS form FROM m),
 forms AS (SELECT host, form, count(*) AS pages, count(rule_verdict) AS n, count(*) FILTER (WHERE rule_verdict = 'block') AS b,
                  list_filter(string_split(form, '/'), lambda x: x <> '') AS parts FROM mf GROUP BY host, form),
-steps AS (SELECT host, form, pages, depth, parts[depth + 1] AS segment, array_to_string(parts[1:depth], '/') AS above
-          FROM (SELECT *, unnest(range(len(parts))) AS depth FROM forms)),
-wide AS (SELECT host, above FROM (SELECT host, above, segment, sum(pages) AS pages FROM steps GROUP BY ALL) GROUP BY host, above
-         HAVING count(*) >= {urls.MANY} AND max(pages) <= sum(pages) * {urls.RARE}),
-named AS (SELECT s.host, s.form, list(CASE WHEN w.host IS NOT NULL THEN '*' ELSE segment END ORDER BY depth) AS segs
-          FROM steps s LEFT JOIN wide w ON w.host = s.host AND w.above = s.above GROUP BY s.host, s.form),
-kept AS (SELECT f.host, f.form, f.n, f.b, coalesce(segs, []) AS segs,
-                list_max(list_filter(range(1, len(coalesce(segs, [])) + 1), lambda i: segs[i] <> '*')) AS fixed
-         FROM forms f LEFT JOIN named n ON n.host = f.host AND n.form = f.form),
+walk AS (
+    SELECT host, form, n, b, pages, parts, 0 AS depth FROM forms
+    UNION ALL
+    SELECT host, form, n, b, pages,
+           CASE WHEN children >= {urls.MANY} AND largest <= total * {urls.RARE} THEN list_concat(list_append(parts[1:depth], '*'), parts[depth + 2:]) ELSE parts END,
+           depth + 1
+    FROM (SELECT *, count(DISTINCT segment) OVER node AS children, sum(pages) OVER node AS total, max(segment_pages) OVER node AS largest
+          FROM (SELECT *, sum(pages) OVER (PARTITION BY host, above, segment) AS segment_pages
+                FROM (SELECT *, parts[depth + 1] AS segment, array_to_string(parts[1:depth], '/') AS above FROM walk WHERE len(parts) > depth))
+          WINDOW node AS (PARTITION BY host, above))),
+kept AS (SELECT host, form, n, b, parts AS segs, list_max(list_filter(range(1, len(parts) + 1), lambda i: parts[i] <> '*')) AS fixed
+         FROM walk WHERE depth = len(parts)),
 tpl AS (SELECT host, form, n, b, '/' || array_to_string(segs, '/') AS own,
                '/' || array_to_string(list_transform(segs, lambda x, i: CASE WHEN i = fixed THEN '*' ELSE x END), '/') AS parent FROM kept),
 own AS (SELECT host, own, parent, sum(n) AS n, sum(b) AS b FROM tpl GROUP BY ALL),
@@ -111,8 +114,18 @@ both_ AS (SELECT *, sum(n) OVER f AS an, sum(b) OVER f AS ab FROM own WINDOW f A
 merged AS (SELECT host, own, parent, n, b, CASE WHEN n = 0 OR an = n THEN own WHEN ab = 0 OR ab = an THEN parent
                   WHEN power(b / n - (ab - b) / (an - n), 2) / (ab / an * (1 - ab / an) * (1 / n + 1 / (an - n))) < {urls.ALIKE} THEN parent
                   ELSE own END AS template FROM both_),
-final AS (SELECT host, template, CASE WHEN (sum(b) + {urls.PRIOR_ROWS * urls.PRIOR_BLOCK}) / (sum(n) + {urls.PRIOR_ROWS}) >= {urls.REJECT}
-                 THEN 'block' ELSE 'allow' END AS verdict FROM merged GROUP BY host, template)
+labels AS (SELECT host, template, sum(n) AS n, sum(b) AS b, list_filter(string_split(template, '/'), lambda x: x <> '') AS parts FROM merged GROUP BY host, template),
+chain AS (SELECT *, array_to_string(parts[1:depth], '/') AS branch FROM (SELECT *, unnest(range(len(parts) + 1)) AS depth FROM labels)),
+held AS (SELECT *, sum(n) OVER (PARTITION BY host, depth, branch) AS held_n, sum(b) OVER (PARTITION BY host, depth, branch) AS held_b FROM chain),
+apart AS (SELECT host, template, depth, held_n - coalesce(lead(held_n) OVER below, n) AS n, held_b - coalesce(lead(held_b) OVER below, b) AS b
+          FROM held WINDOW below AS (PARTITION BY host, template ORDER BY depth)
+          UNION ALL SELECT host, template, len(parts) + 1, n, b FROM labels),
+shares AS (
+    SELECT host, template, -1 AS depth, CAST({urls.PRIOR_BLOCK} AS DOUBLE) AS share FROM labels
+    UNION ALL
+    SELECT s.host, s.template, s.depth + 1, (a.b + {urls.PRIOR_ROWS}::DOUBLE * share) / (a.n + {urls.PRIOR_ROWS}::DOUBLE)
+    FROM shares s JOIN apart a ON a.host = s.host AND a.template = s.template AND a.depth = s.depth + 1),
+final AS (SELECT host, template, CASE WHEN arg_max(share, depth) >= {urls.REJECT} THEN 'block' ELSE 'allow' END AS verdict FROM shares GROUP BY host, template)
 SELECT page_id, mf.host, path, rule, coalesce(rule_verdict, verdict) AS verdict
 FROM mf JOIN tpl ON tpl.host = mf.host AND tpl.form = mf.form
 JOIN merged ON merged.host = tpl.host AND merged.own = tpl.own AND merged.parent = tpl.parent

@@ -3,8 +3,9 @@
 1. Fixed rules (host and path prefix) judge the URLs they fit and label them
    for what follows.
 2. Per host, paths form a tree of segments. A segment of digits, hex or mixed
-   letters and digits is a wildcard at once; a node with many
-   children, none of them frequent, makes them one wildcard. What is left are templates.
+   letters and digits is a wildcard at once; level by level from the host, a
+   node with many children, none of them frequent, makes them one wildcard, and
+   their branches one branch. What is left are templates.
 3. Sibling templates (equal but for the last fixed segment) whose labelled
    shares do not differ from their parent's by a two-proportion test are
    merged into it.
@@ -25,6 +26,8 @@ table; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +77,35 @@ def path_form(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(forms, "/"))
 
 
+def generalised(forms: DataFrame) -> DataFrame:
+    """(host, form, parts): the segments of every path form, from the host down
+    level by level, a wildcard where the node above has many children. A node's
+    children are counted over all pages under its generalised path, so what
+    varies below something that varies is found as well. A path goes on to the
+    next level while ``MANY`` forms share its generalised path: with fewer, no
+    node below has as many children."""
+    level = forms.select("host", "form", "pages", F.filter(F.split("form", "/"), lambda s: s != "").alias("parts"))
+    done, depth = [], 0
+    while True:
+        above = F.array_join(F.slice("parts", 1, depth), "/") if depth else F.lit("")
+        held = level.select("*", above.alias("above"), F.get("parts", F.lit(depth)).alias("segment"))
+        nodes = (held.filter(col("segment").isNotNull())
+                 .groupBy("host", "above", "segment").agg(F.sum("pages").alias("pages"), F.count("*").alias("forms"))
+                 .groupBy("host", "above").agg(F.count("*").alias("children"), F.sum("pages").alias("pages"),
+                                               F.max("pages").alias("largest"), F.sum("forms").alias("forms")))
+        crowded = nodes.filter(col("forms") >= MANY).select(
+            "host", "above", ((col("children") >= MANY) & (col("largest") <= col("pages") * RARE)).alias("wide"))
+        parts = F.transform("parts", lambda s, i: F.when((i == depth) & col("wide"), F.lit("*")).otherwise(s))
+        depth += 1
+        told = written(held.join(crowded, ["host", "above"], "left").select(
+            "host", "form", "pages", F.when(col("wide"), parts).otherwise(col("parts")).alias("parts"),
+            (col("wide").isNotNull() & (F.size("parts") > depth)).alias("on")), "url-level")
+        done.append(told.filter(~col("on")).select("host", "form", "parts"))
+        level = told.filter("on").drop("on")
+        if level.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+
+
 def templates(judged: DataFrame) -> DataFrame:
     """(host, form, template, verdict) of every path form, from a table
     (host, form, rule verdict or null)."""
@@ -81,21 +113,7 @@ def templates(judged: DataFrame) -> DataFrame:
         F.count("*").alias("pages"), F.count("label").alias("labelled"),
         F.count(F.when(col("label") == "block", 1)).alias("blocked")), "url-forms")
 
-    # Every segment with the path above it; a node's children are counted there.
-    parts = forms.select("*", F.filter(F.split("form", "/"), lambda s: s != "").alias("parts"))
-    steps = parts.select("host", "form", "pages", F.posexplode_outer("parts").alias("depth", "segment"),
-                         col("parts").alias("all_parts"))
-    steps = steps.select("host", "form", "pages", "depth", "segment", F.array_join(
-        F.slice("all_parts", F.lit(1), F.coalesce(col("depth"), F.lit(0))), "/").alias("above"))
-    nodes = (steps.filter(col("segment").isNotNull()).groupBy("host", "above", "segment").agg(F.sum("pages").alias("pages"))
-             .groupBy("host", "above").agg(F.count("*").alias("children"), F.sum("pages").alias("pages"),
-                                           F.max("pages").alias("largest")))
-    wide = nodes.filter((col("children") >= MANY) & (col("largest") <= col("pages") * RARE)).select("host", "above", F.lit(True).alias("wide"))
-    general = steps.join(wide, ["host", "above"], "left").select(
-        "host", "form", "depth", F.when(col("wide"), F.lit("*")).otherwise(col("segment")).alias("segment"))
-    named = (general.groupBy("host", "form").agg(F.array_sort(F.collect_list(F.when(
-        col("segment").isNotNull(), F.struct("depth", "segment")))).alias("parts"))
-        .select("host", "form", F.transform("parts", lambda s: s["segment"]).alias("parts")))
+    named = generalised(forms)
     # The parent: the last fixed segment made a wildcard.
     fixed = F.array_max(F.transform(F.sequence(F.lit(0), F.size("parts")), lambda i: F.when(
         (i < F.size("parts")) & (F.get(col("parts"), i) != "*"), i)))

@@ -208,3 +208,45 @@ def test_unlabelled_branches_take_the_share_above(spark):
     assert got == {("bad", "/a/*"): "block", ("bad", "/b/*"): "block", ("bad", "/b/c/x"): "block", ("bad", "/"): "block",
                    ("mixed", "/a/*"): "block", ("mixed", "/b/*"): "allow", ("mixed", "/c/*"): "allow", ("mixed", "/a/x"): "block",
                    ("few", "/a/b/*"): "allow", ("none", "/a/*"): "allow"}
+
+
+def _names(n: int) -> list[str]:
+    return [f"n{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n)]
+
+
+def test_wildcards_below_wildcards(spark):
+    """Children are counted under the generalised path: names with few slugs
+    each make one template together, at any depth; frequent children stay."""
+    names = _names(40)
+    pages = [("h", f"/user/{a}/{b}/edit") for i, a in enumerate(names) for b in names[i:i + 2]]
+    pages += [("h", f"/lang/{'en' if i % 2 else 'fr'}/{a}") for i, a in enumerate(names)] + [("h", "/user"), ("h", "/"), ("k", "/user/n/x/edit")]
+    forms = spark.createDataFrame(pages, "host string, form string").groupBy("host", "form").agg(F.count("*").alias("pages"))
+    out = urls.generalised(forms).collect()
+    assert len(out) == forms.count()
+    got = {(r.host, r.form): "/".join(r.parts) for r in out}
+    assert {got["h", f"/user/{a}/{b}/edit"] for i, a in enumerate(names) for b in names[i:i + 2]} == {"user/*/*/edit"}
+    assert {got[h, f] for h, f in pages if f.startswith("/lang/")} == {"lang/en/*", "lang/fr/*"}
+    assert (got["h", "/user"], got["h", "/"], got["k", "/user/n/x/edit"]) == ("user", "", "user/n/x/edit")
+
+
+def test_url_sql_follows_the_same_law(spark):
+    """A table on which the method itself blocks: pages without a rule on hosts
+    whose labels are mostly blocked, nested variable segments, ties of labels."""
+    import duckdb
+
+    from tallyline.llm.sql import JUDGED
+
+    names = _names(45)
+    urls_ = [f"http://a.com/de/{a}" for a in names] + [f"http://a.com/{a}/{b}" for i, a in enumerate(names) for b in names[i:i + 2]]
+    urls_ += [f"http://b.com/de/{i}" for i in range(30)] + [f"http://b.com/fr/{i}" for i in range(30)] + [f"http://b.com/{a}" for a in names]
+    urls_ += [f"http://{h}.example.org/{p}/{i}" for h in "xyz" for p in ("es", "en", "de") for i in range(h == "x" and 3 or 20)]
+    urls_ += [f"http://c.com/de/{a}/{i}" for i in range(3) for a in names[:20]] + ["http://c.com/", "http://c.com/shop/x/y/z?q", "http://net/de/1"]
+    urls_ += [u for u, *_ in URLS]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls_)))
+    assert got == set(con.execute(JUDGED).fetchall()) and len(got) == len(urls_)
+    method = {v: sum(r[3] is None and r[4] == v for r in got) for v in ("allow", "block")}
+    assert method["block"] >= 50 and method["allow"] >= 50
