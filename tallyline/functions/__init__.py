@@ -2,10 +2,10 @@
 
 from tallyline.functions.rules import (
     RULES,
+    Horizon,
     age_hours,
     age_seconds,
     any_rule,
-    cutoff_for,
     discrepancy_array,
     discrepancy_detail,
     discrepancy_string,
@@ -14,7 +14,7 @@ from tallyline.functions.rules import (
 from tallyline.functions.status import flat_status, payment_status, settlement_status, with_status
 
 __all__ = [
-    "RULES", "age_hours", "age_seconds", "any_rule", "cutoff_for", "discrepancy_array",
+    "RULES", "Horizon", "age_hours", "age_seconds", "any_rule", "discrepancy_array",
     "discrepancy_detail", "discrepancy_string", "ts_literal", "flat_status",
     "payment_status", "settlement_status", "with_status",
 ]

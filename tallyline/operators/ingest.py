@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 from tallyline.schema import LOG_COLUMNS
 
 
-# Parts that the copies of one event are dealt into when they are labelled.
+# Parts that the copies of a hot event are dealt into when they are labelled.
 LABEL_SALTS = 16
+# Hot are at most so many events, those delivered most often. Any other event holds
+# less than 1 in HOT_EVENTS of all deliveries, so its copies fit one task.
+HOT_EVENTS = 1024
+HOT_COPIES = 1000
 
 
 def arrival_order() -> Column:
@@ -53,6 +57,15 @@ def dedupe_events(deliveries: DataFrame, log: DataFrame | None = None, keep: tup
     return firsts.select(*LOG_COLUMNS, *keep)
 
 
+def hot_events(deliveries: DataFrame) -> DataFrame:
+    """(event_id, _hot) of the events delivered most often: at most ``HOT_EVENTS``
+    rows whatever the input, so they are broadcast. They decide how rows are
+    spread over tasks and no result."""
+    return F.broadcast(
+        deliveries.groupBy("event_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_COPIES)
+        .orderBy(F.col("_n").desc(), "event_id").limit(HOT_EVENTS).select("event_id", F.lit(True).alias("_hot")))
+
+
 def label_deliveries(deliveries: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """Label every delivered position ``ingested`` or ``duplicate``.
 
@@ -61,21 +74,25 @@ def label_deliveries(deliveries: DataFrame, log: DataFrame | None = None) -> Dat
     ``duplicate``.
     """
     # Only events delivered more than once, or held by the log, need a look at
-    # their other copies. Those few are matched against the deliveries, which
-    # carry a salt: copies of a hot event stay spread over the tasks.
+    # their other copies. Those few are matched against the deliveries. The copies
+    # of a hot event carry a salt and stay spread over the tasks; its mark is
+    # there once a salt, every other mark once.
     marks = (deliveries.groupBy("event_id").agg(F.min(arrival_order()).alias("_first"), F.count(F.lit(1)).alias("_n"))
              .filter(F.col("_n") > 1).select("event_id", "_first"))
+    hot = hot_events(deliveries)
     known = known_event_ids(deliveries, log)
     if known is not None:
         marks = (marks.join(known.withColumn("_in_log", F.lit(True)), "event_id", "full_outer")
                  .withColumn("_first", F.when(F.col("_in_log").isNull(), F.col("_first"))))
     marks = marks.select("event_id", "_first", F.lit(True).alias("_marked"))
-    salt = F.pmod(F.xxhash64("batch_id", "pos"), F.lit(LABEL_SALTS)).cast("int")
-    spread = marks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("batch_id", "pos"), F.lit(LABEL_SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = marks.join(hot, "event_id", "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     is_new = F.col("_marked").isNull() | (F.col("_first").isNotNull() & (arrival_order() == F.col("_first")))
-    return (deliveries.withColumn("_salt", salt).join(spread, ["event_id", "_salt"], "left")
+    return (deliveries.join(hot, "event_id", "left").withColumn("_salt", salt)
+            .join(spread, ["event_id", "_salt"], "left")
             .withColumn("status", F.when(is_new, F.lit("ingested")).otherwise(F.lit("duplicate")))
-            .drop("_first", "_marked", "_salt")
+            .drop("_first", "_marked", "_salt", "_hot")
             .select(*deliveries.columns, "status"))
 
 

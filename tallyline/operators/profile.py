@@ -16,7 +16,7 @@ from tallyline.schema import PAYMENT_STATUSES
 SHAPE_SEP = ">"
 
 
-def shape_parts_fn(sep: str = SHAPE_SEP):
+def shape_parts_fn(sep: str = SHAPE_SEP, keep: tuple[str, ...] = ()):
     """Build the per-partition function for ``mapInPandas``.
 
     Built inside a factory so it is shipped to Python workers by value: the
@@ -37,7 +37,7 @@ def shape_parts_fn(sep: str = SHAPE_SEP):
                 continue
             parts = (pdf.groupby("transaction_id", sort=False)
                      .agg(first_at=("occurred_at", "first"), first_event_id=("event_id", "first"),
-                          shape=("event_type", sep.join))
+                          shape=("event_type", sep.join), **{k: (k, "first") for k in keep})
                      .reset_index())
             if carry is not None:
                 if parts.at[0, "transaction_id"] == carry.at[0, "transaction_id"]:
@@ -56,34 +56,117 @@ def shape_parts_fn(sep: str = SHAPE_SEP):
     return shape_parts
 
 
-def transaction_shapes(log: DataFrame) -> DataFrame:
-    """Ordered event-type sequence per transaction (after dedup).
+def transaction_shapes(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Ordered event-type sequence per transaction (after dedup), as one text.
 
     A global sort on (transaction_id, occurred_at, event_id) range-partitions
     the log, so a transaction holding a third of all events still spans many
     tasks. Each task emits one partial sequence per transaction slice; the
-    slices (at most one per partition) are then joined in event order.
+    slices (at most one per partition) are then joined in event order. ``keep``
+    names columns that are the same in all rows of a transaction.
     """
-    key_type = log.schema["transaction_id"].dataType
-    id_type = log.schema["event_id"].dataType
-    ts_type = log.schema["occurred_at"].dataType
+    fields = {f.name: f.dataType for f in log.schema}
     schema = T.StructType([
-        T.StructField("transaction_id", key_type), T.StructField("first_at", ts_type),
-        T.StructField("first_event_id", id_type), T.StructField("shape", T.StringType()),
+        T.StructField("transaction_id", fields["transaction_id"]), T.StructField("first_at", fields["occurred_at"]),
+        T.StructField("first_event_id", fields["event_id"]), T.StructField("shape", T.StringType()),
+        *[T.StructField(k, fields[k]) for k in keep],
     ])
-    parts = (log.select("transaction_id", "occurred_at", "event_id", "event_type")
+    parts = (log.select("transaction_id", "occurred_at", "event_id", "event_type", *keep)
              .orderBy("transaction_id", "occurred_at", "event_id")
-             .mapInPandas(shape_parts_fn(), schema))
+             .mapInPandas(shape_parts_fn(keep=keep), schema))
     ordered = F.array_sort(F.collect_list(F.struct("first_at", "first_event_id", "shape")))
-    return (parts.groupBy("transaction_id").agg(ordered.alias("_parts"))
-            .select("transaction_id",
+    return (parts.groupBy("transaction_id", *keep).agg(ordered.alias("_parts"))
+            .select("transaction_id", *keep,
                     F.array_join(F.transform("_parts", lambda p: p["shape"]), SHAPE_SEP).alias("shape")))
 
 
+# The digest of a sequence is a polynomial in each of these bases, modulo a
+# prime whose products fit 64 bits: about 124 bits in all.
+DIGEST_PRIME = 2**31 - 1
+DIGEST_BASES = (1_103_515_245, 1_566_083_941, 742_938_285, 1_226_874_159)
+
+
+def digest_parts_fn(bases: tuple[int, ...] = DIGEST_BASES, prime: int = DIGEST_PRIME):
+    """Per-partition function for ``mapInPandas``: one (transaction, first
+    event, length, digest, weight) per transaction slice of sorted rows, where
+    the weight is base ** length. What is carried from one Arrow batch to the
+    next is of fixed size, however long the transaction."""
+    import numpy as np
+    import pandas as pd
+
+    def powers(n: int) -> np.ndarray:
+        out = np.ones((n + 1, len(bases)), np.uint64)
+        for i in range(1, n + 1):
+            out[i] = out[i - 1] * np.array(bases, np.uint64) % np.uint64(prime)
+        return out
+
+    def digest_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, carry = powers(1), None
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            if len(table) <= n:
+                table = powers(2 * n)
+            ids = pdf["transaction_id"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            sizes = np.diff(np.append(starts, n))
+            left = np.repeat(starts + sizes, sizes) - 1 - np.arange(n)      # events after this one in its slice
+            codes = np.stack(pdf["codes"].to_numpy()).astype(np.uint64)
+            sums = np.add.reduceat(codes * table[left] % np.uint64(prime), starts, axis=0) % np.uint64(prime)
+            parts = pdf.iloc[starts][["transaction_id", "occurred_at", "event_id"]].copy()
+            parts.columns = ["transaction_id", "first_at", "first_event_id"]
+            parts["events"] = sizes
+            parts["digest"], parts["weight"] = list(sums.astype(np.int64)), list(table[sizes].astype(np.int64))
+            parts = parts.reset_index(drop=True)
+            if carry is not None and carry.at[0, "transaction_id"] == parts.at[0, "transaction_id"]:
+                head, tail = carry.loc[0], parts.loc[0]
+                merged = carry.copy()
+                merged.at[0, "events"] = head["events"] + tail["events"]
+                merged.at[0, "digest"] = (head["digest"] * tail["weight"] + tail["digest"]) % prime
+                merged.at[0, "weight"] = head["weight"] * tail["weight"] % prime
+                parts = pd.concat([merged, parts.iloc[1:]], ignore_index=True)
+            elif carry is not None:
+                parts = pd.concat([carry, parts], ignore_index=True)
+            carry = parts.iloc[[-1]].reset_index(drop=True)
+            if len(parts) > 1:
+                yield parts.iloc[:-1]
+        if carry is not None:
+            yield carry
+
+    return digest_parts
+
+
+def shape_digests(log: DataFrame) -> DataFrame:
+    """(transaction_id, events, digest) of every transaction's ordered event
+    types; no text of a transaction is built anywhere. Digests of slices are
+    combined in event order: d(xy) = d(x) * base ** length(y) + d(y)."""
+    fields = {f.name: f.dataType for f in log.schema}
+    schema = T.StructType([
+        T.StructField("transaction_id", fields["transaction_id"]), T.StructField("first_at", fields["occurred_at"]),
+        T.StructField("first_event_id", fields["event_id"]), T.StructField("events", T.LongType()),
+        T.StructField("digest", T.ArrayType(T.LongType())), T.StructField("weight", T.ArrayType(T.LongType())),
+    ])
+    codes = F.array(*[F.pmod(F.xxhash64("event_type", F.lit(lane)), F.lit(DIGEST_PRIME)) for lane in range(len(DIGEST_BASES))])
+    parts = (log.select("transaction_id", "occurred_at", "event_id", codes.alias("codes"))
+             .orderBy("transaction_id", "occurred_at", "event_id")
+             .mapInPandas(digest_parts_fn(), schema))
+    slices = F.array_sort(F.collect_list(F.struct("first_at", "first_event_id", "digest", "weight")))
+    zero = F.array(*[F.lit(0).cast("long")] * len(DIGEST_BASES))
+    whole = F.aggregate(F.col("_slices"), zero, lambda done, part: F.transform(
+        done, lambda d, i: F.pmod(d * F.get(part["weight"], i) + F.get(part["digest"], i), F.lit(DIGEST_PRIME))))
+    return (parts.groupBy("transaction_id").agg(F.sum("events").alias("events"), slices.alias("_slices"))
+            .select("transaction_id", "events", whole.alias("digest")))
+
+
 def profile_shapes(log: DataFrame) -> DataFrame:
-    """M1: how many transactions follow each event sequence."""
-    return (transaction_shapes(log).groupBy("shape")
-            .agg(F.count(F.lit(1)).alias("transactions"))
+    """M1: how many transactions follow each event sequence. Transactions are
+    counted by digest; a text is built for one transaction of each sequence."""
+    counted = shape_digests(log).groupBy("events", "digest").agg(
+        F.count(F.lit(1)).alias("transactions"), F.min("transaction_id").alias("transaction_id"))
+    shown = log.select("transaction_id", "occurred_at", "event_id", "event_type").join(
+        counted.select("transaction_id", "transactions"), "transaction_id")
+    return (transaction_shapes(shown, keep=("transactions",)).select("shape", "transactions")
             .orderBy(F.col("transactions").desc(), F.col("shape")))
 
 

@@ -20,7 +20,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.functions.rules import cutoff_for
+from tallyline.functions.rules import Horizon
 from tallyline.operators import ingest, projection, reports
 from tallyline.operators.reports import TxnFilters
 from tallyline.schema import LOG_COLUMNS
@@ -109,7 +109,7 @@ class Recon:
 
     @property
     def cutoff(self):
-        return cutoff_for(AS_OF, SLA_HOURS)[2]
+        return Horizon.of(AS_OF, SLA_HOURS).cutoff
 
 
 QueryFn = Callable[[SparkSession, str], DataFrame]

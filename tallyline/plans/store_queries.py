@@ -57,9 +57,9 @@ def _one_id(r: Recon):
 @query("txn_lookup")
 def q_txn_lookup(r: Recon) -> DataFrame:
     """One transaction with its rules, from one bucket of the store."""
-    from tallyline.functions.rules import cutoff_for
+    from tallyline.functions.rules import Horizon
 
-    return reports.transaction_detail(r.store.lookup(_one_id(r)), cutoff_for(AS_OF, SLA_HOURS)[2], merchants=r.merchants)
+    return reports.transaction_detail(r.store.lookup(_one_id(r)), Horizon.of(AS_OF, SLA_HOURS).cutoff, merchants=r.merchants)
 
 
 @query("txn_history_one")

@@ -96,3 +96,34 @@ def test_shapes_carry_across_arrow_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == dict(_brute_shapes(log.collect()))
+
+
+def test_shape_digests_are_those_of_the_whole_sequences(spark):
+    """Digests put together from slices (partitions and Arrow batches) equal the
+    polynomial of the whole sequence; equal sequences and no others share one."""
+    f = Factory()
+    for i in range(20):
+        f.happy_path(f"t{i:02d}")
+    for k in range(300):
+        f.event("settled" if k % 3 else "payment_processed", "hot", k)
+    for k in range(300):  # the same events in another order
+        f.event("settled" if k % 3 != 1 else "payment_processed", "warm", k)
+    log = ingest.dedupe_events(f.df(spark))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        got = {r["transaction_id"]: (r["events"], tuple(r["digest"])) for r in profile.shape_digests(log.repartition(8)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lanes = range(len(profile.DIGEST_BASES))
+    codes = {r[0]: r[1:] for r in log.select("event_type").distinct().select("event_type", *[
+        F.pmod(F.xxhash64("event_type", F.lit(i)), F.lit(profile.DIGEST_PRIME)) for i in lanes]).collect()}
+    sequences = {}
+    for r in sorted(log.collect(), key=lambda r: (r["transaction_id"], r["occurred_at"], r["event_id"])):
+        sequences.setdefault(r["transaction_id"], []).append(r["event_type"])
+    for txn, types in sequences.items():
+        digest = [0 for _ in lanes]
+        for t in types:
+            digest = [(d * b + c) % profile.DIGEST_PRIME for d, b, c in zip(digest, profile.DIGEST_BASES, codes[t])]
+        assert got[txn] == (len(types), tuple(digest))
+    assert len(got) == len(sequences) and len(set(got.values())) == len({tuple(t) for t in sequences.values()})
+    assert profile.profile_shapes(log.limit(0)).count() == 0

@@ -236,3 +236,25 @@ def test_merge_merchants_upsert_marks_only_changes(spark, factory):
     merged = {r["merchant_id"]: (r["merchant_name"], r["changed"])
               for r in ingest.merge_merchants(current, factory.df(spark)).collect()}
     assert merged == {"m1": ("New", True), "m2": ("Same", False), "m3": ("Kept", False), "m4": ("Fresh", True)}
+
+
+def test_labels_of_hot_events_are_spread_and_others_marked_once(spark, factory, monkeypatch):
+    """Hot events are bounded in number; who is hot changes no label."""
+    for i in range(30):
+        for _ in range(1 + (i % 3) * 20):
+            factory.event("settled", f"t{i}", 1, event_id=f"e{i}", batch_id=i % 2)
+    rows = factory.df(spark)
+    log = ingest.dedupe_events(rows.filter("event_id in ('e1', 'e2', 'e3')"))
+
+    def labels():
+        return sorted(map(tuple, ingest.label_deliveries(rows, log).select("batch_id", "pos", "event_id", "status").collect()))
+
+    assert ingest.hot_events(rows).count() == 0
+    plain = labels()
+    monkeypatch.setattr(ingest, "HOT_COPIES", 15)
+    monkeypatch.setattr(ingest, "HOT_EVENTS", 7)
+    hot = {r["event_id"] for r in ingest.hot_events(rows).collect()}
+    assert len(hot) == 7 and all(int(e[1:]) % 3 == 2 for e in hot)
+    assert labels() == plain and len(plain) == rows.count()
+    new = [e for _, _, e, status in plain if status == "ingested"]
+    assert sorted(new) == sorted(f"e{i}" for i in range(30) if i not in (1, 2, 3))

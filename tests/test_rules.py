@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.functions.rules import PREDICATE_TEXT, RULES, age_hours, cutoff_for, ts_literal
+from tallyline.functions.rules import PREDICATE_TEXT, RULES, Horizon, age_hours, ts_literal
 from tallyline.operators import ingest, projection, reports
 from tests.conftest import AS_OF, BASE, Factory
 
@@ -38,7 +38,7 @@ def test_rule_truth_table(spark):
     for name, (events, _) in SCENARIOS.items():
         for t, m in events:
             f.event(t, name, m)
-    rows = reports.transaction_detail(_view(spark, f), cutoff_for(AS_OF)[2]).collect()
+    rows = reports.transaction_detail(_view(spark, f), Horizon.of(AS_OF).cutoff).collect()
     got = {r["transaction_id"]: r["discrepancies"] for r in rows}
     assert got == {k: v for k, (_, v) in SCENARIOS.items()}
 
@@ -55,16 +55,16 @@ def test_sla_boundary(spark, hours, sla, broken):
 
 def test_sla_range_checked():
     with pytest.raises(ValueError):
-        cutoff_for(AS_OF, 9000)
+        Horizon.of(AS_OF, 9000)
     with pytest.raises(ValueError):
-        cutoff_for(AS_OF, -1)
+        Horizon.of(AS_OF, -1)
 
 
 def test_naive_and_aware_as_of_agree():
     from datetime import timezone
 
     aware = (AS_OF + timedelta(hours=5, minutes=30)).replace(tzinfo=timezone(timedelta(hours=5, minutes=30)))
-    assert cutoff_for(aware)[2] == cutoff_for(AS_OF)[2]
+    assert Horizon.of(aware).cutoff == Horizon.of(AS_OF).cutoff
 
 
 def test_arrival_order_converges(spark):
