@@ -4,9 +4,15 @@ Unit vectors are projected to eight dimensions by a random matrix, scaled, and
 decoded to the nearest point of the E8 lattice; vectors that are near decode
 to the same point or to a neighbouring one. Several tables with matrices of
 their own each index every vector under its point; as a query, a vector also
-probes the neighbouring points that its residual leans to most. One equality
-join on (label, table, point) gives the candidates; the cosine of each, in
-double precision, decides.
+probes the neighbouring points that its residual leans to most. Vectors meet
+in the cell (label, table, point) that one of them owns and the other owns or
+probes; the cosine of those that meet, in double precision, decides.
+
+Pairs are never rows: vectors go to the cells in which they meet someone, a
+cell of many is cut into blocks, and a task compares two blocks by a matrix
+product. It returns a row per vector: its count of links and one vector that
+it is connected with. A pair that meets in several cells is counted in the one
+of the least key.
 
 Equal vectors of a label are one class before anything is joined: a group of
 copies is one row with a count, and its members' links are counted, not
@@ -14,6 +20,7 @@ listed.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors without a label, link with nothing and are kept;
+components of any finite size count, however large or small;
 vectors of different length do not link; repeated rows are copies; rows with a
 null id count as copies but never name a component; an empty table gives an
 empty table; other columns are ignored.
@@ -28,6 +35,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.llm.common import col, written
 from tallyline.llm.components import components
@@ -37,7 +45,8 @@ TABLES = 4
 PROBES = 12       # neighbouring points probed in each table
 WIDTH = 0.8       # of a lattice unit, in projected length
 SEED = 1
-BLOCK = 2048      # vectors decoded at once
+BLOCK = 1024      # vectors decoded at once; members of a block of a cell, about
+PAIRS = 1 << 13   # pairs whose cells are compared at once
 
 
 def shortest() -> np.ndarray:
@@ -105,8 +114,78 @@ def _hashed(tables: int, probes: int, width: float):
         for batch in batches:
             for _, part in batch.groupby(batch["v"].map(len), sort=False):
                 own, near = cells(np.stack(part["v"].to_list()), tables, probes, width)
-                yield pd.DataFrame({"class": part["class"].to_numpy(), "label": part["label"].to_numpy(),
-                                    "own": list(own), "near": list(near.reshape(len(part), -1))})
+                yield part.assign(own=list(own), near=list(near.reshape(len(part), -1)))
+    return run
+
+
+def least_shared(own: np.ndarray, probed: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least key of the cells in which each pair (x, y) of rows meets: those
+    that one of the two owns and the other owns or probes."""
+    out = np.empty(len(x), np.int64)
+    none = np.iinfo(np.int64).max
+    for at in range(0, len(x), PAIRS):
+        p, q = x[at:at + PAIRS], y[at:at + PAIRS]
+        both = [np.where((own[a][:, :, None] == probed[b][:, None, :]).any(axis=2), own[a], none).min(axis=1)
+                for a, b in ((p, q), (q, p))]
+        out[at:at + PAIRS] = np.minimum(*both)
+    return out
+
+
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least of the n rows that each is connected with by the pairs (x, y)."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, x, root[y])
+        np.minimum.at(low, y, root[x])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def unit_links(key: int, i: int, j: int, block: np.ndarray, v: np.ndarray, own: np.ndarray, near: np.ndarray,
+               n: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, root, links) of the rows of one unit, blocks i and j of a cell, that
+    have a link there. A link met in several cells is counted where its least
+    key is, so it is counted once; roots hold the unit's links together."""
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    owner = (own == key).any(axis=1)
+    near_enough = (v[left] @ v[right].T >= cosine) & (owner[left][:, None] | owner[right][None, :])
+    x, y = np.nonzero(np.triu(near_enough, 1) if i == j else near_enough)
+    x, y = left[x], right[y]
+    here = least_shared(own, np.concatenate([own, near], axis=1), x, y) == key
+    links = np.zeros(len(v), np.int64)
+    np.add.at(links, x[here], n[y[here]])
+    np.add.at(links, y[here], n[x[here]])
+    rows = np.unique(np.concatenate([x, y]))
+    return rows, roots(len(v), x, y)[rows], links[rows]
+
+
+def _verified(cosine: float):
+    """Over rows sorted by unit (label, key, i, j): (class, root, links)."""
+    unit = ["label", "key", "i", "j"]
+
+    def told(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, part in rows.groupby(rows["v"].map(len), sort=False):
+            if len(part) > 1:
+                arrays = (np.stack(part[c].to_list()) for c in ("v", "own", "near"))
+                first = part.iloc[0]
+                row, root, links = unit_links(first["key"], first["i"], first["j"], part["block"].to_numpy(), *arrays,
+                                              part["n"].to_numpy(), cosine)
+                ids = part["class"].to_numpy()
+                yield pd.DataFrame({"class": ids[row], "root": ids[root], "links": links})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            starts = np.flatnonzero((rows[unit] != rows[unit].shift()).any(axis=1))
+            for start, end in itertools.pairwise(starts):
+                yield from told(rows.iloc[start:end])
+            held = rows.iloc[starts[-1]:] if len(starts) else held
+        if held is not None:
+            yield from told(held)
     return run
 
 
@@ -117,9 +196,12 @@ def unit_vectors(df: DataFrame, vec_id: str, embedding: str, label: str) -> Data
     finite = F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
     rows = df.select(col(vec_id).alias("vec"), col(label).alias("label"), col(embedding).cast("array<double>").alias("e"))
-    rows = rows.withColumn("norm", F.when(col("label").isNotNull() & (F.size(raw) > 0) & finite, size))
-    return rows.select("vec", "label", F.when((col("norm") > 0) & (col("norm") < float("inf")),
-                                              F.transform(raw, lambda x: x / col("norm"))).alias("v"))
+    usable = col("label").isNotNull() & (F.size(raw) > 0) & finite
+    # Squares of very large or small components leave the range of a double: those vectors are scaled first.
+    largest = F.array_max(F.transform(raw, F.abs))
+    scaled = rows.withColumn("norm", F.when(usable, size)).withColumn(
+        "e", F.when(col("norm").between(1e-100, 1e100), raw).when(usable & (largest > 0), F.transform(raw, lambda x: x / largest)))
+    return scaled.withColumn("norm", size).select("vec", "label", F.when(col("norm") > 0, F.transform(raw, lambda x: x / col("norm"))).alias("v"))
 
 
 def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label",
@@ -131,24 +213,27 @@ def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
         F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec").alias("first")),
         "lattice-classes")
 
-    kind = classes.schema["label"].dataType.simpleString()
-    keys = written(classes.select("class", "label", "v").mapInPandas(
-        _hashed(tables, probes, width), f"class bigint, label {kind}, own array<bigint>, near array<bigint>"), "lattice-keys")
-    index = keys.select("label", F.explode("own").alias("key"), col("class").alias("a"))
-    probe = keys.select("label", F.explode(F.concat("own", "near")).alias("key"), col("class").alias("b"))
-    pairs = (index.join(probe, ["label", "key"]).filter("a != b")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # Vectors meet their pairs by two joins; the sum of products is in order of components.
-    left = classes.select(col("class").alias("a"), col("v").alias("va"))
-    right = classes.select(col("class").alias("b"), col("v").alias("vb"))
-    near = F.when(F.size("va") == F.size("vb"), F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
-    links = written(pairs.join(left, "a").join(right, "b").filter(near >= cosine).select("a", "b"), "lattice-links")
-
-    ends = links.select("a", "b").unionAll(links.select(col("b").alias("a"), col("a").alias("b")))
-    counts = classes.select(col("class").alias("b"), "n")
-    outside = ends.join(counts, "b").groupBy("a").agg(F.sum("n").alias("outside")).withColumnRenamed("a", "class")
-    roots = components(links).withColumnRenamed("node", "class")
-    rooted = (classes.select("class", "n", "first").join(outside, "class", "left").join(roots, "class", "left")
+    keyed = T.StructType([*classes.select("class", "label", "v", "n").schema,
+                          *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("own", "near"))])
+    keys = written(classes.select("class", "label", "v", "n").mapInPandas(_hashed(tables, probes, width), keyed), "lattice-keys")
+    # Cells with an owner and someone else; where nobody meets, no vector is moved.
+    members = keys.select("class", "label", "own", F.explode(F.array_distinct(F.concat("own", "near"))).alias("key"))
+    members = members.select("class", "label", "key", F.array_contains("own", col("key")).alias("owner"))
+    crowds = members.groupBy("label", "key").agg(F.count("*").alias("members"), F.max("owner").alias("owned"))
+    met = members.join(crowds.filter(col("owned") & (col("members") > 1)), ["label", "key"])
+    # A cell of many members is cut into blocks; every two blocks are one unit of work.
+    cut = F.ceil(col("members") / BLOCK).cast("int")
+    met = met.select("class", "key", cut.alias("cut"), F.pmod(F.xxhash64("class", "key"), cut).cast("int").alias("block"))
+    units = F.explode(F.transform(F.sequence(F.lit(0), col("cut") - 1), lambda c: F.struct(
+        F.least("block", c).alias("i"), F.greatest("block", c).alias("j"))))
+    work = (keys.join(met, "class").withColumn("unit", units)
+            .select("label", "key", col("unit")["i"].alias("i"), col("unit")["j"].alias("j"), "block", "class", "n", "v", "own", "near"))
+    work = work.repartition("label", "key", "i", "j").sortWithinPartitions("label", "key", "i", "j")
+    links = written(work.mapInPandas(_verified(cosine), "class bigint, root bigint, links bigint"), "lattice-links")
+
+    outside = links.groupBy("class").agg(F.sum("links").alias("outside"))
+    joined = components(links.select(col("class").alias("a"), col("root").alias("b"))).withColumnRenamed("node", "class")
+    rooted = (classes.select("class", "n", "first").join(outside, "class", "left").join(joined, "class", "left")
               .select("class", (F.coalesce("outside", F.lit(0)) + col("n") - 1).alias("n_links"), "first",
                       F.coalesce("root", "class").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -122,6 +122,7 @@ def vectors():
     out += [(300, None, 1), (301, [], 1), (302, [0.0] * 16, 1), (303, [None] + [1.0] * 15, 1), (304, [float("nan")] + [1.0] * 15, 1),
             (305, [float("inf")] + [1.0] * 15, 1), (306, out[0][1], None), (307, out[0][1][:8], 0), (308, [x * 3 for x in out[0][1]], 0),
             (309, out[0][1], 1), (None, out[7][1], out[7][2])]
+    out += [(310, [x * 1e-200 for x in out[0][1]], 0), (311, [x * 1e200 for x in out[4][1]], out[4][2])]
     return out
 
 
@@ -133,7 +134,8 @@ def test_lattice_matches_brute_force(spark):
     def unit(v):
         if not v or any(x is None or not np.isfinite(x) for x in v) or not np.any(v):
             return None
-        return np.array(v) / np.linalg.norm(v)
+        v = np.array(v) / np.abs(v).max()
+        return v / np.linalg.norm(v)
     units = [unit(v) for _, v, _ in data]
     link = lambda i, j: (data[i][2] is not None and data[i][2] == data[j][2] and units[i] is not None and units[j] is not None
                          and len(units[i]) == len(units[j]) and float(units[i] @ units[j]) >= 0.98)
@@ -146,6 +148,40 @@ def test_lattice_matches_brute_force(spark):
     assert lattice.linked(df.limit(0)).count() == 0
 
 
+def test_near_groups_are_counted_in_blocks(spark, monkeypatch, tmp_path):
+    """A group of many near vectors, none equal: cells of several blocks give
+    each vector its count, and rows written grow with vectors, not with pairs."""
+    draw = np.random.default_rng(11)
+    middle = draw.standard_normal((3, 24))
+    data = [(i, [float(v) for v in middle[i % 3] + 0.12 * draw.standard_normal(24)], i % 2) for i in range(360)]
+    units = np.array([v for _, v, _ in data])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    near = units @ units.T
+    assert not ((near > 0.98 - 1e-9) & (near < 0.98 + 1e-9)).any()
+    link = (near >= 0.98) & (np.arange(360)[:, None] % 2 == np.arange(360)[None, :] % 2) & ~np.eye(360, dtype=bool)
+    want = link.sum(axis=1)
+    group = brute_groups(360, lambda i, j: link[i, j])
+    sizes = {}
+
+    def kept(df, name, plain=lattice.written):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+    monkeypatch.setattr(lattice, "written", kept)
+    results = []
+    for block in (1024, 16):
+        monkeypatch.setattr(lattice, "BLOCK", block)
+        results.append(rows(lattice.linked(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")),
+                            "vec_id", "n_links", "component_id"))
+    assert results[0] == results[1]
+    found = np.array([r[1] for r in sorted(results[0])])
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum() and want.sum() > 20 * 360
+    assert all(r[2] >= group[r[0]] for r in results[0])
+    # At most a row per cell of a vector and pair of blocks.
+    cells_each = lattice.TABLES * (1 + lattice.PROBES)
+    assert sizes["lattice-links"] <= 360 * cells_each * (360 // 16 + 1)
+
+
 def test_codewords_are_far_apart():
     for n in (1, 2, 3, 5, 8, 20):
         code = language.codewords(n)
