@@ -45,7 +45,8 @@ TABLES = 4
 PROBES = 12       # neighbouring points probed in each table
 WIDTH = 0.8       # of a lattice unit, in projected length
 SEED = 1
-BLOCK = 1024      # vectors decoded at once; members of a block of a cell, about
+BLOCK = 512       # vectors decoded at once; members of a block of a cell, about
+SMALL = 32        # rows up to which units are compared together
 PAIRS = 1 << 13   # pairs whose cells are compared at once
 
 
@@ -162,30 +163,67 @@ def unit_links(key: int, i: int, j: int, block: np.ndarray, v: np.ndarray, own:
     return rows, roots(len(v), x, y)[rows], links[rows]
 
 
+def small_links(unit: np.ndarray, key: np.ndarray, across: np.ndarray, block: np.ndarray, v: np.ndarray, own: np.ndarray,
+                near: np.ndarray, n: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``unit_links`` for many small units at once, whose rows follow each
+    other: every row with the first after it, then with the second, and so on.
+    ``across`` tells the rows of units of two blocks."""
+    owner = (own == key[:, None]).any(axis=1)
+    probed = np.concatenate([own, near], axis=1)
+    xs, ys, x, step = [], [], np.arange(len(v)), 0
+    while len(x):
+        step += 1
+        x = x[x + step < len(v)]
+        x = x[unit[x] == unit[x + step]]
+        y = x + step
+        linked = (owner[x] | owner[y]) & (~across[x] | (block[x] != block[y]))
+        linked[linked] = np.einsum("pd,pd->p", v[x[linked]], v[y[linked]]) >= cosine
+        xs.append(x[linked])
+        ys.append(y[linked])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    here = least_shared(own, probed, x, y) == key[x]
+    links = np.zeros(len(v), np.int64)
+    np.add.at(links, x[here], n[y[here]])
+    np.add.at(links, y[here], n[x[here]])
+    rows = np.unique(np.concatenate([x, y]))
+    return rows, roots(len(v), x, y)[rows], links[rows]
+
+
 def _verified(cosine: float):
     """Over rows sorted by unit (label, key, i, j): (class, root, links)."""
-    unit = ["label", "key", "i", "j"]
-
-    def told(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for _, part in rows.groupby(rows["v"].map(len), sort=False):
-            if len(part) > 1:
-                arrays = (np.stack(part[c].to_list()) for c in ("v", "own", "near"))
-                first = part.iloc[0]
-                row, root, links = unit_links(first["key"], first["i"], first["j"], part["block"].to_numpy(), *arrays,
-                                              part["n"].to_numpy(), cosine)
-                ids = part["class"].to_numpy()
+    of_unit = ["label", "key", "i", "j"]
+
+    def told(rows: pd.DataFrame, unit: np.ndarray) -> Iterator[pd.DataFrame]:
+        for _, at in pd.Series(np.arange(len(rows))).groupby(rows["v"].map(len).to_numpy(), sort=False):
+            part, number = rows.iloc[at.to_numpy()], unit[at.to_numpy()]
+            size = np.bincount(number)[number]
+            few = np.flatnonzero((size > 1) & (size <= SMALL))
+            many = np.flatnonzero(size > SMALL)
+            lots = np.split(many, np.flatnonzero(np.diff(number[many])) + 1) if len(many) else []
+            for lot in [few, *lots]:
+                if not len(lot):
+                    continue
+                some = part.iloc[lot]
+                key, i, j, block, n, ids = (some[c].to_numpy() for c in ("key", "i", "j", "block", "n", "class"))
+                v, own, near = (np.stack(some[c].to_list()) for c in ("v", "own", "near"))
+                if lot is few:
+                    row, root, links = small_links(number[lot], key, i != j, block, v, own, near, n, cosine)
+                else:
+                    row, root, links = unit_links(key[0], i[0], j[0], block, v, own, near, n, cosine)
                 yield pd.DataFrame({"class": ids[row], "root": ids[root], "links": links})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
+            if not len(batch):
+                continue
             rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            starts = np.flatnonzero((rows[unit] != rows[unit].shift()).any(axis=1))
-            for start, end in itertools.pairwise(starts):
-                yield from told(rows.iloc[start:end])
-            held = rows.iloc[starts[-1]:] if len(starts) else held
+            begins = (rows[of_unit] != rows[of_unit].shift()).any(axis=1).to_numpy()
+            last = int(np.flatnonzero(begins)[-1])          # its unit may go on in the next batch
+            yield from told(rows.iloc[:last], np.cumsum(begins[:last]))
+            held = rows.iloc[last:]
         if held is not None:
-            yield from told(held)
+            yield from told(held, np.ones(len(held), np.int64))
     return run
 
 

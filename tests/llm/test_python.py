@@ -169,11 +169,12 @@ def test_near_groups_are_counted_in_blocks(spark, monkeypatch, tmp_path):
         return out
     monkeypatch.setattr(lattice, "written", kept)
     results = []
-    for block in (1024, 16):
+    for block, few in ((1024, 8), (1024, 500), (16, 8), (16, 500)):
         monkeypatch.setattr(lattice, "BLOCK", block)
+        monkeypatch.setattr(lattice, "SMALL", few)
         results.append(rows(lattice.linked(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")),
                             "vec_id", "n_links", "component_id"))
-    assert results[0] == results[1]
+    assert all(r == results[0] for r in results)
     found = np.array([r[1] for r in sorted(results[0])])
     assert (found <= want).all() and found.sum() >= 0.95 * want.sum() and want.sum() > 20 * 360
     assert all(r[2] >= group[r[0]] for r in results[0])
