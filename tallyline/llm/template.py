@@ -28,7 +28,9 @@ class TemplateError(ValueError):
     """The template's source is wrong."""
 
 
-_TAGS = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
+# A tag ends at its first closing sign outside the strings in it.
+_INSIDE = r"""(?>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|.)*?"""
+_TAGS = re.compile(rf"(\{{\{{{_INSIDE}\}}\}}|\{{%{_INSIDE}%\}}|\{{#.*?#\}})", re.S)
 _WORDS = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|[|.()+]))""")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 _CONSTANTS = {"true": True, "false": False, "none": None}
@@ -175,17 +177,21 @@ def parse(source: str, filters: dict) -> list[tuple]:
     return block()[0]
 
 
+def _constant(tree: tuple, filters: dict) -> tuple:
+    try:
+        return ("const", _closure(tree, filters)({}))
+    except (TypeError, ValueError, AttributeError) as wrong:
+        raise TemplateError(f"a constant expression has no value: {wrong}") from wrong
+
+
 def _fold_expression(tree: tuple, filters: dict) -> tuple:
     if tree[0] in ("const", "name"):
         return tree
     if tree[0] in ("field", "filter"):
-        inner = _fold_expression(tree[1], filters)
-        if tree[0] == "filter" and inner[0] == "const":
-            return ("const", filters[tree[2]](inner[1]))
-        return (tree[0], inner, tree[2])
-    inner = tuple(_fold_expression(x, filters) for x in tree[1:])
-    folded = (tree[0], *inner)
-    return ("const", _closure(folded, filters)({})) if all(x[0] == "const" for x in inner) else folded
+        folded = (tree[0], _fold_expression(tree[1], filters), tree[2])
+        return _constant(folded, filters) if tree[0] == "filter" and folded[1][0] == "const" else folded
+    folded = (tree[0], *(_fold_expression(x, filters) for x in tree[1:]))
+    return _constant(folded, filters) if all(x[0] == "const" for x in folded[1:]) else folded
 
 
 def fold(nodes: list[tuple], filters: dict) -> list[tuple]:

@@ -353,9 +353,11 @@ def test_template_language():
     assert out("a{# no #}{{ 1 + 2 }}{% if true %}b{% else %}c{% endif %}") == "a3b"
     assert out("{% for x in xs %}{% if loop.first %}<{% elif x == 'b' or not x %}|{% else %},{% endif %}{{ x | upper | trim }}{% endfor %}",
                xs=["a ", "b", "c"]) == "<A|B,C"
+    assert out("""{{ '}}' }}{{ "%}" + '{{' }}{% if x == '%}' %}y{% endif %}{{ '\\'}}' }}{# ' #}it's""", x="%}") == "}}%}{{y'}}it's"
     assert out("{{ m.role }}{{ m.__class__ }}{{ none }}", m={"role": "r"}) == "r"
     assert list(compiled("x{% generation %}y{{ z }}{% endgeneration %}")({"z": 1})) == [("x", False), ("y", True), ("1", True)]
-    for wrong in ("{% for x %}{% endfor %}", "{% if a %}", "{{ a.b( }}", "{{ a | system }}", "{% import os %}", "{{ 'a }}", "{{ }}", "{{ a.1 }}"):
+    for wrong in ("{% for x %}{% endfor %}", "{% if a %}", "{{ a.b( }}", "{{ a | system }}", "{% import os %}", "{{ 'a }}", "{{ }}", "{{ a.1 }}",
+                  "{{ 'a' + 1 }}", "{{ 1 | upper }}", "{% if x %}{{ none | length }}{% endif %}"):
         with pytest.raises(TemplateError):
             compiled(wrong)
 
