@@ -6,7 +6,7 @@
 
 Validates first (``fail``: one bad row loads nothing, the first five are
 reported by position), then ingests in one distributed job. Every load is a
-feed of its own in the store's ledger. A failed run can simply be re-run:
+feed of its own in the store. A failed run can simply be re-run:
 events already stored come back as duplicates. ``--chunk-size`` is
 accepted for callers that pass it; Spark's tasks are the chunks.
 
@@ -47,10 +47,10 @@ def load_file(spark: SparkSession, path: str, store: EventStore, chunk_size: int
     checked = V.validate(read_event_lines(spark, path) if lines else read_event_array(spark, path)).persist()
     try:
         deliveries = V.gate(checked, on_error)
-        batch_id = store.allocate(feed or f"load:{uuid.uuid4().hex}", 0)
+        feed = feed or f"load:{uuid.uuid4().hex}"
         if on_error == "quarantine":
-            store.quarantine(V.quarantine(checked), batch_id)
-        return store.ingest(deliveries, batch_id=batch_id)
+            store.quarantine(V.quarantine(checked), feed, 0)
+        return store.ingest(deliveries, 0, feed)
     finally:
         checked.unpersist()
 

@@ -22,6 +22,15 @@ LABEL_SALTS = 16
 # less than 1 in HOT_EVENTS of all deliveries, so its copies fit one task.
 HOT_EVENTS = 1024
 HOT_COPIES = 1000
+LEAST_LONG = -2**63
+# A probe whose keys are too many to broadcast filters the log by their Bloom filter
+# first, up to this size of keys (the planner's own bound is 10 MB).
+PROBE_SETTINGS = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(8 * 4_000_000),
+}
 
 
 def arrival_order() -> Column:
@@ -29,29 +38,45 @@ def arrival_order() -> Column:
     return F.struct(F.col("batch_id"), F.col("pos"))
 
 
-def known_event_ids(deliveries: DataFrame, log: DataFrame | None) -> DataFrame | None:
+def known_event_ids(deliveries: DataFrame, log: DataFrame | None, keys: DataFrame | None = None) -> DataFrame | None:
     """Distinct event_ids of ``deliveries`` that the stored log already holds.
 
     Written as ``log SEMI JOIN batch_keys`` so the build side is the batch:
     when the batch's keys are small (static statistics or AQE's runtime size)
     they are broadcast and the log is streamed without a shuffle; a large
     backfill falls back to a sort-merge join on the event_id column only.
+    ``keys`` are those of ``probe_keys``, if the caller has persisted them: the
+    log's rows then pass a Bloom filter of them before that join's shuffle.
     """
     if log is None:
         return None
-    keys = deliveries.select("event_id").distinct()
+    keys = deliveries.select("event_id").distinct() if keys is None else some_keys(keys)
     return log.select("event_id").join(keys, "event_id", "left_semi").distinct()
 
 
-def dedupe_events(deliveries: DataFrame, log: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def probe_keys(deliveries: DataFrame) -> DataFrame:
+    """The distinct event_ids of a batch, to be persisted by the caller."""
+    return deliveries.select("event_id").distinct()
+
+
+def some_keys(keys: DataFrame) -> DataFrame:
+    """All of ``keys`` behind a comparison that every id passes: the planner makes
+    Bloom filters only of a side that a predicate may have narrowed, and does not
+    know that a batch is narrow beside the log."""
+    return keys.filter(F.xxhash64("event_id") >= F.lit(LEAST_LONG))
+
+
+def dedupe_events(deliveries: DataFrame, log: DataFrame | None = None, keep: tuple[str, ...] = (),
+                  keys: DataFrame | None = None) -> DataFrame:
     """One row per new event_id; the first delivery by arrival order wins.
-    ``keep`` names further columns of that delivery."""
+    ``keep`` names further columns of that delivery, ``keys`` as for
+    ``known_event_ids``."""
     payload = [c for c in LOG_COLUMNS if c not in ("event_id", "batch_id", "pos")]
     payload += keep
     firsts = (deliveries.groupBy("event_id")
               .agg(F.min(F.struct("batch_id", "pos", *payload)).alias("_first"))
               .select("event_id", *[F.col(f"_first.{c}").alias(c) for c in ("batch_id", "pos", *payload)]))
-    known = known_event_ids(deliveries, log)
+    known = known_event_ids(deliveries, log, keys)
     if known is not None:
         firsts = firsts.join(known, "event_id", "left_anti")
     return firsts.select(*LOG_COLUMNS, *keep)

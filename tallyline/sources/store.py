@@ -1,34 +1,25 @@
-"""The stored state: event log, transactions projection, merchant names.
+"""The stored state: an append-only event log, and what is derived from it.
 
 Layout under ``root`` (any Hadoop-compatible shared path)::
 
-    log/bucket=B/segment=N/        deduplicated events (append-only, the truth);
-                                   segment N = batch N, segment -1 = compacted
-                                   history (``log-v<k>`` after k compactions)
-    projection/bucket=B/segment=N/ one row per transaction, derived from the log:
-                                   segment 0 is a full rebuild, later ones hold the
-                                   transactions that an ingest touched
-    projection_state/              one row per written projection segment
-    ledger/                        one row per batch: its id, feed and number there
-    merchants/batch_id=N/          merchant names that batch N introduced or changed
-    dimension/                     current merchant names (materialised)
-    quarantine/batch_id=N/         rejected wire rows with their errors
-    chunks/batch_id=N/             what a chunk of a resumable load came to
-    loads/NAME/                    the chunk ledger of the resumable load NAME
-    log_version/                   one row per log version; the highest counts
-    _layout, _complete             one-row markers: bucket count, finished full load
-                                   with a fingerprint of its source
-
-``B = pmod(xxhash64(transaction_id), buckets)``. Writes use dynamic partition
-overwrite, so ingesting batch N replaces exactly the partitions of batch N: a
-retried batch overwrites itself instead of appending twice. Batch ids are given
-out by the ledger, to (feed, number in the feed): two feeds that both start at
-0 get ids of their own, and an id is never given out twice, whether or not any
-of its events were new. The transactions
-a batch touches are recomputed from the log (recompute, never increment) into a
-segment of their own, and no file of another segment is written again; readers
-take each transaction from its newest segment. ``rebuild`` folds all segments
-into one.
+    log/feed=F/batch_id=N/        first deliveries of batch N of feed F (the truth)
+    names/feed=F/batch_id=N/      one row per merchant the batch delivered: its last name
+                                  there and the number of deliveries
+    projection/bucket=B/          one row per transaction, as of the last ``rebuild``
+    dimension/                    merchant names, as of the last ``rebuild``
+    quarantine/feed=F/batch_id=N/ rejected wire rows with their errors
+    chunks/feed=F/batch_id=N/     what a chunk of a resumable load came to
+    loads/NAME/                   the file source's checkpoint of the load NAME
+    _layout, _derived, _complete  one-row markers: bucket count, the batches that the
+                                  derived tables are of, the source of a full load
+
+A batch is named by its feed and its number there, so two feeds may both start at 0.
+Ingesting it writes the partitions of that batch and nothing else: a retry replaces
+itself (dynamic partition overwrite), and no other file is read again but for the
+duplicate probe. Transactions and merchant names are groupings of the log and of
+``names``. ``rebuild`` writes them down; readers scan the written tables while these
+cover every batch, and group otherwise, so no reader sees a log and a projection that
+disagree. How often to rebuild is the operator's choice.
 
 Single-writer assumption: like any plain Parquet layout there is no
 cross-writer isolation; run one ingest at a time per store.
@@ -36,39 +27,54 @@ cross-writer isolation; run one ingest at a time per store.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tallyline.functions.status import STATUS_COLUMNS, with_status
-from tallyline.operators.ingest import dedupe_events, latest_merchant_names
+from tallyline.functions.status import with_status
+from tallyline.operators.ingest import PROBE_SETTINGS, dedupe_events, probe_keys
 from tallyline.operators.projection import PROJECTION_COLUMNS, project_transactions
 from tallyline.schema import DELIVERY_COLUMNS, LOG_COLUMNS
+from tallyline.session import settings
 
 DEFAULT_BUCKETS = 64
-# Target log rows per bucket when sizing a store from its input.
+# Target log rows per projection bucket when sizing a store from its input.
 ROWS_PER_BUCKET = 16_000_000
 # What reading a folder without data files reports; other errors are errors.
 ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+CHUNK_TOTALS = ("received", "ingested", "duplicates", "rejected")
+
+# Parquet bloom filters: row groups without the key are skipped by point lookups,
+# and by the duplicate probe of a few events.
+LOG_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true", "parquet.bloom.filter.enabled#event_id": "true"}
+PROJECTION_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true"}
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-# Parquet bloom filters on the point-lookup keys (row groups without the key
-# are skipped for equality predicates).
-LOG_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true"}
-PROJECTION_WRITE_OPTIONS = {"parquet.bloom.filter.enabled#transaction_id": "true"}
+def _now() -> Column:
+    return F.current_timestamp().cast("timestamp_ntz")
 
 
-def log_rows(deliveries: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+def log_rows(deliveries: DataFrame, prior: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """New log rows with their arrival time (C5) and the whole normalised event
     as JSON, named as on the wire (C6)."""
     fields = [c for c in DELIVERY_COLUMNS if c not in ("batch_id", "pos")]
     payload = F.to_json(F.struct(*[F.col(c).alias("timestamp" if c == "occurred_at" else c) for c in fields]))
-    return (dedupe_events(deliveries, prior, keep=("merchant_name",)).withColumn("payload", payload).drop("merchant_name")
-            .withColumn("received_at", F.current_timestamp().cast("timestamp_ntz")))
+    return (dedupe_events(deliveries, prior, ("merchant_name",), keys).withColumn("payload", payload).drop("merchant_name")
+            .withColumn("received_at", _now()))
+
+
+def name_rows(deliveries: DataFrame) -> DataFrame:
+    """The last name of every merchant in every batch, and its deliveries there."""
+    return (deliveries.groupBy("merchant_id", "batch_id")
+            .agg(F.max_by("merchant_name", "pos").alias("merchant_name"), F.max("pos").alias("pos"),
+                 F.count(F.lit(1)).alias("deliveries"))
+            .withColumn("received_at", _now()))
 
 
 def buckets_for(rows: int) -> int:
@@ -79,9 +85,6 @@ def buckets_for(rows: int) -> int:
     return n
 
 
-COMPACTED = -1   # segment holding compacted history
-
-
 class EventStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark = spark
@@ -90,63 +93,16 @@ class EventStore:
             layout = self._read(self.layout_path)
             buckets = layout.first()["buckets"] if layout is not None else DEFAULT_BUCKETS
         self.buckets = int(buckets)
-
-    # -- paths and readers ---------------------------------------------------
-    @property
-    def log_path(self) -> str:
-        version = self._log_version()
-        return f"{self.root}/log" if version == 0 else f"{self.root}/log-v{version}"
-
-    @property
-    def log_version_path(self) -> str:
-        return f"{self.root}/log_version"
-
-    def _log_version(self) -> int:
-        versions = self._read(self.log_version_path)
-        top = None if versions is None else versions.agg(F.max("version")).first()[0]
-        return 0 if top is None else int(top)
-
-    @property
-    def projection_path(self) -> str:
-        return f"{self.root}/projection"
-
-    @property
-    def projection_state_path(self) -> str:
-        return f"{self.root}/projection_state"
-
-    @property
-    def merchants_path(self) -> str:
-        return f"{self.root}/merchants"
-
-    @property
-    def quarantine_path(self) -> str:
-        return f"{self.root}/quarantine"
-
-    @property
-    def dimension_path(self) -> str:
-        return f"{self.root}/dimension"
-
-    @property
-    def complete_path(self) -> str:
-        return f"{self.root}/_complete"
+        self.log_path, self.names_path = f"{self.root}/log", f"{self.root}/names"
+        self.projection_path, self.dimension_path = f"{self.root}/projection", f"{self.root}/dimension"
+        self.quarantine_path, self.chunks_path = f"{self.root}/quarantine", f"{self.root}/chunks"
+        self.derived_path, self.complete_path = f"{self.root}/_derived", f"{self.root}/_complete"
 
     @property
     def layout_path(self) -> str:
         return f"{self.root}/_layout"
 
-    @property
-    def ledger_path(self) -> str:
-        return f"{self.root}/ledger"
-
-    def _ensure_layout(self) -> None:
-        """Record the bucket count on first write; refuse a mismatched one."""
-        layout = self._read(self.layout_path)
-        if layout is None:
-            (self.spark.range(1).select(F.lit(self.buckets).alias("buckets"))
-             .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.layout_path))
-        elif int(layout.first()["buckets"]) != self.buckets:
-            raise ValueError(f"store {self.root} is bucketed by {layout.first()['buckets']}, not {self.buckets}")
-
+    # -- readers -----------------------------------------------------------------
     def _read(self, path: str) -> DataFrame | None:
         """The table at ``path`` as it is now, or None where there is none yet."""
         try:
@@ -159,239 +115,193 @@ class EventStore:
     def log(self) -> DataFrame | None:
         return self._read(self.log_path)
 
-    def merchant_changes(self) -> DataFrame | None:
-        return self._read(self.merchants_path)
+    def names(self) -> DataFrame | None:
+        """Names as delivered: one row per merchant and batch."""
+        return self._read(self.names_path)
+
+    def _batches(self) -> int | None:
+        """A digest of all batches and when each was written; None without any.
+        ``names`` has few rows: one per merchant and batch."""
+        names = self.names()
+        stamp = F.xxhash64("feed", "batch_id", "merchant_id", "received_at")
+        return None if names is None else names.agg(F.bit_xor(stamp)).first()[0]
+
+    def derived_is_current(self) -> bool:
+        """Whether the written projection and names cover every batch."""
+        mark = self._read(self.derived_path)
+        return mark is not None and mark.first()["batches"] == self._batches()
+
+    def _transactions(self, key: Column | None = None) -> DataFrame:
+        """The transactions (one of them, with a key): the written ones if they
+        cover every batch, else grouped from the log."""
+        here = F.lit(True) if key is None else F.col("transaction_id") == key
+        if self.derived_is_current():
+            bucket = F.lit(True) if key is None else F.col("bucket") == bucket_of(key, self.buckets)
+            return with_status(self._read(self.projection_path).filter(bucket & here).select(*PROJECTION_COLUMNS))
+        log = self.log()
+        if log is None:
+            raise FileNotFoundError(f"no transactions under {self.root}")
+        return with_status(project_transactions(log.filter(here)).select(*PROJECTION_COLUMNS))
 
-    def merchants(self) -> DataFrame | None:
-        """Current merchant names: the materialised dimension, else the change log."""
-        dim = self._read(self.dimension_path)
-        if dim is not None:
-            return dim
-        changes = self.merchant_changes()
-        return None if changes is None else latest_merchant_names(changes)
+    def transactions(self) -> DataFrame:
+        """All transactions; status axes are always re-derived on read."""
+        return self._transactions()
 
-    def is_complete(self, source: str | None = None) -> bool:
-        """Whether a full load has finished (of this source, if one is named)."""
-        mark = self._read(self.complete_path)
-        return mark is not None and (source is None or mark.filter(F.col("source") == source).count() > 0)
+    def lookup(self, transaction_id) -> DataFrame:
+        """One transaction; from one bucket of the written projection where it
+        is current, else from the row groups of the log that may hold the key."""
+        return self._transactions(self._key(transaction_id))
 
-    def history(self, transaction_id) -> DataFrame:
-        """one transaction's events, oldest first, from its log bucket alone."""
+    def _key(self, transaction_id) -> Column:
+        # With the column's own type: an int literal and a bigint column hash differently.
         log = self.log()
-        key = F.lit(transaction_id).cast(log.schema["transaction_id"].dataType)
-        return (log.filter((F.col("bucket") == bucket_of(key, self.buckets)) & (F.col("transaction_id") == key))
+        return F.lit(transaction_id).cast(log.schema["transaction_id"].dataType) if log is not None else F.lit(transaction_id)
+
+    def history(self, transaction_id) -> DataFrame:
+        """one transaction's events, oldest first. Bloom filters spare the row
+        groups without it; ``sources.tables`` has bucketed tables for many of them."""
+        return (self.log().filter(F.col("transaction_id") == self._key(transaction_id))
                 .select(*LOG_COLUMNS, "received_at", "payload").orderBy("occurred_at", "event_id"))
 
-    def allocate(self, feed: str, number: int | None = None) -> int:
-        """The id of a feed's batch: the one it was given before (a retry), or
-        a new one. A free ``number`` becomes the id itself; without a number
-        the batch is new."""
-        ledger = self._read(self.ledger_path)
-        taken = None if ledger is None else ledger.agg(
-            F.max("batch_id").alias("top"), F.count_if(F.col("batch_id") == F.lit(number)).alias("used"),
-            F.max(F.when((F.col("feed") == feed) & (F.col("number") == F.lit(number)), F.col("batch_id"))).alias("own")).first()
-        if taken is not None and taken["own"] is not None:
-            return int(taken["own"])
-        free = taken is None or not taken["used"]
-        next_id = 0 if taken is None or taken["top"] is None else int(taken["top"]) + 1
-        batch_id = int(number) if number is not None and free else next_id
-        (self.spark.range(1).select(F.lit(batch_id).alias("batch_id"), F.lit(feed).alias("feed"),
-                                    F.lit(batch_id if number is None else number).cast("long").alias("number"))
-         .write.mode("append").parquet(self.ledger_path))
-        return batch_id
+    def touched(self, feed: str, batch: int) -> DataFrame:
+        """The transactions that a batch added events to, as they now are."""
+        log = self.log()
+        ids = log.filter((F.col("feed") == feed) & (F.col("batch_id") == batch)).select("transaction_id").distinct()
+        return with_status(project_transactions(log.join(ids, "transaction_id", "left_semi")).select(*PROJECTION_COLUMNS))
 
-    def transactions(self) -> DataFrame:
-        """The stored projection; status axes are always re-derived on read."""
-        return self._newest(lambda proj: proj)
+    def merchants(self) -> DataFrame | None:
+        """Current merchant names: of the last arrival, then batch, then position."""
+        if self.derived_is_current():
+            return self._read(self.dimension_path)
+        names = self.names()
+        return None if names is None else self._latest(names)
 
-    def lookup(self, transaction_id) -> DataFrame:
-        """Point lookup; the bucket predicate prunes to one partition."""
-        def hit(proj: DataFrame) -> DataFrame:
-            # The key must hash with the column's own type (an int literal and
-            # a bigint column hash differently).
-            key = F.lit(transaction_id).cast(proj.schema["transaction_id"].dataType)
-            return proj.filter((F.col("bucket") == bucket_of(key, self.buckets)) & (F.col("transaction_id") == key))
-        return self._newest(hit)
-
-    def _newest(self, part) -> DataFrame:
-        """Each transaction from its newest projection segment. Touched ones
-        are few beside the base, which is scanned without a shuffle as long as
-        their ids are small enough to be broadcast by size."""
-        proj = self._read(self.projection_path)
-        if proj is None:
-            raise FileNotFoundError(f"no projection under {self.projection_path}")
-        last = self._last_segment()   # a later one is not whole yet
-        proj = part(proj.filter(F.col("segment") <= last))
-        columns = [c for c in proj.columns if c not in ("bucket", "segment", *STATUS_COLUMNS)]
-        if last == 0:
-            return with_status(proj.select(*columns))
-        later = proj.filter(F.col("segment") > 0)
-        base = proj.filter(F.col("segment") == 0).join(later.select("transaction_id").distinct(), "transaction_id", "left_anti")
-        rest = [c for c in columns if c != "transaction_id"]
-        newest = (later.groupBy("transaction_id").agg(F.max_by(F.struct(*rest), F.col("segment")).alias("row"))
-                  .select("transaction_id", *[F.col("row")[c].alias(c) for c in rest]))
-        return with_status(base.select(*columns).unionByName(newest.select(*columns)))
-
-    def _last_segment(self) -> int:
-        state = self._read(self.projection_state_path)
-        return 0 if state is None else int(state.agg(F.max("segment")).first()[0] or 0)
+    @staticmethod
+    def _latest(names: DataFrame) -> DataFrame:
+        return names.groupBy("merchant_id").agg(
+            F.max_by("merchant_name", F.struct("received_at", "batch_id", "pos")).alias("merchant_name"))
+
+    def is_complete(self, source: str | None = None) -> bool:
+        """Whether a full load has finished (of this source, if one is named)."""
+        mark = self._read(self.complete_path)
+        return mark is not None and (source is None or mark.filter(F.col("source") == source).count() > 0)
 
     # -- writes ----------------------------------------------------------------
-    def _with_bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", bucket_of(F.col("transaction_id"), self.buckets))
+    def _mark(self, path: str, **values) -> None:
+        (self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+         .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path))
 
-    def ingest(self, deliveries: DataFrame, batch: int | None = None, probe_touched_buckets: bool = False,
-               feed: str = "direct", batch_id: int | None = None) -> dict:
-        """Append a feed's batch and refresh what it touched.
+    def _ensure_layout(self) -> None:
+        """Record the bucket count on first write; refuse a mismatched one."""
+        layout = self._read(self.layout_path)
+        if layout is None:
+            self._mark(self.layout_path, buckets=self.buckets)
+        elif int(layout.first()["buckets"]) != self.buckets:
+            raise ValueError(f"store {self.root} is bucketed by {layout.first()['buckets']}, not {self.buckets}")
+
+    def _append(self, rows: DataFrame, path: str, feed: str, static: bool = False, **options) -> None:
+        """Write the partitions of the batches in ``rows`` (all of them: ``static``)."""
+        if not feed[:1].isalpha():
+            raise ValueError(f"the name of a feed starts with a letter: {feed!r}")
+        (rows.withColumn("feed", F.lit(feed)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "static" if static else "dynamic").options(**options)
+         .partitionBy("feed", "batch_id").parquet(path))
+
+    def _append_log(self, events: DataFrame, feed: str, static: bool = False) -> int:
+        """Write log rows; their number, counted by the tasks that write them."""
+        # REBALANCE lets AQE size the files, whatever the batch.
+        seen = Observation()
+        rows = events.hint("rebalance").sortWithinPartitions("batch_id", "event_id")
+        self._append(rows.observe(seen, F.count(F.lit(1)).alias("n")), self.log_path, feed, static, **LOG_WRITE_OPTIONS)
+        return int(seen.get.get("n") or 0)
+
+    def _append_names(self, deliveries: DataFrame, feed: str, static: bool = False) -> int:
+        """Write the names; the number of deliveries, summed by the writing tasks."""
+        seen = Observation()
+        rows = name_rows(deliveries).observe(seen, F.sum("deliveries").alias("n"))
+        self._append(rows, self.names_path, feed, static)
+        return int(seen.get.get("n") or 0)
+
+    def ingest(self, deliveries: DataFrame, batch: int | None = None, feed: str = "direct") -> dict:
+        """Append a feed's batch.
 
         ``batch`` numbers the batches of ``feed``; the same number of the same
-        feed is a retry. ``batch_id`` is an id the ledger has already given out.
+        feed is a retry. Without a number the batch is a feed of its own.
 
-        Returns ``{received, ingested, duplicates}`` (C4). Safe to retry: the
-        dedup probe excludes the batch's own partitions, which are then
-        overwritten. ``probe_touched_buckets`` limits the duplicate probe to
-        the log buckets the batch touches; that is exact only while every
-        event_id belongs to one transaction (``audit_keys`` is empty).
+        Returns ``{received, ingested, duplicates}`` (C4), counted in the two
+        writing jobs. Safe to retry: the duplicate probe leaves out the batch's own
+        partition, which is then overwritten.
         """
         self._ensure_layout()
-        batch_id = self.allocate(feed, batch) if batch_id is None else batch_id
-        batch = deliveries.withColumn("batch_id", F.lit(batch_id).cast("int")).persist()
+        if batch is None:
+            feed, batch = f"{feed}:{uuid.uuid4().hex}", 0
+        rows = deliveries.withColumn("batch_id", F.lit(batch).cast("int")).persist()
+        keys = None
         try:
-            # One small aggregate gives both the touched buckets (at most B rows)
-            # and the number of deliveries received.
-            per_bucket = (self._with_bucket(batch.select("transaction_id"))
-                          .groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect())
-            touched = [r["bucket"] for r in per_bucket]
-            received = sum(r["n"] for r in per_bucket)
             prior = self.log()
             if prior is not None:
-                # A retried batch must not find its own earlier attempt.
-                prior = prior.filter(F.col("segment") != F.lit(batch_id))
-                if probe_touched_buckets:
-                    prior = prior.filter(F.col("bucket").isin(touched))
-            new_events = log_rows(batch, prior)
-            # REBALANCE lets AQE split a hot bucket over several writers.
-            (self._with_bucket(new_events).withColumn("segment", F.col("batch_id"))
-             .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
-             .write.mode("overwrite").options(**LOG_WRITE_OPTIONS)
-             .partitionBy("bucket", "segment").parquet(self.log_path))
-    
-            self._write_merchant_changes(batch, batch_id)
-            self._recompute(batch.select("transaction_id").distinct(), touched)
-            self.refresh_dimension()
-
-            log = self.log()
-            ingested = 0 if log is None else log.filter(F.col("segment") == F.lit(batch_id)).count()
+                prior = prior.filter(~((F.col("feed") == feed) & (F.col("batch_id") == batch)))
+                keys = probe_keys(rows).persist()
+            with settings(rows.sparkSession, PROBE_SETTINGS):
+                ingested = self._append_log(log_rows(rows, prior, keys), feed)
+            received = self._append_names(rows, feed)
             return {"received": received, "ingested": ingested, "duplicates": received - ingested}
         finally:
-            batch.unpersist()
-
-    def _write_merchant_changes(self, batch: DataFrame, batch_id: int) -> None:
-        """Record only names that are new or differ from the current dimension."""
-        incoming = latest_merchant_names(batch)
-        changes = self.merchant_changes()
-        if changes is not None:
-            current = latest_merchant_names(changes.filter(F.col("batch_id") != F.lit(batch_id)))
-            incoming = incoming.join(current, ["merchant_id", "merchant_name"], "left_anti")
-        (incoming.withColumn("batch_id", F.lit(batch_id).cast("int"))
-         .withColumn("pos", F.lit(0).cast("long"))
-         .write.mode("overwrite").partitionBy("batch_id").parquet(self.merchants_path))
-
-    def _recompute(self, ids: DataFrame, buckets: list[int]) -> None:
-        """Recompute the transactions ``ids`` from their log buckets into a new
-        projection segment. ``buckets`` holds at most ``self.buckets`` ints."""
-        log = self.log()
-        if log is None or not buckets:
-            return
-        touched = log.filter(F.col("bucket").isin(buckets)).join(ids, "transaction_id", "left_semi")
-        proj = self._with_bucket(project_transactions(touched).select(*PROJECTION_COLUMNS))
-        segment = self._last_segment() + 1
-        self._write_projection(proj, segment)
-        # Readers see the segment once it is whole; a retry writes a newer one.
-        self.spark.range(1).select(F.lit(segment).alias("segment")).write.mode("append").parquet(self.projection_state_path)
+            rows.unpersist()
+            if keys is not None:
+                keys.unpersist()
 
     def load(self, deliveries: DataFrame, source: str = "") -> None:
-        """Replace the whole store with ``deliveries`` (keeping
-        their own batch ids), then derive projection and dimension. The mark of
-        an earlier load goes first: a broken load is never taken for whole."""
+        """Replace the whole store with ``deliveries`` (keeping their
+        own batch ids), then derive projection and names. The mark of an earlier
+        load goes first: a broken load is never taken for whole."""
         self._wipe(self.complete_path)
         self._ensure_layout()
-        log = log_rows(deliveries)
-        (self._with_bucket(log).withColumn("segment", F.col("batch_id"))
-         .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
-         .write.mode("overwrite").option("partitionOverwriteMode", "static").options(**LOG_WRITE_OPTIONS)
-         .partitionBy("bucket", "segment").parquet(self.log_path))
-        (deliveries.groupBy("merchant_id", "batch_id")
-         .agg(F.max_by("merchant_name", F.col("pos")).alias("merchant_name"), F.max("pos").alias("pos"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "static")
-         .partitionBy("batch_id").parquet(self.merchants_path))
-        (deliveries.select(F.col("batch_id").cast("int").alias("batch_id")).distinct()
-         .select("batch_id", F.lit("load").alias("feed"), F.col("batch_id").cast("long").alias("number"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.ledger_path))
+        self._append_log(log_rows(deliveries), "load", static=True)
+        self._append_names(deliveries, "load", static=True)
         self.rebuild()
-        self.spark.range(1).select(F.lit(source).alias("source")).write.mode("overwrite").parquet(self.complete_path)
-
-    def refresh_dimension(self) -> None:
-        """Materialise the current merchant names (one row per merchant; output
-        partitions are sized by AQE, not forced into one task)."""
-        changes = self.merchant_changes()
-        if changes is not None:
-            (latest_merchant_names(changes)
-             .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.dimension_path))
-    
-    def _write_projection(self, proj: DataFrame, segment: int) -> None:
-        """Projection files are sorted by ``initiated_at`` inside each bucket
-        (the sort leads with the partition column, so the writer keeps it),
-        so row-group statistics prune date ranges and recency pages; point
-        lookups use the bucket partition plus a bloom filter. Segment 0
-        replaces everything."""
-        writer = (proj.withColumn("segment", F.lit(segment)).hint("rebalance", "bucket")
-                  .sortWithinPartitions("bucket", "initiated_at", "transaction_id")
-                  .write.mode("overwrite").options(**PROJECTION_WRITE_OPTIONS))
-        if segment == 0:
-            self._wipe(self.projection_state_path)
-            writer = writer.option("partitionOverwriteMode", "static")
-        writer.partitionBy("bucket", "segment").parquet(self.projection_path)
+        self._mark(self.complete_path, source=source)
 
     def rebuild(self) -> int:
-        """Drop and re-derive the whole projection from the log."""
-        log = self.log()
-        if log is None:
+        """Write projection and names anew from all batches. Files are
+        sorted by ``initiated_at`` inside each bucket (the sort leads with the
+        partition column, so the writer keeps it): row-group statistics prune date
+        ranges and recency pages. The mark goes first and comes back last."""
+        log, names = self.log(), self.names()
+        if log is None or names is None:
             return 0
-        proj = self._with_bucket(project_transactions(log).select(*PROJECTION_COLUMNS))
-        self._write_projection(proj, 0)
-        self.refresh_dimension()
-        stored = self._read(self.projection_path)
-        return 0 if stored is None else stored.count()
-
-    def compact_log(self, before_batch: int) -> int:
-        """Merge the log segments of batches older than ``before_batch``.
-
-        Copy-on-write: the whole log is rewritten into a new version folder in
-        which every segment below ``before_batch`` becomes the single compacted
-        segment (-1); newer segments keep their own partitions, so a retry of a
-        recent batch still overwrites just itself. A one-row pointer then
-        switches readers to the new version and the old folder is emptied by a
-        static overwrite. Run it between ingests (single writer). Returns the
-        new log version.
-        """
-        log = self.log()
-        if log is None:
-            return self._log_version()
-        old_path, version = self.log_path, self._log_version() + 1
-        new_path = f"{self.root}/log-v{version}"
-        segment = F.when(F.col("segment") < F.lit(before_batch), F.lit(COMPACTED)).otherwise(F.col("segment"))
-        (log.withColumn("segment", segment)
-         .hint("rebalance", "bucket").sortWithinPartitions("bucket", "segment", "event_id")
-         .write.mode("overwrite").option("partitionOverwriteMode", "static").options(**LOG_WRITE_OPTIONS)
-         .partitionBy("bucket", "segment").parquet(new_path))
-        self._set_log_version(version)
-        self._wipe(old_path)
-        return version
-
-    def _set_log_version(self, version: int) -> None:
-        """Versions are only ever added, so a crash leaves the old one or the new one."""
-        self.spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(self.log_version_path)
+        self._wipe(self.derived_path)
+        covered, seen = self._batches(), Observation()
+        bucket = bucket_of(F.col("transaction_id"), self.buckets)
+        (project_transactions(log).select(*PROJECTION_COLUMNS).withColumn("bucket", bucket)
+         .hint("rebalance", "bucket").sortWithinPartitions("bucket", "initiated_at", "transaction_id")
+         .observe(seen, F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "static").options(**PROJECTION_WRITE_OPTIONS)
+         .partitionBy("bucket").parquet(self.projection_path))
+        (self._latest(names).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.dimension_path))
+        self._mark(self.derived_path, batches=covered)
+        return int(seen.get.get("n") or 0)
+
+    def quarantine(self, rejected: DataFrame, feed: str, batch: int) -> int:
+        """Keep rejected wire rows with their errors, per batch; their number."""
+        seen = Observation()
+        rows = rejected.withColumn("batch_id", F.lit(batch).cast("int")).observe(seen, F.count(F.lit(1)).alias("n"))
+        self._append(rows, self.quarantine_path, feed)
+        return int(seen.get.get("n") or 0)
+
+    def record_chunk(self, feed: str, batch: int, totals: dict) -> None:
+        """What a chunk came to; a chunk that is done again replaces its record."""
+        row = self.spark.range(1).select(*[F.lit(int(totals.get(n, 0))).cast("long").alias(n) for n in CHUNK_TOTALS],
+                                         F.lit(batch).cast("int").alias("batch_id"))
+        self._append(row, self.chunks_path, feed)
+
+    def chunk_totals(self, feed: str) -> DataFrame:
+        """One row: chunks of a feed and what they came to."""
+        done = self._read(self.chunks_path)
+        if done is None:
+            return self.spark.range(1).select(*[F.lit(0).cast("long").alias(n) for n in ("chunks", *CHUNK_TOTALS)])
+        return done.filter(F.col("feed") == feed).agg(
+            F.count(F.lit(1)).alias("chunks"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in CHUNK_TOTALS])
 
     def _wipe(self, path: str) -> None:
         """Remove every file under ``path`` (a static overwrite with no rows)."""
@@ -401,41 +311,12 @@ class EventStore:
         (nothing.write.mode("overwrite").option("partitionOverwriteMode", "static")
          .partitionBy("p").parquet(path))
 
-    def quarantine(self, rejected: DataFrame, batch_id: int) -> None:
-        """Keep rejected wire rows with their errors, per batch."""
-        (rejected.withColumn("batch_id", F.lit(batch_id).cast("int"))
-         .write.mode("overwrite").partitionBy("batch_id").parquet(self.quarantine_path))
-
-    @property
-    def chunks_path(self) -> str:
-        return f"{self.root}/chunks"
-
-    def record_chunk(self, feed: str, number: int, batch_id: int, totals: dict) -> None:
-        """What a chunk came to; a chunk that is done again replaces its record."""
-        names = ("received", "ingested", "duplicates", "rejected")
-        (self.spark.range(1).select(F.lit(feed).alias("feed"), F.lit(number).cast("long").alias("number"),
-                                    *[F.lit(int(totals.get(n, 0))).cast("long").alias(n) for n in names],
-                                    F.lit(batch_id).cast("int").alias("batch_id"))
-         .write.mode("overwrite").partitionBy("batch_id").parquet(self.chunks_path))
-
-    def chunk_totals(self, feed: str) -> DataFrame:
-        """One row: chunks of a feed and what they came to."""
-        done = self._read(self.chunks_path)
-        names = ("received", "ingested", "duplicates", "rejected")
-        if done is None:
-            return self.spark.range(1).select(*[F.lit(0).cast("long").alias(n) for n in ("chunks", *names)])
-        return done.filter(F.col("feed") == feed).agg(
-            F.count(F.lit(1)).alias("chunks"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
-
     def truncate(self) -> None:
-        """Wipe log, projection and merchants.
+        """Wipe everything, the marks first.
 
         A static overwrite with no rows removes every partition and writes no
         file, so the next read sees an empty store.
         """
-        for path in (self.log_path, self.projection_path, self.merchants_path, self.quarantine_path,
-                     self.dimension_path, self.complete_path, self.ledger_path,
-                     self.chunks_path, self.projection_state_path, self.layout_path):
+        for path in (self.complete_path, self.derived_path, self.log_path, self.names_path, self.projection_path,
+                     self.dimension_path, self.quarantine_path, self.chunks_path, self.layout_path):
             self._wipe(path)
-        if self._log_version() != 0:
-            self._wipe(self.log_version_path)

@@ -4,8 +4,8 @@ The live feed is unordered and at-least-once, with an unlimited dedup horizon
 (a partner may replay months later). So the streaming job keeps no dedup state
 of its own: each micro-batch goes through the same batch ingest as a backfill
 (``EventStore.ingest`` inside ``foreachBatch``), which anti-joins against the
-stored log and recomputes the touched buckets. No watermark: late data is
-never dropped, and any arrival order converges to the rebuild.
+stored log and appends what is new. No watermark: late data is never dropped,
+and any arrival order converges to the rebuild.
 
 ``running_state_stream`` is the pure streaming alternative (P4): Spark keeps
 dedup and aggregation state in its state store. It is exact, but that state
@@ -15,7 +15,6 @@ grows without bound, which is why the log-backed path is the default.
 from __future__ import annotations
 
 import json
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from tallyline.functions.status import with_status
 from tallyline.operators import validate as V
 from tallyline.operators.projection import PROJECTION_COLUMNS
 from tallyline.schema import DELIVERY_COLUMNS
+from tallyline.session import settings
 from tallyline.sources.store import EventStore
 
 
@@ -39,30 +39,26 @@ def ingest_batch_fn(store: EventStore, wire: bool = False, on_error: str = "quar
                     feed: str | None = None, report: bool = False):
     """The ``foreachBatch`` body: validate (for wire input), then ingest.
 
-    The store's ledger gives the stream's micro-batch its id; Spark replays a
-    failed micro-batch with the same number, and the store overwrites it.
+    Spark replays a failed micro-batch with the same number, and the store
+    overwrites that batch of the feed.
     With ``report`` the store keeps what each micro-batch came to.
     """
     def run(batch: DataFrame, number: int) -> None:
         source = feed or (query_feed(store.spark, checkpoint) if checkpoint else "stream")
-        batch_id = store.allocate(source, number)
         if wire:
             if "raw_json" not in batch.columns and "value" in batch.columns:
-                batch = wire_frame(batch, batch_id)
+                batch = wire_frame(batch, number)
             checked = V.validate(batch).persist()
             try:
                 deliveries = V.gate(checked, on_error)
-                if on_error == "quarantine":
-                    store.quarantine(V.quarantine(checked), batch_id)
-                totals = store.ingest(deliveries, batch_id=batch_id)
-                if report:
-                    totals["rejected"] = checked.count() - totals["received"]
+                rejected = store.quarantine(V.quarantine(checked), source, number) if on_error == "quarantine" else 0
+                totals = {**store.ingest(deliveries, number, source), "rejected": rejected}
             finally:
                 checked.unpersist()
         else:
-            totals = store.ingest(batch.select(*DELIVERY_COLUMNS), batch_id=batch_id)
+            totals = store.ingest(batch.select(*DELIVERY_COLUMNS), number, source)
         if report:
-            store.record_chunk(source, number, batch_id, totals)
+            store.record_chunk(source, number, totals)
     return run
 
 
@@ -144,20 +140,6 @@ STATE_STORE = {
 }
 
 
-@contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    """Session settings for the queries that are started inside; a streaming
-    query keeps those it was started with."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def run_running_state(source: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
     """Drain ``running_state_stream`` in update mode; return the latest state.
 

@@ -45,10 +45,17 @@ def test_feeds_number_their_batches_alone(spark, tmp_root):
     assert store.lookup("t1").first()["event_count"] == 3
 
 
-def test_ids_are_given_once(spark, tmp_root):
+def test_a_retry_replaces_the_batch_of_its_own_feed(spark, factory, tmp_root):
     store = EventStore(spark, tmp_root, buckets=2)
-    assert [store.allocate("a", 0), store.allocate("b", 0), store.allocate("a", 0), store.allocate("a", 1)] == [0, 1, 0, 2]
-    assert store.allocate("b", 7) == 7 and store.allocate("c") == 8
+    factory.happy_path("t1")
+    for feed in ("a", "b", "a"):
+        store.ingest(factory.df(spark), 7, feed=feed)
+    store.ingest(factory.df(spark))
+    got = {r.feed: r.n for r in store.log().groupBy("feed").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {"a": 3} and {r.batch_id for r in store.log().collect()} == {7}
+    assert store.names().select("feed").distinct().count() == 3
+    with pytest.raises(ValueError, match="starts with a letter"):
+        store.ingest(factory.df(spark), 0, feed="2024-01-01")
 
 
 def test_rename_in_a_batch_of_replays_survives(spark, tmp_root):
@@ -81,7 +88,7 @@ def _files(root: str) -> dict[str, float]:
     return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
 
 
-def test_a_batch_writes_only_what_it_touched(spark, tmp_root):
+def test_a_batch_writes_only_its_own_partitions(spark, tmp_root):
     first, second = Factory(), Factory()
     for i in range(40):
         first.happy_path(f"t{i}")
@@ -90,18 +97,41 @@ def test_a_batch_writes_only_what_it_touched(spark, tmp_root):
     second.event("payment_initiated", "new", 0)
     store = EventStore(spark, tmp_root, buckets=4)
     store.ingest(first.df(spark), 0)
-    before = _files(store.projection_path)
+    store.rebuild()
+    before = _files(tmp_root)
     store.ingest(second.df(spark), 1)
-    after = _files(store.projection_path)
-    assert before.items() <= after.items() and len(after) - len(before) <= 2
+    after = _files(tmp_root)
+    new = [os.path.relpath(f, tmp_root) for f in after.keys() - before.keys()]
+    assert before.items() <= after.items() and new
+    assert all(f.startswith(("log/feed=direct/batch_id=1/", "names/feed=direct/batch_id=1/")) for f in new)
     got = {r.transaction_id: r for r in store.transactions().collect()}
     assert len(got) == 41 and got["t3"].settled_event_count == 2 and got["t4"].event_count == 3
     assert store.lookup("t3").first()["settled_event_count"] == 2
     store.rebuild()
     assert {r.transaction_id: r for r in store.transactions().collect()} == got
+    assert store.lookup("t3").first()["settled_event_count"] == 2
     assert [r.event_type for r in store.history("t3").collect()][-1] == "settled"
 
 
+def test_totals_are_counted_by_the_writing_jobs(spark, factory, tmp_root, monkeypatch):
+    """Received, ingested and rejected come without a job of their own."""
+    for i in range(20):
+        factory.happy_path(f"t{i}")
+    factory.rows += factory.rows[:7]
+    store = EventStore(spark, tmp_root, buckets=2)
+    store._ensure_layout()
+    batch = factory.df(spark)
+
+    def refuse(self, *a):
+        raise AssertionError("a job that only counts")
+
+    for action in ("count", "agg"):
+        monkeypatch.setattr(type(batch), action, refuse)
+    assert store.ingest(batch, 0) == {"received": 67, "ingested": 60, "duplicates": 7}
+    assert store.quarantine(batch.drop("batch_id"), "direct", 0) == 67
+    assert store.quarantine(batch.drop("batch_id").limit(0), "direct", 1) == 0
+
+
 def test_payload_holds_the_whole_event(spark, factory, tmp_root):
     factory.event("settled", "t1", 1, merchant_name="Shop", amount="2.50")
     store = EventStore(spark, tmp_root, buckets=2)
@@ -136,7 +166,11 @@ def test_a_full_load_names_its_source(spark, factory, tmp_root):
     store = EventStore(spark, tmp_root, buckets=2)
     store.load(factory.df(spark), "a: 3 events")
     assert store.is_complete() and store.is_complete("a: 3 events") and not store.is_complete("a: 4 events")
-    assert store.allocate("other", 0) == 1   # the load's own batch ids are taken
+    other = Factory()
+    other._n = 50
+    other.event("settled", "t1", 600)
+    store.ingest(other.df(spark), 0, feed="other")   # the load's own batch 0 stays
+    assert store.log().count() == 4 and store.lookup("t1").first()["settled_event_count"] == 2
 
 
 @pytest.mark.parametrize("text", ["[{]", '[{"a": 1}', "nonsense", '{"a": '])

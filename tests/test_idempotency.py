@@ -120,9 +120,11 @@ def test_merchant_rename_last_write_wins(spark, factory, tmp_root):
     f2.event("payment_processed", "t1", 5, merchant_name="New")
     store.ingest(f2.df(spark), 1)
     assert store.merchants().first()["merchant_name"] == "New"
-    # re-ingesting an unchanged name writes no new change row
+    # the last arrival names the merchant, from the names as delivered and as written down
     store.ingest(f2.df(spark), 2)
-    assert store.merchant_changes().filter("batch_id = 2").count() == 0
+    assert store.merchants().first()["merchant_name"] == "New"
+    store.rebuild()
+    assert [tuple(r) for r in store.merchants().collect()] == [("merchant_1", "New")]
 
 
 def test_truncate_empties_store(spark, factory, tmp_root):
@@ -161,14 +163,14 @@ def test_stale_stored_status_is_rederived(spark, factory):
     assert with_status(txn).first()["payment_status"] == "failed"
 
 
-def test_store_probe_limited_to_touched_buckets(spark, factory, tmp_root):
+def test_log_holds_the_arrival_time(spark, factory, tmp_root):
     from tallyline.operators.reports import arrival_delay
 
     factory.happy_path("t1")
     d = factory.df(spark)
     store = EventStore(spark, tmp_root, buckets=4)
     store.ingest(d, 0)
-    again = store.ingest(d, 1, probe_touched_buckets=True)
+    again = store.ingest(d, 1)
     assert again["ingested"] == 0
     delays = arrival_delay(store.log()).select("arrival_delay_seconds").collect()
     assert len(delays) == 3 and all(r[0] > 0 for r in delays)
@@ -187,7 +189,7 @@ def test_store_point_lookup_prunes_to_one_bucket(spark, tmp_root):
     assert re.search(r"PartitionFilters: \[[^\]]*isnotnull\(bucket", plan)
 
 
-def test_log_compaction_keeps_state_and_retry_semantics(spark, tmp_root):
+def test_readers_take_the_written_projection_only_while_it_is_current(spark, tmp_root):
     from tests.conftest import Factory
 
     store = EventStore(spark, tmp_root, buckets=2)
@@ -201,18 +203,22 @@ def test_log_compaction_keeps_state_and_retry_semantics(spark, tmp_root):
         store.ingest(batches[-1], b)
     log_rows = store.log().count()
     state = audits.fingerprint(store.transactions()).first()
-    assert {r[0] for r in store.log().select("segment").distinct().collect()} == {0, 1, 2, 3}
-    assert store.compact_log(before_batch=3) == 1
-    assert {r[0] for r in store.log().select("segment").distinct().collect()} == {-1, 3}
-    assert store.log().count() == log_rows
+    assert not store.derived_is_current()
     assert sorted(r[0] for r in store.log().select("batch_id").distinct().collect()) == [0, 1, 2, 3]
-    assert store.rebuild() == 12
+    assert store.rebuild() == 12 and store.derived_is_current()
     assert audits.fingerprint(store.transactions()).first() == state
-    # replays of compacted history are still recognised as duplicates
-    assert store.ingest(batches[0], 4)["ingested"] == 0
-    # the newest uncompacted batch can still be retried in place
+    # a batch of replays, and a retry, change nothing but what readers read from
+    assert store.ingest(batches[0], 4)["ingested"] == 0 and not store.derived_is_current()
     assert store.ingest(batches[3], 3)["ingested"] == 6
     assert store.log().count() == log_rows
+    assert audits.fingerprint(store.transactions()).first() == state
+    assert {r.transaction_id for r in store.touched("direct", 2).collect()} == {"b2t0", "b2t1", "b2t2"}
+    assert store.touched("direct", 4).count() == 0
+    # a rebuild that broke off leaves no mark: readers group the log
+    store.rebuild()
+    store._wipe(store.derived_path)
+    store._wipe(store.projection_path)
+    assert audits.fingerprint(store.transactions()).first() == state
     store.truncate()
     assert store.log() is None
 

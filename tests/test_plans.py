@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tallyline.operators import ingest, projection
@@ -117,3 +118,32 @@ def test_results_do_not_depend_on_partitioning(spark, name):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
             spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_probe_too_large_to_broadcast_passes_a_bloom_filter(spark, tmp_path):
+    """The log's rows are filtered by the batch's keys before the shuffle, and
+    what is found is the same."""
+    from tallyline.operators.ingest import PROBE_SETTINGS, known_event_ids, probe_keys
+    from tallyline.session import settings
+
+    path = str(tmp_path / "log")
+    spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("event_id")).write.parquet(path)
+    log = spark.read.parquet(path)
+    batch = log.filter("event_id < '08'").unionByName(spark.range(-50, 0).select(F.md5(F.col("id").cast("string")).alias("event_id")))
+    batch = batch.unionByName(batch)
+    want = known_event_ids(batch, log).count()
+    assert want == log.filter("event_id < '08'").count() > 0
+    forced = {**PROBE_SETTINGS, "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+              "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    keys = probe_keys(batch).persist()
+    try:
+        with settings(spark, forced):
+            found = known_event_ids(batch, log, keys)
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert "might_contain" in plan and "bloom_filter_agg" in plan
+            assert found.count() == want
+        # small keys are broadcast, without a filter
+        small = known_event_ids(batch, log, keys)._jdf.queryExecution().executedPlan().toString()
+        assert "might_contain" not in small
+    finally:
+        keys.unpersist()
