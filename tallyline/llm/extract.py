@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -95,6 +96,26 @@ class _Lines(HTMLParser):
         self.lines: list[list] = []
         self.parts: list[str] = []
         self.tags = 0
+        self.unclosed: str | None = None   # the input in which a comment has no end
+
+    def parse_comment(self, i, report=1):
+        # One without an end has none after it that has: looked for once.
+        if self.unclosed is self.rawdata:
+            return -1
+        end = super().parse_comment(i, report)
+        if end < 0:
+            self.unclosed = self.rawdata
+        return end
+
+    def close(self):
+        """Read what is left of a page that breaks off. Behind the last '>' no tag
+        or comment can end, so that part is text, taken at once."""
+        rest = self.rawdata
+        cut = rest.rfind(">") + 1
+        self.rawdata = rest[:cut]
+        super().close()
+        if not self.cdata_elem:
+            self.handle_data(unescape(rest[cut:]))
 
     def end_line(self):
         text = " ".join("".join(self.parts).split())

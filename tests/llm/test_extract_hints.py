@@ -43,6 +43,22 @@ def test_deep_pages_are_linear():
     assert time.process_time() - start < 3
 
 
+@pytest.mark.parametrize("piece", ["<!-- x ", "<!-- x > ", "<a b='", "</a ", "<!x ", "<?x ", "a & b < c "])
+def test_markup_that_never_ends_is_linear_and_read_as_far_as_it_goes(piece):
+    start = time.process_time()
+    whole = main_text(f"<html><body><p>{POST}</p><p>" + piece * 40_000)
+    assert time.process_time() - start < 3
+    assert whole.startswith(POST)
+
+
+@pytest.mark.parametrize("tail,text", [
+    ("<!-- open", "<!-- open"), ("<!-- a > b", "<!-- a > b"), ("<a href='x", "<a href='x"), ("x &amp", "x &"), ("x &lt;y", "x <y"),
+    ("</p", "</p"), ("a < b", "a < b"), ("<script>x = 1", ""), ("<script>x > 1", ""), ("<!-- a --> b <!-- c", "b <!-- c"),
+])
+def test_a_page_that_breaks_off(tail, text):
+    assert main_text(f"<html><body><p>{POST}</p><p>{LONG} {tail}") == f"{POST} {LONG} {text}".rstrip()
+
+
 def test_around_equals_walking_up():
     """The sums from below against every line walking up its regions."""
     import random
