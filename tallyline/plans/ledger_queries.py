@@ -70,7 +70,7 @@ def q_txn_with_history(r: Recon) -> DataFrame:
 
     path = scratch_path(r.spark, "history")
     name = f"tallyline_{path.rsplit('-', 1)[-1]}"
-    txn, events = tables.history_tables(r.log, r.txn, path, name, r.store.buckets)
+    txn, events = tables.history_tables(r.log, r.txn, path, name, tables.history_buckets(r.spark, r.log.count()))
     event = lambda e: F.concat_ws(" ", e["event_id"], e["event_type"], e["amount"], F.date_format(e["occurred_at"], "yyyy-MM-dd HH:mm:ss"))
     return tables.with_history(txn, events).select(
         "transaction_id", "status", "slice", "slices", "event_count", F.size("events").alias("events_here"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,47 @@ def test_history_joins_without_exchange(spark, tmp_root):
     assert got == want and max(len(r.events) for r in rows) < 40
 
 
+def test_history_buckets_grow_in_number_only(spark, tmp_root, monkeypatch):
+    """A bucket is sorted in one task, so more events make more buckets."""
+    from tallyline.plans.catalog import registry
+
+    monkeypatch.setattr(tables, "BUCKET_EVENTS", 100, raising=False)
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id)")
+    kind = F.element_at(F.array(*map(F.lit, ("view", "purchase", "error", "signup"))), (F.col("id") % 4 + 1).cast("int"))
+    (spark.range(1200).select(F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 600).alias("user_id"),
+                              kind.alias("event_type"), (F.col("id") / 7).alias("value"))
+     .write.parquet(os.path.join(tmp_root, "events.parquet")))
+    (spark.range(25).select(F.col("id").alias("n_nationkey"), F.col("id").cast("string").alias("n_name"))
+     .write.parquet(os.path.join(tmp_root, "nation.parquet")))
+    out = registry()["txn_with_history"](spark, tmp_root)
+    name = re.search(r"tallyline_[0-9a-f]{12}_", out._jdf.queryExecution().executedPlan().toString())[0]
+    for side, total in (("events", 1200), ("txn", 600)):
+        files = [r["count"] for r in spark.table(name + side).groupBy(F.input_file_name()).count().collect()]
+        assert len(files) == 12 and sum(files) == total and max(files) < 200, (side, files)
+    assert tuple(out.agg(F.count(F.lit(1)), F.sum("event_count"), F.sum("events_here")).first()) == (600, 1200, 1200)
+    before = spark.conf.get(tables.MAX_BUCKETS_CONF)
+    try:
+        spark.conf.set(tables.MAX_BUCKETS_CONF, "7")
+        assert [tables.history_buckets(spark, n) for n in (0, 1, 100, 101, 10_000)] == [1, 1, 1, 2, 7]
+    finally:
+        spark.conf.set(tables.MAX_BUCKETS_CONF, before)
+
+
+def test_events_without_a_transaction_are_sliced(spark, tmp_root):
+    """They join with nothing, and still lie in no single bucket."""
+    f = Factory()
+    f.happy_path("t0")
+    for i in range(200):
+        f.event("settled", None, i % 7)
+    log = f.df(spark)
+    txn = projection.project_transactions(log)
+    left, right = tables.history_tables(log, txn, os.path.join(tmp_root, "h"), "hist_null", 4, slice_events=8)
+    dealt = {r["slice"]: r["count"] for r in right.filter("transaction_id is null").groupBy("slice").count().collect()}
+    assert sum(dealt.values()) == 200 and len(dealt) > 15 and max(dealt.values()) < 30
+    got = [(r.transaction_id, r.slices, len(r.events)) for r in tables.with_history(left, right).collect()]
+    assert sorted(got, key=str) == [("t0", 1, 3), *[(None, 25, 0)] * 25]
+
+
 @pytest.mark.parametrize("sort_by,sort_dir", [("initiated_at", "desc"), ("amount", "asc"), ("settled_at", "asc")])
 def test_deep_pages_equal_offset_pages(spark, sort_by, sort_dir):
     """Ties and nulls in the sort key; ranges of a few rows."""
