@@ -83,7 +83,8 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     index = rows.filter(F.coalesce("one", F.lit(True))).select("key", col("one").isNull().alias("whole"), col("fp").alias("a"))
     probe = rows.filter(~F.coalesce("one", F.lit(False))).select("key", col("fp").alias("b"))
     near = F.bit_count(col("a").bitwiseXOR(col("b"))) <= bits
-    return index.join(probe, "key").filter(near & (~col("whole") | (col("a") < col("b")))).select("a", "b")
+    # The planner sizes both sides as the nodes before the explode and would broadcast 33 rows for each.
+    return index.hint("merge").join(probe, "key").filter(near & (~col("whole") | (col("a") < col("b")))).select("a", "b")
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, bits: int = BITS,

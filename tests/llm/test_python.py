@@ -68,6 +68,13 @@ def test_links_within_three_bits(spark):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 4)
 
 
+def test_deletion_variants_are_never_broadcast(spark):
+    """The planner takes the 66 variants of each of few nodes for as small as the nodes."""
+    nodes = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_matches_brute_force(awkward, clashing, no_docs):
     docs = awkward.collect()
     fps = [brute_fingerprint(r.text) for r in docs]
