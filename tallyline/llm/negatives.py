@@ -8,20 +8,23 @@ radius). For an anchor, the inner product with a codeword plus the anchor
 half's length times the radius bounds the half-score of every row under it;
 the multi-sequence heap visits the cells in the order of the summed bounds.
 
-A search has two rounds of one equality join each, anchors to the blocks of
-the cells they visit. The first visits cells until ``PROBE`` rows are seen and
+A search has two rounds, in which anchors meet the blocks of the cells they
+visit. The first visits cells along the heap until ``PROBE`` rows are seen and
 gives every window of scores that is asked for a k-th best score. The second
-goes on along the heap until the bound of the next cell is below all of them:
-then no unseen row can be among the k best, and the windows are certified. The
-result is exact, whatever the codebooks are. The search is done once for the
+visits all cells whose bound is not below all of them: then no unseen row can
+be among the k best, and the windows are certified. The result is exact,
+whatever the codebooks are. The search is done once for the
 positives (same label, any score) and once for the negatives (another label,
 scores within a share of a positive's).
 
 Blocks hold at most about ``BLOCK`` rows, batches ``BATCH`` anchors; large cells
-are several blocks, small ones share one. A task scores one batch against one
-block by a matrix product and keeps k rows per window. Equal vectors of a
-label are one row with their first ids, so that copies cost nothing. The
-driver holds the codebooks and a count and place per cell (at most
+are several blocks, small ones share one. Neighbouring blocks are a shelf and
+batches a crate, each of at most about ``SHELF`` and ``CRATE`` bytes. A shelf
+and a crate meet in one task, by a shuffle whatever the planner takes their
+sizes for; it scores batch against block by a matrix product and keeps k rows
+per window. So blocks are sent once per crate, and batches once per shelf.
+Equal vectors of a label are one row with their first ids, so that copies cost
+nothing. The driver holds the codebooks and a count and place per cell (at most
 ``MOST_WORDS`` squared).
 
 Defined results: rows with a null id, label or vector, or with null or
@@ -54,7 +57,10 @@ LEAST_WORDS, MOST_WORDS = 8, 64
 ROUNDS, SEED = 8, 3
 SLACK = 1e-9          # relative rounding error allowed for in bounds
 ENDS = (-(1 << 63), (1 << 63) - 1)
-EXACT = float(1 << 53)
+EXACT, EXACT_SHORT = float(1 << 53), float(1 << 24)
+SHELF, CRATE = 32 << 20, 32 << 20   # bytes of blocks, and of batches, that a task holds at once
+TILES = 48            # shelves at least, where there are as many blocks
+MOST_TASKS = 4096
 
 
 class Index:
@@ -172,11 +178,17 @@ def route(upper, lower, counts, windows: list[tuple[int, int, int]], needs: list
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of whole-number rows, exact; beyond a long its ends."""
+    return _products(a, b).astype(np.int64)
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same, in the narrowest type that holds every partial sum."""
     shared = min(a.shape[1], b.shape[1])
     a, b = a[:, :shared], b[:, :shared]
     most = max(abs(int(a.min(initial=0))), int(a.max(initial=0))) * max(abs(int(b.min(initial=0))), int(b.max(initial=0))) * shared
-    if most < EXACT:
-        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    for kind, ends in ((np.float32, EXACT_SHORT), (np.float64, EXACT)):
+        if most < ends:
+            return a.astype(kind) @ b.T.astype(kind)
     exact = a.astype(object) @ b.T.astype(object)
     return np.array([[min(max(int(x), ENDS[0]), ENDS[1]) for x in row] for row in exact], dtype=np.int64).reshape(len(a), len(b))
 
@@ -194,20 +206,26 @@ def _matrix(rows) -> np.ndarray:
     return out
 
 
-PACKED = "block long, width int, kind string, vectors binary, labels binary, cells binary, ids array<array<long>>"
+PACKED = ("block long, width int, kind string, vectors binary, lengths binary, labels binary, cells binary, ids array<long>, "
+          "counts binary")
 
 
 def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.iloc[np.argsort([ids[0] for ids in rows["ids"]], kind="stable")]
     vectors = _matrix(rows["v"].to_list())
     return pd.DataFrame([{"block": key[0], "width": vectors.shape[1], "kind": vectors.dtype.str, "vectors": vectors.tobytes(),
+                          "lengths": rows["v"].map(len).to_numpy(np.int64).tobytes(),
                           "labels": rows["label"].to_numpy(np.int64).tobytes(), "cells": rows["cell"].to_numpy(np.int64).tobytes(),
-                          "ids": [list(x) for x in rows["ids"]]}])
+                          "ids": [x for ids in rows["ids"] for x in ids], "counts": rows["ids"].map(len).to_numpy(np.int64).tobytes()}])
+
 
+def _longs(data: bytes, width: int | None = None) -> np.ndarray:
+    out = np.frombuffer(data, np.int64)
+    return out if width is None else out.reshape(-1, width)
 
-def _unpack(width: int, kind: str, vectors: bytes, labels: bytes) -> tuple[np.ndarray, np.ndarray]:
-    labels = np.frombuffer(labels, np.int64)
-    return np.frombuffer(vectors, kind).reshape(len(labels), width), labels
+
+def _vectors(row) -> np.ndarray:
+    return np.frombuffer(row.vectors, row.kind).reshape(len(_longs(row.labels)), row.width)
 
 
 def _placed(rows: DataFrame, index: Index, name: str) -> DataFrame:
@@ -241,100 +259,203 @@ def _counted(placed: DataFrame) -> dict[int, int]:
 Windows = Callable[[int], tuple[int, int]]
 
 
-def _routes(index: Index, window: Windows, k: int, probe: int, second: bool):
+def _ends(low: int, high: int) -> tuple[float, float]:
+    """A window as bounds see it: at the ends of a long lies all beyond."""
+    return -np.inf if low <= ENDS[0] else low, np.inf if high >= ENDS[1] else high
+
+
+def _slots(n: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, window, least, greatest score) as three matrices with a row per
+    anchor; places that are left over hold no score."""
+    turn = np.arange(len(slots)) - np.searchsorted(slots[:, 0], slots[:, 0])
+    most = int(turn.max(initial=0)) + 1
+    name, least, greatest = np.zeros((n, most), np.int64), np.full((n, most), ENDS[1]), np.full((n, most), ENDS[0])
+    for out, column in ((name, 1), (least, 2), (greatest, 3)):
+        out[slots[:, 0], turn] = slots[:, column]
+    return name, least, greatest
+
+
+def reach(upper: list[np.ndarray], lower: list[np.ndarray], cells: np.ndarray, least: np.ndarray, greatest: np.ndarray) -> np.ndarray:
+    """(anchors, cells): whether a cell's bounds can still reach a score that one of the
+    anchor's windows needs, as ``route`` finds cell by cell."""
+    words = upper[1].shape[1]
+    first, second = np.divmod(cells, words)
+    high, low = upper[0][:, first] + upper[1][:, second], lower[0][:, first] + lower[1][:, second]
+    out = np.zeros(high.shape, bool)
+    for need, end in zip(least.T, greatest.T):
+        some = need <= end
+        need = np.where(need <= ENDS[0], -np.inf, need)[:, None]
+        end = np.where(end >= ENDS[1], np.inf, end)[:, None]
+        out |= (high >= need) & (low <= end) & some[:, None]
+    return out
+
+
+def _routes(index: Index, window: Windows, k: int, probe: int, per: int, second: bool):
     """Batches of anchors with their goals (and what the first round found) to
-    the blocks they visit, with what is needed to score them there."""
+    the shelves they visit, with what is needed to score them there."""
+    places = np.flatnonzero(index.counts)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for row in frame.itertuples(index=False):
-                vectors, labels = _unpack(row.width, row.kind, row.vectors, row.labels)
+                vectors, labels, lengths, ids = _vectors(row), _longs(row.labels), _longs(row.lengths), np.asarray(row.ids, np.int64)
                 x = np.zeros((len(vectors), index.width))
                 x[:, :vectors.shape[1]] = vectors
                 upper, lower = index.bounds(x)
-                goals: dict[int, list] = {}
-                for goal in row.goals:
-                    goals.setdefault(goal["anchor"], []).append(goal["win"])
                 found: dict[tuple, list] = {}
                 for f in (row.found if second and row.found is not None else ()):
                     found.setdefault((f["anchor"], f["win"]), []).append(f["score"])
+                goals = []
+                for a, w in sorted({(g["anchor"], g["win"]) for g in row.goals}):
+                    low, high = window(w)
+                    if low <= high:
+                        best = found.get((a, w), ())
+                        goals.append((a, w, min(best) if len(best) >= k else low, high))
+                slots = np.array(goals, np.int64).reshape(-1, 4)
                 going: dict[int, list] = {}
-                windows: dict[int, list] = {}
-                for a, names in goals.items():
-                    asked = [(w, *window(w)) for w in sorted(set(names))]
-                    asked = [w for w in asked if w[1] <= w[2]]
-                    if not asked:
-                        continue
-                    needs = None
-                    if second:
-                        best = [found.get((a, w), ()) for w, _, _ in asked]
-                        needs = [min(b) if len(b) >= k else lo for b, (_, lo, _) in zip(best, asked)]
-                        windows[a] = [(w, need, hi) for need, (w, _, hi) in zip(needs, asked)]
-                    else:
-                        windows[a] = asked
-                    for cell in route([u[a] for u in upper], [v[a] for v in lower], index.counts, asked, needs, probe):
-                        for block in range(index.first[cell], index.first[cell] + index.parts[cell]):
-                            going.setdefault(block, []).append((a, cell))
-                out = []
-                for block, pairs in going.items():
-                    there = sorted({a for a, _ in pairs})
-                    at = {a: i for i, a in enumerate(there)}
-                    out.append({"batch": row.block, "block": block, "anchors": there, "a_width": row.width, "a_kind": row.kind,
-                                "a_vectors": vectors[there].tobytes(), "a_labels": labels[there].tobytes(),
-                                "a_ids": [row.ids[a][0] for a in there],
-                                "visits": np.array([(at[a], c) for a, c in pairs], np.int64).tobytes(),
-                                "windows": [[x for w in windows[a] for x in w] for a in there]})
-                    if len(out) >= 64:
-                        yield pd.DataFrame(out)
-                        out = []
-                if out:
-                    yield pd.DataFrame(out)
+                if second:
+                    _, least, greatest = _slots(len(x), slots)
+                    near = places[reach(upper, lower, places, least, greatest).any(axis=0)]
+                    going = {shelf: [] for at in near for shelf in _shelves(index, at, per)}
+                else:
+                    asked: dict[int, list] = {}
+                    for a, w, low, high in goals:
+                        asked.setdefault(a, []).append((w, *_ends(low, high)))
+                    for a, windows in asked.items():
+                        for cell in route([u[a] for u in upper], [v[a] for v in lower], index.counts, windows, None, probe):
+                            for shelf in _shelves(index, cell, per):
+                                going.setdefault(shelf, []).append((a, cell))
+                out: dict[tuple, dict] = {}
+                for shelf, pairs in going.items():
+                    there = np.unique(slots[:, 0]) if second else np.unique([a for a, _ in pairs])
+                    mine = slots[np.isin(slots[:, 0], there)].copy()
+                    mine[:, 0] = there.searchsorted(mine[:, 0])
+                    visits = np.array([(there.searchsorted(a), c) for a, c in pairs], np.int64)
+                    # All shelves of a second round share one row until they are dealt out.
+                    to = out.setdefault(("all",) if second else (shelf,), {
+                        "shelves": [], "batch": row.block, "anchors": there.tobytes(), "width": row.width, "kind": row.kind,
+                        "vectors": vectors[there].tobytes(), "lengths": lengths[there].tobytes(), "labels": labels[there].tobytes(),
+                        "own": ids[there].tobytes(), "visits": visits.tobytes(), "slots": mine.tobytes()})
+                    to["shelves"].append(int(shelf))
+                for at in range(0, len(out), 64):
+                    yield pd.DataFrame(list(out.values())[at:at + 64])
     return run
 
 
-ROUTED = ("batch long, block long, anchors array<int>, a_width int, a_kind string, a_vectors binary, a_labels binary, "
-          "a_ids array<long>, visits binary, windows array<array<long>>")
-FOUND = "batch long, anchor int, anchor_id long, win long, score long, id long"
+def _shelves(index: Index, cell: int, per: int) -> range:
+    return range(int(index.first[cell]) // per, (int(index.first[cell]) + int(index.parts[cell]) - 1) // per + 1)
 
 
-def _scores(k: int, same: bool):
-    """The k best rows of a block for each window of each anchor visiting it."""
-    def best(scores: np.ndarray, some: np.ndarray, ids, own: int | None) -> list[tuple[int, int]]:
-        most = k + (own is not None)   # the anchor's own row may be among them
-        if len(some) > most:
-            least = np.partition(scores[some], len(some) - most)[len(some) - most]
-            some = some[scores[some] >= least]
-            # Rows of a block lie in the order of their first id.
-            some = some[np.argsort(-scores[some], kind="stable")[:most]]
-        rows = [(-int(scores[i]), int(x)) for i in some for x in ids[i]]
-        return sorted(rows)
+ROUTED = ("shelves array<int>, batch long, anchors binary, width int, kind string, vectors binary, lengths binary, labels binary, "
+          "own binary, visits binary, slots binary")
+FOUND = "batch long, anchor int, anchor_id long, win long, score long, id long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            out = []
-            for row in frame.itertuples(index=False):
-                a, a_labels = _unpack(row.a_width, row.a_kind, row.a_vectors, row.a_labels)
-                b, b_labels = _unpack(row.width, row.kind, row.vectors, row.labels)
-                cells = np.frombuffer(row.cells, np.int64)
-                names, at = np.unique(cells, return_inverse=True)
-                seen = np.zeros((len(a), len(names)), bool)
-                for i, cell in np.frombuffer(row.visits, np.int64).reshape(-1, 2):
-                    seen[i, names.searchsorted(cell) % len(names)] |= names[names.searchsorted(cell) % len(names)] == cell
-                scores = products(a, b)
-                for i in range(len(a)):
-                    fit = (a_labels[i] == b_labels) == same
-                    fit &= seen[i][at]
-                    own = int(row.a_ids[i])
-                    for w, lo, hi in np.reshape(row.windows[i], (-1, 3)).tolist():
-                        some = np.flatnonzero(fit & (scores[i] >= lo) & (scores[i] <= hi))
-                        if not len(some):
-                            continue
-                        mine = None
-                        if same:
-                            mine = next((j for j in some if own in row.ids[j] and _equal(a[i], b[j])), None)
-                        ids = row.ids if mine is None else {j: [x for x in row.ids[j] if j != mine or x != own] for j in some}
-                        for score, x in best(scores[i], some, ids, mine)[:k]:
-                            out.append((row.batch, row.anchors[i], own, w, -score, x))
-            yield pd.DataFrame(out, columns=["batch", "anchor", "anchor_id", "win", "score", "id"])
+
+class _Best:
+    """The k best rows so far of each window of a batch's anchors."""
+
+    def __init__(self, row, k: int, same: bool):
+        self.k, self.same = k, same
+        self.vectors, self.lengths, self.labels, self.own = _vectors(row), _longs(row.lengths), _longs(row.labels), _longs(row.own)
+        self.name, self.least, self.greatest = _slots(len(self.labels), _longs(row.slots, 4))
+        self.kept = [np.zeros(0, np.int64)] * 3   # place of the window, score, id
+
+    def add(self, block, seen: np.ndarray) -> None:
+        """Take in a block's rows, whose cells each anchor has ``seen``."""
+        who = np.flatnonzero(seen.any(axis=1))
+        if not len(who):
+            return
+        scores = _products(self.vectors[who], block.vectors)
+        fit = (self.labels[who][:, None] == block.labels) == self.same
+        fit &= seen[who][:, block.at]
+        least, greatest = _held(self.least[who], scores.dtype), _held(self.greatest[who], scores.dtype)
+        fit &= (scores >= least.min(axis=1)[:, None]) & (scores <= greatest.max(axis=1)[:, None])
+        hits = np.count_nonzero(fit)
+        if not hits:
+            return
+        most, windows = self.k + 1, least.shape[1]   # the anchor's own row may be among them
+        dense = hits > 4 * most * len(who) and scores.shape[1] > most
+        if not dense:
+            i, j = np.nonzero(fit)
+            s = scores[i, j]
+        new = [self.kept]
+        for w in range(windows):
+            if dense:
+                some = fit & (scores >= least[:, w, None]) & (scores <= greatest[:, w, None])
+                ends = np.where(some, scores, -np.inf if scores.dtype.kind == "f" else ENDS[0])
+                some &= scores >= np.partition(ends, -most, axis=1)[:, -most, None]
+                at, to = np.nonzero(some)
+                score = scores[at, to]
+            else:
+                some = (s >= least[i, w]) & (s <= greatest[i, w])
+                at, to, score = i[some], j[some], s[some]
+            n = block.counts[to]
+            turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at, to, score = np.repeat(who[at], n), np.repeat(to, n), np.repeat(score.astype(np.int64), n)
+            ids = block.ids[block.start[to] + turn]
+            if self.same:
+                keep = np.ones(len(ids), bool)
+                for x in np.flatnonzero(ids == self.own[at]):
+                    keep[x] = not (self.lengths[at[x]] == block.lengths[to[x]] and _equal(self.vectors[at[x]], block.vectors[to[x]]))
+                at, score, ids = at[keep], score[keep], ids[keep]
+            new.append([at * windows + w, score, ids])
+        place, score, ids = (np.concatenate(x) for x in zip(*new))
+        order = np.lexsort((ids, ~score, place))
+        place, score, ids = place[order], score[order], ids[order]
+        turn = np.arange(len(place)) - place.searchsorted(place)
+        keep = turn < self.k
+        self.kept = [place[keep], score[keep], ids[keep]]
+        full = turn == self.k - 1
+        self.least.reshape(-1)[place[full]] = np.maximum(self.least.reshape(-1)[place[full]], score[full])
+
+    def rows(self, row) -> pd.DataFrame:
+        place, score, ids = self.kept
+        at = place // self.name.shape[1]
+        return pd.DataFrame({"batch": row.batch, "anchor": _longs(row.anchors)[at].astype(np.int32), "anchor_id": self.own[at],
+                             "win": self.name.reshape(-1)[place], "score": score, "id": ids})
+
+
+class _Block:
+    def __init__(self, row):
+        self.vectors, self.lengths, self.labels = _vectors(row), _longs(row.lengths), _longs(row.labels)
+        self.counts, self.ids = _longs(row.counts), np.asarray(row.ids, np.int64)
+        self.start = np.cumsum(self.counts) - self.counts
+        self.cells, self.at = np.unique(_longs(row.cells), return_inverse=True)
+
+
+def _held(ends: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Ends of windows in the type of the scores; those beyond all scores stay so."""
+    if kind.kind != "f":
+        return ends
+    most = int(EXACT if kind.itemsize == 8 else EXACT_SHORT)
+    return np.clip(ends, -most, most).astype(kind)
+
+
+def _scores(index: Index, k: int, same: bool, second: bool):
+    """The k best rows of a shelf for each window of the anchors visiting it."""
+    def run(visitors: pd.DataFrame, shelf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        blocks = [_Block(row) for row in shelf.itertuples(index=False)] if len(visitors) else []
+        for row in visitors.itertuples(index=False):
+            best = _Best(row, k, same)
+            if second:
+                x = np.zeros((len(best.labels), index.width))
+                x[:, :row.width] = best.vectors
+                upper, lower = index.bounds(x)
+            else:
+                visits = _longs(row.visits, 2)
+            for block in blocks:
+                if second:
+                    seen = reach(upper, lower, block.cells, best.least, best.greatest)
+                else:
+                    at = np.minimum(block.cells.searchsorted(visits[:, 1]), len(block.cells) - 1)
+                    hit = block.cells[at] == visits[:, 1]
+                    seen = np.zeros((len(best.labels), len(block.cells)), bool)
+                    seen[visits[hit, 0], at[hit]] = True
+                best.add(block, seen)
+            out.append(best.rows(row))
+        names = [x.split()[0] for x in FOUND.split(", ")]
+        return pd.concat(out) if out else pd.DataFrame(columns=names)
     return run
 
 
@@ -352,15 +473,33 @@ def _search(batches: DataFrame, goals: DataFrame, blocks: DataFrame, index: Inde
             probe: int, name: str) -> DataFrame:
     """The k best rows of each window: (batch, anchor, anchor_id, win, score, id, rank)."""
     asked = goals.groupBy(col("batch").alias("block")).agg(F.collect_set(F.struct("anchor", "win")).alias("goals"))
-    rows = written(batches.join(asked, "block"), f"negatives-{name}-goals")
+    rows = written(batches.join(asked.hint("merge"), "block"), f"negatives-{name}-goals")
+    # Whole shelves of blocks meet whole crates of batches, each dealt to the other's number.
+    n_blocks, block_bytes = _weights(blocks)
+    n_batches, batch_bytes = _weights(batches)
+    per = max(1, min(SHELF // max(1, block_bytes), -(-n_blocks // TILES)))
+    crate = max(1, CRATE // max(1, batch_bytes))
+    crates, shelves = -(-n_batches // crate), -(-n_blocks // per)
+    tasks = max(1, min(crates * shelves, MOST_TASKS))
+    shelved = (blocks.withColumn("shelf", F.expr(f"block div {per}").cast("int"))
+               .withColumn("crate", F.explode(F.sequence(F.lit(0), F.lit(max(0, crates - 1))))).repartition(tasks, "shelf", "crate"))
 
     def scored(anchors: DataFrame, second: bool) -> DataFrame:
-        routed = anchors.mapInPandas(_routes(index, window, k, probe, second), ROUTED)
-        return routed.join(blocks, "block").mapInPandas(_scores(k, same), FOUND)
+        routed = (anchors.mapInPandas(_routes(index, window, k, probe, per, second), ROUTED)
+                  .withColumn("crate", F.expr(f"batch div {crate}").cast("int"))
+                  .withColumn("shelf", F.explode("shelves")).drop("shelves").repartition(tasks, "shelf", "crate"))
+        return (routed.groupBy("shelf", "crate").cogroup(shelved.groupBy("shelf", "crate"))
+                .applyInPandas(_scores(index, k, same, second), FOUND))
 
     first = written(_kept(scored(rows, False), k).drop("rank"), f"negatives-{name}-first")
     seen = first.groupBy(col("batch").alias("block")).agg(F.collect_list(F.struct("anchor", "win", "score")).alias("found"))
-    return written(_kept(scored(rows.join(seen, "block", "left"), True).unionByName(first), k), f"negatives-{name}")
+    return written(_kept(scored(rows.join(seen.hint("merge"), "block", "left"), True), k), f"negatives-{name}")
+
+
+def _weights(packed: DataFrame) -> tuple[int, int]:
+    """How many blocks there are, numbered from 0, and the bytes of the largest."""
+    n, most = packed.agg(F.max("block") + 1, F.max(F.octet_length("vectors") + F.octet_length("cells") * 6)).first()
+    return n or 0, most or 0
 
 
 def mine(rows: DataFrame, anchor: Column, id: str = "id", label: str = "label", vector: str = "vector", positives: int = POSITIVES,
@@ -380,7 +519,10 @@ def mine(rows: DataFrame, anchor: Column, id: str = "id", label: str = "label",
                       .agg(F.array_sort(F.collect_list("id")).alias("ids")), "negatives-classes")
     n, width = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     words = words or min(MOST_WORDS, max(LEAST_WORDS, int(np.ceil(np.sqrt(n / block)))))
-    drawn = classes.orderBy(F.xxhash64("v"), "label").limit(SAMPLE * words).select("v").collect()
+    # The least hashes are looked for below a bound that some four times as many lie under.
+    want = SAMPLE * words
+    bound = F.lit(min(ENDS[1], ENDS[0] + (4 * (want + 100) << 64) // max(1, n)))
+    drawn = classes.filter(F.xxhash64("v") <= bound).orderBy(F.xxhash64("v"), "label").limit(want).select("v").collect()
     sample = np.zeros((max(1, len(drawn)), width or 0))
     for i, r in enumerate(drawn):
         sample[i, :len(r["v"])] = r["v"]
@@ -405,7 +547,7 @@ def mine(rows: DataFrame, anchor: Column, id: str = "id", label: str = "label",
     goals = near.select("batch", "anchor", col("score").alias("win"))
     far = _search(batches, goals, blocks, index, lambda s: (-(-low * s // 100), high * s // 100), negatives, False, probe, "negatives")
     pairs = near.select("batch", "anchor", "anchor_id", col("id").alias("positive_id"), col("score").alias("win"))
-    return pairs.join(far.drop("anchor_id"), ["batch", "anchor", "win"]).select(
+    return pairs.join(far.drop("anchor_id").hint("merge"), ["batch", "anchor", "win"]).select(
         "anchor_id", "positive_id", "rank", col("id").alias("negative_id"), col("win").alias("positive_score"),
         col("score").alias("negative_score"))
 

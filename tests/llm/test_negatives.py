@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.llm import negatives
+from tallyline.llm import common, negatives
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -64,6 +64,53 @@ def test_clusters(spark, options):
     assert len(want) > 100 and got(df, **options) == want
 
 
+def test_many_shelves_and_crates(spark, monkeypatch):
+    """Each block a shelf and each batch a crate, so that every window is put together from many tasks."""
+    monkeypatch.setattr(negatives, "SHELF", 1)
+    monkeypatch.setattr(negatives, "CRATE", 1)
+    data = cloud(300, 12, 5, 2)
+    data += [(1000 + i, data[i % 7][1], data[i % 7][2]) for i in range(40)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    want = brute([dict(zip(("vec_id", "embedding", "label"), r)) for r in data])
+    assert want and got(df, block=30, batch=2, probe=20, words=4) == want
+
+
+def test_searches_broadcast_nothing(spark, monkeypatch):
+    """The planner takes routed anchors for as small as the batches they come from."""
+    plans = {}
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return common.written(df, name)
+
+    monkeypatch.setattr(negatives, "written", written)
+    out = negatives.hard_negatives(spark.createDataFrame(cloud(300, 12, 5, 2), SCHEMA))
+    plans["out"] = out._jdf.queryExecution().executedPlan().toString()
+    searches = [n for n in plans if n == "out" or n.startswith(("negatives-positives", "negatives-negatives"))]
+    assert len(searches) == 7 and not [n for n in searches if "Broadcast" in plans[n]]
+
+
+def test_reach_is_the_second_round_of_route():
+    draw = np.random.default_rng(6)
+    x = np.round(draw.standard_normal((500, 6)) * 40)
+    index = negatives.Index(x[:100], 5)
+    cell, far = index.place(x)
+    radii = [{int(w): far[h][at == w].max() for w in set(at)} for h, at in enumerate((cell // 5, cell % 5))]
+    index.settle({int(c): int((cell == c).sum()) for c in set(cell)}, radii, 50)
+    upper, lower = index.bounds(x[:30])
+    cells, cut = np.flatnonzero(index.counts), 0
+    for a in range(30):
+        windows = [(0, 4000, 90000), (1, 6000, 20000)]
+        needs = [int(draw.integers(4000, 90000)), int(draw.integers(6000, 20000))]
+        up, low = [u[a] for u in upper], [v[a] for v in lower]
+        want = {c for c in negatives.route(up, low, index.counts, windows, needs, 0)}
+        least, greatest = np.array([needs]), np.array([[90000, 20000]])
+        seen = negatives.reach([u[a:a + 1] for u in upper], [v[a:a + 1] for v in lower], cells, least, greatest)[0]
+        assert set(cells[seen].tolist()) == want
+        cut += len(want) < len(cells)
+    assert cut
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     data = [(0, [0.5, 0.5], 1), (50, [0.5, 0.5], 1), (100, [], 1), (150, [0.0, 0.0], 2), (200, [-0.5, -0.25], 1), (250, [3e38, 3e38], 3)]
