@@ -73,7 +73,9 @@ def _kept(size: Column, most: int, share: float) -> Column:
 
 
 def _sized(side: DataFrame) -> DataFrame:
-    return F.broadcast(side) if small(side, BROADCAST_ROWS) else side
+    """A written side, broadcast if it is small; else neither side is: the planner
+    sizes the documents' shingles as the documents before the explode."""
+    return F.broadcast(side) if small(side, BROADCAST_ROWS) else side.hint("merge")
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id",

@@ -147,6 +147,21 @@ def test_contained_matches_brute_force(awkward, clashing, items):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(r.doc_id for r in awkward.collect() if r.doc_id not in dirty)
 
 
+def test_large_index_leaves_documents_unbroadcast(spark, awkward, items, monkeypatch):
+    """The planner takes the shingles of few documents for as small as the documents."""
+    index = spark.range(100).select(F.xxhash64("id").alias("h"), F.col("id").alias("class"))
+    grams = spark.range(50).select(F.col("id").alias("doc"), F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("h"))
+
+    def plan():
+        return grams.join(decontaminate._sized(index), "h")._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan()
+    want = rows(decontaminate.contained(awkward, items), "doc_id", "item_id", "n_shingles", "n_found")
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert "SortMergeJoin" in plan() and "Broadcast" not in plan()
+    assert rows(decontaminate.contained(awkward, items), "doc_id", "item_id", "n_shingles", "n_found") == want and want
+
+
 def test_contained_without_rows(spark, awkward, no_docs, items):
     none = spark.createDataFrame([(1, None), (2, " ")], "item_id long, text string")
     for docs, tests in ((no_docs, items), (awkward, none), (awkward, none.limit(0))):
